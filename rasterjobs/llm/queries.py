@@ -4,19 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rasterjobs.llm.language import language_of_all
+from rasterjobs.llm.line_crf import document_quality
 from rasterjobs.llm.minhash import near_duplicates
+from rasterjobs.llm.packing import digest, pack
+from rasterjobs.llm.quality_rules import quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(pack(_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of_all(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_language": op3_language,
+    "op4_quality_rules": op4_quality_rules,
     "op9_minhash": op9_minhash,
+    "op10_line_crf": op10_line_crf,
 }
 
 ORACLES: dict[str, str] = {}
