@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rasterjobs.llm.language import language_of_all
 from rasterjobs.llm.line_crf import document_quality
+from rasterjobs.llm.line_dedup import dedup_lines
 from rasterjobs.llm.minhash import near_duplicates
+from rasterjobs.llm.mixing import mix
 from rasterjobs.llm.packing import digest, pack
 from rasterjobs.llm.quality_rules import quality_rules
 
@@ -33,6 +35,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +55,8 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op3_language": op3_language,
     "op4_quality_rules": op4_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
+    "op7_mixing": op7_mixing,
     "op9_minhash": op9_minhash,
     "op10_line_crf": op10_line_crf,
 }
