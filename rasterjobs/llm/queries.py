@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rasterjobs.llm.ball_tree import top_k
 from rasterjobs.llm.language import language_of_all
 from rasterjobs.llm.line_crf import document_quality
 from rasterjobs.llm.line_dedup import dedup_lines
@@ -11,6 +12,8 @@ from rasterjobs.llm.minhash import near_duplicates
 from rasterjobs.llm.mixing import mix
 from rasterjobs.llm.packing import digest, pack
 from rasterjobs.llm.quality_rules import quality_rules
+from rasterjobs.llm.secrets import secret_spans
+from rasterjobs.llm.warc_zip import archived
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(pack(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op2_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of_all(_table(spark, sf_dir, "documents"))
 
@@ -39,10 +46,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -53,12 +68,62 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_ball_tree": op2_ball_tree,
     "op3_language": op3_language,
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
+    "op6_warc_zip": op6_warc_zip,
     "op7_mixing": op7_mixing,
+    "op8_secrets": op8_secrets,
     "op9_minhash": op9_minhash,
     "op10_line_crf": op10_line_crf,
 }
 
-ORACLES: dict[str, str] = {}
+_OP2 = """
+WITH q AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
+"""
+
+#: SHA-1 in base32: eight groups of five hexadecimal digits, each of which holds four base32 digits.
+_OP6 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, h, min(page_id) OVER (PARTITION BY h) AS first,
+    list_transform(range(8), lambda i: CAST('0x' || substr(h, CAST(5 * i + 1 AS INTEGER), 5) AS BIGINT)) AS g FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((g[CAST(j // 4 + 1 AS INTEGER)] >> CAST(15 - 5 * (j % 4) AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+"""
+
+_OP9 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 75 * (p.c + q.c - k)
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+cc(id, lab) USING KEY (id) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT e.x, min(o.lab) FROM e JOIN recurring.cc o ON o.id = e.y JOIN recurring.cc m ON m.id = e.x WHERE o.lab < m.lab GROUP BY e.x
+)
+SELECT cc.id AS doc_id, coalesce(n.c, 0) AS n_shingles, cc.lab AS component_id, cc.id = cc.lab AS kept
+FROM cc LEFT JOIN n ON n.doc_id = cc.id
+"""
+
+ORACLES: dict[str, str] = {"op2_ball_tree": _OP2, "op6_warc_zip": _OP6, "op9_minhash": _OP9}
