@@ -7,8 +7,9 @@ signature is split into ``chunks`` chunks. By the pigeonhole principle two signa
 indexed once for every choice of ``errors`` cells left out, so all such pairs meet in a bucket.
 
 The work stays near-linear in hot groups. Equal sets are one class before the join. A bucket compares its
-members with its smallest member only, then members of different components that remain in one bucket are
-compared with each other, so every pair that shares a bucket is either confirmed, refuted or already connected.
+members with one of them first, the one that meets most others. Members of different components that remain
+in one bucket are compared with each other, unless the shingles that either shares with other components are
+too few for a link; so every pair that shares a bucket is confirmed, refuted or already connected.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from rasterjobs.runtime import drop, ship, snapshot
 
 CHUNKS, CELLS, ERRORS = 10, 5, 1
 #: Pairs whose signatures differ in more cells are not fetched: at a similarity of 0.75 a pair passes
-#: with a probability above 1 - 1e-9 (50 cells: mean 12.5, standard deviation 3.1).
-FAR = 33
+#: with a probability above 1 - 1e-6 (50 cells: mean 12.5, standard deviation 3.1).
+FAR = 29
+#: Classes of shingle hashes in the bound on what two texts share.
+BOUND_CLASSES = 32
 _SEEDS = np.random.default_rng(20240917).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64)
 
 
@@ -110,6 +113,15 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
+def _explode(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, texts in slices(batch, "text"):
+            sets = list(shingle_sets(texts, k))
+            sizes = [len(s) for s in sets]
+            cols = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("id", "c"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), *map(pa.array, cols)], ["h", "id", "c"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets reach the similarity. A text with many partners is dealt over salts."""
     far = FAR
@@ -149,10 +161,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, chunks: int
     classes = full.groupBy("fa", "fb", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
     reps = snapshot(classes.select(F.col("rep").alias("id"), "n", "fa", "fb", "sig"), "classes")
     keys = reps.select("id", "n", "sig").mapInArrow(lambda it: _index(it, chunks, cells, errors), "key long, id long, n long")
-    many = keys.groupBy("key").agg(F.min("id").alias("head"), F.min_by("n", "id").alias("head_n"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = snapshot(keys.join(many, "key"), "buckets")
-    fits = f"100 * least({{0}}, {{1}}) >= {percent} * greatest({{0}}, {{1}})"
-    stars = buckets.where("id <> head").where(fits.format("n", "head_n")).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = snapshot(keys.join(many, "key"), "buckets")
+    # a bucket's head is the member that meets most others, so that one comparison links as many as can be
+    weight = met.groupBy("id").agg(F.sum("members").alias("weight"))
+    heads = met.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", -F.col("id"), "n")).alias("h")).select("key", (-F.col("h.col2")).alias("head"), F.col("h.n").alias("head_n"))
+    buckets = snapshot(met.join(heads, "key"), "buckets")
+    drop(met)
+    stars = buckets.where("id <> head").where(f"100 * least(n, head_n) >= {percent} * greatest(n, head_n)").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     wanted = buckets.select("id").distinct()
     texts = snapshot(source.join(wanted, "id").join(reps.select("id", "fa", "n"), "id").select("id", "text", "fa", "n"), "texts")
     # a repeated doc_id: only a text of the counted set may speak for it
@@ -168,9 +184,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, chunks: int
     placed = buckets.where("members > 2").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "head", F.coalesce("component", "id").alias("c"))
     placed = snapshot(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = placed.join(mixed, "key").where("id <> head").select("key", F.col("id"), F.col("n"), F.col("c"))
-    right = left.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    rest = left.join(right, (left.key == right.key) & F.expr("id < id2 and c <> c2") & F.expr(fits.format("n", "n2"))).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    open_ = placed.join(mixed, "key").where("id <> head")
+    # what two members of different components share lies in shingles that two components have; counted
+    # by hash class, the smaller counts of two members sum to a bound of their intersection
+    owners = open_.select("id", "c").distinct()
+    shingles = owners.join(texts, "id").select("id", "c", "text").mapInArrow(lambda it: _explode(it, k), "h long, id long, c long")
+    both = shingles.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
+    of_class = [F.count(F.when(F.pmod("h", F.lit(BOUND_CLASSES)) == i, 1)).cast("int") for i in range(BOUND_CLASSES)]
+    bound = shingles.join(both, "h").groupBy("id").agg(F.count(F.lit(1)).alias("s"), F.array(*of_class).alias("each"))
+    left = snapshot(open_.join(bound, "id").where(f"100 * s >= {percent} * n").select("key", "id", "n", "c", "s", "each"), "open")
+    right = left.toDF("key2", "id2", "n2", "c2", "s2", "each2")
+    at_most = "aggregate(zip_with(each, each2, (x, y) -> least(x, y)), 0, (x, y) -> x + y)"
+    reach = f"{100 + percent} * least(s, s2) >= {percent} * (n + n2) and {100 + percent} * {at_most} >= {percent} * (n + n2)"
+    rest = left.join(right, (left.key == right.key2) & F.expr(f"id < id2 and c <> c2 and {reach}")).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
     more = snapshot(_verified(rest, texts, sigs, k, percent), "links")
     comps = connected_components(links.unionByName(more))
     by_rep = reps.select("fa", "fb", "n", F.col("id").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
