@@ -12,6 +12,7 @@ import os
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,26 +31,41 @@ class WordTokenizer:
     its white-space-separated parts in order; parts are encoded once while they stay in the cache.
     """
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached, self.ids = Tokenizer.from_file(path), cached, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a pre-token
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encode new words in groups; token offsets tell which word a token belongs to."""
-        import numpy as np
-
-        for i in range(0, len(words), 256):
-            group = words[i : i + 256]
-            texts = [w.decode() for w in group]
-            joined = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ends = np.cumsum([len(t) + 1 for t in texts])
+        """Encode new words in groups: one of letters only is one pre-token; else token offsets tell a token's word."""
+        plain, other = [], []
+        for w in words:
+            t = w.decode()
+            (plain if t.isalpha() and (t.isascii() or t.lower().isalpha()) else other).append((w, t))
+        for i in range(0, len(plain), 512):
+            group = plain[i : i + 512]
+            ids = np.array(self.tokenizer.encode(" ".join([t for _, t in group]), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(group):
+                other += group
+                continue
+            raw, at = ids.tobytes(), 0
+            for (w, _), end in zip(group, (4 * ends).tolist(), strict=True):
+                self.ids[w] = raw[at:end]
+                at = end
+        for i in range(0, len(other), 256):
+            group = other[i : i + 256]
+            joined = self.tokenizer.encode(" ".join([t for _, t in group]), add_special_tokens=False)
+            ends = np.cumsum([len(t) + 1 for _, t in group])
             starts = np.fromiter((a for a, _ in joined.offsets), np.int64, len(joined.offsets))
-            cut = np.searchsorted(starts, np.concatenate([[0], ends[:-1], [ends[-1] + 1]]))
+            cut = 4 * np.searchsorted(starts, np.concatenate([[0], ends[:-1], [ends[-1] + 1]]))
             raw = np.array(joined.ids, "<u4").tobytes()
-            for j, w in enumerate(group):
-                self.ids[w] = raw[4 * cut[j] : 4 * cut[j + 1]]
+            for j, (w, _) in enumerate(group):
+                self.ids[w] = raw[cut[j] : cut[j + 1]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # only the exact form of a special token counts as one, so such texts keep their case
@@ -57,21 +73,22 @@ class WordTokenizer:
         known = self.ids
         if len(known) > self.cached:
             known.clear()
-        new = {w for words in split for w in words if w not in known}
+        parts = [list(map(known.get, words)) for words in split]
+        some = [i for i, p in enumerate(parts) if None in p]
+        new = {w for i in some for w, p in zip(split[i], parts[i], strict=True) if p is None}
         if new:
-            stems, ended = {}, []
+            stems = {}
             for w in new:
                 stem = w.rstrip(b",.")
                 # a run of punctuation after an ASCII letter or digit is a pre-token of its own
                 if len(stem) < len(w) and stem and stem[-1:].isalnum():
                     stems[w] = stem
-                    ended.append(w)
-            parts = {x for w in ended for x in (stems[w], w[len(stems[w]) :])} | {w for w in new if w not in stems}
-            self._learn([p for p in parts if p not in known])
-            for w in ended:
-                known[w] = known[stems[w]] + known[w[len(stems[w]) :]]
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            self._learn([x for x in {y for w in new for y in ((stems[w], w[len(stems[w]) :]) if w in stems else (w,))} if x not in known])
+            for w, stem in stems.items():
+                known[w] = known[stem] + known[w[len(stem) :]]
+            for i in some:
+                parts[i] = [known[w] if p is None else p for w, p in zip(split[i], parts[i], strict=True)]
+        return list(map(b"".join, parts))
 
 
 def tokenizer(path: str) -> WordTokenizer:
