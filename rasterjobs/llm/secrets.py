@@ -23,8 +23,10 @@ KINDS = ("assign", "access", "hex", "markov")
 TOKEN = "[A-Za-z0-9+/_=-]{%d,}"
 LEAST_TOKEN = 16
 #: Mean log ratio per pair from which a token is a secret; labelled samples for the identifiers, in documents.
-THRESHOLD = 0.7
+THRESHOLD = 1.0
 SAMPLE_DOCS = 20_000
+#: Weight of the back-off, in pairs.
+BACK_OFF = 8.0
 
 
 def _matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -78,8 +80,9 @@ def labelled_samples(docs: DataFrame, bound: int = SAMPLE_DOCS) -> DataFrame:
 def train(samples: DataFrame) -> list[float]:
     """Log ratios of pair probabilities (random over ordinary), 128 x 128 by code of the first and second character.
 
-    Counts are smoothed by one half per pair of 64 classes; without both labels all ratios are 0. What is
-    collected has at most 2 x 128 x 128 rows.
+    Random strings are counted by class of character (digit, lower, upper, other), even inside a class;
+    identifiers by pair, backed off to how often the second character follows any. Without both labels all
+    ratios are 0. What is collected has at most 2 x 128 x 128 rows.
     """
     pairs = samples.where("token is not null and random is not null and length(token) > 1")
     pairs = pairs.select("random", "token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i"))
@@ -99,11 +102,13 @@ def train(samples: DataFrame) -> list[float]:
         by_kind[key] = by_kind.get(key, 0.0) + n
     rows = {k: sum(by_kind.get((k, b), 0.0) + 0.5 for b in "dluo") for k in "dluo"}
     total = [sum(count[False][128 * a : 128 * a + 128]) for a in range(128)]
+    whole = sum(total)
+    second = [(sum(count[False][b::128]) + 0.5) / (whole + 32) for b in range(128)]
     out = []
     for i in range(16384):
         a, b = divmod(i, 128)
         random = (by_kind.get((kind[a], kind[b]), 0.0) + 0.5) / rows[kind[a]] / members[kind[b]]
-        plain = (count[False][i] + 0.5) / (total[a] + 32)
+        plain = (count[False][i] + BACK_OFF * second[b]) / (total[a] + BACK_OFF)
         out.append(round(math.log(random / plain), 6))
     return out
 
