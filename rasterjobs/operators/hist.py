@@ -73,7 +73,7 @@ def otsu_threshold(df: DataFrame, x: str, nbins: int = 256, by: list[str] | None
     gap = F.try_divide(F.col("m1"), F.col("w1")) - F.try_divide(F.col("mt") - F.col("m1"), F.col("wt") - F.col("w1"))
     # an empty last class (all values in one bin, or the last bin) has no variance and ranks behind the others
     between = F.when(F.col("w1") < F.col("wt"), F.col("w1") * (F.col("wt") - F.col("w1")) * gap * gap).otherwise(-1.0)
-    best = h.withColumn("between", between).groupBy(*by).agg(F.max(F.struct("between", -F.col("bin"), "centre", "lo", "hi")).alias("b"))
+    best = h.withColumn("between", between).groupBy(*by).agg(F.max(F.struct("between", -F.col("bin"), "centre", "lo", "hi")).alias("b")).where("b is not null")
     return best.select(*by, (-F.col("b.col2")).cast("int").alias("bin"), F.when(F.col("b.lo") == F.col("b.hi"), F.col("b.lo")).otherwise(F.col("b.centre")).alias("threshold"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,16 +58,11 @@ def utm_to_geographic(x: Column, y: Column, zone: int = 44, north: bool = True)
     for j, b in enumerate(beta, 1):
         xi1 = xi1 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         eta1 = eta1 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    tau1 = F.sin(xi1) / F.sqrt(F.sinh(eta1) * F.sinh(eta1) + F.cos(xi1) * F.cos(xi1))
-    e = math.sqrt(f * (2 - f))
-    tau = tau1
-    for _ in range(3):
-        root = F.sqrt(1 + tau * tau)
-        sigma = F.sinh(e * F.atanh(e * tau / root))
-        back = tau * F.sqrt(1 + sigma * sigma) - sigma * root
-        tau = tau + (tau1 - back) / F.sqrt(1 + back * back) * (1 + (1 - e * e) * tau * tau) / ((1 - e * e) * root)
+    chi = F.asin(F.sin(xi1) / F.cosh(eta1))  # conformal latitude; a series gives the geographic one
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    phi = sum((d * F.sin(2 * j * chi) for j, d in enumerate(delta, 1)), chi)
     lon = F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + (6 * zone - 183)
-    return lon, F.degrees(F.atan(tau))
+    return lon, F.degrees(phi)
 
 
 def warp(source: DataFrame, value: str, targets: DataFrame, x: Column, y: Column, affine: tuple[float, float, float, float]) -> DataFrame:
