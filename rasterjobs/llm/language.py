@@ -192,9 +192,12 @@ def language_of_all(docs: DataFrame, folds: int = 5, held_out: int = 0) -> DataF
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.52) -> DataFrame:
-    """``docs`` without rows that have no letters or whose two best languages can't be told apart; columns unchanged."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """``docs`` without rows that have no letters or no n-gram of any learned language; columns unchanged.
+
+    A text in two languages has a low score and is still a document, so the score alone rejects none.
+    """
     filters = learn(docs.select("doc_id", "text", "lang"))
     seen = identify(docs.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(docs.columns) if c != "text"}), filters)
-    kept = seen.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    kept = seen.where((F.col("lang_pred") != "und") & (F.col("score") > 0))
     return kept.select(*[F.col("text") if c == "text" else F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
