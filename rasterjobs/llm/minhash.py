@@ -67,21 +67,29 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, size: int) -> Iterator[pa.R
 
 
 def _index(batches: Iterator[pa.RecordBatch], chunks: int, cells: int, errors: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, n): a key for each chunk and each choice of left-out cells."""
+    """Rows (key, id, n, out): a key for each chunk and each choice of left-out cells.
+
+    ``out`` tells what the left-out cells hold, negative for the first choice: two documents that agree in all
+    cells of a chunk meet under every choice, and count as a pair under the first only.
+    """
     kept = list(combinations(range(cells), cells - errors))
     for batch in batches:
         for i in range(0, batch.num_rows, 2048):
             part = batch.slice(i, 2048)
             sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, chunks, cells).astype(U)
-            keys = np.empty((len(sig), chunks, len(kept)), U)
+            keys, out = np.empty((len(sig), chunks, len(kept)), U), np.empty((len(sig), chunks, len(kept)), np.int32)
             with np.errstate(over="ignore"):
                 for j, use in enumerate(kept):
                     packed = np.zeros((len(sig), chunks), U)
                     for c in use:
                         packed = mix(packed * U(0x9E3779B97F4A7C15) + sig[:, :, c])
+                    rest = np.zeros((len(sig), chunks), U)
+                    for c in sorted(set(range(cells)) - set(use)):
+                        rest = rest * U(65537) + sig[:, :, c]
+                    out[:, :, j] = (rest & U(0x7FFFFFFF)).astype(np.int32) if j else -1
                     keys[:, :, j] = mix(packed + (np.arange(chunks, dtype=U) * U(1000) + U(j))[None, :], 5)
             each = chunks * len(kept)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column("id").to_numpy(zero_copy_only=False), each)), pa.array(np.repeat(part.column("n").to_numpy(zero_copy_only=False), each))], ["key", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column("id").to_numpy(zero_copy_only=False), each)), pa.array(np.repeat(part.column("n").to_numpy(zero_copy_only=False), each)), pa.array(out.reshape(-1))], ["key", "id", "n", "out"])
 
 
 def _near(batches: Iterator[pa.RecordBatch], far: int) -> Iterator[pa.RecordBatch]:
@@ -160,7 +168,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, chunks: int
     full = one.where("n > 0")
     classes = full.groupBy("fa", "fb", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
     reps = snapshot(classes.select(F.col("rep").alias("id"), "n", "fa", "fb", "sig"), "classes")
-    keys = reps.select("id", "n", "sig").mapInArrow(lambda it: _index(it, chunks, cells, errors), "key long, id long, n long")
+    keys = reps.select("id", "n", "sig").mapInArrow(lambda it: _index(it, chunks, cells, errors), "key long, id long, n long, out int")
     many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = snapshot(keys.join(many, "key"), "buckets")
     # a bucket's head is the member that meets most others, so that one comparison links as many as can be
@@ -181,7 +189,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, chunks: int
     links = snapshot(_verified(stars, texts, sigs, k, percent), "links")
     comps = connected_components(links)
     # members of one bucket in different components, beyond the pairs with the bucket's head
-    placed = buckets.where("members > 2").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "head", F.coalesce("component", "id").alias("c"))
+    placed = buckets.where("members > 2").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "out", "head", F.coalesce("component", "id").alias("c"))
     placed = snapshot(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     open_ = placed.join(mixed, "key").where("id <> head")
@@ -192,11 +200,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, chunks: int
     both = shingles.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
     of_class = [F.count(F.when(F.pmod("h", F.lit(BOUND_CLASSES)) == i, 1)).cast("int") for i in range(BOUND_CLASSES)]
     bound = shingles.join(both, "h").groupBy("id").agg(F.count(F.lit(1)).alias("s"), F.array(*of_class).alias("each"))
-    left = snapshot(open_.join(bound, "id").where(f"100 * s >= {percent} * n").select("key", "id", "n", "c", "s", "each"), "open")
-    right = left.toDF("key2", "id2", "n2", "c2", "s2", "each2")
+    left = snapshot(open_.join(bound, "id").where(f"100 * s >= {percent} * n").select("key", "id", "n", "c", "s", "each", "out"), "open")
+    right = left.toDF("key2", "id2", "n2", "c2", "s2", "each2", "out2")
     at_most = "aggregate(zip_with(each, each2, (x, y) -> least(x, y)), 0, (x, y) -> x + y)"
     reach = f"{100 + percent} * least(s, s2) >= {percent} * (n + n2) and {100 + percent} * {at_most} >= {percent} * (n + n2)"
-    rest = left.join(right, (left.key == right.key2) & F.expr(f"id < id2 and c <> c2 and {reach}")).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    rest = left.join(right, (left.key == right.key2) & F.expr(f"id < id2 and c <> c2 and (out < 0 or out <> out2) and {reach}")).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
     more = snapshot(_verified(rest, texts, sigs, k, percent), "links")
     comps = connected_components(links.unionByName(more))
     by_rep = reps.select("fa", "fb", "n", F.col("id").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
