@@ -111,9 +111,12 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The pipeline's form: each document as often as the mix takes it; of a part taken the larger half counts as the whole."""
+    """The pipeline's form: each document as often as the mix takes it; of a part taken the larger half counts as the whole.
+
+    Rows that repeat a doc_id (null is one too) all stand as often as the one taken most.
+    """
     times = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("__id"), F.expr("cast((2 * taken + size) div (2 * size) as int)").alias("__n")).where("__n > 0")
     times = times.groupBy("__id").agg(F.max("__n").alias("__n"))
     names = docs.columns
-    out = docs.join(times, F.col("doc_id") == F.col("__id")).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     return out.select(*names)
