@@ -1,14 +1,16 @@
 """WARC records in ZIP packages: written as stored members with an index, read by range without extraction.
 
-A package holds one stored member ``archive/data.warc`` and one stored index ``indexes/index.cdx`` (a line for each
-record: id, offset, length). The reader finds the end record from the file's tail, follows ZIP64 records
-where they are present, walks the central directory, checks that the members are stored, and slices each record's
-bytes where the index points; nothing is unpacked and no record is read twice.
+A package holds one stored member ``archive/data.warc.gz``, in which every record is a gzip member of its own, and
+one stored index ``indexes/index.cdx`` (a line for each record: id, offset, length). The reader finds the end
+record from the file's tail, follows ZIP64 records where they are present, walks the central directory, checks that
+the members are stored, and slices each record's bytes where the index points; the package is never extracted
+and no record is read twice.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import struct
 import zlib
@@ -20,9 +22,9 @@ from pyspark.sql import functions as F
 
 from rasterjobs.runtime import new_path, ship
 
-#: Payload bytes from which a package closes.
+#: Bytes of records from which a package closes.
 PACKAGE = 4 << 20
-ARCHIVE, INDEX = "archive/data.warc", "indexes/index.cdx"
+ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 _NONE = "none"
 
@@ -159,7 +161,7 @@ def _packages(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Reco
         for i in range(0, batch.num_rows, 64):
             part = batch.slice(i, 64)
             for page_id, url, payload, first, revisit in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "first", "revisit")), strict=True):
-                raw = record(page_id, url, payload, base32_sha1(payload), first, revisit)
+                raw = gzip.compress(record(page_id, url, payload, base32_sha1(payload), first, revisit), 6, mtime=0)
                 index.append(f"{_NONE if page_id is None else page_id} {len(data)} {len(raw)}\n")
                 data += raw
                 if len(data) >= limit:
@@ -177,7 +179,7 @@ def _records(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.R
             rows = []
             for line in package.range(INDEX).decode().splitlines():
                 _, at, n = line.split(" ")
-                row = parse(package.range(ARCHIVE, int(at), int(n)))
+                row = parse(gzip.decompress(package.range(ARCHIVE, int(at), int(n))))
                 rows.append(row if payloads else (*row[:-1], None))
             if rows:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
