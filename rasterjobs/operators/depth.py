@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rasterjobs.functions.algebra import classify_bins
 from rasterjobs.operators.focal import gaussian_smooth
 from rasterjobs.operators.regions import connected_regions
+from rasterjobs.runtime import snapshot
 
 #: Bounds of the depth classes in metres; class i is [bounds[i - 1], bounds[i]).
 DEPTH_BOUNDS = [0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 5.5, 6.0, 6.5, 9999.0]
@@ -34,8 +35,8 @@ def flood_depth(df: DataFrame, dem: str = "z", mask: str = "mask", sigma: float
 
     Regions below ``min_px`` pixels have depth 0.
     """
-    smooth = gaussian_smooth(df, dem, sigma, "__z")
-    regions = connected_regions(smooth.select("scene_id", "row", "col", mask, "__z"), mask)
+    smooth = gaussian_smooth(df, dem, sigma, "__z").where(F.col(mask) == 1).select("scene_id", "row", "col", mask, "__z")
+    regions = snapshot(connected_regions(snapshot(smooth, "smooth"), mask), "regions")  # both are read several times
     level = zonal_percentile(regions, "__z", p, min_px)
     deep = regions.join(level, ["scene_id", "region_id"], "left").select("scene_id", "row", "col", F.coalesce(F.greatest(F.col("wse") - F.col("__z"), F.lit(0.0)), F.lit(0.0)).alias("depth"))
     return df.join(deep, ["scene_id", "row", "col"], "left")
