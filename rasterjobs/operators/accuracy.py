@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterjobs.operators.ranked import in_ranges
+
 _EPS = 1e-6
 
 
@@ -98,11 +100,15 @@ def mask_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def best_checkpoint(history: DataFrame, score: str = "iou") -> DataFrame:
     """``history`` with the best score so far and whether the epoch improves on all before it.
 
-    A history has a row per epoch, so one window over it is small.
+    The best of earlier ranges of epochs, and of earlier epochs in the same range: histories of many runs' steps are large.
     """
-    before = Window.partitionBy(F.lit(1)).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    best = F.max(score).over(before)
-    return history.withColumn("improved", F.coalesce(F.col(score) > best, F.col(score).isNotNull())).withColumn("best", F.greatest(F.col(score), best))
+    placed = in_ranges(history, ["epoch"])
+    tops = placed.groupBy("__range").agg(F.max(score).alias("__top"))
+    tops = tops.select("__range", F.max("__top").over(Window.partitionBy(F.lit(1)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__top"))  # a row per range
+    inside = F.max(score).over(Window.partitionBy("__range").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1))
+    rows = placed.join(F.broadcast(tops), "__range").withColumn("__best", F.greatest(inside, "__top"))
+    rows = rows.withColumn("improved", F.coalesce(F.col(score) > F.col("__best"), F.col(score).isNotNull())).withColumn("best", F.greatest(F.col(score), F.col("__best")))
+    return rows.select(*history.columns, "improved", "best")
 
 
 def best_epoch(history: DataFrame, score: str = "iou") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterjobs.functions.algebra import classify_bins
 from rasterjobs.operators.focal import gaussian_smooth
+from rasterjobs.operators.ranked import percentile_row, percentiles
 from rasterjobs.operators.regions import connected_regions
 from rasterjobs.runtime import snapshot
 
@@ -21,13 +22,11 @@ def depth_labels() -> list[str]:
 def zonal_percentile(df: DataFrame, x: str, p: float = 0.9, min_px: int = 5, digits: int | None = None, out: str = "wse") -> DataFrame:
     """``(scene_id, region_id, n_px, wse)``: an interpolated percentile per region of at least ``min_px`` pixels.
 
-    Equal values are counted before the percentile, so a region's buffer holds its distinct values; ``digits``
-    rounds them first and so bounds it.
+    A region may hold most pixels: it is ranked in ranges. ``digits`` rounds values first, so that more are equal.
     """
     value = F.col(x) if digits is None else F.round(x, digits)
-    counts = df.where(F.col(x).isNotNull()).groupBy("scene_id", "region_id", value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    out_ = counts.groupBy("scene_id", "region_id").agg(F.sum("n").alias("n_px"), F.percentile("v", F.lit(p), F.col("n")).alias(out))
-    return out_.where(F.col("n_px") >= min_px)
+    found = percentiles(df, value, [100 * p], ["scene_id", "region_id"])
+    return found.where(F.col("n") >= min_px).select("scene_id", "region_id", F.col("n").alias("n_px"), F.col("value").alias(out))
 
 
 def flood_depth(df: DataFrame, dem: str = "z", mask: str = "mask", sigma: float = 3.0, p: float = 0.9, min_px: int = 5) -> DataFrame:
@@ -58,4 +57,6 @@ def depth_class_stats(df: DataFrame, pixel_m: float = 18.0, cls: str = "depth_cl
 
 def depth_summary(df: DataFrame, depth: str = "depth") -> DataFrame:
     d = F.col(depth)
-    return df.where(d.isNotNull()).agg(F.min(d).alias("min_depth"), F.avg(d).alias("mean_depth"), F.percentile(d, 0.5).alias("median_depth"), F.max(d).alias("max_depth"))
+    df = snapshot(df.select(depth).where(d.isNotNull()), "depth")  # read twice
+    rest = df.agg(F.min(d).alias("min_depth"), F.avg(d).alias("mean_depth"), F.max(d).alias("max_depth"))
+    return rest.crossJoin(F.broadcast(percentile_row(df, depth, {"median_depth": 50}))).select("min_depth", "mean_depth", "median_depth", "max_depth")  # one row each

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterjobs.operators.ranked import percentile_row, percentiles
+
 
 def channel_stats(df: DataFrame, channels: list[str], by: list[str] | None = None) -> DataFrame:
     """``(by..., channel, mean, std)``: mean and population deviation of the values that are there, all channels in one pass."""
@@ -22,15 +24,15 @@ def change_summary(df: DataFrame, columns: list[str], by: list[str] | None = Non
 
 def band_percentiles(df: DataFrame, x: str, ps: list[float], by: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """``(by..., p, value)``: linearly interpolated percentiles; with ``accuracy`` the bounded-memory approximation."""
-    wanted = F.array(*[F.lit(p / 100) for p in ps])
-    found = F.percentile(x, wanted) if accuracy is None else F.percentile_approx(x, wanted, accuracy)
-    one = df.groupBy(*(by or [])).agg(found.alias("v"))
+    if accuracy is None:
+        return percentiles(df, x, ps, by).drop("n")
+    one = df.groupBy(*(by or [])).agg(F.percentile_approx(x, F.array(*[F.lit(p / 100) for p in ps]), accuracy).alias("v"))
     return one.select(*(by or []), F.explode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in ps]).alias("p"), F.col("v").alias("value"))).alias("z")).select(*(by or []), "z.p", F.col("z.value").alias("value"))
 
 
 def symmetric_limit(df: DataFrame, x: str, p: float = 98) -> DataFrame:
     """One row: the percentile of absolute values."""
-    return df.agg(F.percentile(F.abs(F.col(x)), p / 100).alias("limit"))
+    return percentile_row(df, F.abs(F.col(x)), {"limit": p})
 
 
 def _binned(df: DataFrame, x: str, nbins: int, by: list[str]) -> DataFrame:
@@ -81,8 +83,8 @@ def percentile_stretch(df: DataFrame, x: str, lo: float = 2, hi: float = 98, out
     """``df`` with x stretched between two percentiles and cut to [0, 1]."""
     from rasterjobs.functions.algebra import stretch
 
-    p = df.agg(F.percentile(x, F.array(F.lit(lo / 100), F.lit(hi / 100))).alias("__p"))
-    return df.crossJoin(F.broadcast(p)).withColumn(out, stretch(x, F.col("__p")[0], F.col("__p")[1])).drop("__p")  # one row
+    p = percentile_row(df, x, {"__lo": lo, "__hi": hi})
+    return df.crossJoin(F.broadcast(p)).withColumn(out, stretch(x, F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")  # one row
 
 
 def subsample_every(df: DataFrame, n: int, x: str) -> DataFrame:

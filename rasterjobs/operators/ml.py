@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rasterjobs.functions.algebra import valid_only
 from rasterjobs.operators.accuracy import accuracy_scores, confusion
+from rasterjobs.operators.ranked import row_numbers
 from rasterjobs.runtime import ship
 
 #: Labelled samples are points that people set; more than this are joined by shuffle instead of a broadcast.
@@ -42,7 +43,7 @@ def with_weights(samples: DataFrame, label: str = "label") -> DataFrame:
 def stratified_folds(samples: DataFrame, k: int = 5, label: str = "label", order: list | None = None, seed: int = 42) -> DataFrame:
     """Adds ``fold`` 0 .. k - 1, sizes equal within one per label; rows stand by ``order`` or a seeded hash of their place."""
     order = order or [F.xxhash64(F.lit(seed), "row", "col"), F.col("row"), F.col("col")]
-    return samples.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(*order)) - 1) % k).cast("int"))
+    return row_numbers(samples, [label], order, "__k").withColumn("fold", ((F.col("__k") - 1) % k).cast("int")).drop("__k")
 
 
 def hashed_folds(samples: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:

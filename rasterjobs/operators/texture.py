@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterjobs.operators.ranked import percentile_row
+
 
 def quantise(df: DataFrame, x: str, levels: int = 64, lo: float = 2, hi: float = 98, out: str = "q") -> DataFrame:
     """Levels 0 .. levels - 1 between two percentiles, cut first and floored after."""
-    p = df.agg(F.percentile(x, F.array(F.lit(lo / 100), F.lit(hi / 100))).alias("__p"))
-    share = F.try_divide(F.col(x) - F.col("__p")[0], F.col("__p")[1] - F.col("__p")[0])
+    p = percentile_row(df, x, {"__lo": lo, "__hi": hi})
+    share = F.try_divide(F.col(x) - F.col("__lo"), F.col("__hi") - F.col("__lo"))
     level = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * (levels - 1))
-    return df.crossJoin(F.broadcast(p)).withColumn(out, F.when(F.col(x).isNotNull(), F.coalesce(level, F.lit(0)).cast("int"))).drop("__p")  # one row
+    return df.crossJoin(F.broadcast(p)).withColumn(out, F.when(F.col(x).isNotNull(), F.coalesce(level, F.lit(0)).cast("int"))).drop("__lo", "__hi")  # one row
 
 
 def glcm_texture(df: DataFrame, q: str = "q", tile: int = 256, least: int = 4) -> DataFrame:

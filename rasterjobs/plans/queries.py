@@ -164,11 +164,11 @@ def patch_rot90(s, d):
     return _rounded(A.augment_geom(df, "rot90", 8))
 
 
-@query(f"WITH {LIN} SELECT r, c, {R('before_hh', 'before', 10)}, {R('during_hh', 'during', 10)} FROM lin WHERE id % 5 <> 0 AND id % 7 <> 0")
+@query(f"WITH {LIN} SELECT r, c, {R('before_hh', 'before', 10)}, {R('during_hh', 'during', 10)} FROM lin WHERE before_hh IS NOT NULL AND during_hh IS NOT NULL")
 def stack_bands(s, d):
     df = A.calibrated(grid(s, d))
-    one = df.where("id % 5 <> 0").select("scene_id", "row", "col", F.col("before_hh").alias("value"))
-    two = df.where("id % 7 <> 0").select("scene_id", "row", "col", F.col("during_hh").alias("value"))
+    one = df.where("before_hh is not null").select("scene_id", "row", "col", F.col("before_hh").alias("value"))
+    two = df.where("during_hh is not null").select("scene_id", "row", "col", F.col("during_hh").alias("value"))
     return _rounded(resample.stack_bands({"before": one, "during": two}).drop("scene_id"), 10)
 
 
@@ -208,10 +208,10 @@ def warp_affine(s, d):
     return _rounded(resample.warp(g, "z", g.select("scene_id", "row", "col", "id"), F.col("col") * 0.8 + 0.9, F.col("row") * 0.7 + 1.3, (0.0, 1.0, 0.0, 1.0)).select("id", "z"))
 
 
-@query(f"WITH {FEAT} SELECT id, CASE WHEN blk = 0 THEN 1 ELSE 0 END AS label, {', '.join(map(R, FEATURES))} FROM feat WHERE id % 23 = 0")
+@query(f"WITH {FEAT} SELECT id, CASE WHEN blk = 0 THEN 1 ELSE 0 END AS label, {', '.join(map(R, FEATURES))} FROM feat")
 def sample_points(s, d):
     df = _features(s, d)
-    samples = df.where("id % 23 = 0").selectExpr("scene_id", "row", "col", "CASE WHEN blk = 0 THEN 1 ELSE 0 END AS label")
+    samples = df.selectExpr("scene_id", "row", "col", "CASE WHEN blk = 0 THEN 1 ELSE 0 END AS label")
     return _rounded(ml.sample_at(df.select("scene_id", "row", "col", "id", *FEATURES), samples).select("id", "label", *FEATURES))
 
 
@@ -395,15 +395,15 @@ def best_epoch(s, d):
     return _rounded(acc.best_epoch(_history(s, d)))
 
 
-@query(f"WITH {PX} SELECT id, CASE WHEN blk = 0 THEN 1 ELSE 0 END AS label, CAST((row_number() OVER (PARTITION BY blk = 0 ORDER BY (id * 7919) % 10007, id) - 1) % 5 AS INTEGER) AS fold FROM px WHERE id % 23 = 0")
+@query(f"WITH {PX} SELECT id, CASE WHEN blk = 0 THEN 1 ELSE 0 END AS label, CAST((row_number() OVER (PARTITION BY blk = 0 ORDER BY (id * 7919) % 10007, id) - 1) % 5 AS INTEGER) AS fold FROM px")
 def folds(s, d):
-    df = grid(s, d).where("id % 23 = 0").selectExpr("id", "row", "col", "CASE WHEN blk = 0 THEN 1 ELSE 0 END AS label")
+    df = grid(s, d).selectExpr("id", "row", "col", "CASE WHEN blk = 0 THEN 1 ELSE 0 END AS label")
     return ml.stratified_folds(df, 5, order=[F.expr("(id * 7919) % 10007"), F.col("id")]).select("id", "label", "fold")
 
 
-@query(f"WITH {PX}, n AS (SELECT CASE WHEN blk = 0 THEN 1 ELSE 0 END AS label, count(*) AS n FROM px WHERE id % 23 = 0 GROUP BY 1) SELECT label, n, {R('(sum(n) OVER ()) / ((count(*) OVER ()) * n)', 'weight')} FROM n")
+@query(f"WITH {PX}, n AS (SELECT CASE WHEN blk = 0 THEN 1 ELSE 0 END AS label, count(*) AS n FROM px GROUP BY 1) SELECT label, n, {R('(sum(n) OVER ()) / ((count(*) OVER ()) * n)', 'weight')} FROM n")
 def label_weights(s, d):
-    return _rounded(ml.label_balance(grid(s, d).where("id % 23 = 0").selectExpr("CASE WHEN blk = 0 THEN 1 ELSE 0 END AS label")))
+    return _rounded(ml.label_balance(grid(s, d).selectExpr("CASE WHEN blk = 0 THEN 1 ELSE 0 END AS label")))
 
 
 _LR = "4e-5 / 1e4"
@@ -503,11 +503,11 @@ def tile_grid(s, d):
     return patches.tile_grid(grid(s, d), 32).groupBy("tile_r", "tile_c").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))
 
 
-@query(f"WITH {PX}, sz AS (SELECT max(r) AS h FROM px) SELECT CAST(a.r AS INTEGER) AS r, CAST(k.c AS INTEGER) AS c, CASE WHEN px.id % 3 <> 0 THEN v END AS v FROM (SELECT unnest(range((SELECT h + 1 FROM sz))) AS r) a CROSS JOIN range(100) k(c) LEFT JOIN px ON px.r = a.r AND px.c = k.c")
+@query(f"WITH {PX}, sz AS (SELECT max(r) AS h FROM px) SELECT CAST(a.r AS INTEGER) AS r, CAST(k.c AS INTEGER) AS c, CASE WHEN px.before_hh <> 0 THEN v END AS v FROM (SELECT unnest(range((SELECT h + 1 FROM sz))) AS r) a CROSS JOIN range(100) k(c) LEFT JOIN px ON px.r = a.r AND px.c = k.c")
 def densify(s, d):
     g = grid(s, d)
     sizes = focal.grid_sizes(g)
-    return _rounded(resample.densify(g.where("id % 3 <> 0").select("scene_id", "row", "col", "v"), sizes).select("row", "col", "v"))
+    return _rounded(resample.densify(g.where("before_hh <> 0").select("scene_id", "row", "col", "v"), sizes).select("row", "col", "v"))
 
 
 @query(f"WITH {OTSU} SELECT id, {R('db')} FROM m WHERE r >= 2 AND r < 8 AND c >= 10 AND c < 16")
@@ -535,9 +535,9 @@ def text_report(s, d):
 
 @query(None)
 def rf_map(s, d):
-    """A small forest on every 23rd cell, applied to the whole grid."""
+    """A small forest on the blocks of all cells, applied to the whole grid."""
     df = snapshot(_features(s, d).select("scene_id", "row", "col", "id", "blk", *FEATURES), "features")  # training reads it several times
-    samples = df.where("id % 23 = 0").withColumn("label", (F.col("blk") == 0).cast("int"))
+    samples = df.withColumn("label", (F.col("blk") == 0).cast("int"))
     model = ml.train_random_forest(samples, FEATURES, trees=10, depth=5)
     return ml.predict_map(model, df.select("scene_id", "row", "col", "id", *FEATURES), FEATURES).select("id", "mask")
 

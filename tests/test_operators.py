@@ -286,3 +286,35 @@ def test_segmentation_loss_without_valid_pixels(spark):
     df = spark.createDataFrame([(0, 1.0, 255), (1, 800.0, 1), (1, -800.0, 0)], "batch int, logit double, ref int")
     got = {r.batch: r.loss for r in accuracy.segmentation_loss(df).collect()}
     assert got[0] == 0 and got[1] == pytest.approx(0, abs=1e-9)
+
+
+def test_ranks_and_percentiles_of_a_group_over_many_ranges(spark):
+    from rasterjobs.operators import ranked
+
+    rng = np.random.default_rng(5)
+    rows = [("big" if i % 10 else None, int(rng.integers(0, 50)), i) for i in range(400)]
+    df = spark.createDataFrame([*rows, ("none", None, 400)], "g string, x int, i int")
+    got = {(r.g, r.p): (r.value, r.n) for r in ranked.percentiles(df, "x", [0, 37.5, 50, 100], ["g"]).collect()}
+    for g in ("big", None):
+        x = [r[1] for r in rows if r[0] == g]
+        for p in (0, 37.5, 50, 100):
+            assert got[g, p] == (pytest.approx(np.percentile(x, p)), len(x))
+    assert len(got) == 8
+    found = {r.i: r.k for r in ranked.row_numbers(df, ["g"], ["x", "i"], "k").collect()}
+    for g in ("big", None):
+        order = sorted((r for r in rows if r[0] == g), key=lambda r: r[1:])
+        assert [found[r[2]] for r in order] == list(range(1, len(order) + 1))
+    empty = ranked.percentile_row(df.where("i < 0"), "x", {"a": 5}).first()
+    assert empty.a is None
+
+
+def test_best_checkpoint_over_many_ranges(spark):
+    from rasterjobs.operators.accuracy import best_checkpoint
+
+    scores = [None if i % 7 == 3 else float(i * 37 % 101) for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(scores)), "epoch int, iou double")
+    best = None
+    for r in best_checkpoint(df).orderBy("epoch").collect():
+        assert r.improved == (r.iou is not None and (best is None or r.iou > best))
+        best = r.iou if best is None else best if r.iou is None else max(best, r.iou)
+        assert r.best == best
