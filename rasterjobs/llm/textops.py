@@ -13,7 +13,7 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2^64
 _INV = pow(_BASE, -1, 1 << 64)
 
 #: A slice of a batch ends after so many bytes of text (or one document, if that is longer).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
