@@ -3,7 +3,8 @@
 Each line of enough words that occurs in several documents pairs every later document with the earliest one
 that has it, so pairs grow with lines, not with the square of a line's documents. The two documents' line hashes
 are aligned: equal heads and tails first, then lines unique on both sides in their longest common order,
-then again between those. Blocks of aligned lines with enough words go from the later document.
+then again between those. Blocks of aligned lines with enough words go from the later document. What one order
+leaves (lines that stand twice, passages in another order) is matched by hashed runs of consecutive lines.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterjobs.llm.textops import slices
+from rasterjobs.llm.textops import U, _powers, mix, slices
 from rasterjobs.runtime import drop, ship, snapshot
 
 #: A line of fewer words doesn't find partners; an aligned block of fewer words stays.
@@ -70,17 +71,59 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def common_blocks(a: list, b: list, words: list[int], least: int) -> list[int]:
-    """Lines of ``b`` in aligned blocks that have at least ``least`` words together."""
-    out, block, before = [], [], (-2, -2)
-    for i, j in [*patience(a, b), (-9, -9)]:
+def runs(h: np.ndarray, words: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the shortest runs of lines with ``least`` words: from each line on, and up to each line.
+
+    Document i has lines bounds[i]:bounds[i + 1]. Such runs inside a block of enough words cover the whole block, so
+    the runs that two documents share are exactly the lines of the blocks that they share.
+    """
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    sizes = np.diff(bounds)
+    line, first, last = np.arange(len(h)), np.repeat(bounds[:-1], sizes), np.repeat(bounds[1:], sizes)
+    end = np.searchsorted(total, total[:-1] + max(1, least), "left")
+    start = np.searchsorted(total, total[1:] - max(1, least), "right") - 1
+    on, back = end <= last, start >= first
+    start, end = np.concatenate([line[on], start[back]]), np.concatenate([end[on], line[back] + 1])
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(h) + 1, U)
+        np.cumsum(h.view(U) * _powers("p", len(h)), out=sums[1:])
+        own = (sums[end] - sums[start]) * _powers("i", len(h) + 1)[start]
+    return start, end, mix(own ^ (end - start).astype(U), 5).view(np.int64)
+
+
+class Base:
+    """The earlier document of pairs: its lines, and the hashes of its runs when a pair asks for them."""
+
+    def __init__(self, lines: np.ndarray, words: np.ndarray, least: int):
+        self.lines, self.seen, self.least = lines.tolist(), set(lines.tolist()), least
+        self.parts, self.found = (lines, words), None
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        if self.found is None:
+            h, words = self.parts
+            self.found = np.unique(runs(h, words, np.array([0, len(h)]), self.least)[2])
+        return np.isin(hashes, self.found)
+
+
+def common_blocks(base: Base, b: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Lines of ``b`` in blocks of at least ``base.least`` words that ``base`` has as well: aligned ones, then all others."""
+    lines, gone = b.tolist(), np.zeros(len(b), bool)
+    block, before = [], (-2, -2)
+    for i, j in [*patience(base.lines, lines), (-9, -9)]:
         if (i, j) != (before[0] + 1, before[1] + 1):
-            if sum(words[k] for k in block) >= least:
-                out += block
+            if block and words[block].sum() >= base.least:
+                gone[block] = True
             block = []
         block.append(j)
         before = (i, j)
-    return out
+    if any(lines[k] in base.seen for k in np.flatnonzero(~gone)):
+        start, end, h = runs(b, words, np.array([0, len(b)]), base.least)
+        hit = base.has(h)
+        depth = np.zeros(len(b) + 1, np.int64)
+        np.add.at(depth, start[hit], 1)
+        np.add.at(depth, end[hit], -1)
+        gone |= np.cumsum(depth[:-1]) > 0
+    return np.flatnonzero(gone)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,15 +157,15 @@ def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         cols = [batch.column(c) for c in ("a", "ta", "id", "th", "hashes", "words")]
         for i in range(0, batch.num_rows, 512):
             for a, ta, b, tb, h, w in zip(*(c.slice(i, 512).to_pylist() for c in cols), strict=True):
-                lines = np.frombuffer(h, np.int64).tolist()
+                lines, words = np.frombuffer(h, np.int64), np.frombuffer(w, np.int32)
                 if b is None:
-                    at, base = (a, ta), lines
+                    at, base = (a, ta), Base(lines, words, least)
                 elif at == (a, ta):
-                    found = common_blocks(base, lines, np.frombuffer(w, np.int32).tolist(), least)
-                    if found:
+                    found = common_blocks(base, lines, words)
+                    if len(found):
                         ids.append(b)
                         ths.append(tb)
-                        gone.append(np.array(found, np.int32).tobytes())
+                        gone.append(found.astype(np.int32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(gone, pa.binary())], ["id", "th", "gone"])
 
 

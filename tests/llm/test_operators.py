@@ -178,6 +178,34 @@ def test_later_documents_lose_common_blocks(spark):
     assert all(r.n_chars == len(r.text or "") for r in kept.collect())
 
 
+def test_blocks_that_no_single_order_aligns_go_as_well(spark):
+    rng = random.Random(14)
+    p, q = ([prose(rng, 9), prose(rng, 8)] for _ in range(2))
+    own = [prose(rng, 12) for _ in range(12)]
+    lines = [
+        [own[0], *p, own[1], *p, own[2], *q],  # p stands twice in the owner
+        [own[3], *p, own[4]],
+        [own[5], *q, own[6], *p, own[7]],  # in another order
+        [own[8], *q, own[9], *q, own[10], *p, own[11], *p],  # twice in the later one
+    ]
+    rows = line_dedup.dedup_lines(docs_of(spark, ["\n".join(x) for x in lines])).collect()
+    want = [lines[0], *([x for x in text if x in own] for text in lines[1:])]
+    assert {r.doc_id: r.text for r in rows} == {i: "\n".join(x) for i, x in enumerate(want)}
+
+
+def test_runs_cover_every_shared_block():
+    rng = random.Random(15)
+    for _ in range(300):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(1, 14))] for _ in range(2))
+        words = [0, 1, 2, 3, 6]
+        line = lambda x: np.array(x, np.int64) * 1_000_003
+        base = line_dedup.Base(line(a), np.array([words[x] for x in a], np.int32), 5)
+        got = line_dedup.common_blocks(base, line(b), np.array([words[x] for x in b], np.int32)).tolist()
+        inside = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+        want = {k for i in range(len(b)) for j in range(i + 1, len(b) + 1) if tuple(b[i:j]) in inside and sum(words[x] for x in b[i:j]) >= 5 for k in range(i, j)}
+        assert got == sorted(want)
+
+
 # --- 6 WARC in ZIP
 
 
