@@ -1,7 +1,7 @@
 """Line dedup by pairwise alignment: documents that share line hashes are aligned with patience diff.
 
-Each line of enough words that occurs in several documents pairs every later document with the earliest one
-that has it, so pairs grow with lines, not with the square of a line's documents. The two documents' line hashes
+Each line of enough words, and each shortest run of consecutive lines that has enough words together, pairs every
+later document with the earliest one that has it, so pairs grow with lines, not with the square of a line's documents. The two documents' line hashes
 are aligned: equal heads and tails first, then lines unique on both sides in their longest common order,
 then again between those. Blocks of aligned lines with enough words go from the later document. What one order
 leaves (lines that stand twice, passages in another order) is matched by hashed runs of consecutive lines.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from rasterjobs.llm.textops import U, _powers, mix, slices
 from rasterjobs.runtime import drop, ship, snapshot
 
-#: A line of fewer words doesn't find partners; an aligned block of fewer words stays.
+#: A line of fewer words finds no partners by itself, but in a run of BLOCK_WORDS; a block of fewer words stays.
 ANCHOR_WORDS, BLOCK_WORDS = 5, 5
 #: A document meets at most so many partners in one group of rows; more are dealt over further groups.
 PARTNERS = 64
@@ -138,15 +138,24 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), cut(h), cut(words)], ["id", "th", "hashes", "words"])
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(hash, id, th): a document's distinct lines of at least ``least`` words."""
+def _anchors(batches: Iterator[pa.RecordBatch], least: int, block: int) -> Iterator[pa.RecordBatch]:
+    """(hash, id, th): a document's distinct shortest runs of ``block`` words, and its lines of at least ``least`` words."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            found = [np.unique(np.frombuffer(h, np.int64)[np.frombuffer(w, np.int32) >= least]) for h, w in zip(part.column("hashes").to_pylist(), part.column("words").to_pylist(), strict=True)]
-            sizes = [len(x) for x in found]
-            ids, th = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("id", "th"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(ids), pa.array(th)], ["hash", "id", "th"])
+            each = [np.frombuffer(x, np.int64) for x in part.column("hashes").to_pylist()]
+            h, words = np.concatenate(each), np.concatenate([np.frombuffer(x, np.int32) for x in part.column("words").to_pylist()])
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+            start, _, found = runs(h, words, bounds, block)
+            alone = np.flatnonzero((words >= least) & (words < block))  # the others are runs
+            found, start = np.concatenate([found, h[alone]]), np.concatenate([start, alone])
+            owner = np.searchsorted(bounds, start, "right") - 1
+            order = np.lexsort((found, owner))
+            found, owner = found[order], owner[order]
+            new = np.ones(len(found), bool)
+            new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+            ids, th = (part.column(c).to_numpy(zero_copy_only=False)[owner[new]] for c in ("id", "th"))
+            yield pa.RecordBatch.from_arrays([pa.array(found[new]), pa.array(ids), pa.array(th)], ["hash", "id", "th"])
 
 
 def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -175,7 +184,7 @@ def repeated_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_word
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text").where("id is not null and text is not null")
     lines = snapshot(rows.mapInArrow(_lines, "id long, th long, hashes binary, words binary"), "lines")
-    anchors = lines.mapInArrow(lambda it: _anchors(it, anchor_words), "hash long, id long, th long")
+    anchors = lines.mapInArrow(lambda it: _anchors(it, anchor_words, block_words), "hash long, id long, th long")
     first = anchors.groupBy("hash").agg(F.min(F.struct("id", "th")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", F.col("f.id").alias("a"), F.col("f.th").alias("ta"))
     pairs = anchors.join(first, "hash").where("a <> id or ta <> th").select("a", "ta", "id", "th").distinct()
     pairs = snapshot(pairs, "pairs")

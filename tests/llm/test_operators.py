@@ -193,6 +193,15 @@ def test_blocks_that_no_single_order_aligns_go_as_well(spark):
     assert {r.doc_id: r.text for r in rows} == {i: "\n".join(x) for i, x in enumerate(want)}
 
 
+def test_passages_in_short_lines_go(spark):
+    rng = random.Random(16)
+    verse = [prose(rng, rng.randrange(1, 4)) for _ in range(40)]
+    own = [prose(rng, 3) for _ in range(4)]
+    texts = ["\n".join(x) for x in ([own[0], *verse], [*verse[:20], own[1], *verse[20:], "a b"], [own[2], verse[3], own[3]], ["a b"])]
+    rows = line_dedup.dedup_lines(docs_of(spark, texts)).collect()
+    assert {r.doc_id: r.text for r in rows} == {0: texts[0], 1: "\n".join([own[1], "a b"]), 2: texts[2], 3: texts[3]}
+
+
 def test_runs_cover_every_shared_block():
     rng = random.Random(15)
     for _ in range(300):
