@@ -19,7 +19,7 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or whose language can't be told, go."""
+    """Documents without letters, or mostly in none of the learned languages, go."""
     return keep_identified(docs)
 
 

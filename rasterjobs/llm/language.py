@@ -24,6 +24,8 @@ POSITIONS, PROBES, GRAMS = 1 << 18, 3, 20_000
 TRAINING_DOCS = 20_000
 #: A language contains an n-gram whose share there is at least this part of its largest share in any language.
 SHARE = 0.2
+#: A text is in learned languages if they contain at least this part of its n-grams, less what false positives give.
+KNOWN = 0.5
 
 _LETTER: list[np.ndarray] = []
 
@@ -102,6 +104,8 @@ class LanguageFilters:
         self.languages, self.masks, self.probes = languages, masks, probes
         fill = np.array([((masks[i // 63] >> (i % 63)) & 1).mean() for i in range(len(languages))]) if languages else np.zeros(0)
         self.false = fill**probes
+        # of n-grams that were never inserted, the part that some language seems to contain
+        self.noise = float(self._any(mix(np.arange(1 << 16, dtype=U), 41)).mean())
 
     def counts(self, h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """Corrected hits, documents x languages."""
@@ -117,6 +121,17 @@ class LanguageFilters:
                 out[:, i] = np.maximum(0, found - total * self.false[i]) / max(1e-9, 1 - self.false[i])
         return out
 
+    def _any(self, h: np.ndarray) -> np.ndarray:
+        """Whether any language contains an n-gram."""
+        at = positions(h, self.masks.shape[1], self.probes)
+        return np.any([np.bitwise_and.reduce(mask[at], axis=0) != 0 for mask in self.masks], axis=0)
+
+    def known(self, texts: Texts) -> np.ndarray:
+        """The share of each text's n-grams that the languages contain together, corrected; 0 without letters."""
+        h, owner, letters = grams(texts)
+        found = np.bincount(owner[self._any(h)], minlength=texts.n)
+        return np.maximum(0, found - letters * self.noise) / max(1e-9, 1 - self.noise) / np.maximum(letters, 1)
+
     def predict(self, texts: Texts) -> tuple[list[str], np.ndarray]:
         h, owner, letters = grams(texts)
         if not self.languages:
@@ -192,12 +207,20 @@ def language_of_all(docs: DataFrame, folds: int = 5, held_out: int = 0) -> DataF
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without rows that have no letters or no n-gram of any learned language; columns unchanged.
+def keep_identified(docs: DataFrame, least: float = KNOWN) -> DataFrame:
+    """``docs`` without rows of whose n-grams the learned languages together contain less than ``least``; columns unchanged.
 
-    A text in two languages has a low score and is still a document, so the score alone rejects none.
+    So texts without letters, in unseen scripts and of random letters go; a text in two languages has a low score
+    and stays. Where nothing could be learned every row stays.
     """
     filters = learn(docs.select("doc_id", "text", "lang"))
-    seen = identify(docs.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(docs.columns) if c != "text"}), filters)
-    kept = seen.where((F.col("lang_pred") != "und") & (F.col("score") > 0))
-    return kept.select(*[F.col("text") if c == "text" else F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    if not filters.masks.any():
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches):
+        for batch in batches:
+            for part, texts in slices(batch, "text"):
+                yield part.filter(pa.array(shared.value.known(texts) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

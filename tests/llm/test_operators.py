@@ -127,6 +127,19 @@ def test_false_positives_are_taken_off():
     assert f.predict(textops.Texts(np.zeros(0, np.uint8), np.zeros(2, np.int64), 0))[0] == ["und"]
 
 
+def test_gibberish_is_rejected_and_mixed_texts_pass(spark):
+    rng = random.Random(17)
+    sets = {"aa": ["bada", "gola", "mena"], "bb": ["zix", "quirt", "xylo"]}
+    some = lambda k, n: " ".join(rng.choice(sets[k]) + rng.choice(sets[k]) for _ in range(n))
+    rows = [(i, some(k, 30), k, "s", 0) for i, k in enumerate(sorted(sets) * 20)]
+    rows.append((100, some("aa", 20) + " " + some("bb", 20), "aa", "s", 0))
+    odd = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "\u0431\u0432\u0433\u0434\u0436\u0437\u043a\u043b"]
+    rows += [(200 + i, "".join(rng.choice(a) for _ in range(3000)) + " bada", None, "s", 0) for i, a in enumerate(odd)]
+    assert {r.doc_id for r in language.keep_identified(spark.createDataFrame(rows, DOCS)).collect()} == {*range(40), 100}
+    none = spark.createDataFrame([(i, t, None, s, n) for i, t, _, s, n in rows], DOCS)
+    assert language.keep_identified(none).count() == len(rows)
+
+
 # --- 4 quality rules
 
 
