@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 Blocks go to the sources by highest quotients ``weight / (2 * blocks so far + 1)``, then each source's blocks go
-to its shards the same way. Inside a shard the documents stand in a seeded order and their words are cut into
-blocks; the shard's quota takes blocks from the front, and starts over when the shard is used up.
+to its shards the same way, none above what the shard may give; what the shards' last parts of blocks leave is dealt
+in words. Inside a shard the documents stand in a seeded order and their words are cut into blocks; the shard's quota
+takes blocks from the front, and starts over when the shard is used up.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from rasterjobs.runtime import snapshot
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: Documents per shard on average; sources that are allowed (their totals are collected); words per block at most.
+#: Documents per shard of a source at most, on average; sources that are allowed (their totals are collected); words per block at most.
 SHARD_ROWS, SOURCES, BLOCK = 20_000, 100_000, 256
+#: A source's average shard has at least so many blocks.
+SHARD_BLOCKS = 100
 
 
 def fill_targets(sizes: list[float], weights: list[float], total: float, most: float = MOST) -> list[float]:
@@ -54,23 +57,29 @@ def sainte_lague(weights: list[float], seats: int) -> list[int]:
     return out
 
 
-def _shard_quotas(shards: DataFrame) -> DataFrame:
-    """Rows (key, shard, words, blocks): the same apportionment inside each source; ``blocks`` becomes the shard's quota.
+def _shard_quotas(shards: DataFrame, block: int, most: int) -> DataFrame:
+    """Rows (key, shard, words, blocks): the same apportionment inside each source; ``take`` is the shard's quota in words.
 
     A common divisor gives every shard the seats that it gets in any case; only the quotients that
-    can still win are ranked.
+    can still win are ranked. No shard takes more whole blocks than ``most`` times its words hold, so the others get
+    them; words that are then still open go to the shards in turn, up to their room.
     """
     source = Window.partitionBy("key")
+    cap = F.expr(f"words * {int(most)} div {int(block)}")
     s = shards.where("words > 0").withColumn("all", F.sum("words").over(source)).withColumn("n", F.count(F.lit(1)).over(source))
     scale = F.greatest(F.lit(0.0), (F.col("blocks") - F.col("n") / 2 - 1) / F.col("all"))
-    s = s.withColumn("sure", F.greatest(F.lit(0), F.floor(F.col("words") * scale + F.lit(0.5))).cast("long"))
+    s = s.withColumn("sure", F.least(cap, F.greatest(F.lit(0), F.floor(F.col("words") * scale + F.lit(0.5))).cast("long")))
     s = s.withColumn("open", F.col("blocks") - F.sum("sure").over(source))
-    more = F.least(F.col("open"), F.ceil((F.col("n") + 4) * F.col("words") / F.col("all")) + 2)
+    more = F.least(F.col("open"), cap - F.col("sure"), F.ceil((3 * F.col("n") + 4) * F.col("words") / F.col("all")) + 2)
     next_ = s.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), more).cast("long"))))
+    next_ = next_.withColumn("fits", F.col("sure") + F.col("k") < cap)
     quotient = F.col("words") / (2 * (F.col("sure") + F.col("k")) + 1)
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(quotient.desc(), "shard", "k"))
-    won = next_.withColumn("rank", rank).groupBy("key", "shard", "words", "sure").agg(F.count(F.when(F.col("rank") <= F.col("open"), 1)).alias("won"))
-    return won.select("key", "shard", "words", (F.col("sure") + F.col("won")).alias("quota"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("fits"), quotient.desc(), "shard", "k"))
+    won = next_.withColumn("rank", rank).groupBy("key", "shard", "words", "blocks", "sure").agg(F.count(F.when(F.col("fits") & (F.col("rank") <= F.col("open")), 1)).alias("won"))
+    won = won.withColumn("take", (F.col("sure") + F.col("won")) * block).withColumn("room", F.col("words") * most - F.col("take"))
+    left = F.col("blocks") * block - F.sum("take").over(source)
+    before = F.sum("room").over(source.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("room")
+    return won.withColumn("take", F.col("take") + F.greatest(F.lit(0), F.least(F.col("room"), left - before))).select("key", "shard", "words", "take")
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 17, block: int = BLOCK) -> DataFrame:
@@ -93,14 +102,15 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     w = [weights[i % len(weights)] for i in range(len(totals))]
     targets = fill_targets(sizes, w, share * sum(sizes), most)
     positive = [t for t in targets if t > 0]
-    block = max(1, min(block, int(min(positive, default=1) // 100)))
+    shards = [max(1, -(-r["n"] // SHARD_ROWS)) for r in totals]
+    part = min((size / (k * SHARD_BLOCKS) for size, k, t in zip(sizes, shards, targets, strict=True) if t > 0), default=1)
+    block = max(1, min(block, int(min(positive, default=1) // 100), int(part)))
     seats = sainte_lague(targets, round(sum(targets) / block))
-    plan = spark.createDataFrame([(i, r["source"], int(r["words"]), float(t), int(n)) for i, (r, t, n) in enumerate(zip(totals, targets, seats, strict=True))], "key int, source string, source_size long, target double, blocks long")
-    shards = max(1, -(-sum(r["n"] for r in totals) // SHARD_ROWS))
+    plan = spark.createDataFrame([(i, r["source"], int(r["words"]), float(t), int(n), k) for i, (r, t, n, k) in enumerate(zip(totals, targets, seats, shards, strict=True))], "key int, source string, source_size long, target double, blocks long, shards int")
     p = F.broadcast(plan)  # at most SOURCES rows
-    rows = rows.join(p, rows.source.eqNullSafe(plan.source)).drop("source").withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)).cast("int"))
+    rows = rows.join(p, rows.source.eqNullSafe(plan.source)).drop("source").withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.col("shards")).cast("int"))
     per = rows.groupBy("key", "shard", "blocks").agg(F.sum("size").alias("words"))
-    quotas = _shard_quotas(per).select("key", "shard", F.col("words").alias("shard_words"), F.least(F.col("quota") * block, F.col("words") * most).alias("take"))
+    quotas = _shard_quotas(per, block, most).withColumnRenamed("words", "shard_words")
     order = Window.partitionBy("key", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "size")
     rows = rows.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.join(quotas, ["key", "shard"], "left")

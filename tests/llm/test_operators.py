@@ -307,6 +307,17 @@ def test_mix_comes_near_its_targets(spark):
     assert mixing.mixed(docs_of(spark, ["a b c", "d e f"])).columns == empty(spark).columns
 
 
+def test_a_small_source_among_many_shards_reaches_its_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 20)
+    rng = random.Random(18)
+    rows = [(i, prose(rng, 50), "en", "big" if i % 40 else "small", 0) for i in range(2000)]
+    rows += [(3000 + i, prose(rng, rng.choice([1, 2, 5, 400])), "en", "uneven", 0) for i in range(150)]
+    out = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(out) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in out)
+    for target in {r.target for r in out}:
+        assert abs(sum(r.taken for r in out if r.target == target) - target) <= 0.01 * target
+
+
 # --- 8 secrets
 
 
