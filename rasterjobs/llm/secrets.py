@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterjobs.runtime import snapshot
+
 #: The base kinds in their order, with the least length of the part that decides.
 KEYWORD = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
 ASSIGN = KEYWORD + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -22,9 +24,9 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Tokens for the models: runs of these characters. Shorter ones aren't judged.
 TOKEN = "[A-Za-z0-9+/_=-]{%d,}"
 LEAST_TOKEN = 16
-#: Mean log ratio per pair from which a token is a secret; labelled samples for the identifiers, in documents.
+#: Mean log ratio per pair from which a token is a secret; labelled samples: documents for the identifiers, tokens of base patterns.
 THRESHOLD = 1.0
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS, SAMPLE_TOKENS = 20_000, 20_000
 #: Weight of the back-off, in pairs.
 BACK_OFF = 8.0
 
@@ -62,16 +64,22 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows
 
 
-def labelled_samples(docs: DataFrame, bound: int = SAMPLE_DOCS) -> DataFrame:
+def _part(n: int, bound: int) -> int:
+    """How many of 10^12 hashes a sample of about ``bound`` of ``n`` rows takes."""
+    return 10**12 if n <= bound else max(1, 10**12 * bound // n)
+
+
+def labelled_samples(docs: DataFrame, bound: int = SAMPLE_DOCS, tokens: int = SAMPLE_TOKENS) -> DataFrame:
     """``(token, random)`` from ``docs`` (doc_id, text): values that base patterns find, and other words as ordinary identifiers.
 
-    A hashed sample of about ``bound`` documents, so that training doesn't grow with the corpus.
+    Identifiers come from a hashed sample of about ``bound`` documents; values are looked for in all documents, as
+    they may be rare, and about ``tokens`` of them are taken by hash, so that training doesn't grow with the corpus.
     """
-    n = docs.count()
-    part = 1_000_000 if n <= bound else 1_000_000 * bound // n
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**12)) < _part(docs.count(), bound))
     secret = F.concat(_matches(F.col("text"), ASSIGN, 2), _matches(F.col("text"), ACCESS), _matches(F.col("text"), HEX))
-    good = some.select(F.explode(secret).alias("token"), F.lit(True).alias("random")).where(F.length("token") >= LEAST_ASSIGN)
+    found = docs.select("doc_id", F.explode(secret).alias("token")).where(F.length("token") >= LEAST_ASSIGN)
+    found = snapshot(found.select("token", F.xxhash64("doc_id", "token").alias("h")), "tokens")
+    good = found.where(F.pmod("h", F.lit(10**12)) < _part(found.count(), tokens)).select("token", F.lit(True).alias("random"))
     plain = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS + "|" + HEX, " ")
     words = some.select(F.explode(_matches(plain, TOKEN % 6)).alias("token"), F.lit(False).alias("random"))
     return good.unionByName(words)

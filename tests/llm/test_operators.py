@@ -351,6 +351,18 @@ def test_random_tokens_are_told_from_identifiers(spark):
     assert len([i for i in hits if i < 20]) >= 18 and not [r for r in out if r.doc_id >= 20 and r.spans]
 
 
+def test_rare_secrets_still_train(spark):
+    rng = random.Random(19)
+    texts = [prose(rng, 20) for _ in range(400)]
+    texts[77] += " token = Zx81qPw07LmT4vBn2KcY"
+    docs = docs_of(spark, texts).select("doc_id", "text")
+    samples = secrets.labelled_samples(docs, 8)
+    good = [r.token for r in samples.where("random").collect()]
+    assert good == ["Zx81qPw07LmT4vBn2KcY"] and any(secrets.train(samples))
+    many = docs_of(spark, [f"token = {rng.getrandbits(80):020x}" for _ in range(400)]).select("doc_id", "text")
+    assert 5 <= secrets.labelled_samples(many, 8, 40).where("random").count() <= 100
+
+
 # --- 9 near-duplicates
 
 
