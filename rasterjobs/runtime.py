@@ -23,11 +23,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one is set where the session names none (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``. In local mode a temporary one is set where the session names none; a cluster must name it."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
         conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="rasterjobs-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
