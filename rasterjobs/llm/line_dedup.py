@@ -1,10 +1,12 @@
 """Line dedup by pairwise alignment: documents that share line hashes are aligned with patience diff.
 
-Each line of enough words, and each shortest run of consecutive lines that has enough words together, pairs every
-later document with the earliest one that has it, so pairs grow with lines, not with the square of a line's documents. The two documents' line hashes
-are aligned: equal heads and tails first, then lines unique on both sides in their longest common order,
-then again between those. Blocks of aligned lines with enough words go from the later document. What one order
-leaves (lines that stand twice, passages in another order) is matched by hashed runs of consecutive lines.
+Documents are indexed by hashes of lines with enough words, and of the shortest runs of consecutive lines that have
+enough words together. All documents that share a rare hash (RARE of them at most) are paired; a more frequent hash pairs every later
+document with the earliest only, so pairs grow with lines, not with the square of a line's documents, and no block is
+lost, as the earliest holds all runs of it. The two documents' line hashes are aligned: equal heads and tails first,
+then lines unique on both sides in their longest common order, then again between those. Blocks of aligned lines
+with enough words go from the later document. What one order leaves (lines that stand twice, passages in another order)
+is matched by hashed runs of consecutive lines.
 """
 
 from __future__ import annotations
@@ -19,10 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterjobs.llm.textops import U, _powers, mix, slices
+from rasterjobs.operators.skew import salted_join
 from rasterjobs.runtime import drop, ship, snapshot
 
 #: A line of fewer words finds no partners by itself, but in a run of BLOCK_WORDS; a block of fewer words stays.
 ANCHOR_WORDS, BLOCK_WORDS = 5, 5
+#: A hash is rare if at most so many documents have it (2 or 3): each of them meets all earlier ones.
+RARE = 3
 #: A document meets at most so many partners in one group of rows; more are dealt over further groups.
 PARTNERS = 64
 
@@ -178,18 +183,24 @@ def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(gone, pa.binary())], ["id", "th", "gone"])
 
 
-def repeated_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS, rare: int = RARE) -> DataFrame:
     """``(id, th, gone)``: for documents that lose lines, their doc_id, ``xxhash64(text)`` and lists of 32-bit line numbers."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text").where("id is not null and text is not null")
     lines = snapshot(rows.mapInArrow(_lines, "id long, th long, hashes binary, words binary"), "lines")
     anchors = lines.mapInArrow(lambda it: _anchors(it, anchor_words, block_words), "hash long, id long, th long")
-    first = anchors.groupBy("hash").agg(F.min(F.struct("id", "th")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", F.col("f.id").alias("a"), F.col("f.th").alias("ta"))
-    pairs = anchors.join(first, "hash").where("a <> id or ta <> th").select("a", "ta", "id", "th").distinct()
-    pairs = snapshot(pairs, "pairs")
-    load = pairs.groupBy("a", "ta").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("salts"))
-    members = pairs.join(load, ["a", "ta"]).withColumn("salt", F.pmod(F.xxhash64("id", "th"), F.col("salts")).cast("int")).drop("salts")
+    ends = anchors.groupBy("hash").agg(F.min(F.struct("id", "th")).alias("f"), F.max(F.struct("id", "th")).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    ends = snapshot(ends.select("hash", F.col("f.id").alias("a"), F.col("f.th").alias("ta"), F.col("l.id").alias("z"), F.col("l.th").alias("tz"), "n"), "ends")
+    met = salted_join(anchors, ends, "hash", "n", ["id", "th"]).where("a <> id or ta <> th")
+    # a rare hash has a first, a last and one document between: with that one's pair with the last, all are paired
+    partner = lambda a, ta, b, tb: F.struct(F.col(a).alias("a"), F.col(ta).alias("ta"), F.col(b).alias("id"), F.col(tb).alias("th"))
+    between = (F.col("n") > 2) & (F.col("n") <= rare) & ((F.col("id") != F.col("z")) | (F.col("th") != F.col("tz")))
+    both = F.when(between, F.array(partner("a", "ta", "id", "th"), partner("id", "th", "z", "tz"))).otherwise(F.array(partner("a", "ta", "id", "th")))
+    pairs = snapshot(met.select(F.explode(both).alias("p")).select("p.*").distinct(), "pairs")
+    load = pairs.groupBy("a", "ta").agg(F.count(F.lit(1)).alias("n"))
+    load = snapshot(load.withColumn("salts", F.ceil(F.col("n") / PARTNERS).cast("int")), "load")
+    members = salted_join(pairs, load, ["a", "ta"], "n", ["id", "th"]).withColumn("salt", F.pmod(F.xxhash64("id", "th"), F.col("salts")).cast("int")).drop("salts", "n")
     members = members.join(lines.dropDuplicates(["id", "th"]), ["id", "th"]).select("a", "ta", "salt", "id", "th", "hashes", "words")
     heads = load.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(lines.dropDuplicates(["id", "th"]).withColumnsRenamed({"id": "a", "th": "ta"}), ["a", "ta"])
     heads = heads.select("a", "ta", "salt", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("th"), "hashes", "words")
@@ -197,7 +208,7 @@ def repeated_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_word
     both = heads.unionByName(members).repartition(parts, "a", "ta", "salt").sortWithinPartitions("a", "ta", "salt", F.col("id").asc_nulls_first(), "th")
     gone = both.mapInArrow(lambda it: _align(it, block_words), "id long, th long, gone binary")
     gone = snapshot(gone.groupBy("id", "th").agg(F.collect_list("gone").alias("gone")), "gone")
-    drop(lines, pairs)
+    drop(lines, ends, pairs, load)
     return gone
 
 
@@ -223,9 +234,10 @@ def dedup_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words:
     """``docs`` with ``text`` less its repeated blocks, and ``n_lines`` and ``n_removed`` (lines before, lines deleted).
 
     The document with the smallest doc_id keeps a block (of rows that repeat a doc_id, the one with the
-    smaller text hash; equal rows lose the same lines). A null text has no lines and stays null; rows with a
-    null doc_id stay as they are; an empty table gives an empty table. A text whose lines all go becomes
-    empty. Other columns pass through; columns named n_lines and n_removed give way.
+    smaller text hash; equal rows lose the same lines). A line goes if and only if it is in a block of
+    consecutive lines with ``block_words`` words together that an earlier document has as well. A null text has
+    no lines and stays null; rows with a null doc_id stay as they are; an empty table gives an empty table. A text whose lines
+    all go becomes empty. Texts of any length are taken whole, one document of lines at a time. Other columns pass through; columns named n_lines and n_removed give way.
     """
     docs = docs.drop("n_lines", "n_removed")
     names = docs.columns

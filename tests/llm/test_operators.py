@@ -215,6 +215,46 @@ def test_passages_in_short_lines_go(spark):
     assert {r.doc_id: r.text for r in rows} == {0: texts[0], 1: "\n".join([own[1], "a b"]), 2: texts[2], 3: texts[3]}
 
 
+def blocks_by_hand(texts, words=5):
+    """Texts by rising id less the lines in blocks of enough words that an earlier text has."""
+    seen, out = [], []
+    for t in texts:
+        lines = t.split("\n")
+        gone = set()
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                if sum(len(x.split()) for x in lines[i:j]) >= words and any(lines[i:j] == s[k : k + j - i] for s in seen for k in range(len(s) - (j - i) + 1)):
+                    gone |= set(range(i, j))
+        seen.append(lines)
+        out.append([x for k, x in enumerate(lines) if k not in gone])
+    return out
+
+
+@pytest.mark.parametrize("rare", [2, 3])
+def test_deletions_match_brute_force(spark, rare):
+    rng = random.Random(21)
+    pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 2, 3, 5, 7]))) for _ in range(14)]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9))) for _ in range(120)]
+    a, b, tail = prose(rng, 6), prose(rng, 7), "short tail"
+    texts += [a, f"{a}\n{tail}", f"{a}\n{tail}", f"{tail}\nx\n{b}", f"{b}\n{tail}", f"{b}\n{tail}", "x y z\nu v w\nown one", "own two\nx y z\nu v w"]
+    rows = line_dedup.repeated_lines(docs_of(spark, texts), rare=rare).collect()
+    gone = {r.id: {int(k) for x in r.gone for k in np.frombuffer(x, np.int32)} for r in rows}
+    got = [[x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())] for i, t in enumerate(texts)]
+    assert got == blocks_by_hand(texts)
+
+
+def test_a_hot_line_is_dealt_over_salts_and_long_texts_stay_whole(spark, monkeypatch):
+    from rasterjobs.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST_HOT", 10)
+    monkeypatch.setattr(skew, "HOT_KEYS", 50)
+    rng = random.Random(22)
+    hot = prose(rng, 12)
+    texts = [f"{prose(rng, 8)}\n{hot}" for _ in range(150)] + ["\n".join([*(prose(rng, 6) for _ in range(20000)), hot])]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert [out[i].n_removed for i in range(151)] == [0] + [1] * 150 and out[150].text == texts[150].removesuffix("\n" + hot)
+
+
 def test_runs_cover_every_shared_block():
     rng = random.Random(15)
     for _ in range(300):
