@@ -1,101 +1,189 @@
 """Exact top-k inner-product search: a ball tree per shard, searched by branch and bound.
 
-Vectors are dealt over shards of bounded size, each of which becomes a ball tree. Queries are cut into blocks
-and every block meets every group of shards. Within a group a query walks the nodes of each tree by falling upper
-bound ``q . centre + |q| * radius``, carries its current k-th score from shard to shard, and stops at
-the first node that can't beat it. A last merge ranks the groups' answers.
+Vectors are dealt over shards by space: a bounded sample is halved again and again, and every vector follows the cuts;
+a region with more vectors than a shard holds is dealt over several by hash. Each shard becomes a ball tree. A query
+first searches the shards of its own region; the k-th score found there goes with it to all other shards. Within a
+shard, blocks of queries walk the tree level by level, leave nodes whose bound ``q . centre + |q| * radius`` can't
+beat their k-th score, and take the leaves that stay by falling bound, with a k-th score that rises as they go.
 """
 
 from __future__ import annotations
 
-import heapq
+import io
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterjobs.runtime import ship, snapshot
+from rasterjobs.runtime import drop, ship, snapshot
 
-#: Vectors per shard on average, per leaf at most; shards that a task searches; queries per block on average.
-SHARD, LEAF, GROUP, BLOCK = 4096, 128, 4, 2048
+#: Vectors per shard on average, per leaf at most; queries per block on average.
+SHARD, LEAF, BLOCK = 4096, 16, 2048
+#: Vectors in the sample that places the cuts between regions, and regions at most.
+SAMPLE, REGIONS = 16_384, 512
+#: Shards in a part on average at most.
+PART = 16
+#: Queries that a task searches at once, leaves that a query takes at once; from this part of a shard's leaves on all are scored in one product.
+AT_ONCE, LEAVES, DENSE = 256, 4, 0.2
 
 
 def quantise(vectors: DataFrame, scale: int = 256, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``(vec_id, v, dim)`` with ``v = floor(scale * x)`` as integers; null vectors and those with a null or non-finite component are left out.
 
-    Rows with a null id are left out. A repeated id stands once, with its smallest vector.
+    Rows with a null id are left out. Rows that repeat an id all stay.
     """
     x = F.col(vector).cast("array<double>")
     fine = vectors.select(F.col(id_column).cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null and x is not null")
     fine = fine.where(F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))))
     v = F.transform("x", lambda c: F.floor(F.lit(scale) * c).cast("long"))
-    return fine.groupBy("vec_id").agg(F.min(v).alias("v")).withColumn("dim", F.size("v"))
+    return fine.select("vec_id", v.alias("v")).withColumn("dim", F.size("v"))
+
+
+def _halve(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """(direction between two far points, its median, place of each row on it) of ``x[rows]``."""
+    part = x[rows]
+    d = ((part - part.mean(axis=0)) ** 2).sum(axis=1)
+    p = part[d.argmax()]
+    q = part[((part - p) ** 2).sum(axis=1).argmax()]
+    side = part @ (q - p)
+    return q - p, float(np.median(side)), side
+
+
+class Cuts:
+    """Halvings of space, as a binary heap of (direction, place); ``region`` follows them."""
+
+    def __init__(self, x: np.ndarray, depth: int):
+        self.depth, self.cuts = depth, []
+        groups = [np.arange(len(x))]
+        for _ in range(depth):
+            below = []
+            for rows in groups:
+                if len(rows) < 2:
+                    self.cuts.append((np.zeros(x.shape[1]), 0.0))
+                    below += [rows, rows[:0]]
+                    continue
+                way, at, side = _halve(x, rows)
+                self.cuts.append((way, at))
+                below += [rows[side <= at], rows[side > at]]
+            groups = below
+
+    def region(self, v: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(v), np.int64)
+        for level in range(self.depth):
+            first = (1 << level) - 1
+            for node in np.unique(at):
+                own = at == node
+                way, place = self.cuts[first + node]
+                at[own] = 2 * node + (v[own] @ way > place)
+        return at
 
 
 def build(ids: np.ndarray, v: np.ndarray, leaf: int = LEAF) -> dict[str, np.ndarray]:
-    """Arrays of a ball tree: ``ids`` and ``v`` in leaf order; per node centre, radius, smallest id, rows and children."""
-    order = np.arange(len(ids))
+    """A balanced ball tree: rows ``ids`` and ``v`` by id, ``order`` of rows in leaf order; per node (a binary heap) span, centre, radius."""
+    by_id = np.argsort(ids, kind="stable")
+    ids, v = ids[by_id], v[by_id]
     x = v.astype(np.float64)
-    centre, radius, low, span, child = [], [], [], [], []
-    todo = [(0, len(ids), -1)]
-    while todo:
-        a, b, parent = todo.pop()
+    depth = max(0, int(np.ceil(np.log2(max(1, len(ids)) / leaf))))
+    order, spans = np.arange(len(ids)), [(0, len(ids))]
+    for node in range((1 << depth) - 1):
+        a, b = spans[node]
         rows = order[a:b]
-        c = x[rows].mean(axis=0)
-        d = np.sqrt(((x[rows] - c) ** 2).sum(axis=1))
-        node = len(centre)
-        centre.append(c)
-        radius.append(d.max())
-        low.append(ids[rows].min())
-        span.append((a, b))
-        child.append([-1, -1])
-        if parent >= 0:
-            child[parent][0 if child[parent][0] < 0 else 1] = node
-        if b - a > leaf:
-            # split along the line of two far points, at the median
-            p = rows[d.argmax()]
-            q = rows[((x[rows] - x[p]) ** 2).sum(axis=1).argmax()]
-            side = x[rows] @ (x[q] - x[p])
-            order[a:b] = rows[np.lexsort((ids[rows], side))]
-            middle = (a + b) // 2
-            todo += [(a, middle, node), (middle, b, node)]
-    return {"ids": ids[order], "v": v[order], "centre": np.array(centre), "radius": np.array(radius), "low": np.array(low, np.int64), "span": np.array(span, np.int64), "child": np.array(child, np.int64)}
-
-
-def search(tree: dict[str, np.ndarray], query: np.ndarray, own: int, k: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """``best`` (score, -id) with this shard's candidates, the k greatest; ``best`` holds what earlier shards gave."""
-    q = query.astype(np.float64)
-    size = np.sqrt((q * q).sum())
-    # an upper bound must stay one in spite of rounding
+        if b - a > 1:
+            order[a:b] = rows[np.argsort(_halve(x, rows)[2], kind="stable")]
+        spans += [(a, (a + b) // 2), ((a + b) // 2, b)]
+    centre = np.array([x[order[a:b]].mean(axis=0) if b > a else np.zeros(x.shape[1]) for a, b in spans])
+    radius = np.array([np.sqrt(((x[order[a:b]] - c) ** 2).sum(axis=1).max(initial=0)) for (a, b), c in zip(spans, centre, strict=True)])
+    return {"ids": ids, "v": v, "order": order, "span": np.array(spans, np.int64), "centre": centre, "radius": radius}
+
+
+class Best:
+    """The k greatest (score, then smallest id) of each of n queries so far."""
+
+    def __init__(self, n: int, k: int, floor: np.ndarray):
+        self.k, self.kth = k, floor.copy()  # a candidate below kth can't be among the k best
+        self.q, self.ids, self.score = (np.zeros(0, np.int64) for _ in range(3))
+        self.scored = np.zeros(n, np.int64)
+
+    def add(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        good = score >= self.kth[q]
+        if not good.any():
+            return
+        q, ids, score = (np.concatenate([x, y[good]]) for x, y in ((self.q, q), (self.ids, ids), (self.score, score)))
+        order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        top = place < self.k
+        last = place == self.k - 1
+        self.kth[q[last]] = np.maximum(self.kth[q[last]], score[last])
+        self.q, self.ids, self.score = q[top], ids[top], score[top]
+
+
+def search(tree: dict[str, np.ndarray], ids: np.ndarray, v: np.ndarray, k: int, floor: np.ndarray) -> Best:
+    """The k best rows of a shard for queries ``ids``, ``v``, of which only scores of at least ``floor`` are wanted."""
+    q = v.astype(np.float64)
+    best = Best(len(ids), k, floor)
+    size = np.sqrt((q * q).sum(axis=1))
+    rows = tree["v"].astype(np.float64)
+    # sums of products of integers: exact in doubles below 2^53
+    exact = size.max(initial=0) * np.sqrt((rows * rows).sum(axis=1).max(initial=0)) < 2**52
     slack = 1e-9 * (1 + size * (np.sqrt((tree["centre"] ** 2).sum(axis=1)).max(initial=0) + tree["radius"].max(initial=0)))
-    bound = np.floor(tree["centre"] @ q + size * tree["radius"] + slack)
-    heap = [(-bound[0], 0)]
-    exact = size * np.sqrt((tree["v"].astype(np.float64) ** 2).sum(axis=1).max(initial=0)) < 2**52
-    while heap:
-        up, node = heapq.heappop(heap)
-        if len(best) == k:
-            worst = best[-1]
-            if -up < worst[0]:
-                break
-            if -up == worst[0] and -tree["low"][node] < worst[1]:
-                continue
-        left, right = tree["child"][node]
-        if left >= 0:
-            heapq.heappush(heap, (-bound[left], int(left)))
-            heapq.heappush(heap, (-bound[right], int(right)))
-            continue
-        a, b = tree["span"][node]
-        ids = tree["ids"][a:b]
-        score = (tree["v"][a:b].astype(np.float64) @ q).astype(np.int64) if exact else tree["v"][a:b] @ query
-        keep = ids != own
-        if len(best) == k:
-            keep &= score >= best[-1][0]
-        at = np.flatnonzero(keep)
-        if len(at) > k:
-            at = at[np.lexsort((ids[at], -score[at]))[:k]]
-        if len(at):
-            best = sorted(best + list(zip(score[at].tolist(), (-ids[at]).tolist(), strict=True)), reverse=True)[:k]
+
+    def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (q[a] @ rows[b].T).astype(np.int64) if exact else v[a].astype(np.int64) @ tree["v"][b].astype(np.int64).T
+
+    def product(at: np.ndarray) -> None:
+        s = scores(at, np.arange(len(rows)))
+        own = tree["ids"][None, :] == ids[at][:, None]
+        s[own] = np.iinfo(np.int64).min
+        best.scored[at] += len(rows)
+        n = min(k, s.shape[1])
+        cut = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+        above, tie = s > cut[:, None], s == cut[:, None]
+        keep = above | (tie & (np.cumsum(tie, axis=1) <= n - above.sum(axis=1)[:, None]))  # columns stand by id
+        a, b = np.nonzero(keep & ~own)
+        best.add(at[a], tree["ids"][b], s[a, b])
+
+    alive, bound, first, width = np.ones((len(ids), 1), bool), None, 0, 1
+    while first < len(tree["span"]):
+        nodes = np.arange(first, first + width)
+        if width > 1:
+            alive = np.repeat(alive, 2, axis=1)
+        some = np.flatnonzero(alive.any(axis=0))
+        bound = np.full((len(ids), width), -np.inf)
+        bound[:, some] = np.floor(q @ tree["centre"][nodes[some]].T + size[:, None] * tree["radius"][nodes[some]] + slack[:, None])
+        alive &= bound >= best.kth[:, None]
+        first, width = first + width, 2 * width
+    leaves = tree["span"][-alive.shape[1] :]
+    longest = int((leaves[:, 1] - leaves[:, 0]).max())
+    places = leaves[:, :1] + np.arange(longest)
+    filled = places < leaves[:, 1:]
+    member = tree["order"][np.where(filled, places, 0)]  # rows of each leaf
+    order = np.argsort(np.where(alive, -bound, np.inf), axis=1, kind="stable")
+    every = np.arange(len(ids))[:, None]
+    for turn in range(0, alive.shape[1], LEAVES):
+        if turn == LEAVES:  # the k-th scores of the best leaves are known: where many leaves stay, one product is cheaper
+            many = np.flatnonzero((alive & (bound >= best.kth[:, None])).mean(axis=1) > DENSE)
+            if len(many):
+                mine = np.isin(best.q, many)  # their rows come once more
+                best.q, best.ids, best.score = best.q[~mine], best.ids[~mine], best.score[~mine]
+                product(many)
+                alive[many] = False
+        leaf = order[:, turn : turn + LEAVES]
+        open_ = alive[every, leaf] & (bound[every, leaf] >= best.kth[:, None])
+        if not open_.any():
+            break
+        at, i = np.nonzero(open_)
+        rows_of, there = member[leaf[at, i]], filled[leaf[at, i]]
+        np.add.at(best.scored, at, there.sum(axis=1))
+        made = ([], [], [])
+        for p in range(0, len(at), 1024):
+            a, r = at[p : p + 1024], rows_of[p : p + 1024]
+            s = np.einsum("pd,pld->pl", q[a], rows[r]).astype(np.int64) if exact else np.einsum("pd,pld->pl", v[a].astype(np.int64), tree["v"][r].astype(np.int64))
+            x, y = np.nonzero(there[p : p + 1024] & (s >= best.kth[a][:, None]) & (tree["ids"][r] != ids[a][:, None]))
+            for out, part in zip(made, (a[x], tree["ids"][r[x, y]], s[x, y]), strict=True):
+                out.append(part)
+        best.add(*map(np.concatenate, made))
     return best
 
 
@@ -104,8 +192,6 @@ def _rows(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(tree: dict[str, np.ndarray]) -> bytes:
-    import io
-
     out = io.BytesIO()
     small = {k: a.astype(np.int32) if k == "v" and np.abs(a).max(initial=0) < 2**31 else a for k, a in tree.items()}
     np.savez(out, **small)
@@ -113,50 +199,102 @@ def _pack(tree: dict[str, np.ndarray]) -> bytes:
 
 
 def _unpack(blob: bytes) -> dict[str, np.ndarray]:
-    import io
-
     with np.load(io.BytesIO(blob)) as z:
-        return {k: z[k].astype(np.int64) if k == "v" else z[k] for k in z.files}
+        return {k: z[k] for k in z.files}
+
 
+def _regions(whole: DataFrame, shards: int) -> DataFrame:
+    """``whole`` with ``region``: from cuts of a hashed sample of about SAMPLE vectors, by length of vectors."""
+    depth = min(REGIONS.bit_length() - 1, (max(1, shards) - 1).bit_length())
+    if not depth:
+        return whole.withColumn("region", F.lit(0).cast("long"))
+    n = whole.count()
+    part = 10**12 if n <= SAMPLE else max(1, 10**12 * SAMPLE // n)
+    some = whole.where(F.pmod(F.xxhash64("vec_id", "v", F.lit(3)), F.lit(10**12)) < part).select("vec_id", "v", "dim").toPandas().sort_values("vec_id", kind="stable")
+    # lengths that the sample misses have one region
+    cuts = {int(dim): Cuts(np.stack(g["v"].to_numpy()).astype(np.float64), depth) for dim, g in some.groupby("dim")}
 
-def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, shard: int = SHARD, group: int = GROUP, block: int = BLOCK) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the k greatest integer inner products of each query with other vectors.
+    def place(frames):
+        for pdf in frames:
+            region = np.zeros(len(pdf), np.int64)
+            dims = pdf["dim"].to_numpy()
+            for dim in np.unique(dims):
+                if int(dim) in cuts and dim > 0:
+                    own = np.flatnonzero(dims == dim)
+                    region[own] = cuts[int(dim)].region(np.stack(pdf["v"].to_numpy()[own]).astype(np.float64))
+            yield pdf.assign(region=region)
 
-    Queries are the vectors whose vec_id is divisible by ``every``. Ties go to the smaller vec_id; fewer
-    candidates give fewer rows. Only vectors of the query's length are its candidates. See :func:`quantise`
-    for rows that take no part and repeated ids. An empty table gives an empty table.
-    """
+    return whole.mapInPandas(place, "vec_id long, v array<long>, dim int, region long")
+
+
+def searched(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, shard: int = SHARD, block: int = BLOCK, leaf: int = LEAF, count: bool = False) -> DataFrame:
+    """``(query_id, vec_id, score, scored)``: candidates by shard; with ``count`` also a row for each query and shard, vec_id null, with how many rows were scored."""
     spark = vectors.sparkSession
     ship(spark)
-    whole = snapshot(quantise(vectors, scale), "vectors")
-    n = whole.count()
-    shards = max(1, -(-n // shard))
-    groups = -(-shards // group)
-    blocks = max(1, -(-n // (every * block)))
-    dealt = whole.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    raw = snapshot(quantise(vectors, scale), "vectors")
+    n = raw.count()
+    placed = snapshot(_regions(raw, -(-n // shard)), "placed")
+    drop(raw)
+    # regions of more vectors than a shard holds (equal vectors share one) are dealt by hash
+    load = placed.groupBy("region", "dim").agg(F.ceil(F.count(F.lit(1)) / (2 * shard)).cast("int").alias("subs"))
+    load = F.broadcast(snapshot(load, "regions"))  # a row per region and length
+    sub = F.pmod(F.xxhash64("vec_id", "v"), F.col("subs")).cast("int").alias("sub")
 
     def plant(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, v = _rows(pdf)
-        order = np.argsort(ids)
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "dim": [int(pdf["dim"].iloc[0])], "tree": [_pack(build(ids[order], v[order]))]})
+        return pd.DataFrame({"region": [pdf["region"].iloc[0]], "sub": [pdf["sub"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "tree": [_pack(build(*_rows(pdf), leaf))]})
 
-    trees = snapshot(dealt.groupBy("shard", "dim").applyInPandas(plant, "shard int, dim int, tree binary"), "trees")
-    # trees in groups against queries in blocks; either side is copied once for each of the other's parts
-    left = trees.select((F.col("shard") % groups).alias("part"), "dim", "shard", "tree", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = whole.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    shards = placed.join(load, ["region", "dim"]).select("region", "dim", sub, "vec_id", "v").groupBy("region", "dim", "sub")
+    trees = snapshot(shards.applyInPandas(plant, "region long, sub int, dim int, tree binary"), "trees")
+    # a repeated id asks once, with its smallest vector
+    asked = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "v", "region")).alias("x")).select("vec_id", "x.dim", "x.v", "x.region")
+    blocks = max(1, -(-n // (every * block)))
+    asked = asked.join(load, ["region", "dim"]).select("vec_id", "dim", "v", "region", sub, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+    asked = snapshot(asked, "asked")
 
     def walk(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(found) and len(asked):
-            own = [_unpack(x) for x in found.sort_values("shard")["tree"]]
-            for query, v in zip(*_rows(asked), strict=True):
-                best: list[tuple[int, int]] = []
-                for tree in own:
-                    best = search(tree, v, int(query), k, best)
-                out += [(int(query), -i, s) for s, i in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    met = left.groupBy("part", "block", "dim").cogroup(right.groupBy("part", "block", "dim")).applyInPandas(walk, "query_id long, vec_id long, score long")
+            ids, v = _rows(asked)
+            floor, region, sub = (asked[c].to_numpy(np.int64, copy=True) for c in ("floor", "region", "sub"))
+            seen = asked["seen"].to_numpy(bool)
+            for r, s, blob in found[["region", "sub", "tree"]].itertuples(index=False, name=None):
+                tree = _unpack(blob)
+                here = np.flatnonzero(~(seen & (region == r) & (sub == s)))
+                for i in range(0, len(here), AT_ONCE):
+                    at = here[i : i + AT_ONCE]
+                    best = search(tree, ids[at], v[at], k, floor[at])
+                    floor[at] = best.kth  # shared with the task's next shard
+                    out.append(pd.DataFrame({"query_id": ids[at][best.q], "vec_id": best.ids, "score": best.score}))
+                    if count:
+                        out.append(pd.DataFrame({"query_id": ids[at], "scored": best.scored}))
+        made = pd.concat(out) if out else pd.DataFrame({"query_id": []})
+        return made.reindex(columns=["query_id", "vec_id", "score", "scored"]).astype("Int64")
+
+    kinds = "query_id long, vec_id long, score long, scored long"
+    lowest = F.lit(np.iinfo(np.int64).min)
+    # at home: one shard of the query's region
+    at_home = asked.withColumns({"floor": lowest, "seen": F.lit(False)}).groupBy("region", "sub", "block", "dim")
+    copies = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    first = snapshot(copies.groupBy("region", "sub", "block", "dim").cogroup(at_home).applyInPandas(walk, kinds), "home")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    kth = first.where("vec_id is not null").withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    # all other shards, in parts of bounded size, with the k-th score from home
+    planted = trees.count()
+    parts = max(1, min(planted, max(4 * spark.sparkContext.defaultParallelism, -(-planted // PART))))
+    away = asked.join(kth, "vec_id", "left").withColumns({"floor": F.coalesce("floor", lowest), "seen": F.lit(True), "part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+    others = copies.withColumn("part", F.pmod(F.xxhash64("region", "sub"), F.lit(parts)).cast("int"))
+    far = others.groupBy("part", "block", "dim").cogroup(away.groupBy("part", "block", "dim")).applyInPandas(walk, kinds)
+    return first.unionByName(far)
+
+
+def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, shard: int = SHARD, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the k greatest integer inner products of each query with rows of other ids.
+
+    Queries are the vectors whose vec_id is divisible by ``every``; a repeated id asks once, with its smallest
+    vector, and every row of another id is a candidate. Ties go to the smaller vec_id; fewer candidates give
+    fewer rows. Only vectors of the query's length are its candidates. See :func:`quantise` for rows that
+    take no part. An empty table gives an empty table; other columns are not read.
+    """
+    met = searched(vectors, every, k, scale, shard, block, leaf).where("vec_id is not null")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
