@@ -1,10 +1,11 @@
 """WARC records in ZIP packages: written as stored members with an index, read by range without extraction.
 
-A package holds one stored member ``archive/data.warc.gz``, in which every record is a gzip member of its own, and
-one stored index ``indexes/index.cdx`` (a line for each record: id, offset, length). The reader finds the end
-record from the file's tail, follows ZIP64 records where they are present, walks the central directory, checks that
-the members are stored, and slices each record's bytes where the index points; the package is never extracted
-and no record is read twice.
+A package holds stored archives ``archive/*.warc.gz``, in which every record is a gzip member of its own, and stored
+indexes ``indexes/*.cdxj`` (a line for each record: key, time, JSON with file name, offset and length). The reader opens a
+package in its file system, finds the end record from the file's tail, follows ZIP64 records where they are present,
+walks the central directory, and reads indexes and records by offset: the package is never loaded or extracted, so its
+size doesn't matter. Index entries become spans of bounded length, which are dealt over all tasks. An archive without an
+index is walked from its first record to its last.
 """
 
 from __future__ import annotations
@@ -12,19 +13,23 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterjobs.runtime import new_path, ship
+from rasterjobs.operators.skew import salted_join
+from rasterjobs.runtime import new_path, ship, snapshot
+from rasterjobs.sources.files import ranges, write_bytes
 
-#: Bytes of records from which a package closes.
-PACKAGE = 4 << 20
-ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+#: Bytes of records from which a package closes; bytes that one read of records spans at most.
+PACKAGE, SPAN = 4 << 20, 4 << 20
+ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 _NONE = "none"
 
@@ -137,10 +142,12 @@ class ZipRanges:
         return self.read(self._data[name] + offset, length)
 
 
-def parse(raw: bytes) -> tuple:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of one WARC record."""
+def parse(raw: bytes) -> tuple | None:
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of one WARC record; None unless it is a page's."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+    if fields.get("WARC-Type") not in ("response", "revisit") or not fields.get("WARC-Record-ID", "").startswith("<urn:x-page:"):
+        return None
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.startswith(b"Content-Length:"))
@@ -149,20 +156,23 @@ def parse(raw: bytes) -> tuple:
     return _page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), size, fields["WARC-Payload-Digest"].removeprefix("sha1:"), kind, refers, payload if kind == "response" else None
 
 
-def _packages(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+def _packages(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Writes packages under names of this attempt's own and tells (path, length); only what a finished task tells counts."""
     data, index = bytearray(), []
 
     def close():
-        # the text writer ends a file with a line feed: it becomes the ZIP file's comment
-        whole = zip_stored([(ARCHIVE, bytes(data)), (INDEX, "".join(index).encode())], comment=b"\n")[:-1]
-        return pa.RecordBatch.from_arrays([pa.array([whole], pa.binary())], ["package"])
+        whole = zip_stored([(ARCHIVE, bytes(data)), (INDEX, "".join(index).encode())])
+        name = f"{path}/{uuid.uuid4().hex}.wacz"
+        write_bytes(name, whole)
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(whole)], pa.int64())], ["path", "length"])
 
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             part = batch.slice(i, 64)
             for page_id, url, payload, first, revisit in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "first", "revisit")), strict=True):
                 raw = gzip.compress(record(page_id, url, payload, base32_sha1(payload), first, revisit), 6, mtime=0)
-                index.append(f"{_NONE if page_id is None else page_id} {len(data)} {len(raw)}\n")
+                place = {"filename": ARCHIVE.rsplit("/", 1)[1], "offset": str(len(data)), "length": str(len(raw))}
+                index.append(f"{_NONE if page_id is None else page_id} 19700101000000 {json.dumps(place)}\n")
                 data += raw
                 if len(data) >= limit:
                     yield close()
@@ -171,49 +181,142 @@ def _packages(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Reco
         yield close()
 
 
-def _records(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
+SPANS = "path string, archive string, at long, length long, records array<long>"
+
+
+def spans(package: ZipRanges, limit: int = SPAN) -> Iterator[tuple[str, int, int, list[int] | None]]:
+    """(archive, start, length, record starts) of a package: neighbours in its indexes share a span; starts are None for an archive without index."""
+    archives = {name: size for name, (_, size) in package.members.items() if name.endswith((".warc", ".warc.gz"))}
+    by_file = {name.rsplit("/", 1)[-1]: name for name in archives}
+    places: dict[str, list[tuple[int, int]]] = {name: [] for name in archives}
+    for name in package.members:
+        if name.endswith((".cdx", ".cdxj")):
+            for line in package.range(name).decode().splitlines():
+                _, brace, rest = line.partition("{")
+                if brace:
+                    entry = json.loads(brace + rest)
+                    if entry.get("filename", "").rsplit("/", 1)[-1] in by_file:
+                        places[by_file[entry["filename"].rsplit("/", 1)[-1]]].append((int(entry["offset"]), int(entry["length"])))
+    for name, found in places.items():
+        if not found and archives[name]:
+            yield name, 0, archives[name], None
+        start, end, at = None, 0, []
+        for offset, length in sorted(set(found)):
+            if start is not None and (offset + length - start > limit or offset > end):
+                yield name, start, end - start, at
+                start, at = None, []
+            start = offset if start is None else start
+            at.append(offset)
+            end = offset + length
+        if at:
+            yield name, start, end - start, at
+
+
+def walk(read: Callable[[int, int], bytes], size: int, packed: bool, step: int = 1 << 20) -> Iterator[bytes]:
+    """The records of an archive one by one, read in steps: gzip members, or plain records by their Content-Length."""
+    at, held = 0, b""
+    while packed and (held or at < size):
+        out, inflate = [], zlib.decompressobj(31)
+        while not inflate.eof:
+            if not held:
+                if at >= size:
+                    raise ValueError("archive ends inside a record")
+                held = read(at, min(step, size - at))
+                at += len(held)
+            out.append(inflate.decompress(held))
+            held = inflate.unused_data
+        yield b"".join(out)
+    while not packed and (held or at < size):
+        while b"\r\n\r\n" not in held and at < size:
+            held += read(at, min(step, size - at))
+            at = min(size, at + step)
+        head, gap, _ = held.partition(b"\r\n\r\n")
+        if not gap:
+            raise ValueError("archive ends inside a header")
+        sizes = [x.split(b":")[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        end = len(head) + 4 + int(sizes[0]) + 4
+        while len(held) < end and at < size:
+            held += read(at, min(step, size - at))
+            at = min(size, at + step)
+        yield held[:end]
+        held = held[end:]
+
+
+def _listed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for content in batch.column("content"):
-            view = memoryview(content.as_buffer())
-            package = ZipRanges(lambda at, n, v=view: bytes(v[at : at + n]), len(view))
-            rows = []
-            for line in package.range(INDEX).decode().splitlines():
-                _, at, n = line.split(" ")
-                row = parse(gzip.decompress(package.range(ARCHIVE, int(at), int(n))))
-                rows.append(row if payloads else (*row[:-1], None))
-            if rows:
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+        for path in batch.column("path").to_pylist():
+            found = list(spans(ZipRanges(*ranges(path)), limit))
+            if found:
+                archive, at, length, records = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found)), pa.array(archive), pa.array(at, pa.int64()), pa.array(length, pa.int64()), pa.array(records, pa.list_(pa.int64()))], ["path", "archive", "at", "length", "records"])
 
 
-def write_packages(pages: DataFrame, path: str, least: int = 0, package: int = PACKAGE) -> None:
-    """Write ``pages`` (page_id, url, html) as packages in ``path``; of equal payloads of at least ``least`` bytes only one is a response.
+def _records(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+    rows, held = [], 0
 
-    That is the row with the smallest page_id; the others are revisits that refer to it. A null html is an
-    empty payload. Rows that repeat both page_id and payload of a response are responses as well; rows with a
-    null page_id are revisits if any row of the payload has an id, else responses. Other columns are not read.
+    def made():
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    path, package = None, None
+    for batch in batches:
+        for span in batch.to_pylist():
+            if span["path"] != path:
+                path, package = span["path"], ZipRanges(*ranges(span["path"]))
+            name, at, packed = span["archive"], span["at"], span["archive"].endswith(".gz")
+            if span["records"] is None:
+                found = walk(lambda a, n, z=package, m=name: z.range(m, a, n), span["length"], packed)
+            else:
+                raw = package.range(name, at, span["length"])
+                cuts = [x - at for x in span["records"]] + [len(raw)]
+                found = (gzip.decompress(raw[a:b]) if packed else raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+            for one in found:
+                row = parse(one)
+                if row is None:
+                    continue
+                rows.append(row if payloads else (*row[:-1], None))
+                held += len(one) if payloads else 100
+                if held > 4 << 20:
+                    yield made()
+                    rows, held = [], 0
+    if rows:
+        yield made()
+
+
+def write_packages(pages: DataFrame, path: str, least: int = 0, package: int = PACKAGE) -> DataFrame:
+    """Write ``pages`` (page_id, url, html) as packages in ``path``; ``(path, length)`` of those that count.
+
+    Of equal payloads of at least ``least`` bytes only one is a response: the row with the smallest page_id; the
+    others are revisits that refer to it. A null html is an empty payload. Rows that repeat both page_id and
+    payload of a response are responses as well; rows with a null page_id are revisits if any row of the payload has
+    an id, else responses. An empty table gives no packages. Other columns are not read. Payloads are shuffled only if the
+    table of digests that occur twice is too large for a broadcast.
     """
     ship(pages.sparkSession)
     url = F.col("url") if "url" in pages.columns else F.lit(None)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("key", F.sha2("payload", 256))
-    first = rows.select("page_id", "key").groupBy("key").agg(F.min("page_id").alias("first"))
-    told = rows.join(first, "key").withColumn("revisit", (F.length("payload") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
-    made = told.select("page_id", "url", "payload", "first", "revisit").mapInArrow(lambda it: _packages(it, package), "package binary")
-    made.select(F.col("package").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    twice = rows.where(F.length("payload") >= least).select("page_id", "key").groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    told = salted_join(rows, snapshot(twice, "digests"), "key", "__n", ["page_id"], "left")
+    told = told.withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    made = told.select("page_id", "url", "payload", "first", "revisit").mapInArrow(lambda it: _packages(it, path, package), "path string, length long")
+    return snapshot(made, "packages")
+
 
+def read_packages(spark: SparkSession, packages: str | DataFrame, payloads: bool = True, span: int = SPAN) -> DataFrame:
+    """Rows ``RECORDS`` of packages: all files of a folder, or those that a table (path) names; revisits have no payload of their own.
 
-def read_packages(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Rows ``RECORDS`` of all packages in ``path``; revisits have no payload of their own."""
+    Records other than responses and revisits of pages are left out.
+    """
     ship(spark)
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
-    return files.mapInArrow(lambda it: _records(it, payloads), RECORDS)
+    files = spark.read.format("binaryFile").load(packages).where("length > 0") if isinstance(packages, str) else packages
+    found = snapshot(files.select("path").mapInArrow(lambda it: _listed(it, span), SPANS), "spans")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(parts, "path", "archive", "at").mapInArrow(lambda it: _records(it, payloads), RECORDS)
 
 
 def archived(pages: DataFrame, least: int = 0, package: int = PACKAGE) -> DataFrame:
     """Write ``pages`` to packages in the shared folder and read them back: ``RECORDS`` without payloads."""
     path = new_path(pages.sparkSession, "warc")
-    write_packages(pages, path, least, package)
-    return read_packages(pages.sparkSession, path, payloads=False).drop("payload")
-
-
+    return read_packages(pages.sparkSession, write_packages(pages, path, least, package), payloads=False).drop("payload")
