@@ -3,83 +3,82 @@
 Blocks go to the sources by highest quotients ``weight / (2 * blocks so far + 1)``, then each source's blocks go
 to its shards the same way, none above what the shard may give; what the shards' last parts of blocks leave is dealt
 in words. Inside a shard the documents stand in a seeded order and their words are cut into blocks; the shard's quota
-takes blocks from the front, and starts over when the shard is used up.
+takes blocks from the front, and starts over when the shard is used up. Sources, shards and quotients are tables:
+nothing that grows with them reaches the driver or one task.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterjobs.runtime import snapshot
+from rasterjobs.operators.ranked import in_ranges, row_numbers, with_ranges
+from rasterjobs.operators.skew import salted_join
+from rasterjobs.runtime import drop, snapshot
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: Documents per shard of a source at most, on average; sources that are allowed (their totals are collected); words per block at most.
-SHARD_ROWS, SOURCES, BLOCK = 20_000, 100_000, 256
-#: A source's average shard has at least so many blocks.
-SHARD_BLOCKS = 100
-
-
-def fill_targets(sizes: list[float], weights: list[float], total: float, most: float = MOST) -> list[float]:
-    """Shares of ``total`` by weight, none above ``most`` times its size; the excess is reshared by weight among the rest."""
-    out, open_, left = [0.0] * len(sizes), [i for i, w in enumerate(weights) if w > 0], float(total)
-    while open_:
-        per = left / sum(weights[i] for i in open_)
-        over = [i for i in open_ if per * weights[i] > most * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = per * weights[i]
+#: Documents per shard of a source at most, on average; words per block at most; a source's average shard has at least so many blocks.
+SHARD_ROWS, BLOCK, SHARD_BLOCKS = 5_000, 256, 100
+
+
+def _with_sums(parts: DataFrame, by: list[str], **sums: Column) -> DataFrame:
+    """``parts`` with sums over its groups ``by`` (the whole table, if empty)."""
+    found = parts.groupBy(*by).agg(*[F.sum(x).alias(name) for name, x in sums.items()])
+    return parts.join(found, by) if by else parts.crossJoin(F.broadcast(found))  # one row
+
+
+def fill_targets(sources: DataFrame, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, float]:
+    """``sources`` (words, weight) with ``target``, and the targets' sum: ``share`` times all words by weight, none above ``most`` times its own.
+
+    The excess is reshared by weight among the rest until none is above; a round is one sum over the sources.
+    """
+    words, weight = F.col("words"), F.col("weight")
+    whole = sources.agg(F.sum(words)).first()[0] or 0
+    stopped, per = -1, 0.0
+    while True:
+        over = F.lit(False) if stopped < 0 else per * weight > most * words
+        row = sources.agg(F.count(F.when(over, 1)), F.sum(F.when(over, words).otherwise(0)), F.sum(F.when(over, 0).otherwise(weight))).first()
+        if row[0] == stopped or not row[2]:
             break
-        for i in over:
-            out[i] = float(most * sizes[i])
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(over)]
-    return out
-
-
-def sainte_lague(weights: list[float], seats: int) -> list[int]:
-    """Seats by highest quotients w / (2 s + 1), ties to the earlier; starts from a divisor that gives no seat too many."""
-    total = sum(weights)
-    if total <= 0 or seats <= 0:
-        return [0] * len(weights)
-    scale = max(0.0, (seats - len(weights) / 2 - 1) / total)
-    out = [math.floor(w * scale + 0.5) if w * scale > 0.5 else 0 for w in weights]
-    heap = [(-w / (2 * s + 1), i) for i, (w, s) in enumerate(zip(weights, out, strict=True)) if w > 0]
-    heapq.heapify(heap)
-    for _ in range(seats - sum(out)):
-        _, i = heapq.heappop(heap)
-        out[i] += 1
-        heapq.heappush(heap, (-weights[i] / (2 * out[i] + 1), i))
-    return out
+        stopped, per = row[0], (share * whole - most * (row[1] or 0)) / row[2]
+    target = F.when(per * weight > most * words, most * words).otherwise(per * weight).cast("double")
+    return sources.withColumn("target", target), min(share, most) * whole
+
+
+def apportion(parts: DataFrame, by: list[str], weight: str, seats: Column, order: list[str], cap: Column | None = None) -> DataFrame:
+    """``parts`` with a positive ``weight`` and their ``seats``, by highest quotients weight / (2 s + 1) inside each group ``by``.
+
+    Ties go to the earlier part in ``order``; none gets more than ``cap``. A common divisor gives every part the
+    seats that it gets in any case; only the quotients that can still win are ranked, in sorted ranges.
+    """
+    names = parts.columns
+    cap = F.lit(1 << 62) if cap is None else cap
+    s = _with_sums(parts.where(F.col(weight) > 0).withColumn("__seats", seats), by, __all=F.col(weight), __n=F.lit(1))
+    scale = F.greatest(F.lit(0.0), (F.col("__seats") - F.col("__n") / 2 - 1) / F.col("__all"))
+    s = s.withColumn("__cap", cap).withColumn("__sure", F.least("__cap", F.floor(F.col(weight) * scale + 0.5).cast("long")))
+    s = snapshot(_with_sums(s, by, __given=F.col("__sure")).withColumn("__open", F.col("__seats") - F.col("__given")), "parts")
+    more = F.least(F.col("__open"), F.col("__cap") - F.col("__sure"), F.ceil((3 * F.col("__n") + 4) * F.col(weight) / F.col("__all")) + 2)
+    next_ = s.where(more > 0).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), more.cast("long") - 1)))
+    next_ = next_.withColumn("__quotient", F.col(weight) / (2 * (F.col("__sure") + F.col("__k")) + 1))
+    ranked = row_numbers(next_.select(*by, *order, "__k", "__open", "__quotient"), by, [F.desc("__quotient"), *order, "__k"], "__rank")
+    won = ranked.where(F.col("__rank") <= F.col("__open")).groupBy(*by, *order).agg(F.count(F.lit(1)).alias("__won"))
+    return s.join(won, [*by, *order], "left").select(*names, (F.col("__sure") + F.coalesce("__won", F.lit(0))).alias("seats"))
 
 
 def _shard_quotas(shards: DataFrame, block: int, most: int) -> DataFrame:
-    """Rows (key, shard, words, blocks): the same apportionment inside each source; ``take`` is the shard's quota in words.
+    """Rows (key, shard, words, blocks) with a shard's quota ``take`` in words.
 
-    A common divisor gives every shard the seats that it gets in any case; only the quotients that
-    can still win are ranked. No shard takes more whole blocks than ``most`` times its words hold, so the others get
-    them; words that are then still open go to the shards in turn, up to their room.
+    No shard takes more whole blocks than ``most`` times its words hold, so the others get them; words that
+    are then still open go to the shards in turn, up to their room.
     """
-    source = Window.partitionBy("key")
-    cap = F.expr(f"words * {int(most)} div {int(block)}")
-    s = shards.where("words > 0").withColumn("all", F.sum("words").over(source)).withColumn("n", F.count(F.lit(1)).over(source))
-    scale = F.greatest(F.lit(0.0), (F.col("blocks") - F.col("n") / 2 - 1) / F.col("all"))
-    s = s.withColumn("sure", F.least(cap, F.greatest(F.lit(0), F.floor(F.col("words") * scale + F.lit(0.5))).cast("long")))
-    s = s.withColumn("open", F.col("blocks") - F.sum("sure").over(source))
-    more = F.least(F.col("open"), cap - F.col("sure"), F.ceil((3 * F.col("n") + 4) * F.col("words") / F.col("all")) + 2)
-    next_ = s.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), more).cast("long"))))
-    next_ = next_.withColumn("fits", F.col("sure") + F.col("k") < cap)
-    quotient = F.col("words") / (2 * (F.col("sure") + F.col("k")) + 1)
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("fits"), quotient.desc(), "shard", "k"))
-    won = next_.withColumn("rank", rank).groupBy("key", "shard", "words", "blocks", "sure").agg(F.count(F.when(F.col("fits") & (F.col("rank") <= F.col("open")), 1)).alias("won"))
-    won = won.withColumn("take", (F.col("sure") + F.col("won")) * block).withColumn("room", F.col("words") * most - F.col("take"))
-    left = F.col("blocks") * block - F.sum("take").over(source)
-    before = F.sum("room").over(source.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("room")
-    return won.withColumn("take", F.col("take") + F.greatest(F.lit(0), F.least(F.col("room"), left - before))).select("key", "shard", "words", "take")
+    got = apportion(shards, ["key"], "words", F.col("blocks"), ["shard"], F.expr(f"words * {int(most)} div {int(block)}"))
+    got = got.withColumn("take", F.col("seats") * block).withColumn("room", F.col("words") * most - F.col("take"))
+    placed = with_ranges(in_ranges(_with_sums(got, ["key"], __given=F.col("take")), ["key", "shard"]), ["key"], F.sum("room"))
+    upto = Window.partitionBy("key", "__range").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.col("__before") + F.sum("room").over(upto) - F.col("room")
+    left = F.col("blocks") * block - F.col("__given")
+    return placed.select("key", "shard", "words", (F.col("take") + F.greatest(F.lit(0), F.least(F.col("room"), left - before))).alias("take"))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 17, block: int = BLOCK) -> DataFrame:
@@ -88,45 +87,45 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     A size is the number of words of the text (null: 0). Sources stand by code point, null last, with
     ``weights`` repeating; they share ``share`` times all words, none above ``most`` times its own. ``taken``
     is the number of words the mix takes from a document, repeats counted, at most ``most`` times its size.
-    Rows that repeat a doc_id are documents of their own; reruns agree. A source without words has target
-    and taken 0; an empty table gives an empty table. More than ``SOURCES`` sources are an error.
+    Rows that repeat a doc_id are documents of their own, equal ones are counted first; reruns agree. A source
+    without words has target and taken 0; an empty table gives an empty table; other columns are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = rows.groupBy("doc_id", F.isnull("source").alias("none"), F.coalesce("source", F.lit("")).alias("name"), "size").agg(F.count(F.lit(1)).alias("copies"))
     rows = snapshot(rows, "sizes")
-    totals = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).limit(SOURCES + 1).collect()
-    if len(totals) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["words"] for r in totals]
-    w = [weights[i % len(weights)] for i in range(len(totals))]
-    targets = fill_targets(sizes, w, share * sum(sizes), most)
-    positive = [t for t in targets if t > 0]
-    shards = [max(1, -(-r["n"] // SHARD_ROWS)) for r in totals]
-    part = min((size / (k * SHARD_BLOCKS) for size, k, t in zip(sizes, shards, targets, strict=True) if t > 0), default=1)
-    block = max(1, min(block, int(min(positive, default=1) // 100), int(part)))
-    seats = sainte_lague(targets, round(sum(targets) / block))
-    plan = spark.createDataFrame([(i, r["source"], int(r["words"]), float(t), int(n), k) for i, (r, t, n, k) in enumerate(zip(totals, targets, seats, shards, strict=True))], "key int, source string, source_size long, target double, blocks long, shards int")
-    p = F.broadcast(plan)  # at most SOURCES rows
-    rows = rows.join(p, rows.source.eqNullSafe(plan.source)).drop("source").withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.col("shards")).cast("int"))
-    per = rows.groupBy("key", "shard", "blocks").agg(F.sum("size").alias("words"))
-    quotas = _shard_quotas(per, block, most).withColumnRenamed("words", "shard_words")
+    names = ["none", "name"]
+    sources = rows.groupBy(*names).agg(F.sum(F.col("size") * F.col("copies")).alias("words"), F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows"))
+    sources = row_numbers(sources, [], names, "key").withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("key") - 1, F.lit(len(weights))) + 1).cast("int")))
+    sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("n") / SHARD_ROWS)).cast("int"))
+    sources, total = fill_targets(snapshot(sources, "sources"), share, most)
+    least = sources.where("target > 0").agg(F.min("target"), F.min(F.col("words") / (F.col("shards") * SHARD_BLOCKS))).first()
+    block = max(1, min(block, int((least[0] or 1) // 100), int(least[1] or 1)))
+    blocks = apportion(sources, [], "target", F.lit(round(total / block)), ["key"]).select("key", F.col("seats").alias("blocks"))
+    sources = snapshot(sources.join(blocks, "key", "left").select("key", *names, F.col("words").alias("source_size"), "target", F.coalesce("blocks", F.lit(0)).alias("blocks"), "shards", "rows"), "targets")
+    rows = salted_join(rows, sources, names, "rows", ["doc_id", "size"]).drop("rows", *names)
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.col("shards")).cast("int")).drop("shards")
+    words = F.col("size") * F.col("copies")
+    per = snapshot(rows.groupBy("key", "shard", "blocks").agg(F.sum(words).alias("words")), "shards")
+    quotas = snapshot(_shard_quotas(per, block, most), "quotas").withColumnRenamed("words", "shard_words")
+    drop(per)
     order = Window.partitionBy("key", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "size")
-    rows = rows.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("end", F.sum(words).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.join(quotas, ["key", "shard"], "left")
-    rest = F.expr("take % shard_words")
-    part = F.greatest(F.lit(0), F.least(F.col("end"), rest) - (F.col("end") - F.col("size")))
-    taken = F.when(F.col("shard_words") > 0, F.expr("take div shard_words") * F.col("size") + part).otherwise(0)
+    part = F.expr("take % shard_words") - (F.col("end") - words)  # what the last round takes of this row and its copies
+    rows = rows.withColumn("part", part).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    own = F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - F.col("copy") * F.col("size")))
+    taken = F.when(F.col("shard_words") > 0, F.expr("take div shard_words") * F.col("size") + own).otherwise(0)
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The pipeline's form: each document as often as the mix takes it; of a part taken the larger half counts as the whole.
 
-    Rows that repeat a doc_id (null is one too) all stand as often as the one taken most.
+    Rows that repeat a doc_id (null is one too) all stand as often as the one taken most. Columns are unchanged,
+    whatever their names; an empty table gives an empty table.
     """
     times = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("__id"), F.expr("cast((2 * taken + size) div (2 * size) as int)").alias("__n")).where("__n > 0")
     times = times.groupBy("__id").agg(F.max("__n").alias("__n"))
-    names = docs.columns
-    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return out.select(*names)
+    flat = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("__d"))
+    out = flat.join(times, F.col("__d").eqNullSafe(F.col("__id"))).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
