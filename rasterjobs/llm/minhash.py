@@ -8,8 +8,8 @@ indexed once for every choice of ``errors`` cells left out, so all such pairs me
 
 The work stays near-linear in hot groups. Equal sets are one class before the join. A bucket compares its
 members with one of them first, the one that meets most others. Members of different components that remain
-in one bucket are compared with each other, unless the shingles that either shares with other components are
-too few for a link; so every pair that shares a bucket is confirmed, refuted or already connected.
+in one bucket meet again on their rarest shingles: a link needs so many common shingles that one of them is in the short
+prefix of either, by rising frequency. So every pair that shares a bucket is confirmed, ruled out or already connected.
 """
 
 from __future__ import annotations
@@ -19,19 +19,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterjobs.llm.textops import U, mix, shingle_sets, slices
 from rasterjobs.operators.components import connected_components
+from rasterjobs.operators.skew import salted_join
 from rasterjobs.runtime import drop, ship, snapshot
 
 CHUNKS, CELLS, ERRORS = 10, 5, 1
-#: Pairs whose signatures differ in more cells are not fetched: at a similarity of 0.75 a pair passes
-#: with a probability above 1 - 1e-6 (50 cells: mean 12.5, standard deviation 3.1).
-FAR = 29
-#: Classes of shingle hashes in the bound on what two texts share.
-BOUND_CLASSES = 32
 _SEEDS = np.random.default_rng(20240917).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64)
 
 
@@ -67,40 +63,21 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, size: int) -> Iterator[pa.R
 
 
 def _index(batches: Iterator[pa.RecordBatch], chunks: int, cells: int, errors: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, n, out): a key for each chunk and each choice of left-out cells.
-
-    ``out`` tells what the left-out cells hold, negative for the first choice: two documents that agree in all
-    cells of a chunk meet under every choice, and count as a pair under the first only.
-    """
+    """Rows (key, id, n): a key for each chunk and each choice of left-out cells."""
     kept = list(combinations(range(cells), cells - errors))
     for batch in batches:
         for i in range(0, batch.num_rows, 2048):
             part = batch.slice(i, 2048)
             sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, chunks, cells).astype(U)
-            keys, out = np.empty((len(sig), chunks, len(kept)), U), np.empty((len(sig), chunks, len(kept)), np.int32)
+            keys = np.empty((len(sig), chunks, len(kept)), U)
             with np.errstate(over="ignore"):
                 for j, use in enumerate(kept):
                     packed = np.zeros((len(sig), chunks), U)
                     for c in use:
                         packed = mix(packed * U(0x9E3779B97F4A7C15) + sig[:, :, c])
-                    rest = np.zeros((len(sig), chunks), U)
-                    for c in sorted(set(range(cells)) - set(use)):
-                        rest = rest * U(65537) + sig[:, :, c]
-                    out[:, :, j] = (rest & U(0x7FFFFFFF)).astype(np.int32) if j else -1
                     keys[:, :, j] = mix(packed + (np.arange(chunks, dtype=U) * U(1000) + U(j))[None, :], 5)
             each = chunks * len(kept)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column("id").to_numpy(zero_copy_only=False), each)), pa.array(np.repeat(part.column("n").to_numpy(zero_copy_only=False), each)), pa.array(out.reshape(-1))], ["key", "id", "n", "out"])
-
-
-def _near(batches: Iterator[pa.RecordBatch], far: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures differ in at most ``far`` cells."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a = np.frombuffer(b"".join(batch.column("sig_a").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-        b = np.frombuffer(b"".join(batch.column("sig_b").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-        ok = pa.array((a != b).sum(axis=1) <= far)
-        yield batch.select(["a", "b"]).filter(ok)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column("id").to_numpy(zero_copy_only=False), each)), pa.array(np.repeat(part.column("n").to_numpy(zero_copy_only=False), each))], ["key", "id", "n"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -126,18 +103,15 @@ def _explode(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         for part, texts in slices(batch, "text"):
             sets = list(shingle_sets(texts, k))
             sizes = [len(s) for s in sets]
-            cols = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("id", "c"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), *map(pa.array, cols)], ["h", "id", "c"])
+            cols = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("id", "c", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), *map(pa.array, cols)], ["h", "id", "c", "n"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets reach the similarity. A text with many partners is dealt over salts."""
-    far = FAR
-    seen = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-    seen = seen.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    pairs = snapshot(seen.select("a", "b", "sig_a", "sig_b").mapInArrow(lambda it: _near(it, far), "a long, b long"), "near")
-    load = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).select("a", F.greatest(F.lit(1), F.ceil(F.col("m") / 64)).cast("int").alias("salts"))
-    dealt = pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    pairs = snapshot(pairs, "pairs")
+    load = snapshot(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).withColumn("salts", F.ceil(F.col("m") / 64).cast("int")), "load")
+    dealt = salted_join(pairs, load, "a", "m", ["b"]).select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     heads = load.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     heads = heads.join(texts.withColumnRenamed("id", "a"), "a").select("a", "b", "salt", "text")
     members = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "b", "salt", "text")
@@ -146,6 +120,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, sigs: DataFrame, k: int, perce
     return rows.mapInArrow(lambda it: _confirm(it, k, percent), "a long, b long")
 
 
+def _by_rare_shingles(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (id, n, c) of different components c that may link.
+
+    What two of them share are shingles that two components have. Those of a member stand by rising frequency. With
+    a link their first common one is so early that enough follow on both sides, so pairs meet on it alone.
+    """
+    shingles = members.join(texts, "id").select("id", "c", "n", "text").mapInArrow(lambda it: _explode(it, k), "h long, id long, c long, n long")
+    shingles = snapshot(shingles, "shingles")
+    both = shingles.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo < hi").select("h", "df")
+    shared = salted_join(shingles, snapshot(both, "shared"), "h", "df", ["id"])
+    own = Window.partitionBy("id")
+    ranked = shared.withColumns({"s": F.count(F.lit(1)).over(own), "rank": F.row_number().over(own.orderBy("df", "h"))})
+    left = snapshot(ranked.where(f"100 * (s - rank + 1) >= {percent} * n").select("h", "id", "n", "c", F.expr("s - rank + 1").alias("rest")), "prefixes")
+    right = left.toDF("h2", "id2", "n2", "c2", "rest2")
+    near = f"id < id2 and c <> c2 and 100 * least(n, n2) >= {percent} * greatest(n, n2) and {100 + percent} * least(rest, rest2) >= {percent} * (n + n2)"
+    out = snapshot(left.join(right, (left.h == right.h2) & F.expr(near)).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct(), "rest")
+    drop(shingles, left)
+    return out
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, chunks: int = CHUNKS, cells: int = CELLS, errors: int = ERRORS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, a row for each distinct non-null doc_id.
 
@@ -168,14 +162,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, chunks: int
     full = one.where("n > 0")
     classes = full.groupBy("fa", "fb", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
     reps = snapshot(classes.select(F.col("rep").alias("id"), "n", "fa", "fb", "sig"), "classes")
-    keys = reps.select("id", "n", "sig").mapInArrow(lambda it: _index(it, chunks, cells, errors), "key long, id long, n long, out int")
-    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = snapshot(keys.join(many, "key"), "buckets")
+    keys = reps.select("id", "n", "sig").mapInArrow(lambda it: _index(it, chunks, cells, errors), "key long, id long, n long")
+    many = snapshot(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "many")
+    met = snapshot(salted_join(keys, many, "key", "members", ["id"]), "met")
     # a bucket's head is the member that meets most others, so that one comparison links as many as can be
     weight = met.groupBy("id").agg(F.sum("members").alias("weight"))
-    heads = met.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", -F.col("id"), "n")).alias("h")).select("key", (-F.col("h.col2")).alias("head"), F.col("h.n").alias("head_n"))
-    buckets = snapshot(met.join(heads, "key"), "buckets")
-    drop(met)
+    heads = met.join(weight, "id").groupBy("key", "members").agg(F.max(F.struct("weight", -F.col("id"), "n")).alias("h")).select("key", "members", (-F.col("h.col2")).alias("head"), F.col("h.n").alias("head_n"))
+    buckets = snapshot(salted_join(met.drop("members"), snapshot(heads, "heads"), "key", "members", ["id"]), "buckets")
+    drop(many, met)
     stars = buckets.where("id <> head").where(f"100 * least(n, head_n) >= {percent} * greatest(n, head_n)").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     wanted = buckets.select("id").distinct()
     texts = snapshot(source.join(wanted, "id").join(reps.select("id", "fa", "n"), "id").select("id", "text", "fa", "n"), "texts")
@@ -185,27 +179,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, chunks: int
         texts = own.groupBy("id").agg(F.min("text").alias("text"))
     else:
         texts = texts.select("id", "text")
-    sigs = reps.select("id", "sig")
-    links = snapshot(_verified(stars, texts, sigs, k, percent), "links")
+    links = snapshot(_verified(stars, texts, k, percent), "links")
     comps = connected_components(links)
     # members of one bucket in different components, beyond the pairs with the bucket's head
-    placed = buckets.where("members > 2").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "out", "head", F.coalesce("component", "id").alias("c"))
+    placed = buckets.where("members > 2").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "head", "members", F.coalesce("component", "id").alias("c"))
     placed = snapshot(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_ = placed.join(mixed, "key").where("id <> head")
-    # what two members of different components share lies in shingles that two components have; counted
-    # by hash class, the smaller counts of two members sum to a bound of their intersection
-    owners = open_.select("id", "c").distinct()
-    shingles = owners.join(texts, "id").select("id", "c", "text").mapInArrow(lambda it: _explode(it, k), "h long, id long, c long")
-    both = shingles.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    of_class = [F.count(F.when(F.pmod("h", F.lit(BOUND_CLASSES)) == i, 1)).cast("int") for i in range(BOUND_CLASSES)]
-    bound = shingles.join(both, "h").groupBy("id").agg(F.count(F.lit(1)).alias("s"), F.array(*of_class).alias("each"))
-    left = snapshot(open_.join(bound, "id").where(f"100 * s >= {percent} * n").select("key", "id", "n", "c", "s", "each", "out"), "open")
-    right = left.toDF("key2", "id2", "n2", "c2", "s2", "each2", "out2")
-    at_most = "aggregate(zip_with(each, each2, (x, y) -> least(x, y)), 0, (x, y) -> x + y)"
-    reach = f"{100 + percent} * least(s, s2) >= {percent} * (n + n2) and {100 + percent} * {at_most} >= {percent} * (n + n2)"
-    rest = left.join(right, (left.key == right.key2) & F.expr(f"id < id2 and c <> c2 and (out < 0 or out <> out2) and {reach}")).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    more = snapshot(_verified(rest, texts, sigs, k, percent), "links")
+    mixed = placed.groupBy("key", "members").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "members")
+    open_ = salted_join(placed.drop("members"), snapshot(mixed, "mixed"), "key", "members", ["id"]).where("id <> head").select("id", "n", "c").distinct()
+    more = snapshot(_verified(_by_rare_shingles(open_, texts, k, percent), texts, k, percent), "links")
     comps = connected_components(links.unionByName(more))
     by_rep = reps.select("fa", "fb", "n", F.col("id").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     by_rep = by_rep.select("fa", "fb", "n", F.coalesce("component", "rep").alias("component"))
