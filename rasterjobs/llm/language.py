@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterjobs.llm.textops import U, Texts, mix, slices
-from rasterjobs.runtime import ship
-
-#: Positions of the filter, positions per n-gram, n-grams kept per language at most.
-POSITIONS, PROBES, GRAMS = 1 << 18, 3, 20_000
-#: Learning reads about so many labelled documents (all, if there are fewer).
-TRAINING_DOCS = 20_000
+from rasterjobs.operators.skew import salted_join
+from rasterjobs.runtime import drop, ship, snapshot
+
+#: Positions per n-gram; the filter has at least so many positions for each of them and for each n-gram of the largest language.
+PROBES, ROOM = 3, 4
+#: Learning reads about so many labelled documents (all, if there are fewer), about as many of each language; with more
+#: languages than that, a hashed part of them is learned. An n-gram counts if a language's documents have it so often.
+TRAINING_DOCS, LEAST = 20_000, 2
 #: A language contains an n-gram whose share there is at least this part of its largest share in any language.
 SHARE = 0.2
 #: A text is in learned languages if they contain at least this part of its n-grams, less what false positives give.
@@ -85,7 +87,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def positions(h: np.ndarray, m: int = POSITIONS, k: int = PROBES) -> np.ndarray:
+def positions(h: np.ndarray, m: int, k: int = PROBES) -> np.ndarray:
     return np.stack([(mix(h, 20 + i) >> U(20)).astype(np.int64) % m for i in range(k)])
 
 
@@ -145,32 +147,37 @@ class LanguageFilters:
         return [self.languages[b] if n else "und" for b, n in zip(best, letters, strict=True)], np.clip(score, 0, 1)
 
 
-def learn(labelled: DataFrame, bound: int = TRAINING_DOCS, share: float = SHARE, grams_each: int = GRAMS, m: int = POSITIONS, k: int = PROBES) -> LanguageFilters:
+def learn(labelled: DataFrame, bound: int = TRAINING_DOCS, share: float = SHARE, least: int = LEAST, k: int = PROBES, m: int | None = None) -> LanguageFilters:
     """Filters from rows (doc_id, text, lang); null texts and langs teach nothing.
 
-    Reads a hashed sample of about ``bound`` rows. What reaches the driver has at most ``m`` rows for each 63 languages.
+    Reads a hashed sample of about ``bound`` rows. All n-grams that it has at least ``least`` times in a language go into the
+    filter, whose number of positions ``m`` follows from theirs. What reaches the driver is bounded by the sample.
     """
     spark = labelled.sparkSession
     ship(spark)
-    rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    languages = sorted(sizes)
+    rows = labelled.where("text is not null and lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    sizes = snapshot(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    each = bound / max(1, sizes.count())  # the same bound for each language, so that rare ones are learned as well
+    part = (F.lit(10**12 * each) / F.col("n")).cast("long")
+    sample = salted_join(rows, sizes, "lang", "n", ["doc_id"]).where(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(10**12)) < part)
+    sample = snapshot(sample.select("text", "lang"), "sample")
+    languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # at most a sample's rows
     if not languages:
-        return LanguageFilters([], np.zeros((1, m), np.int64), k)
-    # the same bound for each language, so that rare ones are learned as well
-    each = max(1, bound // len(languages))
-    parts = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1_000_000, 1_000_000 * each // sizes[lang] + 1))])
-    ids = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < parts[F.col("lang")]).select("text", ids[F.col("lang")].alias("lang_id"))
-    counts = sample.mapInArrow(_count, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("part", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
-    counts = counts.withColumn("top", F.max("part").over(Window.partitionBy("gram")))
-    inside = counts.where((F.col("n") > 1) & (F.col("part") >= share * F.col("top")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    inside = inside.withColumn("rank", rank).where(F.col("rank") <= grams_each).select("gram", "lang")
+        return LanguageFilters([], np.zeros((1, 64), np.int64), k)
+    ids = F.broadcast(spark.createDataFrame(list(enumerate(languages)), "lang_id int, lang string"))
+    counts = sample.join(ids, "lang").select("text", "lang_id").mapInArrow(_count, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counts = snapshot(counts, "grams")
+    total = F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("total")))  # a row per language of the sample
+    parts = counts.join(total, "lang").withColumn("part", F.col("n") / F.col("total"))
+    parts = parts.withColumn("top", F.max("part").over(Window.partitionBy("gram")))
+    inside = snapshot(parts.where((F.col("n") >= least) & (F.col("part") >= share * F.col("top"))).select("gram", "lang"), "inside")
+    if m is None:
+        largest = inside.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+        m = 1 << max(12, (ROOM * k * largest - 1).bit_length())
     set_bits = inside.mapInArrow(lambda it: _insert(it, m, k), "at int, word int, bit long").groupBy("word", "at").agg(F.bit_or("bit").alias("mask")).toArrow()
     masks = np.zeros(((len(languages) + 62) // 63, m), np.int64)
     masks[set_bits["word"].to_numpy(), set_bits["at"].to_numpy()] = set_bits["mask"].to_numpy()
+    drop(sizes, sample, counts, inside)
     return LanguageFilters(languages, masks, k)
 
 
@@ -183,7 +190,8 @@ def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` from its column ``text``; columns of these names give way.
 
     A null text and one without letters are ``und`` with a score of 0. The score is the best language's
-    corrected count as a part of the two best ones'; an empty table gives an empty table.
+    corrected count as a part of the two best ones', ties go to the language first by code point. Repeated rows
+    are predicted one by one, texts of any length whole; an empty table gives an empty table.
     """
     ship(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
@@ -211,7 +219,7 @@ def keep_identified(docs: DataFrame, least: float = KNOWN) -> DataFrame:
     """``docs`` without rows of whose n-grams the learned languages together contain less than ``least``; columns unchanged.
 
     So texts without letters, in unseen scripts and of random letters go; a text in two languages has a low score
-    and stays. Where nothing could be learned every row stays.
+    and stays. Where nothing could be learned every row stays; an empty table gives an empty table.
     """
     filters = learn(docs.select("doc_id", "text", "lang"))
     if not filters.masks.any():
