@@ -1,7 +1,8 @@
 """Quality classifier: a linear-chain conditional random field labels every line good or bad.
 
-A line's potential comes from its own features and those of the lines beside it; transitions tie neighbours.
-Forward-backward gives each line's marginal, and the length-weighted mean of the marginals is the text's score.
+A line's potential comes from its own counts, those of the lines beside it, and its hashed words; transitions tie
+neighbours. Forward-backward gives each line's marginal, and the length-weighted mean of the marginals is the text's
+score. The field learns from labelled documents, alone and joined to chains of several, in which lines change label.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterjobs.llm.language import in_fold
-from rasterjobs.llm.textops import Texts, slices
+from rasterjobs.llm.textops import U, Texts, slices
 from rasterjobs.runtime import ship
 
-#: Learning reads a hashed sample of about so many documents of either label, of at most so many lines each.
-TRAINING_DOCS, TRAINING_LINES = 1_500, 400
+#: Learning reads a hashed sample of about so many documents of either label; of a longer one so many consecutive lines, of a longer line so many evenly spaced words.
+TRAINING_DOCS, TRAINING_LINES, TRAINING_WORDS = 1_500, 100, 1_000
+#: Documents joined to a chain for learning; buckets of hashed words.
+JOINED, BUCKETS = 4, 1 << 12
 GOOD = 0.7
 
 _KIND = {name: np.zeros(256, np.int64) for name in ("symbol", "upper", "lower", "digit", "space", "stop", "bang")}
@@ -34,8 +37,18 @@ _KIND["bang"][ord("!")] = 1
 OWN = 15
 
 
-def features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, bounds, lengths): features of every line beside those of the line before and after it; lines per document; bytes."""
+@dataclass
+class Lines:
+    """Lines of documents: ``own`` counts, ``bounds`` of documents, bytes (``length``), ``words`` per line and the ``buckets`` of the words."""
+
+    own: np.ndarray
+    bounds: np.ndarray
+    length: np.ndarray
+    words: np.ndarray
+    buckets: np.ndarray
+
+
+def features(texts: Texts) -> Lines:
     start, end, bounds = texts.lines()
     length = end - start
     n = len(start)
@@ -67,17 +80,24 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         [part[k] * w for k, w in (("symbol", 5), ("upper", 2), ("lower", 1), ("digit", 3), ("space", 3), ("stop", 5), ("bang", 5))]
         + [(part["symbol"] > 0.05).astype(float), (part["upper"] > 0.4).astype(float), again / many * 2, 1 - fresh / many, np.log1p(words) / 4, np.minimum(length / many, 40) / 10, repeated & (words > 0), (length == 0).astype(float)]
     ).T.astype(np.float32)
-    edge = np.zeros(n, bool)
+    return Lines(own, bounds, length, words, ((h >> U(40)) % U(BUCKETS)).astype(np.uint16))
+
+
+def beside(own: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Counts of every line beside those of the line before and after it in its chain; flags of first and last lines; a constant."""
+    n = len(own)
+    edge, last = np.zeros(n, bool), np.zeros(n, bool)
     edge[bounds[:-1]] = True
-    before = np.zeros_like(own)
-    before[1:] = own[:-1]
-    before[edge] = 0
-    last = np.zeros(n, bool)
     last[bounds[1:] - 1] = True
-    after = np.zeros_like(own)
-    after[:-1] = own[1:]
-    after[last] = 0
-    return np.concatenate([own, before, after, edge[:, None], last[:, None], np.ones((n, 1))], axis=1).astype(np.float32), bounds, length
+    before, after = np.zeros_like(own), np.zeros_like(own)
+    before[1:], after[:-1] = own[:-1], own[1:]
+    before[edge], after[last] = 0, 0
+    return np.concatenate([own, before, after, edge[:, None], last[:, None], np.ones((n, 1))], axis=1).astype(np.float32)
+
+
+def lexical(weights: np.ndarray, words: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """The mean weight of each line's words."""
+    return np.bincount(np.repeat(np.arange(len(words)), words), weights=weights[buckets], minlength=len(words)) / np.maximum(words, 1)
 
 
 def _chains(bounds: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -112,53 +132,84 @@ def marginals(e: np.ndarray, bounds: np.ndarray, t: np.ndarray) -> tuple[np.ndar
 @dataclass
 class LineCrf:
     weights: np.ndarray
+    lexicon: np.ndarray
     transitions: np.ndarray
 
     def scores(self, texts: Texts) -> np.ndarray:
-        x, bounds, length = features(texts)
-        good, _, _ = marginals((x @ self.weights).astype(np.float64), bounds, self.transitions)
-        weight = length + 1.0
-        return np.clip(np.add.reduceat(weight * good, bounds[:-1]) / np.add.reduceat(weight, bounds[:-1]), 0, 1) if texts.n else np.zeros(0)
+        x = features(texts)
+        odds = (beside(x.own, x.bounds) @ self.weights).astype(np.float64) + lexical(self.lexicon, x.words, x.buckets)
+        good, _, _ = marginals(odds, x.bounds, self.transitions)
+        weight = x.length + 1.0
+        return np.clip(np.add.reduceat(weight * good, x.bounds[:-1]) / np.add.reduceat(weight, x.bounds[:-1]), 0, 1) if texts.n else np.zeros(0)
 
 
-def fit(x: np.ndarray, bounds: np.ndarray, labels: np.ndarray, rounds: int = 120, rate: float = 0.15, penalty: float = 1e-3) -> LineCrf:
-    """Maximum likelihood by Adam; ``labels`` are per document and hold for all its lines. Documents weigh the same in sum by label."""
-    sizes = np.diff(bounds)
-    y = np.repeat(labels, sizes).astype(np.float64)
+def untaught() -> LineCrf:
+    return LineCrf(np.zeros(3 * OWN + 3, np.float32), np.zeros(BUCKETS), np.zeros((2, 2)))
+
+
+def fit(docs: list[Lines], labels: np.ndarray, rounds: int = 100, rate: float = 0.15, penalty: float = 1e-3, seed: int = 5) -> LineCrf:
+    """Maximum likelihood by Adam; a document's label holds for its lines. Documents weigh the same in sum by label.
+
+    Every document stands in two chains: alone, and joined to others in a seeded order, so that transitions see both
+    lines that keep and lines that change their label.
+    """
+    sizes = np.array([len(d.words) for d in docs])
+    start = np.concatenate([[0], np.cumsum(sizes)])
+    own, words, buckets = (np.concatenate([getattr(d, c) for d in docs]) for c in ("own", "words", "buckets"))
+    mixed = np.random.default_rng(seed).permutation(len(docs))
+    line = np.concatenate([np.arange(start[-1]), *(np.arange(start[i], start[i + 1]) for i in mixed)])
+    joined = [sizes[mixed[i : i + JOINED]].sum() for i in range(0, len(docs), JOINED)]
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([sizes, joined]))]).astype(np.int64)
+    x = beside(own[line], bounds)
+    y = np.repeat(labels, sizes).astype(np.float64)[line]
     share = np.where(labels == 1, 1 / max(1, (labels == 1).sum()), 1 / max(1, (labels == 0).sum()))
-    per_line = np.repeat(share / np.maximum(sizes, 1), sizes)
+    per_line = np.repeat(share / np.maximum(sizes, 1), sizes)[line] / 2
     inner = np.ones(len(y), bool)
     inner[bounds[:-1]] = False
     inner = np.flatnonzero(inner)
-    w, t = np.zeros(x.shape[1]), np.zeros((2, 2))
-    m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
+    n, widths = x.shape[1], np.maximum(words, 1)
+    w, m, v = (np.zeros(n + BUCKETS + 4) for _ in range(3))
     for k in range(1, rounds + 1):
-        e = (x @ w.astype(np.float32)).astype(np.float64)
+        t = w[-4:].reshape(2, 2)
+        e = (x @ w[:n].astype(np.float32)).astype(np.float64) + lexical(w[n:-4], words, buckets)[line]
         good, a, b = marginals(e, bounds, t)
-        gw = x.T @ (per_line * (y - good)).astype(np.float32) - penalty * w
+        left = per_line * (y - good)
+        of_word = np.repeat(np.bincount(line, weights=left, minlength=len(words)) / widths, words)
+        gl = np.bincount(buckets, weights=of_word, minlength=BUCKETS)
         z = np.logaddexp(a[0] + b[0], a[1] + b[1])[inner]
         gt = np.zeros((2, 2))
         for i in range(2):
             for j in range(2):
                 p = np.exp(a[i, inner - 1] + t[i, j] + (e[inner] if j else 0) + b[j, inner] - z)
                 seen = (y[inner - 1] == i) & (y[inner] == j)
-                gt[i, j] = (per_line[inner] * (seen - p)).sum() - 10 * penalty * t[i, j]
-        g = np.concatenate([gw, gt.reshape(-1)])
+                gt[i, j] = (per_line[inner] * (seen - p)).sum()
+        g = np.concatenate([x.T @ left.astype(np.float32), gl, gt.reshape(-1)]) - penalty * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-        w, t = w + step[: len(w)], t + step[len(w) :].reshape(2, 2)
-    return LineCrf(w.astype(np.float32), t)
+        w = w + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+    return LineCrf(w[:n].astype(np.float32), w[n:-4].copy(), w[-4:].reshape(2, 2).copy())
 
 
-def _lines(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch], most: int, most_words: int) -> Iterator[pa.RecordBatch]:
+    """What learning needs of each document: of a longer one a window of ``most`` lines whose place is a hash of the text."""
     for batch in batches:
         for part, texts in slices(batch, "text"):
-            x, bounds, _ = features(texts)
-            blobs = [x[bounds[i] : bounds[i + 1]].tobytes() if bounds[i + 1] - bounds[i] <= most else None for i in range(texts.n)]
-            yield pa.RecordBatch.from_arrays([part.column("quality").cast(pa.int32()), pa.array(blobs, pa.binary())], ["quality", "x"])
+            x = features(texts)
+            places = texts.hashes(texts.offsets[:-1], texts.offsets[1:], seed=7)
+            first_word = np.concatenate([[0], np.cumsum(x.words)])
+            own, words, buckets = [], [], []
+            for i in range(texts.n):
+                a, b = int(x.bounds[i]), int(x.bounds[i + 1])
+                if b - a > most:
+                    a += int(places[i] % U(b - a - most + 1))
+                    b = a + most
+                kept = [np.arange(first_word[k], first_word[k + 1], 1 + x.words[k] // most_words) for k in range(a, b)]
+                own.append(x.own[a:b].tobytes())
+                words.append(np.array([len(p) for p in kept], np.int32).tobytes())
+                buckets.append(x.buckets[np.concatenate(kept)].tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("quality").cast(pa.int32()), *(pa.array(c, pa.binary()) for c in (own, words, buckets))], ["quality", "own", "words", "buckets"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCS, lines: int = TRAINING_LINES) -> LineCrf:
+def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCS, lines: int = TRAINING_LINES, words: int = TRAINING_WORDS) -> LineCrf:
     """A field from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality); a bounded sample of about ``bound`` rows of either label.
 
     Null doc_ids and labels other than 0 and 1 teach nothing. Without both labels every line scores 0.5.
@@ -167,17 +218,16 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCS, lines:
     given = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     sizes = {r["quality"]: r["n"] for r in given.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
-        return LineCrf(np.zeros(3 * OWN + 3, np.float32), np.zeros((2, 2)))
-    limit = F.when(F.col("quality") == 1, 1_000_000 * bound // sizes[1] + 1).otherwise(1_000_000 * bound // sizes[0] + 1)
-    some = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit).dropDuplicates()  # about 2 x bound rows
+        return untaught()
+    limit = F.when(F.col("quality") == 1, 10**12 * bound // sizes[1] + 1).otherwise(10**12 * bound // sizes[0] + 1)
+    some = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**12)) < limit).dropDuplicates()  # about 2 x bound rows
     rows = docs.join(F.broadcast(some), "doc_id").select("text", "quality")
-    table = rows.mapInArrow(lambda it: _lines(it, lines), "quality int, x binary").where("x is not null").toArrow()
-    order = sorted(range(len(table)), key=lambda i: (table["quality"][i].as_py(), table["x"][i].as_py()))
-    width = 3 * OWN + 3
-    xs = [np.frombuffer(table["x"][i].as_py(), np.float32).reshape(-1, width) for i in order]
-    if not xs:
-        return LineCrf(np.zeros(width, np.float32), np.zeros((2, 2)))
-    return fit(np.concatenate(xs), np.concatenate([[0], np.cumsum([len(x) for x in xs])]), np.array([table["quality"][i].as_py() for i in order]))
+    table = rows.mapInArrow(lambda it: _lines(it, lines, words), "quality int, own binary, words binary, buckets binary").toArrow()
+    found = sorted(zip(*(table[c].to_pylist() for c in ("quality", "own", "words", "buckets")), strict=True))
+    if len({q for q, *_ in found}) < 2:
+        return untaught()
+    some = [Lines(np.frombuffer(o, np.float32).reshape(-1, OWN), np.zeros(0), np.zeros(0), np.frombuffer(w, np.int32), np.frombuffer(b, np.uint16)) for _, o, w, b in found]
+    return fit(some, np.array([q for q, *_ in found]))
 
 
 def score(docs: DataFrame, crf: LineCrf) -> DataFrame:
@@ -197,7 +247,8 @@ def score(docs: DataFrame, crf: LineCrf) -> DataFrame:
 def document_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row, learned from labels of rows that aren't held out.
 
-    Repeated rows are scored one by one; a null doc_id isn't held out and teaches nothing.
+    Repeated rows are scored one by one; a null doc_id isn't held out and teaches nothing. A text of any length is
+    scored whole; an empty table gives an empty table; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     crf = learn(rows, labels.where(~in_fold(folds, held_out)))
