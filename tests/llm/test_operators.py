@@ -1,19 +1,24 @@
 """Small cases of each operator against brute force: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import base64
+import gzip
 import hashlib
 import io
+import json
 import random
 import re
+import struct
 import zipfile
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rasterjobs.llm import ball_tree, language, line_crf, line_dedup, minhash, mixing, packing, quality_rules, secrets, textops, warc_zip
 from rasterjobs.llm.queries import tokenizer_path
+from rasterjobs.sources import files
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b for a in ("the", "ing", "tion", "ou", "er") for b in ("an", "re", "st", "ly", "ed", "x")]
@@ -89,17 +94,39 @@ def test_search_is_exact_with_ties_and_bad_vectors(spark, n, shard):
     rows = [(i, rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(n)]
     bad = [(50, [float("nan")] * 6), (51, None), (52, [None] * 6), (None, [1.0] * 6), (53, [float("inf")] * 6)] if n else []
     rows = [r for r in rows if r[0] not in (50, 51, 52, 53)] + bad + rows[:20]  # repeated rows as well
+    rows += [(300 + i, [2.0] * 6) for i in range(2 * n)] + [(10, [-1.0] * 6), (990, [1.0, 2.0]), (991, [3.0, 4.0])] * (n > 1)  # equal vectors beyond a shard
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS score", "vec_id AS query_id")
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ball_tree.top_k(df, every=10, k=5, scale=1, shard=shard, group=2, block=8).collect())
-    good = {i: v for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ball_tree.top_k(df, every=10, k=5, scale=1, shard=shard, block=8, leaf=4).collect())
+    good = [(i, v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    ask = {}
+    for i, v in good:
+        if i % 10 == 0:
+            ask[i] = min(ask.get(i, v), v, key=lambda x: (len(x), x))
     want = []
-    for q in sorted(good):
-        if q % 10 == 0:
-            best = sorted((-int(np.dot(good[q], good[i])), i) for i in good if i != q)[:5]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    for q, v in sorted(ask.items()):
+        best = sorted((-int(np.dot(v, x)), i) for i, x in good if i != q and len(x) == len(v))[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
 
 
+def test_search_scores_few_rows_of_clustered_vectors(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 64))
+    x = centres[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 64)) * 0.1
+    df = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ball_tree.searched(df, shard=1000, count=True)
+    scored = rows.agg({"scored": "sum"}).first()[0]
+    assert scored < 0.2 * 160 * 8000
+    v = np.floor(256 * np.array([r.embedding for r in df.orderBy("vec_id").collect()])).astype(np.int64)
+    got = {}
+    for r in ball_tree.top_k(df, shard=1000).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    for q in range(0, 8000, 50):
+        s = v @ v[q]
+        s[q] = -(1 << 60)
+        assert sorted(got[q]) == [(-s[i], i) for i in np.lexsort((np.arange(8000), -s))[:5]]
+
+
 # --- 3 language
 
 
@@ -127,6 +154,42 @@ def test_false_positives_are_taken_off():
     assert f.predict(textops.Texts(np.zeros(0, np.uint8), np.zeros(2, np.int64), 0))[0] == ["und"]
 
 
+def test_prediction_matches_plain_sets(spark, monkeypatch):
+    rng = random.Random(25)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnop"}
+    word = lambda k: "".join(rng.choice(letters[k]) for _ in range(rng.randrange(1, 7)))
+    text = lambda k, n: " ".join(word(k if rng.random() < 0.7 else rng.choice(sorted(letters))) for _ in range(n))
+    rows = [(i, text(k, rng.choice([1, 3, 30])), k, "s", 0) for i, k in enumerate(sorted(letters) * 60)]
+    rows.append((999, text("bb", 60_000), "bb", "s", 0))
+
+    def grams(t):
+        s = "\n" + "".join(c if c.isalpha() else "\n" for c in t.lower()) + "\n"
+        return [s[i - 1 : i + 2] for i in range(1, len(s) - 1) if s[i] != "\n"]
+
+    counts = {k: {} for k in letters}
+    for _, t, k, _, _ in rows:
+        for g in grams(t):
+            counts[k][g] = counts[k].get(g, 0) + 1
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    part = lambda k, g: counts[k].get(g, 0) / total[k]
+    sets = {k: {g for g, n in c.items() if n >= 2 and part(k, g) >= language.SHARE * max(part(j, g) for j in letters)} for k, c in counts.items()}
+    monkeypatch.setattr(language, "ROOM", 400)  # hardly any false positives
+    df = spark.createDataFrame(rows, DOCS)
+    out = {r.doc_id: r for r in language.identify(df, language.learn(df)).collect()}
+    for i, t, _, _, _ in rows:
+        hits = sorted(((sum(g in sets[k] for g in grams(t)), k) for k in letters), key=lambda x: (-x[0], x[1]))
+        n = len(grams(t))
+        assert out[i].score == pytest.approx(hits[0][0] / max(1, hits[0][0] + hits[1][0]), abs=0.02 + 0.3 / n)
+        if hits[0][0] - hits[1][0] > 1 + 0.01 * n:
+            assert out[i].lang_pred == hits[0][1]
+
+
+def test_more_languages_than_the_bound_are_a_bounded_sample(spark):
+    df = spark.createDataFrame([(i, f"bada gola mena {i}", f"l{i}", "s", 0) for i in range(300)], DOCS)
+    learned = language.learn(df, bound=100)
+    assert 60 < len(learned.languages) < 140 and len(learned.masks) == (len(learned.languages) + 62) // 63
+
+
 def test_gibberish_is_rejected_and_mixed_texts_pass(spark):
     rng = random.Random(17)
     sets = {"aa": ["bada", "gola", "mena"], "bb": ["zix", "quirt", "xylo"]}
@@ -166,6 +229,25 @@ def test_rules_match_the_plain_way(spark):
     assert all(not r.llr for r in quality_rules.quality_rules(docs_of(spark, texts), labels.limit(0)).collect())
 
 
+def test_verdict_matches_plain_counts(spark):
+    rng = random.Random(26)
+    texts = [prose(rng, 40) if i % 3 else " ".join(rng.choice(["buy", "now", "cheap", "click"]) for _ in range(12)) + " end" for i in range(60)] + [prose(rng, 20_000), "Aa aA", None]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 40)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: r for r in quality_rules.judge(docs, quality_rules.log_ratios(docs, labels.where("quality = 1"), buckets=1 << 22)).collect()}
+    grams = [[*w, *zip(w, w[1:], strict=False)] for w in ((t or "").lower().split() for t in texts)]
+    raw, trusted = {}, {}
+    for i, g in enumerate(grams):
+        for x in g:
+            raw[x] = raw.get(x, 0) + 1
+            if i < 40 and i % 3:
+                trusted[x] = trusted.get(x, 0) + 1
+    all_raw, all_trusted = sum(raw.values()) + (1 << 22), sum(trusted.values()) + (1 << 22)
+    for i, g in enumerate(grams):
+        llr = sum(np.log((trusted.get(x, 0) + 1) / all_trusted) - np.log((raw[x] + 1) / all_raw) for x in g) / max(1, len(g))
+        assert got[i].llr == pytest.approx(llr, abs=2e-2) and got[i].kept == (not got[i].base_failed and got[i].llr >= quality_rules.THRESHOLD)
+
+
 # --- 5 line dedup
 
 
@@ -247,7 +329,7 @@ def test_a_hot_line_is_dealt_over_salts_and_long_texts_stay_whole(spark, monkeyp
     from rasterjobs.operators import skew
 
     monkeypatch.setattr(skew, "LEAST_HOT", 10)
-    monkeypatch.setattr(skew, "HOT_KEYS", 50)
+    monkeypatch.setattr(skew, "HOT_KEYS", 5)
     rng = random.Random(22)
     hot = prose(rng, 12)
     texts = [f"{prose(rng, 8)}\n{hot}" for _ in range(150)] + ["\n".join([*(prose(rng, 6) for _ in range(20000)), hot])]
@@ -288,9 +370,9 @@ def test_archives_round_trip(spark, tmp_path):
     html = ["<p>é\r\n\r\nx</p>", None, "", "dup", "dup", "dup", "z" * 9000]
     rows = [(i, f"http://x/{i}", h) for i, h in enumerate(html)] + [(3, "http://x/3", "dup"), (None, None, "lone"), (None, "u", "dup")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS payload")
-    warc_zip.write_packages(df, f"file://{tmp_path}/w", package=2000)
-    got = warc_zip.read_packages(spark, f"file://{tmp_path}/w").collect()
-    assert len(got) == len(rows)
+    named = warc_zip.write_packages(df, f"file://{tmp_path}/w", package=2000)
+    got = warc_zip.read_packages(spark, f"file://{tmp_path}/w", span=300).collect()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, warc_zip.read_packages(spark, named).collect()))
     by = {r.page_id: r for r in got if r.page_id is not None}
     for i, h in enumerate(html):
         raw = (h or "").encode()
@@ -303,6 +385,55 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc_zip.archived(df.limit(0)).count() == 0
 
 
+def page_record(i, text, revisit=False):
+    return warc_zip.record(i, f"http://x/{i}", text.encode(), warc_zip.base32_sha1(text.encode()), 1 if revisit else None, revisit)
+
+
+def test_archives_of_other_names_and_without_index_are_walked(spark, tmp_path):
+    raw = [page_record(i, "p" * (i * 700)) for i in range(6)]
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    packed = b"".join(map(gzip.compress, [info, *raw[:3]]))
+    members = [("archive/one.warc.gz", packed), ("archive/two.warc", info + b"".join(raw[3:])), ("pages/x.jsonl", b"{}"), ("archive/none.warc.gz", b"")]
+    (tmp_path / "a.wacz").write_bytes(warc_zip.zip_stored(members))
+    got = warc_zip.read_packages(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.page_id, len(r.payload)) for r in got) == [(i, i * 700) for i in range(6)]
+    for packed_, data, step in ((True, packed, 50), (False, members[1][1], 37)):
+        assert len(list(warc_zip.walk(lambda a, n, d=data: d[a : a + n], len(data), packed_, step))) == 4
+    with pytest.raises(ValueError):
+        list(warc_zip.walk(lambda a, n: packed[a : a + n], len(packed) - 5, True))
+
+
+def test_only_what_is_needed_of_a_package_beyond_4_gb_is_read(spark, tmp_path):
+    texts = ["x" * 5000, "y", "z" * 300]
+    raw = [gzip.compress(page_record(i, t)) for i, t in enumerate(texts)]
+    starts = np.cumsum([0, *map(len, raw)])
+    index = "".join(f'{i} 0 {json.dumps({"filename": "data.warc.gz", "offset": str(starts[i]), "length": str(len(raw[i]))})}\n' for i in range(3)).encode()
+    hole = 5 << 30  # a stored member that is a hole in a sparse file
+    path = tmp_path / "big.wacz"
+    out, central = open(path, "wb"), bytearray()
+    for name, data, size in (("archive/hole.bin", b"", hole), (warc_zip.ARCHIVE, b"".join(raw), None), (warc_zip.INDEX, index, None)):
+        size, at = len(data) if size is None else size, out.tell()
+        extra = struct.pack("<HHQQ", 1, 16, size, size)
+        out.write(struct.pack("<4sHHHHHIIIHH", b"PK\3\4", 45, 0, 0, 0, 33, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(name), len(extra)) + name.encode() + extra + data)
+        out.seek(size - len(data), 1)
+        extra = struct.pack("<HHQQQ", 1, 24, size, size, at)
+        central += struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\1\2", 45, 45, 0, 0, 0, 33, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(name), len(extra), 0, 0, 0, 0, 0xFFFFFFFF) + name.encode() + extra
+    at = out.tell()
+    end = at + len(central)
+    out.write(central + struct.pack("<4sQHHIIQQQQ", b"PK\6\6", 44, 45, 45, 0, 0, 3, 3, len(central), at) + struct.pack("<4sIQI", b"PK\6\7", 0, end, 1))
+    out.write(struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0))
+    out.close()
+    read, size = files.ranges(f"file://{path}")
+    asked = []
+    package = warc_zip.ZipRanges(lambda a, n: asked.append(n) or read(a, n), size)
+    (span,) = warc_zip.spans(package)
+    assert size > hole and span == (warc_zip.ARCHIVE, 0, int(starts[-1]), starts[:-1].tolist())
+    package.range(warc_zip.ARCHIVE, span[1], span[2])
+    assert sum(asked) <= 65557 + 20 + 56 + len(central) + len(index) + int(starts[-1]) + 3 * 30
+    got = warc_zip.read_packages(spark, f"file://{path}").collect()
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in got) == list(enumerate(texts))
+
+
 # --- 7 mixing
 
 
@@ -314,19 +445,33 @@ def highest_quotients(weights, seats):
     return out
 
 
-def test_apportionment_matches_the_sequential_rule():
+def test_apportionment_matches_the_sequential_rule(spark):
     rng = random.Random(9)
-    for _ in range(200):
-        w = [rng.randint(0, 60) for _ in range(rng.randint(1, 9))]
+    rows, want = [], {}
+    for g in range(120):
+        w = [rng.choice([0, 1, 1, 7, rng.randint(0, 60)]) for _ in range(rng.randint(1, 9))]
         n = rng.randint(0, 80)
-        if sum(w):
-            assert mixing.sainte_lague(w, n) == highest_quotients(w, n)
+        rows += [(g, i, x, n) for i, x in enumerate(w)]
+        want |= {(g, i): k for i, k in enumerate(highest_quotients(w, n) if sum(w) else [0] * len(w)) if w[i]}
+    got = mixing.apportion(spark.createDataFrame(rows, "g int, i int, w int, n int"), ["g"], "w", F.col("n"), ["i"]).collect()
+    assert {(r.g, r.i): r.seats for r in got} == want
+    many = [rng.randint(1, 10**6) for _ in range(3000)]
+    got = mixing.apportion(spark.createDataFrame(list(enumerate(many)), "i int, w long"), [], "w", F.lit(20_011), ["i"]).collect()
+    seats = {r.i: r.seats for r in got}
+    assert sum(seats.values()) == 20_011 and max(w / (2 * seats[i] + 1) for i, w in enumerate(many)) <= min(w / (2 * seats[i] - 1) for i, w in enumerate(many) if seats[i])
+
 
+def test_targets_stop_and_reshare(spark):
+    def targets(words, weights, share=1.5):
+        df = spark.createDataFrame(list(zip(range(len(words)), words, weights, strict=True)), "i int, words long, weight int")
+        out, total = mixing.fill_targets(df, share)
+        got = [r.target for r in out.orderBy("i").collect()]
+        assert sum(got) == pytest.approx(total)
+        return got
 
-def test_targets_stop_and_reshare():
-    assert mixing.fill_targets([100, 100, 100], [3, 1, 2], 450) == pytest.approx([200, 250 / 3, 500 / 3])
-    assert mixing.fill_targets([10, 1000], [3, 1], 1515) == pytest.approx([20, 1495])
-    assert mixing.fill_targets([], [], 0) == [] and mixing.fill_targets([0, 5], [3, 1], 7.5) == pytest.approx([0, 7.5])
+    assert targets([100, 100, 100], [3, 1, 2]) == pytest.approx([200, 250 / 3, 500 / 3])
+    assert targets([10, 1000], [3, 1]) == pytest.approx([20, 1495])
+    assert targets([], []) == [] and targets([0, 5], [3, 1]) == pytest.approx([0, 7.5]) and targets([10, 20, 30, 4000], [3, 1, 2, 3], 1.9)[:1] == [20]
 
 
 def test_mix_comes_near_its_targets(spark):
@@ -344,7 +489,10 @@ def test_mix_comes_near_its_targets(spark):
     for target, (taken, size, said) in got.items():
         assert size == said and abs(taken - target) <= max(2, 0.02 * target)
     assert mixing.mix(empty(spark)).count() == 0
-    assert mixing.mixed(docs_of(spark, ["a b c", "d e f"])).columns == empty(spark).columns
+    odd = docs_of(spark, ["a b c", "d e f"]).selectExpr("*", "1 AS __id", "2 AS __n", "3 AS __k", "4 AS `x.y`")
+    assert mixing.mixed(odd).columns == odd.columns and {tuple(r)[5:] for r in mixing.mixed(odd).collect()} == {(1, 2, 3, 4)}
+    equal = mixing.mix(spark.createDataFrame([(1, "a b c", "en", "s", 0)] * 50 + [(2, "long " * 100_000, "en", "t", 0)], DOCS)).collect()
+    assert len(equal) == 51 and all(r.taken <= 2 * r.size for r in equal) and abs(sum(r.taken for r in equal if r.doc_id == 1) - next(r.target for r in equal if r.doc_id == 1)) <= 3
 
 
 def test_a_small_source_among_many_shards_reaches_its_target(spark, monkeypatch):
@@ -391,16 +539,53 @@ def test_random_tokens_are_told_from_identifiers(spark):
     assert len([i for i in hits if i < 20]) >= 18 and not [r for r in out if r.doc_id >= 20 and r.spans]
 
 
-def test_rare_secrets_still_train(spark):
+def test_samples_are_labelled_without_secrets_in_the_corpus(spark):
     rng = random.Random(19)
-    texts = [prose(rng, 20) for _ in range(400)]
-    texts[77] += " token = Zx81qPw07LmT4vBn2KcY"
+    docs = docs_of(spark, [prose(rng, 200) for _ in range(40)]).select("doc_id", "text")
+    samples = secrets.labelled_samples(docs)
+    made = [r.token for r in samples.where("random").collect()]
+    assert len(made) > 100 and all(re.fullmatch("[A-Za-z0-9+/_-]{8,}", t) for t in made) and len(set(made)) == len(made)
+    assert samples.where("not random").count() > 10 * len(made) and any(secrets.train(samples))
+    assert secrets.labelled_samples(docs, 4).count() < samples.count() / 4 and not any(secrets.train(samples.limit(0)))
+
+
+def test_markov_spans_match_the_plain_way(spark):
+    rng = random.Random(20)
+    odd = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(n))
+    parts = [lambda: prose(rng, 3), lambda: odd(rng.randrange(10, 40)), lambda: "token=" + odd(rng.randrange(4, 30)), lambda: "_".join(rng.choice(WORDS) for _ in range(6)), lambda: "AKIA" + odd(14).upper(), lambda: "%040x" % rng.getrandbits(160), lambda: "é😀"]
+    texts = [" ".join(rng.choice(parts)() for _ in range(n)) for n in (0, 1, 3, 10, 60, 300, 900)]
+    samples = spark.createDataFrame([(odd(30), True) for _ in range(200)] + [(prose(rng, 1), False) for _ in range(500)], "token string, random boolean")
+    ratios = secrets.train(samples)
+    assert sum(x != 0 for x in ratios) > 16000  # both models are over pairs of characters
     docs = docs_of(spark, texts).select("doc_id", "text")
-    samples = secrets.labelled_samples(docs, 8)
-    good = [r.token for r in samples.where("random").collect()]
-    assert good == ["Zx81qPw07LmT4vBn2KcY"] and any(secrets.train(samples))
-    many = docs_of(spark, [f"token = {rng.getrandbits(80):020x}" for _ in range(400)]).select("doc_id", "text")
-    assert 5 <= secrets.labelled_samples(many, 8, 40).where("random").count() <= 100
+    found = {r.doc_id: r for r in secrets.scan(docs, ratios).collect()}
+    some = 0
+    for i, text in enumerate(texts):
+        base = [tuple(map(int, x.split(":")[1:])) for x in base_by_hand(text).split(",") if x]
+        want = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+            t = m[0]
+            mean = sum(ratios[128 * ord(x) + ord(y)] for x, y in zip(t, t[1:], strict=False)) / (len(t) - 1)
+            if mean >= secrets.THRESHOLD and not any(a < m.end() and m.start() < b for a, b in base):
+                want.append((m.start(), m.end()))
+        assert [(x.s, x.e) for x in found[i].markov] == want
+        some += len(want)
+    assert some > 100
+
+
+def test_a_long_text_takes_time_in_proportion(spark):
+    import time
+
+    rng = random.Random(23)
+    took = {}
+    for n in (500, 6_000, 24_000):
+        text = " ".join("%020x" % rng.getrandbits(80) for _ in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        row = secrets.scan(docs, [2.0] * 16384).selectExpr("size(markov) n", "markov[size(markov) - 1].e e").first()
+        took[n] = time.time() - began
+        assert (row.n, row.e) == (n, len(text))
+    assert took[24_000] < 8 * took[6_000]
 
 
 # --- 9 near-duplicates
@@ -445,6 +630,25 @@ def test_groups_match_brute_force(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_groups_without_a_common_centre_match_brute_force(spark):
+    rng = random.Random(24)
+    template, texts = prose(rng, 60).split(), []
+    for _ in range(150):  # chains of copies of copies around one template: few links to any head
+        source = (texts[rng.randrange(len(texts))].split() if texts and rng.random() < 0.6 else list(template))
+        for _ in range(rng.randrange(1, 4)):
+            source[rng.randrange(len(source))] = rng.choice(WORDS) + str(rng.randrange(60))
+        texts.append(" ".join(source))
+    docs = docs_of(spark, texts)
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert out == groups_by_hand(list(enumerate(texts)))
+    # the leftover search alone finds all links, whatever the components
+    own = docs.selectExpr("doc_id AS id", "text")
+    members = spark.createDataFrame([(i, out[i][0], i) for i in range(150)], "id long, n long, c long")
+    links = minhash._verified(minhash._by_rare_shingles(members, own, 5, 75), own, 5, 75).collect()
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.lower().split() for t in texts)]
+    assert {(r.a, r.b) for r in links} == {(i, j) for i in range(150) for j in range(i + 1, 150) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+
+
 def test_repeated_ids_count_once_and_all_pairs_within_the_distance_meet(spark):
     rng = random.Random(11)
     t = prose(rng, 50)
@@ -479,6 +683,27 @@ def test_marginals_match_enumeration():
         assert np.allclose(got[a:b], good / total)
 
 
+def test_transitions_learn_that_labels_stay_and_change(spark):
+    rng = random.Random(27)
+    good = lambda: "\n".join(prose(rng, 12).capitalize() + "." for _ in range(rng.randrange(1, 8)))
+    junk = lambda: "\n".join(" ".join([rng.choice(WORDS) + "$$$"] * 8) for _ in range(rng.randrange(1, 8)))
+    texts = [good() if i % 2 else junk() for i in range(120)] + ["\n".join(good() for _ in range(400)), "\n".join([junk()] * 300)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)] + [(120, 1, 0), (121, 0, 0)], "doc_id long, quality int, toxic int")
+    crf = line_crf.learn(docs_of(spark, texts), labels, lines=50, words=5)
+    t = crf.transitions
+    stay, change = t[0, 0] + t[1, 1], t[0, 1] + t[1, 0]
+    assert 0.5 < stay - change < 12  # staying is likelier, changing isn't ruled out
+    mixed = good() + "\n" + junk()
+    batch = pa.RecordBatch.from_arrays([pa.array([mixed, texts[120], texts[121]])], ["text"])
+    scores = np.concatenate([crf.scores(x) for _, x in textops.slices(batch, "text")])
+    x = line_crf.features(next(textops.slices(batch, "text"))[1])
+    n, m = x.bounds[1], mixed.count("$$$\n") + 1
+    odds = (line_crf.beside(x.own, x.bounds) @ crf.weights) + line_crf.lexical(crf.lexicon, x.words, x.buckets)
+    lines = line_crf.marginals(odds.astype(float), x.bounds, t)[0][:n]
+    assert (lines[: n - m] > 0.5).mean() > 0.8 and (lines[n - m :] < 0.5).mean() > 0.8 and scores[1] > 0.7 > 0.3 > scores[2]
+    assert line_crf.learn(docs_of(spark, texts), labels.where("quality = 1")).transitions.tolist() == [[0, 0], [0, 0]]
+
+
 def test_classifier_on_held_out_rows(spark):
     rng = random.Random(3)
     good = lambda: "\n".join(prose(rng, 12).capitalize() + "." for _ in range(rng.randrange(1, 8)))
