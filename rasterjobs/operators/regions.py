@@ -1,12 +1,15 @@
-"""Four-connected regions by runs: pixels become runs, runs touching in the next row become edges, edges components."""
+"""Four-connected regions: cells are labelled inside tiles, and components of tiles' border cells join the labels."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterjobs.functions.algebra import threshold_mask
 from rasterjobs.operators.components import connected_components
@@ -15,36 +18,78 @@ from rasterjobs.runtime import ship, snapshot
 
 #: Cells of a scene are numbered row * STRIDE + col: a region's id is its first cell in raster order.
 STRIDE = 1 << 31
-
-
-def runs(df: DataFrame, mask: str = "mask") -> DataFrame:
-    """``(scene_id, row, c0, c1)``: the longest runs of cells that are 1 in a raster row."""
-    one = df.where(F.col(mask) == 1)
-    order = Window.partitionBy("scene_id", "row").orderBy("col")
-    return one.withColumn("g", F.col("col") - F.row_number().over(order)).groupBy("scene_id", "row", "g").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("g")
-
-
-def _labelled_runs(df: DataFrame, mask: str) -> DataFrame:
-    r = snapshot(runs(df, mask).withColumn("id", F.struct("scene_id", (F.col("row").cast("long") * STRIDE + F.col("c0")).alias("cell"))), "runs")
-    low = r.select("scene_id", (F.col("row") + 1).alias("row"), F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("id").alias("a"))
-    touching = low.join(r, ["scene_id", "row"]).where("a0 <= c1 and a1 >= c0").select("a", F.col("id").alias("b"))
-    comps = connected_components(touching).select(F.col("node").alias("id"), "component")
-    joined = r.join(comps, "id", "left")
-    return joined.select("scene_id", "row", "c0", "c1", F.coalesce("component", "id")["cell"].alias("region_id"))
-
-
-def connected_regions(df: DataFrame, mask: str = "mask", dense: bool = False) -> DataFrame:
+#: Side of the tiles that are labelled in one task each.
+TILE = 256
+
+
+def first_cells(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """For each cell the number of the first cell, in raster order, of its component among these cells."""
+    order = np.lexsort((col, row))
+    r, c = row[order], col[order]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (c[1:] - c[:-1] > 1)
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(r)) - 1
+    width = int(c.max() - c.min()) + 2
+    head = (r[at] - r.min()) * width + c[at] - c.min()  # runs of cells by first and last place
+    tail = head + c[last] - c[at]
+    low = np.searchsorted(tail, head + width, "left")
+    n = np.maximum(0, np.searchsorted(head, tail + width, "right") - low)  # runs of the next row that touch
+    a = np.repeat(np.arange(len(at)), n)
+    b = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    label = np.arange(len(at))
+    while (label[a] != label[b]).any():
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+    out = np.empty(len(r), np.int64)
+    out[order] = (r[at] * STRIDE + c[at])[label][np.cumsum(new) - 1]
+    return out
+
+
+def _labelled(df: DataFrame, mask: str, tile: int) -> DataFrame:
+    """The cells that are 1 with ``__label``, the first cell of their component inside their tile."""
+    ship(df.sparkSession)
+    one = df.where((F.col(mask) == 1) & F.col("row").isNotNull() & F.col("col").isNotNull())
+
+    def label(table: pa.Table) -> pa.Table:
+        row, col = (table.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
+        return table.drop_columns(["__r", "__c"]).append_column("__label", pa.array(first_cells(row, col)))
+
+    tiled = one.withColumns({"__r": F.floor(F.col("row") / tile), "__c": F.floor(F.col("col") / tile)})
+    kinds = T.StructType([*one.schema.fields, T.StructField("__label", T.LongType())])
+    return tiled.groupBy("scene_id", "__r", "__c").applyInArrow(label, kinds)
+
+
+def _border_links(cells: DataFrame, tile: int) -> DataFrame:
+    """``(a, b)``: labels whose cells touch across a tile's border."""
+    node = F.struct("scene_id", F.col("__label").alias("cell"))
+    step = lambda way, dr, dc: F.struct(F.lit(way).alias("way"), (F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"))
+    edge = lambda axis, at: F.pmod(F.col(axis), F.lit(tile)) == at
+
+    def side(name: str, at: int, move: int) -> DataFrame:
+        ways = F.array(F.when(edge("col", at), step("right", 0, move)), F.when(edge("row", at), step("down", move, 0)))
+        return cells.where(edge("col", at) | edge("row", at)).select("scene_id", node.alias(name), F.explode(ways).alias("x")).where("x is not null").select("scene_id", "x.*", name)
+
+    return side("a", tile - 1, 1).join(side("b", 0, 0), ["scene_id", "way", "row", "col"]).select("a", "b").distinct()
+
+
+def connected_regions(df: DataFrame, mask: str = "mask", dense: bool = False, tile: int = TILE) -> DataFrame:
     """The cells that are 1, with ``region_id``: the first cell of the region in raster order as row * 2^31 + col.
 
     ``dense`` numbers the regions of each scene 1, 2, ... in that order instead.
     """
-    labelled = _labelled_runs(df, mask)
+    cells = snapshot(_labelled(df, mask, tile), "cells")
+    comps = snapshot(connected_components(_border_links(cells, tile)), "regions")  # only labels that touch a border
+    names = comps.select(F.col("node.scene_id").alias("scene_id"), F.col("node.cell").alias("__label"), F.col("component.cell").alias("__first"))
+    found = cells.join(names, ["scene_id", "__label"], "left").withColumn("region_id", F.coalesce("__first", "__label"))
     if dense:
-        ids = labelled.select("scene_id", "region_id").distinct()
+        ids = found.select("scene_id", "region_id").distinct()
         ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("scene_id").orderBy("region_id")).cast("long"))
-        labelled = labelled.join(ids, ["scene_id", "region_id"]).drop("region_id").withColumnRenamed("n", "region_id")
-    cells = labelled.withColumn("col", F.explode(F.sequence("c0", "c1"))).drop("c0", "c1")
-    return df.where(F.col(mask) == 1).join(cells, ["scene_id", "row", "col"])
+        found = found.join(ids, ["scene_id", "region_id"]).drop("region_id").withColumnRenamed("n", "region_id")
+    return found.select(*df.columns, "region_id")
 
 
 def region_sizes(regions: DataFrame) -> DataFrame:
@@ -61,11 +106,12 @@ def region_join(pixels: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def sieve(df: DataFrame, min_px: int = 25, mask: str = "mask") -> DataFrame:
-    """``df`` with regions of fewer than ``min_px`` cells set to 0. Sizes are summed over runs, not pixels."""
-    labelled = _labelled_runs(df, mask)
-    kept = labelled.groupBy("scene_id", "region_id").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n")).where(F.col("n") >= min_px)
-    cells = labelled.join(kept, ["scene_id", "region_id"]).select("scene_id", "row", F.explode(F.sequence("c0", "c1")).alias("col")).withColumn("__keep", F.lit(1))
-    return df.join(cells, ["scene_id", "row", "col"], "left").withColumn(mask, F.coalesce("__keep", F.lit(0))).drop("__keep")
+    """``df`` with regions of fewer than ``min_px`` cells set to 0."""
+    key = ["scene_id", "row", "col"]
+    cells = snapshot(connected_regions(df.select(*key, mask), mask), "labelled")
+    kept = region_sizes(cells).where(F.col("n_px") >= min_px).drop("n_px")
+    kept = cells.join(kept, ["scene_id", "region_id"], "left_semi").select(*key).withColumn("__keep", F.lit(1))
+    return df.join(kept, key, "left").withColumn(mask, F.coalesce("__keep", F.lit(0))).drop("__keep")
 
 
 def postprocess(df: DataFrame, prob: str = "prob", t: float = 0.5, min_px: int = 25, open_size: int = 3, close_size: int = 5) -> DataFrame:
@@ -73,24 +119,26 @@ def postprocess(df: DataFrame, prob: str = "prob", t: float = 0.5, min_px: int =
     return sieve(open_close(df.withColumn("mask", threshold_mask(prob, t)), open_size, close_size), min_px)
 
 
-def boundary_edges(regions: DataFrame) -> DataFrame:
-    """Unit edges between a region's cells and anything else, from corner (r0, c0) to (r1, c1), the region on the left.
+def _sides(regions: DataFrame) -> DataFrame:
+    """``regions`` with ``top``, ``left``, ``bottom`` and ``right``: whether the cell beside is no region's. Two windows, by row and by column."""
+    across, down = Window.partitionBy("scene_id", "row").orderBy("col"), Window.partitionBy("scene_id", "col").orderBy("row")
+    free = lambda f, axis, step, over: ~F.coalesce(f(axis).over(over) == F.col(axis) + step, F.lit(False))
+    cells = regions.select("scene_id", "region_id", "row", "col").withColumns({"left": free(F.lag, "col", -1, across), "right": free(F.lead, "col", 1, across)})
+    return cells.withColumns({"top": free(F.lag, "row", -1, down), "bottom": free(F.lead, "row", 1, down)})
 
-    Rows grow downwards; each side is one anti join of cells against their neighbours.
-    """
-    cells = regions.select("scene_id", "region_id", "row", "col")
-    sides = {"top": (-1, 0, (0, 1), (0, 0)), "left": (0, -1, (0, 0), (1, 0)), "bottom": (1, 0, (1, 0), (1, 1)), "right": (0, 1, (1, 1), (0, 1))}
-    steps = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), *[F.lit(v).alias(n) for n, v in zip(("a", "b", "c", "d"), (*p, *q), strict=True)]) for dr, dc, p, q in sides.values()]))
-    wide = cells.withColumn("s", steps).select("scene_id", "region_id", "row", "col", "s.*").withColumns({"nr": F.col("row") + F.col("dr"), "nc": F.col("col") + F.col("dc")})
-    there = cells.select("scene_id", F.col("row").alias("nr"), F.col("col").alias("nc"))
-    out = wide.join(there, ["scene_id", "nr", "nc"], "left_anti")
-    return out.select("scene_id", "region_id", (F.col("row") + F.col("a")).alias("r0"), (F.col("col") + F.col("b")).alias("c0"), (F.col("row") + F.col("c")).alias("r1"), (F.col("col") + F.col("d")).alias("c1"))
+
+def boundary_edges(regions: DataFrame) -> DataFrame:
+    """Unit edges between a region's cells and anything else, from corner (r0, c0) to (r1, c1), the region on the left. Rows grow downwards."""
+    ends = {"top": ((0, 1), (0, 0)), "left": ((0, 0), (1, 0)), "bottom": ((1, 0), (1, 1)), "right": ((1, 1), (0, 1))}
+    edge = lambda p, q: F.struct(*[(F.col(axis) + v).alias(name) for name, axis, v in (("r0", "row", p[0]), ("c0", "col", p[1]), ("r1", "row", q[0]), ("c1", "col", q[1]))])
+    found = F.array_compact(F.array(*[F.when(F.col(side), edge(p, q)) for side, (p, q) in ends.items()]))
+    return _sides(regions).select("scene_id", "region_id", F.explode(found).alias("e")).select("scene_id", "region_id", "e.*")
 
 
 def polygon_stats(regions: DataFrame, pixel_m: float = 18.0) -> DataFrame:
     """``(scene_id, region_id, n_px, area_m2, perimeter_m)``."""
-    edges = boundary_edges(regions).groupBy("scene_id", "region_id").agg(F.count(F.lit(1)).alias("n_edges"))
-    out = region_sizes(regions).join(edges, ["scene_id", "region_id"])
+    open_ = sum((F.col(side).cast("int") for side in ("left", "bottom", "right")), F.col("top").cast("int"))
+    out = _sides(regions).groupBy("scene_id", "region_id").agg(F.count(F.lit(1)).alias("n_px"), F.sum(open_).alias("n_edges"))
     return out.select("scene_id", "region_id", "n_px", (F.col("n_px") * pixel_m * pixel_m).alias("area_m2"), (F.col("n_edges") * pixel_m).alias("perimeter_m"))
 
 
@@ -127,6 +175,22 @@ def _signed_area(ring: list[tuple[int, int]]) -> float:
     return sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(ring, ring[1:], strict=False)) / 2
 
 
+def ring_table(polygons: DataFrame) -> DataFrame:
+    """``polygons`` with ``n_rings``, ``area`` (outline less holes) and ``length`` from the corners of ``geometry``."""
+    point = lambda p: F.transform(F.split(F.trim(p), " "), lambda v: v.cast("double"))
+    texts = F.regexp_extract_all("geometry", F.lit(r"\(([-0-9.e+, ]+)\)"), F.lit(1))
+    out = polygons.withColumn("__rings", F.transform(texts, lambda t: F.transform(F.split(t, ","), point)))
+
+    def over(ring, f):
+        pairs = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), f)
+        return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)
+
+    # an outline and its holes turn in opposite ways, so their signed areas have opposite signs
+    area = F.aggregate(F.transform("__rings", lambda r: over(r, lambda p, q: (p[0] * q[1] - q[0] * p[1]) / 2)), F.lit(0.0), lambda a, x: a + x)
+    length = F.aggregate(F.transform("__rings", lambda r: over(r, lambda p, q: F.abs(p[0] - q[0]) + F.abs(p[1] - q[1]))), F.lit(0.0), lambda a, x: a + x)
+    return out.withColumns({"n_rings": F.size("__rings"), "area": F.abs(area), "length": length}).drop("__rings")
+
+
 def polygonize(regions: DataFrame, x0: float = 0.0, dx: float = 1.0, y0: float = 0.0, dy: float = -1.0) -> DataFrame:
     """``(scene_id, region_id, geometry)``: each region's outline with holes as WKT in world coordinates.
 
