@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterjobs.operators.ranked import percentile_row, percentiles
+from rasterjobs.operators.ranked import percentile_row, percentile_rows, percentiles
+from rasterjobs.runtime import snapshot
 
 
 def channel_stats(df: DataFrame, channels: list[str], by: list[str] | None = None) -> DataFrame:
@@ -38,12 +39,12 @@ def symmetric_limit(df: DataFrame, x: str, p: float = 98) -> DataFrame:
 def _binned(df: DataFrame, x: str, nbins: int, by: list[str]) -> DataFrame:
     """``(by..., lo, hi, bin, n)`` of the values that are there; the last bin is closed.
 
-    The limits are one row per group and are joined back; groups are scenes or bands, a few rows beside their pixels.
+    The limits are one row per group, written once and joined back: Spark broadcasts them if that table is small.
     """
     df = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("x"))
     limits = df.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     if by:
-        df = df.join(F.broadcast(limits), by)
+        df = df.join(snapshot(limits, "limits"), by)
     else:
         df = df.crossJoin(F.broadcast(limits))  # one row
     at = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * nbins)).otherwise(0)
@@ -80,11 +81,11 @@ def otsu_threshold(df: DataFrame, x: str, nbins: int = 256, by: list[str] | None
 
 
 def percentile_stretch(df: DataFrame, x: str, lo: float = 2, hi: float = 98, out: str = "stretched") -> DataFrame:
-    """``df`` with x stretched between two percentiles and cut to [0, 1]."""
+    """``df`` with x stretched between two percentiles of its scene and cut to [0, 1]."""
     from rasterjobs.functions.algebra import stretch
 
-    p = percentile_row(df, x, {"__lo": lo, "__hi": hi})
-    return df.crossJoin(F.broadcast(p)).withColumn(out, stretch(x, F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")  # one row
+    p = percentile_rows(df, x, {"__lo": lo, "__hi": hi}, ["scene_id"])
+    return df.join(p, "scene_id", "left").withColumn(out, stretch(x, F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
 
 
 def subsample_every(df: DataFrame, n: int, x: str) -> DataFrame:

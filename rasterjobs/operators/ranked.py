@@ -69,3 +69,9 @@ def percentile_row(df: DataFrame, x: str | Column, names: dict[str, float]) -> D
     """One row with a column for each of ``names`` (name: percentile), NULL without values."""
     found = percentiles(df, x, list(names.values()))
     return found.agg(*[F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(c) for c, p in names.items()])
+
+
+def percentile_rows(df: DataFrame, x: str | Column, names: dict[str, float], by: list[str]) -> DataFrame:
+    """A row per group ``by`` with a column for each of ``names``; written once, so that a small table is broadcast by its size."""
+    found = percentiles(df, x, list(names.values()), by)
+    return snapshot(found.groupBy(*by).agg(*[F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(c) for c, p in names.items()]), "percentiles")

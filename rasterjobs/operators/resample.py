@@ -68,16 +68,21 @@ def utm_to_geographic(x: Column, y: Column, zone: int = 44, north: bool = True)
 def warp(source: DataFrame, value: str, targets: DataFrame, x: Column, y: Column, affine: tuple[float, float, float, float]) -> DataFrame:
     """``targets`` (scene_id, row, col, ...) with ``value``: bilinear from a source grid at world coordinates (x, y); 0 outside.
 
-    ``affine`` = (x0, dx, y0, dy) of the source's corner. Four taps per target join the source cells by equality.
+    ``affine`` = (x0, dx, y0, dy) of the source's corner. Four taps per target join the source cells by equality. A
+    source of several scenes is an error, unless ``targets`` names each target's in a column source_id.
     """
     x0, dx, y0, dy = affine
     fc, fr = (x - x0) / dx - 0.5, (y - y0) / dy - 0.5
     t = targets.withColumns({"__fc": fc, "__fr": fr}).withColumns({"__c": F.floor("__fc"), "__r": F.floor("__fr")})
     u, v = F.col("__fc") - F.col("__c"), F.col("__fr") - F.col("__r")
     taps = F.array(*[F.struct((F.col("__r") + i).cast("int").alias("sr"), (F.col("__c") + j).cast("int").alias("sc"), ((v if i else 1 - v) * (u if j else 1 - u)).alias("w")) for i in (0, 1) for j in (0, 1)])
-    four = t.select(*KEY, F.explode(taps).alias("t")).select(*KEY, "t.*").where("w > 0")
-    cells = source.select(F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).alias("__z")).where("__z is not null")
-    got = four.join(cells, ["sr", "sc"]).groupBy(*KEY).agg((F.sum(F.col("w") * F.col("__z")) / F.sum("w")).alias(value))
+    named = "source_id" in targets.columns
+    if not named and len(source.select("scene_id").distinct().take(2)) > 1:
+        raise ValueError("a source of several scenes needs targets with source_id")
+    on = ["source_id", "sr", "sc"] if named else ["sr", "sc"]
+    four = t.select(*KEY, *on[:-2], F.explode(taps).alias("t")).select(*KEY, *on[:-2], "t.*").where("w > 0")
+    cells = source.select(F.col("scene_id").alias("source_id"), F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).alias("__z")).where("__z is not null")
+    got = four.join(cells.select(*on, "__z"), on).groupBy(*KEY).agg((F.sum(F.col("w") * F.col("__z")) / F.sum("w")).alias(value))
     return targets.join(got, KEY, "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 

@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterjobs.operators.ranked import percentile_row
+from rasterjobs.operators.ranked import percentile_rows
 
 
 def quantise(df: DataFrame, x: str, levels: int = 64, lo: float = 2, hi: float = 98, out: str = "q") -> DataFrame:
-    """Levels 0 .. levels - 1 between two percentiles, cut first and floored after."""
-    p = percentile_row(df, x, {"__lo": lo, "__hi": hi})
+    """Levels 0 .. levels - 1 between two percentiles of the scene, cut first and floored after."""
+    p = percentile_rows(df, x, {"__lo": lo, "__hi": hi}, ["scene_id"])
     share = F.try_divide(F.col(x) - F.col("__lo"), F.col("__hi") - F.col("__lo"))
     level = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * (levels - 1))
-    return df.crossJoin(F.broadcast(p)).withColumn(out, F.when(F.col(x).isNotNull(), F.coalesce(level, F.lit(0)).cast("int"))).drop("__lo", "__hi")  # one row
+    return df.join(p, "scene_id", "left").withColumn(out, F.when(F.col(x).isNotNull(), F.coalesce(level, F.lit(0)).cast("int"))).drop("__lo", "__hi")
 
 
 def glcm_texture(df: DataFrame, q: str = "q", tile: int = 256, least: int = 4) -> DataFrame:
     """``(scene_id, tile_r, tile_c, contrast, correlation, energy, homogeneity)``: symmetric pairs at distance 1 along rows.
 
-    Pairs don't cross tiles and need both cells; tiles with a side below ``least`` have no row. Energy is the
+    Pairs don't cross tiles and need both cells; tiles of fewer than ``least`` cells have no row. Energy is the
     root of the summed squares; the correlation of a constant tile is 1.
     """
     t = df.select("scene_id", "row", "col", q).withColumns({"tile_r": F.floor(F.col("row") / tile).cast("int"), "tile_c": F.floor(F.col("col") / tile).cast("int")})
     key = ["scene_id", "tile_r", "tile_c"]
-    side = t.groupBy(*key).agg((F.max("row") - F.min("row") + 1).alias("h"), (F.max("col") - F.min("col") + 1).alias("w")).where(f"h >= {least} and w >= {least}")
+    side = t.groupBy(*key).agg((F.max("row") - F.min("row") + 1).alias("h"), (F.max("col") - F.min("col") + 1).alias("w")).where(f"h * w >= {least}")
     order = Window.partitionBy(*key, "row").orderBy("col")
     pairs = t.withColumns({"j": F.lead(q).over(order), "next": F.lead("col").over(order)}).where(f"{q} is not null and j is not null and next = col + 1")
     counts = pairs.groupBy(*key, F.col(q).alias("i"), "j").agg(F.count(F.lit(1)).alias("n"))

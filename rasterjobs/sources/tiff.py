@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -14,49 +16,83 @@ WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICT
 TILE_WIDTH, TILE_HEIGHT, TILES, TILE_COUNTS, FORMAT, SCALE, TIEPOINT = 322, 323, 324, 325, 339, 33550, 33922
 
 
-def tags(data: bytes) -> tuple[str, dict[int, tuple]]:
-    order = {b"II": "<", b"MM": ">"}[data[:2]]
-    (at,) = struct.unpack_from(order + "I", data, 4)
-    (n,) = struct.unpack_from(order + "H", data, at)
-    out = {}
+Read = Callable[[int, int], bytes]
+
+
+def tags(read: Read) -> tuple[str, dict[int, tuple]]:
+    """Byte order and tags; ``read(offset, length)`` is asked for the directory and the values outside it only."""
+    head = read(0, 8)
+    order = {b"II": "<", b"MM": ">"}[head[:2]]
+    (at,) = struct.unpack_from(order + "I", head, 4)
+    (n,) = struct.unpack(order + "H", read(at, 2))
+    entries, out = read(at + 2, 12 * n), {}
     for i in range(n):
-        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-        place = at + 10 + 12 * i
+        tag, kind, count = struct.unpack_from(order + "HHI", entries, 12 * i)
         if kind not in _FORM:
             continue
+        values = entries[12 * i + 8 : 12 * i + 12]
         if _SIZE[kind] * count > 4:
-            (place,) = struct.unpack_from(order + "I", data, place)
-        out[tag] = struct.unpack_from(f"{order}{count}{_FORM[kind]}", data, place)
+            (place,) = struct.unpack(order + "I", values)
+            values = read(place, _SIZE[kind] * count)
+        out[tag] = struct.unpack_from(f"{order}{count}{_FORM[kind]}", values)
     return order, out
 
 
-def read(data: bytes) -> tuple[np.ndarray, dict]:
-    """(array of bands x height x width, profile with x0, dx, y0, dy)."""
-    order, t = tags(data)
+@dataclass
+class Layout:
+    """What a raster's tags say: its size, where its strips or tiles stand, and its world coordinates."""
+
+    bands: int
+    height: int
+    width: int
+    dtype: np.dtype
+    packed: bool
+    planar: bool
+    tiled: bool
+    side: tuple[int, int]
+    places: tuple[int, ...]
+    sizes: tuple[int, ...]
+    world: dict[str, float]
+
+    def block(self, read: Read, i: int) -> tuple[int, int, int, np.ndarray]:
+        """(band, row, col, array of bands x rows x cols) of the i-th strip or tile, cut to the raster."""
+        h, w = self.side
+        across, down = -(-self.width // w), -(-self.height // h)
+        band, cell = divmod(i, across * down) if self.planar else (0, i)
+        r, c = cell // across * h, cell % across * w
+        raw = read(self.places[i], self.sizes[i])
+        raw = zlib.decompress(raw) if self.packed else raw
+        rows = h if self.tiled else min(h, self.height - r)
+        per = 1 if self.planar else self.bands
+        return band, r, c, np.frombuffer(raw, self.dtype, rows * w * per).reshape(rows, w, per)[: self.height - r, : self.width - c].transpose(2, 0, 1)
+
+
+def layout(read: Read) -> Layout:
+    order, t = tags(read)
     one = lambda tag, default: t.get(tag, (default,))[0]
-    width, height, bands = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
-    kind = {1: "u", 2: "i", 3: "f"}[one(FORMAT, 1)]
-    dtype = np.dtype(f"{order}{kind}{one(BITS, 8) // 8}")
-    packed, planar = one(COMPRESSION, 1), one(PLANAR, 1)
+    width, height = one(WIDTH, 0), one(HEIGHT, 0)
+    packed = one(COMPRESSION, 1)
     if packed not in (1, 8, 32946) or one(PREDICTOR, 1) != 1:
         raise ValueError(f"TIFF compression {packed} with predictor {one(PREDICTOR, 1)} isn't read")
     tiled = TILES in t
-    w, h = (one(TILE_WIDTH, width), one(TILE_HEIGHT, height)) if tiled else (width, min(one(ROWS, height), height))
+    side = (one(TILE_HEIGHT, height), one(TILE_WIDTH, width)) if tiled else (min(one(ROWS, height), height), width)
     places, sizes = (t[TILES], t[TILE_COUNTS]) if tiled else (t[STRIPS], t[COUNTS])
-    out = np.zeros((bands, height, width), dtype)
-    across, down = -(-width // w), -(-height // h)
-    per = bands if planar == 1 else 1
-    for i, (at, size) in enumerate(zip(places, sizes, strict=True)):
-        raw = data[at : at + size]
-        raw = zlib.decompress(raw) if packed != 1 else raw
-        band, cell = divmod(i, across * down) if planar == 2 else (0, i)
-        r, c = cell // across * h, cell % across * w
-        rows = h if tiled else min(h, height - r)
-        block = np.frombuffer(raw, dtype, rows * w * per).reshape(rows, w, per)[: height - r, : width - c]
-        for b in range(per):
-            out[band + b, r : r + block.shape[0], c : c + block.shape[1]] = block[:, :, b]
     scale, tie = t.get(SCALE, (1.0, 1.0, 0.0)), t.get(TIEPOINT, (0.0,) * 6)
-    return out, {"x0": tie[3] - tie[0] * scale[0], "dx": scale[0], "y0": tie[4] + tie[1] * scale[1], "dy": -scale[1]}
+    world = {"x0": tie[3] - tie[0] * scale[0], "dx": scale[0], "y0": tie[4] + tie[1] * scale[1], "dy": -scale[1]}
+    kind = {1: "u", 2: "i", 3: "f"}[one(FORMAT, 1)]
+    dtype = np.dtype(f"{order}{kind}{one(BITS, 8) // 8}")
+    return Layout(one(SAMPLES, 1), height, width, dtype, packed != 1, one(PLANAR, 1) == 2, tiled, side, places, sizes, world)
+
+
+def read(data: bytes) -> tuple[np.ndarray, dict]:
+    """(array of bands x height x width, world coordinates x0, dx, y0, dy) of a whole file."""
+    cut = lambda at, n: data[at : at + n]
+    p = layout(cut)
+    out = np.zeros((p.bands, p.height, p.width), p.dtype)
+    for i in range(len(p.places)):
+        band, r, c, part = p.block(cut, i)
+        out[band : band + part.shape[0], r : r + part.shape[1], c : c + part.shape[2]] = part
+    return out, p.world
 
 
 def write(bands: np.ndarray, x0: float = 0.0, dx: float = 1.0, y0: float = 0.0, dy: float = -1.0, rows: int = 64, deflate: bool = True) -> bytes:
