@@ -9,6 +9,7 @@ from rasterjobs.functions.algebra import classify_bins
 from rasterjobs.operators.focal import gaussian_smooth
 from rasterjobs.operators.ranked import percentile_row, percentiles
 from rasterjobs.operators.regions import connected_regions
+from rasterjobs.operators.skew import salted_join
 from rasterjobs.runtime import snapshot
 
 #: Bounds of the depth classes in metres; class i is [bounds[i - 1], bounds[i]).
@@ -36,8 +37,8 @@ def flood_depth(df: DataFrame, dem: str = "z", mask: str = "mask", sigma: float
     """
     smooth = gaussian_smooth(df, dem, sigma, "__z").where(F.col(mask) == 1).select("scene_id", "row", "col", mask, "__z")
     regions = snapshot(connected_regions(snapshot(smooth, "smooth"), mask), "regions")  # both are read several times
-    level = zonal_percentile(regions, "__z", p, min_px)
-    deep = regions.join(level, ["scene_id", "region_id"], "left").select("scene_id", "row", "col", F.coalesce(F.greatest(F.col("wse") - F.col("__z"), F.lit(0.0)), F.lit(0.0)).alias("depth"))
+    level = snapshot(zonal_percentile(regions, "__z", p, min_px), "levels")
+    deep = salted_join(regions, level, ["scene_id", "region_id"], "n_px", ["row", "col"], "left").select("scene_id", "row", "col", F.coalesce(F.greatest(F.col("wse") - F.col("__z"), F.lit(0.0)), F.lit(0.0)).alias("depth"))
     return df.join(deep, ["scene_id", "row", "col"], "left")
 
 

@@ -6,10 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import keyword_only
 from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed, Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,31 +87,41 @@ def train_boosted_trees(samples: DataFrame, features: list[str], rounds: int = 3
     return Pipeline(stages=[_assembled(features), gbt]).fit(rows)
 
 
-class RandomFourier(Transformer):
-    """cos(w x + b) features whose dot products approximate the RBF kernel exp(-gamma |x - y|^2) (Rahimi and Recht 2007)."""
+class RandomFourier(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
+    """cos(w x + b) features whose dot products approximate the RBF kernel exp(-gamma |x - y|^2) (Rahimi and Recht 2007).
 
-    def __init__(self, inputs: str, outputs: str, size: int, gamma: float, width: int, seed: int):
+    w and b follow from the parameters, so a saved pipeline holds no more than these.
+    """
+
+    size = Param(Params._dummy(), "size", "length of the input vectors", TypeConverters.toInt)
+    width = Param(Params._dummy(), "width", "number of features", TypeConverters.toInt)
+    gamma = Param(Params._dummy(), "gamma", "gamma of the kernel", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None, size: int = 1, width: int = 256, gamma: float = 1.0, seed: int = 42):
         super().__init__()
-        rng = np.random.default_rng(seed)
-        self.inputs, self.outputs, self.width = inputs, outputs, width
-        self.w, self.b = rng.normal(0, math.sqrt(2 * gamma), (size, width)), rng.uniform(0, 2 * math.pi, width)
+        self._setDefault(size=1, width=256, gamma=1.0, seed=42)
+        self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        w, b, scale = self.w, self.b, math.sqrt(2 / self.width)
+        size, width = self.getOrDefault(self.size), self.getOrDefault(self.width)
+        rng = np.random.default_rng(self.getSeed())
+        w, b = rng.normal(0, math.sqrt(2 * self.getOrDefault(self.gamma)), (size, width)), rng.uniform(0, 2 * math.pi, width)
+        scale = math.sqrt(2 / width)
 
         @F.pandas_udf("array<double>")
         def lift(x: pd.Series) -> pd.Series:
             return pd.Series(list(scale * np.cos(np.stack(x.to_numpy()) @ w + b))) if len(x) else pd.Series([], dtype=object)
 
         ship(dataset.sparkSession)
-        return dataset.withColumn(self.outputs, array_to_vector(lift(vector_to_array(self.inputs))))
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(lift(vector_to_array(self.getInputCol()))))
 
 
 def train_svm(samples: DataFrame, features: list[str], c: float = 10.0, width: int = 256, seed: int = 42):
     """Scaled features, random Fourier map of the RBF kernel (gamma 1 / number of features), balanced linear SVM."""
     rows = with_weights(valid_only(samples, features))
     n = max(1, rows.count())
-    stages = [_assembled(features, "raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True), RandomFourier("scaled", "features", len(features), 1 / len(features), width, seed), LinearSVC(labelCol="label", weightCol="weight", regParam=1 / (c * n), maxIter=100)]
+    stages = [_assembled(features, "raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True), RandomFourier(inputCol="scaled", outputCol="features", size=len(features), gamma=1 / len(features), width=width, seed=seed), LinearSVC(labelCol="label", weightCol="weight", regParam=1 / (c * n), maxIter=100)]
     return Pipeline(stages=stages).fit(rows)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterjobs.runtime import snapshot
+from rasterjobs.runtime import drop, snapshot
 
 
 def in_ranges(df: DataFrame, order: list[str | Column]) -> DataFrame:
@@ -49,7 +49,9 @@ def percentiles(df: DataFrame, x: str | Column, ps: list[float], by: list[str] |
     by = by or []
     x = F.col(x) if isinstance(x, str) else x
     counts = df.select(*by, x.cast("double").alias("__x")).where("__x is not null").groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    counts = snapshot(counts, "counts")  # placing the ranges' bounds reads it once more
     placed = with_ranges(in_ranges(counts, [*by, "__x"]), by, F.sum("__c"))
+    drop(counts)
     upto = Window.partitionBy(*by, "__range").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("__end", F.col("__before") + F.sum("__c").over(upto))
 

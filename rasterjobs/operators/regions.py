@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from rasterjobs.functions.algebra import threshold_mask
 from rasterjobs.operators.components import connected_components
 from rasterjobs.operators.focal import open_close
+from rasterjobs.operators.skew import salted_join
 from rasterjobs.runtime import ship, snapshot
 
 #: Cells of a scene are numbered row * STRIDE + col: a region's id is its first cell in raster order.
@@ -109,8 +110,8 @@ def sieve(df: DataFrame, min_px: int = 25, mask: str = "mask") -> DataFrame:
     """``df`` with regions of fewer than ``min_px`` cells set to 0."""
     key = ["scene_id", "row", "col"]
     cells = snapshot(connected_regions(df.select(*key, mask), mask), "labelled")
-    kept = region_sizes(cells).where(F.col("n_px") >= min_px).drop("n_px")
-    kept = cells.join(kept, ["scene_id", "region_id"], "left_semi").select(*key).withColumn("__keep", F.lit(1))
+    kept = snapshot(region_sizes(cells).where(F.col("n_px") >= min_px), "kept")
+    kept = salted_join(cells, kept, ["scene_id", "region_id"], "n_px", ["row", "col"]).select(*key, F.lit(1).alias("__keep"))
     return df.join(kept, key, "left").withColumn(mask, F.coalesce("__keep", F.lit(0))).drop("__keep")
 
 
@@ -127,12 +128,19 @@ def _sides(regions: DataFrame) -> DataFrame:
     return cells.withColumns({"top": free(F.lag, "row", -1, down), "bottom": free(F.lead, "row", 1, down)})
 
 
-def boundary_edges(regions: DataFrame) -> DataFrame:
-    """Unit edges between a region's cells and anything else, from corner (r0, c0) to (r1, c1), the region on the left. Rows grow downwards."""
-    ends = {"top": ((0, 1), (0, 0)), "left": ((0, 0), (1, 0)), "bottom": ((1, 0), (1, 1)), "right": ((1, 1), (0, 1))}
-    edge = lambda p, q: F.struct(*[(F.col(axis) + v).alias(name) for name, axis, v in (("r0", "row", p[0]), ("c0", "col", p[1]), ("r1", "row", q[0]), ("c1", "col", q[1]))])
-    found = F.array_compact(F.array(*[F.when(F.col(side), edge(p, q)) for side, (p, q) in ends.items()]))
-    return _sides(regions).select("scene_id", "region_id", F.explode(found).alias("e")).select("scene_id", "region_id", "e.*")
+def boundary_segments(regions: DataFrame) -> DataFrame:
+    """Straight pieces of a region's boundary, from corner (r0, c0) to (r1, c1), the region on the left; rows grow downwards.
+
+    Neighbouring sides of a raster row or column are one piece, so a region has as many as its outline has corners.
+    """
+    sides = F.array_compact(F.array(*[F.when(F.col(c), F.struct(F.lit(c).alias("side"), F.col(line).alias("line"), F.col(pos).alias("pos"))) for c, line, pos in (("top", "row", "col"), ("bottom", "row", "col"), ("left", "col", "row"), ("right", "col", "row"))]))
+    unit = _sides(regions).select("scene_id", "region_id", F.explode(sides).alias("e")).select("scene_id", "region_id", "e.*")
+    key = ["scene_id", "region_id", "side", "line"]
+    run = F.col("pos") - F.row_number().over(Window.partitionBy(*key).orderBy("pos"))
+    whole = unit.withColumn("g", run).groupBy(*key, "g").agg(F.min("pos").alias("a"), (F.max("pos") + 1).alias("b"))
+    ends = {"top": ("line", "b", "line", "a"), "bottom": ("line + 1", "a", "line + 1", "b"), "left": ("a", "line", "b", "line"), "right": ("b", "line + 1", "a", "line + 1")}
+    cases = lambda i: F.expr("case side " + " ".join(f"when '{side}' then {e[i]}" for side, e in ends.items()) + " end")
+    return whole.select("scene_id", "region_id", *[cases(i).alias(name) for i, name in enumerate(("r0", "c0", "r1", "c1"))])
 
 
 def polygon_stats(regions: DataFrame, pixel_m: float = 18.0) -> DataFrame:
@@ -143,19 +151,21 @@ def polygon_stats(regions: DataFrame, pixel_m: float = 18.0) -> DataFrame:
 
 
 def _rings(edges: list[tuple[int, int, int, int]]) -> Iterator[list[tuple[int, int]]]:
-    """Closed corner rings of directed unit edges; where two rings meet in a corner the turn that stays with the cell wins."""
+    """Closed corner rings of directed straight edges; where two rings meet in a corner the turn that stays with the cell wins."""
+    way = lambda p, q: ((q[0] > p[0]) - (q[0] < p[0]), (q[1] > p[1]) - (q[1] < p[1]))
     leaving: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for r0, c0, r1, c1 in sorted(edges):
         leaving.setdefault((r0, c0), []).append((r1, c1))
-    while leaving:
-        start = min(leaving)
+    for start in sorted(leaving):
+        if start not in leaving:
+            continue
         ring, at, came = [start], start, None
         while True:
             options = leaving[at]
             if len(options) > 1 and came is not None:
-                dr, dc = at[0] - came[0], at[1] - came[1]
-                turn = (at[0] - dc, at[1] + dr)  # left of the direction, with rows growing downwards
-                nxt = turn if turn in options else options[0]
+                dr, dc = way(came, at)
+                turn = (-dc, dr)  # left of the direction, with rows growing downwards
+                nxt = next((x for x in options if way(at, x) == turn), options[0])
             else:
                 nxt = options[0]
             options.remove(nxt)
@@ -165,10 +175,7 @@ def _rings(edges: list[tuple[int, int, int, int]]) -> Iterator[list[tuple[int, i
             if at == start:
                 break
             ring.append(at)
-        # drop corners in the middle of straight lines
-        n = len(ring)
-        kept = [ring[i] for i in range(n) if (ring[i][0] - ring[i - 1][0], ring[i][1] - ring[i - 1][1]) != (ring[(i + 1) % n][0] - ring[i][0], ring[(i + 1) % n][1] - ring[i][1])]
-        yield [*kept, kept[0]]
+        yield [*ring, ring[0]]
 
 
 def _signed_area(ring: list[tuple[int, int]]) -> float:
@@ -194,7 +201,7 @@ def ring_table(polygons: DataFrame) -> DataFrame:
 def polygonize(regions: DataFrame, x0: float = 0.0, dx: float = 1.0, y0: float = 0.0, dy: float = -1.0) -> DataFrame:
     """``(scene_id, region_id, geometry)``: each region's outline with holes as WKT in world coordinates.
 
-    Edges are found in parallel; a region's ring walk sees its boundary edges only.
+    Straight pieces of the boundary are found in parallel; a region's ring walk sees these only, as many as its text has corners.
     """
     ship(regions.sparkSession)
 
@@ -204,4 +211,4 @@ def polygonize(regions: DataFrame, x0: float = 0.0, dx: float = 1.0, y0: float =
         text = ", ".join("(" + ", ".join(f"{x0 + c * dx:.10g} {y0 + r * dy:.10g}" for r, c in ring) + ")" for ring in rings)
         return pd.DataFrame({"scene_id": [pdf["scene_id"].iloc[0]], "region_id": [pdf["region_id"].iloc[0]], "geometry": [f"POLYGON ({text})"]})
 
-    return boundary_edges(regions).groupBy("scene_id", "region_id").applyInPandas(walk, "scene_id string, region_id long, geometry string")
+    return boundary_segments(regions).groupBy("scene_id", "region_id").applyInPandas(walk, "scene_id string, region_id long, geometry string")

@@ -7,6 +7,7 @@ from collections import deque
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from rasterjobs.functions import algebra as A
@@ -221,6 +222,49 @@ def test_texture_of_a_constant_tile(spark):
     assert texture.glcm_texture(pixels(spark, np.full((1, 3), 3), "q"), tile=16).count() == 0
 
 
+def test_warp_of_several_scenes_needs_their_names(spark):
+    one, two = pixels(spark, np.full((2, 2), 1.0)), pixels(spark, np.full((2, 2), 9.0)).withColumn("scene_id", F.lit("other"))
+    both = one.unionByName(two).withColumnRenamed("x", "z")
+    target = one.select("scene_id", "row", "col")
+    with pytest.raises(ValueError):
+        resample.warp(both, "z", target, F.col("col") + 0.5, F.col("row") + 0.5, (0, 1, 0, 1))
+    out = resample.warp(both, "z", target.withColumn("source_id", F.lit("other")), F.col("col") + 0.5, F.col("row") + 0.5, (0, 1, 0, 1))
+    assert {r.z for r in out.collect()} == {9.0}
+
+
+def test_regions_over_many_tiles_match_brute_force(spark):
+    rng = np.random.default_rng(12)
+    grid = (rng.random((40, 53)) < 0.6).astype(int)
+    label = np.where(grid == 1, np.arange(grid.size).reshape(grid.shape), -1)
+    while True:
+        before = label.copy()
+        for axis, step in ((0, 1), (0, -1), (1, 1), (1, -1)):
+            moved = np.roll(label, step, axis)
+            edge = [slice(None)] * 2
+            edge[axis] = 0 if step == 1 else -1
+            moved[tuple(edge)] = -1
+            label = np.where((grid == 1) & (moved >= 0), np.minimum(label, moved), label)
+        if (label == before).all():
+            break
+    df = pixels(spark, grid, "mask")
+    found = regions.connected_regions(df, tile=8).collect()
+    assert len(found) == grid.sum() and all(divmod(r.region_id, regions.STRIDE) == divmod(int(label[r.row, r.col]), 53) for r in found)
+    rings = {r.region_id: r for r in regions.ring_table(regions.polygonize(regions.connected_regions(df, tile=16))).collect()}
+    stats = {r.region_id: r for r in regions.polygon_stats(regions.connected_regions(df), 1.0).collect()}
+    assert {k: (r.area, r.length) for k, r in rings.items()} == {k: (r.area_m2, r.perimeter_m) for k, r in stats.items()}
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from rasterjobs import runtime
+
+    none = SimpleNamespace(get=lambda *a: None)
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: none, master="yarn"), conf=none)
+    with pytest.raises(ValueError):
+        runtime.shared_dir(fake)
+
+
 def test_tiff_round_trip(spark, tmp_path):
     rng = np.random.default_rng(8)
     for i, (kind, deflate) in enumerate([("u1", True), ("u2", False), ("f4", True)]):
@@ -265,7 +309,7 @@ def test_votes_where_each_source_matters(spark):
     assert raster(accuracy.ensemble_vote(accuracy.union_masks({"a": one, "b": missing}), {"a": 1.0, "b": 2.0}), "mask", (1, 3)).sum() == 0
 
 
-def test_models_on_separable_samples(spark):
+def test_models_on_separable_samples(spark, tmp_path):
     rng = np.random.default_rng(9)
     rows = [("s", i, 0, float(rng.normal(4 * (i % 2), 0.5)), float(rng.normal()), i % 2) for i in range(120)] + [("s", 999, 0, None, 1.0, 1)]
     df = spark.createDataFrame(rows, "scene_id string, row int, col int, u double, v double, label int").cache()
@@ -276,6 +320,11 @@ def test_models_on_separable_samples(spark):
     assert ml.permutation_importance(forest, df, ["u", "v"]).first().feature == "u"
     for train in (lambda s, f: ml.train_boosted_trees(s, f, rounds=3, depth=2), lambda s, f: ml.train_svm(s, f, width=32)):
         assert accuracy.confusion(train(df, ["u", "v"]).transform(A.valid_only(df, ["u", "v"])), "prediction", "label").selectExpr("tp + tn").first()[0] >= 110
+    svm = ml.train_svm(df, ["u", "v"], width=32)
+    svm.write().overwrite().save(f"file://{tmp_path}/svm")
+    again = PipelineModel.load(f"file://{tmp_path}/svm")
+    valid = A.valid_only(df, ["u", "v"])
+    assert [r.prediction for r in again.transform(valid).orderBy("row").collect()] == [r.prediction for r in svm.transform(valid).orderBy("row").collect()]
     cv = ml.cross_validate_f1(df, ["u", "v"], lambda s, f: ml.train_random_forest(s, f, trees=3, depth=3), 2).first()
     assert cv.mean_f1 > 0.95
     folds = ml.stratified_folds(df, 5).groupBy("label", "fold").count().agg(F.max("count") - F.min("count")).first()[0]
