@@ -13,7 +13,7 @@ from rasterjobs.llm.minhash import keep_one_of_each
 from rasterjobs.llm.mixing import mixed
 from rasterjobs.llm.packing import digest, pack
 from rasterjobs.llm.queries import tokenizer_path
-from rasterjobs.runtime import snapshot
+from rasterjobs.runtime import drop, snapshot
 
 ORACLE_SQL = None
 
@@ -55,5 +55,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = snapshot(stage(spark, docs, sf_dir), name)
+        kept, before = snapshot(stage(spark, docs, sf_dir), name), docs
+        drop(before)  # the next stage reads what this one wrote
+        docs = kept
     return docs
