@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterjobs.operators.skew import salted_join
 from rasterjobs.runtime import drop, ship, snapshot
 
 #: Vectors per shard on average, per leaf at most; queries per block on average.
@@ -236,19 +237,19 @@ def searched(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256,
     placed = snapshot(_regions(raw, -(-n // shard)), "placed")
     drop(raw)
     # regions of more vectors than a shard holds (equal vectors share one) are dealt by hash
-    load = placed.groupBy("region", "dim").agg(F.ceil(F.count(F.lit(1)) / (2 * shard)).cast("int").alias("subs"))
-    load = F.broadcast(snapshot(load, "regions"))  # a row per region and length
+    load = placed.groupBy("region", "dim").agg(F.count(F.lit(1)).alias("n"))
+    load = snapshot(load.withColumn("subs", F.ceil(F.col("n") / (2 * shard)).cast("int")), "regions")
     sub = F.pmod(F.xxhash64("vec_id", "v"), F.col("subs")).cast("int").alias("sub")
 
     def plant(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"region": [pdf["region"].iloc[0]], "sub": [pdf["sub"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "tree": [_pack(build(*_rows(pdf), leaf))]})
 
-    shards = placed.join(load, ["region", "dim"]).select("region", "dim", sub, "vec_id", "v").groupBy("region", "dim", "sub")
+    shards = salted_join(placed, load, ["region", "dim"], "n", ["vec_id"]).select("region", "dim", sub, "vec_id", "v").groupBy("region", "dim", "sub")
     trees = snapshot(shards.applyInPandas(plant, "region long, sub int, dim int, tree binary"), "trees")
     # a repeated id asks once, with its smallest vector
     asked = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "v", "region")).alias("x")).select("vec_id", "x.dim", "x.v", "x.region")
     blocks = max(1, -(-n // (every * block)))
-    asked = asked.join(load, ["region", "dim"]).select("vec_id", "dim", "v", "region", sub, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+    asked = salted_join(asked, load, ["region", "dim"], "n", ["vec_id"]).select("vec_id", "dim", "v", "region", sub, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
     asked = snapshot(asked, "asked")
 
     def walk(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

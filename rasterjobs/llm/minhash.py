@@ -188,6 +188,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, chunks: int
     open_ = salted_join(placed.drop("members"), snapshot(mixed, "mixed"), "key", "members", ["id"]).where("id <> head").select("id", "n", "c").distinct()
     more = snapshot(_verified(_by_rare_shingles(open_, texts, k, percent), texts, k, percent), "links")
     comps = connected_components(links.unionByName(more))
+    drop(buckets, placed, links, more)
     by_rep = reps.select("fa", "fb", "n", F.col("id").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     by_rep = by_rep.select("fa", "fb", "n", F.coalesce("component", "rep").alias("component"))
     out = one.join(by_rep, ["fa", "fb", "n"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

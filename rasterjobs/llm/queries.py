@@ -66,6 +66,21 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op4."""
+    return op4_quality_rules(spark, sf_dir).drop("kept", "llr")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op7."""
+    return op7_mixing(spark, sf_dir).drop("taken")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op8."""
+    return op8_secrets(spark, sf_dir).drop("spans")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_ball_tree": op2_ball_tree,
@@ -77,6 +92,9 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_minhash": op9_minhash,
     "op10_line_crf": op10_line_crf,
+    "rules_base": rules_base,
+    "mix_targets": mix_targets,
+    "secrets_base": secrets_base,
 }
 
 _OP2 = """
@@ -128,4 +146,44 @@ SELECT cc.id AS doc_id, coalesce(n.c, 0) AS n_shingles, cc.lab AS component_id,
 FROM cc LEFT JOIN n ON n.doc_id = cc.id
 """
 
-ORACLES: dict[str, str] = {"op2_ball_tree": _OP2, "op6_warc_zip": _OP6, "op9_minhash": _OP9}
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+_RULES = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+p AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+d AS (SELECT doc_id, g FROM p GROUP BY 1, 2 HAVING count(*) > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM p JOIN d USING (doc_id, g), range(5) x(k) GROUP BY 1),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+c AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c
+"""
+
+#: The level at which sources stop: sources by rising cap per weight, the first k stopped, the rest sharing what is left.
+_MIX = f"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM d GROUP BY 1),
+w AS (SELECT *, [3, 1, 2][(place - 1) % 3 + 1] AS weight, 1.5e0 * sum(words) OVER () AS total FROM s),
+r AS (SELECT *, 2e0 * words / weight AS full_at, row_number() OVER (ORDER BY 2e0 * words / weight, place) AS k FROM w),
+v AS (SELECT *, (total - 2 * (sum(words) OVER (ORDER BY k) - words)) / (sum(weight) OVER () - sum(weight) OVER (ORDER BY k) + weight) AS level FROM r),
+x AS (SELECT arg_min(level, k) FILTER (level <= full_at) AS level FROM v)
+SELECT doc_id, size, words AS source_size, CAST(CASE WHEN x.level * weight > 2 * words THEN 2 * words ELSE x.level * weight END AS DOUBLE) AS target
+FROM d JOIN v ON v.source IS NOT DISTINCT FROM d.source, x
+"""
+
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_PARTS = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, '{kind}' AS kind, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS x FROM d" for k, (kind, p) in enumerate({"assign": _ASSIGN, "access": "AKIA[A-Z0-9]{12,}", "hex": "[0-9a-f]{32,}"}.items()))
+_SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({_PARTS}),
+p AS (SELECT doc_id, k, kind, x, g, unnest(range(1, len(x) + 1)) AS i FROM m WHERE len(x) > 0),
+s AS (SELECT doc_id, k, kind, x[i] AS y, CAST(list_sum(list_transform(g[1:i], lambda q: length(q))) + coalesce(list_sum(list_transform(x[1:i - 1], lambda q: length(q))), 0) AS BIGINT) AS s FROM p),
+f AS (SELECT *, s + length(y) AS e FROM s WHERE k <> 0 OR length(regexp_extract(y, '{_ASSIGN}', 2)) >= 8)
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k), '')) AS base_sha256
+FROM d LEFT JOIN f USING (doc_id) GROUP BY 1
+"""
+
+ORACLES: dict[str, str] = {"op2_ball_tree": _OP2, "op6_warc_zip": _OP6, "op9_minhash": _OP9, "rules_base": _RULES, "mix_targets": _MIX, "secrets_base": _SECRETS}
