@@ -38,7 +38,7 @@ def flood_depth(df: DataFrame, dem: str = "z", mask: str = "mask", sigma: float
     smooth = gaussian_smooth(df, dem, sigma, "__z").where(F.col(mask) == 1).select("scene_id", "row", "col", mask, "__z")
     regions = snapshot(connected_regions(snapshot(smooth, "smooth"), mask), "regions")  # both are read several times
     level = snapshot(zonal_percentile(regions, "__z", p, min_px), "levels")
-    deep = salted_join(regions, level, ["scene_id", "region_id"], "n_px", ["row", "col"], "left").select("scene_id", "row", "col", F.coalesce(F.greatest(F.col("wse") - F.col("__z"), F.lit(0.0)), F.lit(0.0)).alias("depth"))
+    deep = salted_join(regions, level, ["scene_id", "region_id"], "n_px", ["row", "col"], "left", small=True).select("scene_id", "row", "col", F.coalesce(F.greatest(F.col("wse") - F.col("__z"), F.lit(0.0)), F.lit(0.0)).alias("depth"))
     return df.join(deep, ["scene_id", "row", "col"], "left")
 
 

@@ -111,7 +111,7 @@ def sieve(df: DataFrame, min_px: int = 25, mask: str = "mask") -> DataFrame:
     key = ["scene_id", "row", "col"]
     cells = snapshot(connected_regions(df.select(*key, mask), mask), "labelled")
     kept = snapshot(region_sizes(cells).where(F.col("n_px") >= min_px), "kept")
-    kept = salted_join(cells, kept, ["scene_id", "region_id"], "n_px", ["row", "col"]).select(*key, F.lit(1).alias("__keep"))
+    kept = salted_join(cells, kept, ["scene_id", "region_id"], "n_px", ["row", "col"], small=True).select(*key, F.lit(1).alias("__keep"))
     return df.join(kept, key, "left").withColumn(mask, F.coalesce("__keep", F.lit(0))).drop("__keep")
 
 

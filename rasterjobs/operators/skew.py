@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many keys count as hot, and a table of no more rows is broadcast whole; a key of fewer rows than LEAST_HOT is never hot.
+#: At most so many keys count as hot, and a small table of no more rows is broadcast whole; a key of fewer rows than LEAST_HOT is never hot.
 HOT_KEYS, LEAST_HOT = 100_000, 1_000
 
 
-def salted_join(rows: DataFrame, table: DataFrame, key: str | list[str], count: str, spread: list[str], how: str = "inner") -> DataFrame:
+def salted_join(rows: DataFrame, table: DataFrame, key: str | list[str], count: str, spread: list[str], how: str = "inner", small: bool = False) -> DataFrame:
     """``rows`` joined with ``table``, which has one row per key and, in ``count``, how many ``rows`` the key has.
 
-    A ``table`` of at most HOT_KEYS rows is broadcast. Of a larger one only hot keys are: a key with more than one
-    HOT_KEYS-th of all rows is dealt over salts by a hash of the columns ``spread``, and its row of ``table`` is
-    repeated for each of them. ``table`` is read several times, so it should be a snapshot.
+    A key with more than one HOT_KEYS-th of all rows is dealt over salts by a hash of the columns ``spread``, and its
+    row of ``table`` is repeated for each of them; only hot keys are broadcast. With ``small``, for tables that
+    seldom grow with the data, a ``table`` of at most HOT_KEYS rows is broadcast whole. It is read several times, so it should
+    be a snapshot.
     """
     keys = [key] if isinstance(key, str) else list(key)
     total, n = table.agg(F.sum(count), F.count(F.lit(1))).first()
-    if n <= HOT_KEYS:
+    if small and n <= HOT_KEYS:
         return rows.join(F.broadcast(table), keys, how)
     limit = max(LEAST_HOT, (total or 0) // HOT_KEYS)
     salts = F.ceil(F.col(count) / limit).cast("int")
