@@ -244,12 +244,12 @@ def searched(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256,
     def plant(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"region": [pdf["region"].iloc[0]], "sub": [pdf["sub"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "tree": [_pack(build(*_rows(pdf), leaf))]})
 
-    shards = salted_join(placed, load, ["region", "dim"], "n", ["vec_id"]).select("region", "dim", sub, "vec_id", "v").groupBy("region", "dim", "sub")
+    shards = salted_join(placed, load, ["region", "dim"], "n", ["vec_id"], small=True).select("region", "dim", sub, "vec_id", "v").groupBy("region", "dim", "sub")
     trees = snapshot(shards.applyInPandas(plant, "region long, sub int, dim int, tree binary"), "trees")
     # a repeated id asks once, with its smallest vector
     asked = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "v", "region")).alias("x")).select("vec_id", "x.dim", "x.v", "x.region")
     blocks = max(1, -(-n // (every * block)))
-    asked = salted_join(asked, load, ["region", "dim"], "n", ["vec_id"]).select("vec_id", "dim", "v", "region", sub, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+    asked = salted_join(asked, load, ["region", "dim"], "n", ["vec_id"], small=True).select("vec_id", "dim", "v", "region", sub, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
     asked = snapshot(asked, "asked")
 
     def walk(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

@@ -159,7 +159,7 @@ def learn(labelled: DataFrame, bound: int = TRAINING_DOCS, share: float = SHARE,
     sizes = snapshot(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     each = bound / max(1, sizes.count())  # the same bound for each language, so that rare ones are learned as well
     part = (F.lit(10**12 * each) / F.col("n")).cast("long")
-    sample = salted_join(rows, sizes, "lang", "n", ["doc_id"]).where(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(10**12)) < part)
+    sample = salted_join(rows, sizes, "lang", "n", ["doc_id"], small=True).where(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(10**12)) < part)
     sample = snapshot(sample.select("text", "lang"), "sample")
     languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # at most a sample's rows
     if not languages:

@@ -102,7 +102,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     block = max(1, min(block, int((least[0] or 1) // 100), int(least[1] or 1)))
     blocks = apportion(sources, [], "target", F.lit(round(total / block)), ["key"]).select("key", F.col("seats").alias("blocks"))
     sources = snapshot(sources.join(blocks, "key", "left").select("key", *names, F.col("words").alias("source_size"), "target", F.coalesce("blocks", F.lit(0)).alias("blocks"), "shards", "rows"), "targets")
-    rows = salted_join(rows, sources, names, "rows", ["doc_id", "size"]).drop("rows", *names)
+    rows = salted_join(rows, sources, names, "rows", ["doc_id", "size"], small=True).drop("rows", *names)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.col("shards")).cast("int")).drop("shards")
     words = F.col("size") * F.col("copies")
     per = snapshot(rows.groupBy("key", "shard", "blocks").agg(F.sum(words).alias("words")), "shards")
