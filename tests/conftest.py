@@ -17,6 +17,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.codegen.cache.maxEntries", "5000")  # many small plans, compiled once
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
