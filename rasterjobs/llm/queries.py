@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rasterjobs.llm.ball_tree import top_k
+from rasterjobs.llm.decontamination import contaminated
+from rasterjobs.llm.hard_negatives import mine
 from rasterjobs.llm.language import language_of_all
 from rasterjobs.llm.line_crf import document_quality
 from rasterjobs.llm.line_dedup import dedup_lines
@@ -14,6 +17,7 @@ from rasterjobs.llm.packing import digest, pack
 from rasterjobs.llm.quality_rules import quality_rules
 from rasterjobs.llm.secrets import secret_spans
 from rasterjobs.llm.warc_zip import archived
+from rasterjobs.llm.whitening import whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +70,24 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return mine(_table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def whitening_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op11."""
+    return op11_whitening(spark, sf_dir).select("vec_id", "component", "n", "deviation")
+
+
 def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can express of op4."""
     return op4_quality_rules(spark, sf_dir).drop("kept", "llr")
@@ -92,6 +114,10 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_minhash": op9_minhash,
     "op10_line_crf": op10_line_crf,
+    "op11_whitening": op11_whitening,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_decontamination": op13_decontamination,
+    "whitening_base": whitening_base,
     "rules_base": rules_base,
     "mix_targets": mix_targets,
     "secrets_base": secrets_base,
@@ -186,4 +212,48 @@ SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS
 FROM d LEFT JOIN f USING (doc_id) GROUP BY 1
 """
 
-ORACLES: dict[str, str] = {"op2_ball_tree": _OP2, "op6_warc_zip": _OP6, "op9_minhash": _OP9, "rules_base": _RULES, "mix_targets": _MIX, "secrets_base": _SECRETS}
+#: All components of the given vectors have variance.
+_WHITENING = """
+WITH x AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT) + 1000000) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), e AS (SELECT vec_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM x),
+s AS (SELECT i, sum(x) AS s, count(*) AS n FROM e GROUP BY 1),
+d AS (SELECT vec_id, n, CAST(sum((n * x - s) * (n * x - s)) AS BIGINT) AS deviation FROM e JOIN s USING (i) GROUP BY 1, 2)
+SELECT vec_id, CAST(k AS INTEGER) AS component, n, deviation FROM d, range(1, 33) r(k)
+"""
+
+_OP12 = """
+WITH q AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), a AS (
+  SELECT vec_id, min({'label': label, 'n': len(v), 'v': v}) AS m FROM q WHERE vec_id % 100 = 0 GROUP BY 1
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, b.label = m.label AS same, CAST(list_inner_product(m.v, b.v) AS BIGINT) AS score
+  FROM a JOIN q b ON a.vec_id <> b.vec_id AND m.n = len(b.v)
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.k ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 30 * p.score AND 90 * p.score WHERE p.k <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+_PLAIN = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP13 = f"""
+WITH i AS (SELECT item_id, {_PLAIN} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+r AS (SELECT DISTINCT item_id, least(10, len(ws)) AS m, array_to_string(ws[p:p + least(10, len(ws)) - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS p FROM i WHERE len(ws) > 0)),
+d AS (SELECT row_number() OVER () AS row_id, doc_id, {_PLAIN} AS ws FROM documents),
+g AS (SELECT row_id, p, m, array_to_string(ws[p:p + m - 1], ' ') AS g FROM (SELECT row_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM r) WHERE len(ws) >= m)),
+h AS (SELECT row_id, p, m, item_id FROM g JOIN r USING (g, m)),
+c AS (SELECT row_id, count(DISTINCT p + k) AS n_hit FROM (SELECT DISTINCT row_id, p, m FROM h), range(10) x(k) WHERE k < m GROUP BY 1),
+t AS (SELECT row_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM (SELECT DISTINCT row_id, item_id FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (row_id) LEFT JOIN t USING (row_id)
+"""
+
+ORACLES: dict[str, str] = {"whitening_base": _WHITENING, "op12_hard_negatives": _OP12, "op13_decontamination": _OP13, "op2_ball_tree": _OP2, "op6_warc_zip": _OP6, "op9_minhash": _OP9, "rules_base": _RULES, "mix_targets": _MIX, "secrets_base": _SECRETS}
