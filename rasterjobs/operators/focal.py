@@ -1,87 +1,97 @@
-"""Moving windows on dense pixel grids, one axis at a time: a window over each raster row, then over each column.
+"""Moving windows on dense pixel grids: chains of filters on halo tiles, each chain in one exchange of pixels.
 
-Neighbouring passes on the same axis share a partitioning, so open-then-close needs five exchanges, not eight.
+Sums run along rows, then columns, as differences of prefix sums of values less their tile's mean, so little cancels;
+extrema take two passes (running from each block's both ends), whatever the window. A missing value is NULL or NaN.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame
 
-_AXIS = {"col": ("row", "width"), "row": ("col", "height")}
+from rasterjobs.operators.tiles import Tile, grid_sizes, over_tiles
 
+__all__ = ["box_mean", "closing", "dilate", "erode", "gaussian_smooth", "grid_sizes", "lee_filter", "local_stats", "open_close", "opening"]
 
-def grid_sizes(df: DataFrame) -> DataFrame:
-    """``(scene_id, height, width)`` of dense grids: one row per scene."""
-    return df.groupBy("scene_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
 
+def window_sums(a: np.ndarray, k: int) -> np.ndarray:
+    """Sums over (2k + 1) x (2k + 1) cells; the k outermost cells of the result have no meaning."""
+    for axis in (0, 1):
+        total = np.insert(np.cumsum(a, axis=axis), 0, 0, axis=axis)
+        n = a.shape[axis]
+        place = np.arange(n)
+        a = total.take(np.minimum(place + k + 1, n), axis=axis) - total.take(np.maximum(place - k, 0), axis=axis)
+    return a
 
-def along(axis: str, k: int) -> Window:
-    """The cells up to k before and after on ``axis``, by position, so that missing cells don't shift the frame."""
-    other, _ = _AXIS[axis]
-    return Window.partitionBy("scene_id", other).orderBy(axis).rangeBetween(-k, k)
 
+def window_extremes(a: np.ndarray, k: int, least: bool) -> np.ndarray:
+    """The least (or greatest) of (2k + 1) x (2k + 1) cells; the k outermost cells of the result have no meaning."""
+    f, w = np.minimum if least else np.maximum, 2 * k + 1
+    for _ in range(2):  # along rows, then on the transposed array
+        n = a.shape[1]
+        more = -n % w
+        blocks = np.pad(a, ((0, 0), (0, more)), mode="edge").reshape(len(a), -1, w)
+        ahead = f.accumulate(blocks, axis=2).reshape(len(a), -1)
+        back = f.accumulate(blocks[:, :, ::-1], axis=2)[:, :, ::-1].reshape(len(a), -1)
+        place = np.arange(n)
+        a = f(back[:, np.maximum(place - k, 0)], ahead[:, np.minimum(place + k, n - 1)]).T
+    return a
 
-def reflect_pad(df: DataFrame, axis: str, k: int, sizes: DataFrame) -> DataFrame:
-    """``df`` with mirrored cells (d c b a | a b c d) beside its edges on ``axis``, folded again where a grid is smaller than k.
 
-    Only edge cells are copied. ``sizes`` has one row per scene beside its millions of pixels.
-    """
-    other, size = _AXIS[axis]
-    wide = df.join(F.broadcast(sizes.select("scene_id", F.col(size).alias("__size"))), "scene_id")
-    n, at = F.col("__size"), F.col(axis)
-    turns = F.sequence(F.floor(F.lit(-k - 1) / (2 * n)).cast("int") - 1, F.ceil(F.lit(k) / (2 * n)).cast("int") + 1)
-    images = F.flatten(F.transform(turns, lambda j: F.array(at + 2 * n * j, -1 - at + 2 * n * j)))
-    outside = F.filter(images, lambda p: ((p >= -k) & (p < 0)) | ((p >= n) & (p < n + k)))
-    edge = wide.where((at < k) | (at >= n - k)).withColumn("__p", F.explode(outside)).withColumn(axis, F.col("__p").cast("int")).drop("__p", "__size")
-    return df.unionByName(edge.select(*df.columns))
-
-
-def _inside(df: DataFrame, axis: str, sizes: DataFrame) -> DataFrame:
-    other, size = _AXIS[axis]
-    kept = df.join(F.broadcast(sizes.select("scene_id", F.col(size).alias("__size"))), "scene_id")
-    return kept.where((F.col(axis) >= 0) & (F.col(axis) < F.col("__size"))).select(*df.columns)
-
-
-def box_sums(df: DataFrame, columns: list[str], size: int = 7, sizes: DataFrame | None = None) -> DataFrame:
-    """Sums of ``columns`` over size x size cells with reflected borders; all columns share two exchanges."""
-    k, sizes = size // 2, grid_sizes(df) if sizes is None else sizes
-    for axis in ("col", "row"):
-        padded = reflect_pad(df, axis, k, sizes)
-        df = _inside(padded.withColumns({c: F.sum(c).over(along(axis, k)) for c in columns}), axis, sizes)
-    return df
+def window_convolution(a: np.ndarray, w: list[float]) -> np.ndarray:
+    """Rows, then columns weighted by ``w``; the outermost cells of the result have no meaning."""
+    k = len(w) // 2
+    for _ in range(2):
+        wide = np.pad(a, ((0, 0), (k, k)), mode="edge")
+        a = sum(v * wide[:, i : i + a.shape[1]] for i, v in enumerate(w)).T
+    return a
+
+
+def moments(x: np.ndarray, size: int, valid_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, variance cut at 0) of size x size cells; missing ones count as 0 and in the divisor, unless ``valid_only``."""
+    k, known = size // 2, ~np.isnan(x)
+    middle = float(x[known].mean()) if known.any() else 0.0
+    if valid_only:
+        away, n = np.where(known, x - middle, 0.0), np.rint(window_sums(known.astype(np.float64), k))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            n = np.where(n > 0, n, np.nan)
+    else:
+        away, n = np.where(known, x, 0.0) - middle, float(size * size)
+    m = window_sums(away, k) / n
+    return m + middle, np.maximum(window_sums(away * away, k) / n - m * m, 0.0)
 
 
-def _moments(df: DataFrame, x: str, size: int, valid_only: bool, sizes: DataFrame | None, squares: bool = True) -> DataFrame:
-    value = F.coalesce(F.col(x).cast("double"), F.lit(0.0))
-    made = df.withColumns({"__s": value, "__q": value * value if squares else F.lit(0.0), "__n": F.col(x).isNotNull().cast("double")})
-    sums = [c for c in ("__s", "__q", "__n") if (c != "__q" or squares) and (c != "__n" or valid_only)]
-    made = box_sums(made, sums, size, sizes)
-    n = F.col("__n") if valid_only else F.lit(float(size * size))
-    return made.withColumns({"__m": F.try_divide(F.col("__s"), n), "__m2": F.try_divide(F.col("__q"), n)}).drop("__s", "__q", "__n")
+def lee(x: np.ndarray, size: int, enl: float) -> np.ndarray:
+    m, variance = moments(x, size)
+    return m + variance / (variance + m * m / enl + 1e-10) * (x - m)
 
 
 def box_mean(df: DataFrame, x: str, size: int = 7, out: str = "mean", valid_only: bool = False, sizes: DataFrame | None = None) -> DataFrame:
-    """Moving mean; missing cells count as 0 and in the divisor, unless ``valid_only``."""
-    return _moments(df, x, size, valid_only, sizes, False).withColumn(out, F.col("__m")).drop("__m", "__m2")
+    """Moving mean; missing cells count as 0 and in the divisor, unless ``valid_only``. Borders are mirrored."""
+    return over_tiles(df, [x], {out: "double"}, size // 2, lambda t: {out: moments(t.mirrored(t.cells(x)), size, valid_only)[0]}, sizes)
 
 
 def local_stats(df: DataFrame, x: str, size: int = 7, valid_only: bool = False, sizes: DataFrame | None = None) -> DataFrame:
     """Adds ``local_mean`` and ``local_std``; the variance is cut at 0."""
-    made = _moments(df, x, size, valid_only, sizes)
-    variance = F.greatest(F.col("__m2") - F.col("__m") * F.col("__m"), F.lit(0.0))
-    return made.withColumns({"local_mean": F.col("__m"), "local_std": F.sqrt(variance)}).drop("__m", "__m2")
+
+    def work(t: Tile) -> dict[str, np.ndarray]:
+        m, variance = moments(t.mirrored(t.cells(x)), size, valid_only)
+        return {"local_mean": m, "local_std": np.sqrt(variance)}
+
+    return over_tiles(df, [x], {"local_mean": "double", "local_std": "double"}, size // 2, work, sizes)
 
 
 def lee_filter(df: DataFrame, x: str, size: int = 7, enl: float = 2.0, out: str = "filtered", sizes: DataFrame | None = None) -> DataFrame:
     """Speckle filter: the cell is drawn to its local mean by the share of variance that speckle explains; missing stays missing."""
-    made = _moments(df, x, size, False, sizes)
-    m = F.col("__m")
-    variance = F.greatest(F.col("__m2") - m * m, F.lit(0.0))
-    w = variance / (variance + m * m / enl + 1e-10)
-    return made.withColumn(out, F.when(F.col(x).isNotNull(), m + w * (F.col(x) - m))).drop("__m", "__m2")
+    return lee_filters(df, {out: x}, size, enl, sizes)
+
+
+def lee_filters(df: DataFrame, columns: dict[str, str], size: int = 7, enl: float = 2.0, sizes: DataFrame | None = None) -> DataFrame:
+    """:func:`lee_filter` of several ``columns`` (result: source) on the same tiles."""
+    reads = list(dict.fromkeys(columns.values()))
+    return over_tiles(df, reads, dict.fromkeys(columns, "double"), size // 2, lambda t: {c: lee(t.mirrored(t.cells(x)), size, enl) for c, x in columns.items()}, sizes)
 
 
 def gaussian_weights(sigma: float) -> list[float]:
@@ -91,54 +101,40 @@ def gaussian_weights(sigma: float) -> list[float]:
 
 
 def gaussian_smooth(df: DataFrame, x: str, sigma: float = 3.0, out: str = "smooth", sizes: DataFrame | None = None) -> DataFrame:
-    """Separable Gaussian with reflected borders on a dense grid; all taps of an axis share one window."""
-    w, sizes = gaussian_weights(sigma), grid_sizes(df) if sizes is None else sizes
-    k = len(w) // 2
-    df = df.withColumn(out, F.col(x).cast("double"))
-    for axis in ("col", "row"):
-        other, _ = _AXIS[axis]
-        order = Window.partitionBy("scene_id", other).orderBy(axis)
-        taps = sum((F.lit(v) * F.lag(out, k - i).over(order) for i, v in enumerate(w)), F.lit(0.0))
-        df = _inside(reflect_pad(df, axis, k, sizes).withColumn(out, taps), axis, sizes)
-    return df
-
-
-def _pass(df: DataFrame, mask: str, axis: str, k: int, erode: bool) -> DataFrame:
-    w = along(axis, k)
-    if erode:  # cells outside the grid count as 0
-        value = F.when(F.count(mask).over(w) == 2 * k + 1, F.min(mask).over(w)).otherwise(0)
-    else:
-        value = F.max(mask).over(w)
-    return df.withColumn(mask, value)
+    """Separable Gaussian with mirrored borders; missing where the window has a missing cell."""
+    w = gaussian_weights(sigma)
+    return over_tiles(df, [x], {out: "double"}, len(w) // 2, lambda t: {out: window_convolution(t.mirrored(t.cells(x)), w)}, sizes)
+
+
+def _morphology(df: DataFrame, mask: str, steps: list[tuple[int, bool]], sizes: DataFrame | None) -> DataFrame:
+    """``steps`` of (window, erode); cells that the table doesn't have are 0 at every step."""
 
+    def work(t: Tile) -> dict[str, np.ndarray]:
+        a = t.cells(mask) == 1
+        for size, erodes in steps:
+            a = window_extremes(a, size // 2, erodes) & t.there
+        return {mask: a}
 
-def _passes(df: DataFrame, mask: str, steps: list[tuple[str, int, bool]]) -> DataFrame:
-    df = df.withColumn(mask, F.when(F.col(mask) == 1, 1).otherwise(0))
-    for axis, k, erode in steps:
-        df = _pass(df, mask, axis, k, erode)
-    return df
+    return over_tiles(df, [mask], {mask: "int"}, sum(size // 2 for size, _ in steps), work, sizes)
 
 
-def erode(df: DataFrame, size: int, mask: str = "mask") -> DataFrame:
+def erode(df: DataFrame, size: int, mask: str = "mask", sizes: DataFrame | None = None) -> DataFrame:
     """All cells of the size x size window must be 1; cells outside the grid are 0."""
-    return _passes(df, mask, [("col", size // 2, True), ("row", size // 2, True)])
+    return _morphology(df, mask, [(size, True)], sizes)
 
 
-def dilate(df: DataFrame, size: int, mask: str = "mask") -> DataFrame:
-    return _passes(df, mask, [("col", size // 2, False), ("row", size // 2, False)])
+def dilate(df: DataFrame, size: int, mask: str = "mask", sizes: DataFrame | None = None) -> DataFrame:
+    return _morphology(df, mask, [(size, False)], sizes)
 
 
-def opening(df: DataFrame, size: int = 3, mask: str = "mask") -> DataFrame:
-    k = size // 2
-    return _passes(df, mask, [("col", k, True), ("row", k, True), ("row", k, False), ("col", k, False)])
+def opening(df: DataFrame, size: int = 3, mask: str = "mask", sizes: DataFrame | None = None) -> DataFrame:
+    return _morphology(df, mask, [(size, True), (size, False)], sizes)
 
 
-def closing(df: DataFrame, size: int = 5, mask: str = "mask") -> DataFrame:
-    k = size // 2
-    return _passes(df, mask, [("col", k, False), ("row", k, False), ("row", k, True), ("col", k, True)])
+def closing(df: DataFrame, size: int = 5, mask: str = "mask", sizes: DataFrame | None = None) -> DataFrame:
+    return _morphology(df, mask, [(size, False), (size, True)], sizes)
 
 
-def open_close(df: DataFrame, open_size: int = 3, close_size: int = 5, mask: str = "mask") -> DataFrame:
-    """Opening, then closing: h | v v | h h | v v | h."""
-    a, b = open_size // 2, close_size // 2
-    return _passes(df, mask, [("col", a, True), ("row", a, True), ("row", a, False), ("col", a, False), ("col", b, False), ("row", b, False), ("row", b, True), ("col", b, True)])
+def open_close(df: DataFrame, open_size: int = 3, close_size: int = 5, mask: str = "mask", sizes: DataFrame | None = None) -> DataFrame:
+    """Opening, then closing, on one set of tiles."""
+    return _morphology(df, mask, [(open_size, True), (open_size, False), (close_size, False), (close_size, True)], sizes)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rasterjobs.operators.tiles import TILE
+from rasterjobs.runtime import ship
 from rasterjobs.schema import KEY
 
 
@@ -18,29 +23,65 @@ def stack_bands(bands: dict[str, DataFrame], value: str = "value") -> DataFrame:
     return wide.where(F.col("__n") == len(bands)).drop("__n")
 
 
-def _taps(spark, src: int, dst: int, axis: str) -> DataFrame:
-    """``(src, dst, w)``: at most two source cells per target cell, centres aligned, edges clamped. Two rows a target row."""
-    at = (F.col("id") + 0.5) * (src / dst) - 0.5
-    low = F.floor(at)
-    share = at - low
-    two = F.array(F.struct(low.alias("s"), (1 - share).alias("w")), F.struct((low + 1).alias("s"), share.alias("w")))
-    rows = spark.range(dst).select(F.col("id").cast("int").alias(f"dst_{axis}"), F.explode(two).alias("t"))
-    clamped = F.least(F.greatest(F.col("t.s"), F.lit(0)), F.lit(src - 1)).cast("int")
-    return rows.select(f"dst_{axis}", clamped.alias(axis), F.col("t.w").alias("__w")).where("__w > 0").groupBy(f"dst_{axis}", axis).agg(F.sum("__w").alias("__w"))
+def _taps(targets: np.ndarray, src: int, dst: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first source cell, second, share of the second) of target cells: centres aligned, edges clamped."""
+    at = (targets + 0.5) * (src / dst) - 0.5
+    low = np.floor(at)
+    return np.clip(low, 0, src - 1).astype(np.int64), np.clip(low + 1, 0, src - 1).astype(np.int64), at - low
 
 
-def resample_to(df: DataFrame, x: str, src: tuple[int, int], dst: tuple[int, int]) -> DataFrame:
-    """``(scene_id, row, col, x)`` on a grid of ``dst`` = (height, width): columns first, then rows, weights renewed over valid taps.
+def _target_tiles(axis: str, src: int, dst: int, tile: int) -> Column:
+    """The target tiles with a cell that a source cell may reach, as a sequence; null if there are none."""
+    at, q = F.col(axis), dst / src
+    low = F.when(at <= 0, F.lit(0)).otherwise(F.greatest(F.lit(0), F.ceil((at - 0.5) * q - 0.5 - 1e-6)))
+    high = F.when(at >= src - 1, F.lit(dst - 1)).otherwise(F.least(F.lit(dst - 1), F.floor((at + 1.5) * q - 0.5 + 1e-6)))
+    return F.when(low <= high, F.sequence(F.floor(low / tile).cast("int"), F.floor(high / tile).cast("int")))
 
-    The maps have two rows per target column or row (a raster's side), so they can be broadcast.
+
+def resample_to(df: DataFrame, x: str, src: tuple[int, int], dst: tuple[int, int], tile: int = TILE) -> DataFrame:
+    """``(scene_id, row, col, x)`` on a grid of ``dst`` = (height, width): bilinear, weights renewed over valid taps.
+
+    Source cells are dealt to the target tiles that they reach, in one exchange; a tile holds only source rows and columns
+    that it weighs, two a target row or column at most, so its memory is bounded whatever the ratio of the grids. A target
+    cell without a source cell has no row; one whose source cells are all missing is NULL.
     """
-    spark = df.sparkSession
-    now = df.select(*KEY, (F.col(x) * 1.0).alias("__v"), F.col(x).isNotNull().cast("double").alias("__a"))
-    for axis, s, d in (("col", src[1], dst[1]), ("row", src[0], dst[0])):
-        other = "row" if axis == "col" else "col"
-        met = now.join(F.broadcast(_taps(spark, s, d, axis)), axis)
-        now = met.groupBy("scene_id", other, f"dst_{axis}").agg(F.sum(F.col("__w") * F.col("__v")).alias("__v"), F.sum(F.col("__w") * F.col("__a")).alias("__a")).withColumnRenamed(f"dst_{axis}", axis)
-    return now.select(*KEY, F.when(F.col("__a") > 0, F.col("__v") / F.col("__a")).alias(x))
+    ship(df.sparkSession)
+    both = F.flatten(F.transform(_target_tiles("row", src[0], dst[0], tile), lambda r: F.transform(_target_tiles("col", src[1], dst[1], tile), lambda c: F.struct(r.alias("r"), c.alias("c")))))
+    inside = f"row between 0 and {src[0] - 1} and col between 0 and {src[1] - 1}"
+    rows = df.where(inside).select(*KEY, F.col(x).cast("double").alias("__x"), F.explode(both).alias("t")).select(*KEY, "__x", F.col("t.r").alias("__r"), F.col("t.c").alias("__c"))
+    kinds = T.StructType([rows.schema["scene_id"], T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType()), T.StructField(x, T.DoubleType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        places, taps = [], []
+        for axis, s, d, t in (("row", src[0], dst[0], "__r"), ("col", src[1], dst[1], "__c")):
+            first = table.column(t)[0].as_py() * tile
+            target = np.arange(first, min(d, first + tile))
+            one, two, share = _taps(target, s, d)
+            known = np.unique(np.concatenate([one, two]))  # source rows (columns) in use
+            at = np.searchsorted(known, table.column(axis).to_numpy())
+            at = np.where((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == table.column(axis).to_numpy()), at, -1)
+            places.append(at)
+            taps.append((target, len(known), np.searchsorted(known, one), np.searchsorted(known, two), share))
+        use = (places[0] >= 0) & (places[1] >= 0)
+        shape = (taps[0][1], taps[1][1])
+        value, valid, there = (np.zeros(shape) for _ in range(3))
+        r, c, v = places[0][use], places[1][use], table.column("__x").to_numpy()[use]
+        known = ~np.isnan(v)
+        value[r, c], valid[r, c], there[r, c] = np.where(known, v, 0.0), known, 1.0
+
+        def weigh(a: np.ndarray) -> np.ndarray:
+            for _, _, one, two, share in (taps[1], taps[0]):
+                a = (a[:, one] * (1 - share) + a[:, two] * share).T
+            return a
+
+        total, share, reached = weigh(value), weigh(valid), weigh(there) > 0
+        i, j = np.nonzero(reached)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out = np.where(share > 0, total / share, np.nan)[i, j]
+        scene = pa.array([table.column("scene_id")[0].as_py()] * len(i), table.schema.field("scene_id").type)
+        return pa.table({"scene_id": scene, "row": pa.array(taps[0][0][i], pa.int32()), "col": pa.array(taps[1][0][j], pa.int32()), x: pa.array(out, pa.float64(), mask=np.isnan(out))})
+
+    return rows.groupBy("scene_id", "__r", "__c").applyInArrow(run, kinds)
 
 
 def utm_to_geographic(x: Column, y: Column, zone: int = 44, north: bool = True) -> tuple[Column, Column]:

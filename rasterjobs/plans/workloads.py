@@ -8,23 +8,15 @@ from pyspark.sql import functions as F
 from rasterjobs.functions.algebra import basic_features, below_threshold_mask, calibrated, to_db
 from rasterjobs.operators.accuracy import mask_area
 from rasterjobs.operators.depth import depth_classes, flood_depth
-from rasterjobs.operators.focal import box_sums, open_close
+from rasterjobs.operators.focal import lee_filters, open_close
 from rasterjobs.operators.hist import channel_stats, otsu_threshold
 from rasterjobs.operators.regions import sieve
 from rasterjobs.schema import BANDS, FEATURES
 
 
-def despeckled(df: DataFrame, size: int = 7, enl: float = 2.0) -> DataFrame:
-    """The speckle filter on all four bands at once: sums and squares of every band share two exchanges."""
-    value = {b: F.coalesce(F.col(b), F.lit(0.0)) for b in BANDS}
-    made = df.withColumns({f"__s_{b}": value[b] for b in BANDS} | {f"__q_{b}": value[b] * value[b] for b in BANDS})
-    sums = box_sums(made, [f"__{k}_{b}" for b in BANDS for k in "sq"], size)
-    n, out = float(size * size), {}
-    for b in BANDS:
-        m = F.col(f"__s_{b}") / n
-        var = F.greatest(F.col(f"__q_{b}") / n - m * m, F.lit(0.0))
-        out[b] = F.when(F.col(b).isNotNull(), m + var / (var + m * m / enl + 1e-10) * (F.col(b) - m))
-    return sums.withColumns(out).drop(*[f"__{k}_{b}" for b in BANDS for k in "sq"])
+def despeckled(df: DataFrame, size: int = 7, enl: float = 2.0, sizes: DataFrame | None = None) -> DataFrame:
+    """The speckle filter on all four bands at once, on the same tiles."""
+    return lee_filters(df, {b: b for b in BANDS}, size, enl, sizes)
 
 
 def preprocess(dn: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,8 +11,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from rasterjobs.functions import algebra as A
-from rasterjobs.operators import accuracy, components, depth, focal, hist, ml, patches, regions, resample, texture
-from rasterjobs.plans import report
+from rasterjobs.operators import accuracy, components, depth, focal, hist, ml, patches, regions, resample, texture, tiles
+from rasterjobs.plans import report, workloads
+from rasterjobs.schema import BANDS
 from rasterjobs.sources import io, tiff
 
 
@@ -86,8 +87,59 @@ def test_morphology_matches_brute_force(spark):
     both = brute(brute(opened, 2, np.max), 2, np.min)
     assert (raster(focal.open_close(df), "mask", a.shape) == both).all() and not both[:2].any() and not both[:, -2:].any()
     assert (raster(focal.erode(df, 3), "mask", a.shape) == brute(a, 1, np.min)).all() and (raster(focal.dilate(df, 3), "mask", a.shape) == brute(a, 1, np.max)).all()
-    plan = focal.open_close(df)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 5
+
+
+def test_chains_of_windows_take_one_exchange_of_pixels(spark):
+    df = pixels(spark, np.random.default_rng(2).random((5, 6)), "x").withColumn("mask", F.lit(1))
+    sizes = spark.createDataFrame([("s", 5, 6)], "scene_id string, height int, width int")
+    bands = df.select("scene_id", "row", "col", *[F.col("x").alias(b) for b in BANDS])
+    chains = {
+        "despeckle": workloads.despeckled(bands, sizes=sizes),
+        "features": A.basic_features(workloads.despeckled(bands, sizes=sizes)),
+        "gaussian": focal.gaussian_smooth(df, "x", sizes=sizes),
+        "open_close": focal.open_close(df, sizes=sizes),
+        "resample": resample.resample_to(df, "x", (5, 6), (9, 4)),
+    }
+    for name, made in chains.items():
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, name
+    plan = focal.open_close(df)._jdf.queryExecution().executedPlan().toString()  # sizes unknown: one more, of a row per scene
+    assert plan.count("Exchange hashpartitioning") == 2 and "hashpartitioning(scene_id" in plan
+
+
+@pytest.mark.parametrize("tile", [4, 7, 64])
+def test_windows_do_not_depend_on_tiles(spark, tile, monkeypatch):
+    rng = np.random.default_rng(tile)
+    a = rng.normal(50, 2, (23, 17))
+    a[rng.random(a.shape) < 0.1] = np.nan
+    whole = {"m": focal.moments(reflected(a, 9), 7)[0], "g": focal.window_convolution(reflected(np.nan_to_num(a), 9), focal.gaussian_weights(2.0))}
+    df = pixels(spark, a)
+    monkeypatch.setattr(tiles.over_tiles, "__defaults__", (None, tile))
+    assert np.allclose(raster(focal.box_mean(df, "x"), "mean", a.shape), whole["m"][9:-9, 9:-9])
+    assert np.allclose(raster(focal.gaussian_smooth(pixels(spark, np.nan_to_num(a)), "x", 2.0), "smooth", a.shape), whole["g"][9:-9, 9:-9])
+    valid = np.lib.stride_tricks.sliding_window_view(reflected(a, 3), (7, 7)).reshape(23, 17, 49)
+    with np.errstate(all="ignore"):
+        assert np.allclose(raster(focal.local_stats(df, "x", valid_only=True), "local_std", a.shape), np.nanstd(valid, axis=2), equal_nan=True)
+    m = (rng.random((23, 17)) < 0.8).astype(int)
+    gaps = pixels(spark, m, "mask").where("(row * 17 + col) % 29 <> 5").withColumn("extra", F.lit("e"))  # cells that the table doesn't have are 0
+    m[np.arange(m.size).reshape(m.shape) % 29 == 5] = 0
+    there = (np.arange(m.size).reshape(m.shape) % 29 != 5).astype(int)
+    opened = brute(brute(m, 1, np.min) * there, 1, np.max) * there
+    both = brute(brute(opened, 2, np.max) * there, 2, np.min) * there
+    made = focal.open_close(gaps)
+    assert (raster(made, "mask", m.shape) == both).all() and made.columns == gaps.columns and made.where("extra = 'e'").count() == gaps.count()
+    again = resample.resample_to(df, "x", a.shape, (40, 9), tile=tile)
+    assert np.allclose(raster(again, "x", (40, 9)), raster(resample.resample_to(df, "x", a.shape, (40, 9)), "x", (40, 9)), equal_nan=True) and again.count() == 360
+
+
+def test_window_sums_and_extremes_of_arrays():
+    rng = np.random.default_rng(8)
+    for k in (0, 1, 3, 6):
+        a = rng.normal(size=(21, 30))
+        view = np.lib.stride_tricks.sliding_window_view(a, (2 * k + 1, 2 * k + 1))
+        inner = (slice(k, 21 - k), slice(k, 30 - k))
+        assert np.allclose(focal.window_sums(a, k)[inner], view.sum(axis=(2, 3)))
+        assert (focal.window_extremes(a, k, True)[inner] == view.min(axis=(2, 3))).all() and (focal.window_extremes(a, k, False)[inner] == view.max(axis=(2, 3))).all()
 
 
 def labels(a):
@@ -126,6 +178,57 @@ def test_regions_sieve_and_outlines(spark):
     assert regions.connected_regions(df.where("false")).count() == 0 and regions.sieve(df.where("mask = 0")).agg(F.sum("mask")).first()[0] == 0
 
 
+def spiral(n):
+    a = np.zeros((n, n), int)
+    r = c = 0
+    top, left, bottom, right = 0, 0, n - 1, n - 1
+    while top <= bottom and left <= right:
+        a[top, left : right + 1] = 1
+        a[top : bottom + 1, right] = 1
+        a[bottom, left : right + 1] = 1
+        a[top + 2 : bottom + 1, left] = 1
+        if left + 1 <= right and top + 2 <= bottom:
+            a[top + 2, left + 1] = 1
+        top, left, bottom, right = top + 2, left + 2, bottom - 2, right - 2
+    return a
+
+
+def comb(n):
+    a = np.zeros((n, n), int)
+    a[:, ::2] = 1
+    a[-1, : n // 2] = 1
+    return a
+
+
+@pytest.mark.parametrize("tile", [3, 8])
+def test_regions_merge_up_a_quadtree(spark, tile):
+    rng = np.random.default_rng(tile)
+    masks = [spiral(40), comb(33), (rng.random((37, 50)) < 0.6).astype(int), np.ones((25, 9), int), np.zeros((5, 5), int)]
+    df, want, kept = None, {}, {}
+    for k, a in enumerate(masks):
+        move = 1000 * k  # grids needn't begin at 0
+        one = pixels(spark, a, "mask", f"s{k}").withColumns({"row": F.col("row") + move, "col": F.col("col") + 7 * k, "extra": F.col("row")})
+        df = one if df is None else df.unionByName(one)
+        found, sizes = labels(a), None
+        sizes = np.bincount(found.ravel())
+        for n in range(1, found.max() + 1):
+            cells = [(int(r) + move, int(c) + 7 * k) for r, c in zip(*np.nonzero(found == n), strict=True)]
+            want |= {(f"s{k}", *x): cells[0][0] * regions.STRIDE + cells[0][1] for x in cells}
+            kept |= {(f"s{k}", *x): int(sizes[n] >= 9) for x in cells}
+    got = {(r.scene_id, r.row, r.col): r.region_id for r in regions.connected_regions(df, tile=tile).collect()}
+    assert got == want
+    left = regions.sieve(df, 9, tile=tile)
+    assert left.columns == df.columns and left.count() == df.count() and {(r.scene_id, r.row, r.col): r.mask for r in left.where("mask = 1").collect()} == {x: 1 for x, on in kept.items() if on}
+
+
+def test_rounds_of_merging_are_the_height_of_the_tree(spark, monkeypatch):
+    rounds = []
+    plain = regions.snapshot
+    monkeypatch.setattr(regions, "snapshot", lambda df, name: rounds.append(name) or plain(df, name))
+    regions.connected_regions(pixels(spark, spiral(33), "mask"), tile=4).count()
+    assert rounds.count("merged") == 4  # nine tiles a side
+
+
 def test_components_of_a_long_path_and_repeats(spark):
     n = 200
     order = list(range(n))
