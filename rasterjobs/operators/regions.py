@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -197,21 +194,6 @@ def _sides(regions: DataFrame) -> DataFrame:
     return cells.withColumns({"top": free(F.lag, "row", -1, down), "bottom": free(F.lead, "row", 1, down)})
 
 
-def boundary_segments(regions: DataFrame) -> DataFrame:
-    """Straight pieces of a region's boundary, from corner (r0, c0) to (r1, c1), the region on the left; rows grow downwards.
-
-    Neighbouring sides of a raster row or column are one piece, so a region has as many as its outline has corners.
-    """
-    sides = F.array_compact(F.array(*[F.when(F.col(c), F.struct(F.lit(c).alias("side"), F.col(line).alias("line"), F.col(pos).alias("pos"))) for c, line, pos in (("top", "row", "col"), ("bottom", "row", "col"), ("left", "col", "row"), ("right", "col", "row"))]))
-    unit = _sides(regions).select("scene_id", "region_id", F.explode(sides).alias("e")).select("scene_id", "region_id", "e.*")
-    key = ["scene_id", "region_id", "side", "line"]
-    run = F.col("pos") - F.row_number().over(Window.partitionBy(*key).orderBy("pos"))
-    whole = unit.withColumn("g", run).groupBy(*key, "g").agg(F.min("pos").alias("a"), (F.max("pos") + 1).alias("b"))
-    ends = {"top": ("line", "b", "line", "a"), "bottom": ("line + 1", "a", "line + 1", "b"), "left": ("a", "line", "b", "line"), "right": ("b", "line + 1", "a", "line + 1")}
-    cases = lambda i: F.expr("case side " + " ".join(f"when '{side}' then {e[i]}" for side, e in ends.items()) + " end")
-    return whole.select("scene_id", "region_id", *[cases(i).alias(name) for i, name in enumerate(("r0", "c0", "r1", "c1"))])
-
-
 def polygon_stats(regions: DataFrame, pixel_m: float = 18.0) -> DataFrame:
     """``(scene_id, region_id, n_px, area_m2, perimeter_m)``."""
     open_ = sum((F.col(side).cast("int") for side in ("left", "bottom", "right")), F.col("top").cast("int"))
@@ -219,38 +201,6 @@ def polygon_stats(regions: DataFrame, pixel_m: float = 18.0) -> DataFrame:
     return out.select("scene_id", "region_id", "n_px", (F.col("n_px") * pixel_m * pixel_m).alias("area_m2"), (F.col("n_edges") * pixel_m).alias("perimeter_m"))
 
 
-def _rings(edges: list[tuple[int, int, int, int]]) -> Iterator[list[tuple[int, int]]]:
-    """Closed corner rings of directed straight edges; where two rings meet in a corner the turn that stays with the cell wins."""
-    way = lambda p, q: ((q[0] > p[0]) - (q[0] < p[0]), (q[1] > p[1]) - (q[1] < p[1]))
-    leaving: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r0, c0, r1, c1 in sorted(edges):
-        leaving.setdefault((r0, c0), []).append((r1, c1))
-    for start in sorted(leaving):
-        if start not in leaving:
-            continue
-        ring, at, came = [start], start, None
-        while True:
-            options = leaving[at]
-            if len(options) > 1 and came is not None:
-                dr, dc = way(came, at)
-                turn = (-dc, dr)  # left of the direction, with rows growing downwards
-                nxt = next((x for x in options if way(at, x) == turn), options[0])
-            else:
-                nxt = options[0]
-            options.remove(nxt)
-            if not options:
-                del leaving[at]
-            came, at = at, nxt
-            if at == start:
-                break
-            ring.append(at)
-        yield [*ring, ring[0]]
-
-
-def _signed_area(ring: list[tuple[int, int]]) -> float:
-    return sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(ring, ring[1:], strict=False)) / 2
-
-
 def ring_table(polygons: DataFrame) -> DataFrame:
     """``polygons`` with ``n_rings``, ``area`` (outline less holes) and ``length`` from the corners of ``geometry``."""
     point = lambda p: F.transform(F.split(F.trim(p), " "), lambda v: v.cast("double"))
@@ -265,19 +215,3 @@ def ring_table(polygons: DataFrame) -> DataFrame:
     area = F.aggregate(F.transform("__rings", lambda r: over(r, lambda p, q: (p[0] * q[1] - q[0] * p[1]) / 2)), F.lit(0.0), lambda a, x: a + x)
     length = F.aggregate(F.transform("__rings", lambda r: over(r, lambda p, q: F.abs(p[0] - q[0]) + F.abs(p[1] - q[1]))), F.lit(0.0), lambda a, x: a + x)
     return out.withColumns({"n_rings": F.size("__rings"), "area": F.abs(area), "length": length}).drop("__rings")
-
-
-def polygonize(regions: DataFrame, x0: float = 0.0, dx: float = 1.0, y0: float = 0.0, dy: float = -1.0) -> DataFrame:
-    """``(scene_id, region_id, geometry)``: each region's outline with holes as WKT in world coordinates.
-
-    Straight pieces of the boundary are found in parallel; a region's ring walk sees these only, as many as its text has corners.
-    """
-    ship(regions.sparkSession)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = list(_rings(list(pdf[["r0", "c0", "r1", "c1"]].itertuples(index=False, name=None))))
-        rings.sort(key=lambda r: -abs(_signed_area(r)))
-        text = ", ".join("(" + ", ".join(f"{x0 + c * dx:.10g} {y0 + r * dy:.10g}" for r, c in ring) + ")" for ring in rings)
-        return pd.DataFrame({"scene_id": [pdf["scene_id"].iloc[0]], "region_id": [pdf["region_id"].iloc[0]], "geometry": [f"POLYGON ({text})"]})
-
-    return boundary_segments(regions).groupBy("scene_id", "region_id").applyInPandas(walk, "scene_id string, region_id long, geometry string")

@@ -55,10 +55,10 @@ class Tile:
 def dealt(df: DataFrame, halo: int, sizes: DataFrame, tile: int = TILE) -> DataFrame:
     """A row per pixel and tile that needs it: ``__r``, ``__c`` (the tile), ``__own`` (the pixel lies in it), ``__height``, ``__width``.
 
-    ``sizes`` has one row per scene beside its millions of pixels. Rows without a place are left out.
+    ``sizes`` has one row per scene beside its millions of pixels. Rows without a place in the grid are left out.
     """
     size = sizes.select("scene_id", F.col("height").alias("__height"), F.col("width").alias("__width"))
-    wide = df.where("row is not null and col is not null").join(F.broadcast(size), "scene_id")
+    wide = df.where("row >= 0 and col >= 0").join(F.broadcast(size), "scene_id")
 
     def tiles(axis: str, n: str):
         last = F.floor((F.col(n) - 1) / tile)

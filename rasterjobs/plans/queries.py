@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterjobs.functions import algebra as A
 from rasterjobs.operators import accuracy as acc
-from rasterjobs.operators import depth, focal, hist, ml, patches, regions, resample, texture
+from rasterjobs.operators import depth, focal, hist, ml, outlines, patches, regions, resample, texture
 from rasterjobs.plans import report, workloads
 from rasterjobs.plans.grid import FEAT, LIN, OTSU, PX, REGIONS, grid, table
 from rasterjobs.plans.registry import ORACLES, R, query, rounded
@@ -530,7 +530,7 @@ rings AS (SELECT lab AS region, CAST(2 - (count(*) - sum(e) + sum(q)) AS INTEGER
 
 
 def _outlines(s, d) -> DataFrame:
-    out = regions.polygonize(regions.connected_regions(_masked(s, d).select("scene_id", "row", "col", "mask")), 500000.0, 18.0, 2400000.0, -18.0)
+    out = outlines.polygonize(regions.connected_regions(_masked(s, d).select("scene_id", "row", "col", "mask")), 500000.0, 18.0, 2400000.0, -18.0)
     return out.withColumn("region", F.expr(f"(region_id div {regions.STRIDE}) * 100 + region_id % {regions.STRIDE}"))
 
 
@@ -553,9 +553,25 @@ def region_values(s, d):
     return regions.region_join(found, snapshot(regions.region_sizes(found), "sizes")).select("id", "n_px")
 
 
-@query(None)
+#: Sides of cells that face no cell, each with its successor: left turns before straight on before right turns. The smallest corner spreads along a ring, then the walk begins there.
+_WALK = f"""{REGIONS},
+sd AS (SELECT cc.lab, (fl.r * 100 + fl.c) * 4 + s AS k, s, fl.c, fl.r + a AS sr, fl.c + b AS sc, fl.r + p AS er, fl.c + q AS ec
+  FROM cc JOIN fl USING (id), (VALUES (0, -1, 0, 0, 1, 0, 0), (1, 0, -1, 0, 0, 1, 0), (2, 1, 0, 1, 0, 1, 1), (3, 0, 1, 1, 1, 0, 1)) t(s, y, x, a, b, p, q)
+  WHERE NOT EXISTS (SELECT 1 FROM fl o WHERE o.r = fl.r + y AND o.c = fl.c + x)),
+nx AS (SELECT e.k, any_value(e.lab) AS lab, any_value(e.er) AS er, any_value(e.ec) AS ec, any_value(CASE e.s WHEN 1 THEN -e.c WHEN 3 THEN e.c + 1 ELSE 0 END) AS turn,
+    arg_min(f.k, CASE (f.s - e.s + 4) % 4 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END) AS nk, arg_min(f.s, CASE (f.s - e.s + 4) % 4 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END) <> any_value(e.s) AS bend
+  FROM sd e JOIN sd f ON f.sr = e.er AND f.sc = e.ec AND f.lab = e.lab GROUP BY e.k),
+lo(k, low) USING KEY (k) AS (
+  SELECT k, CASE WHEN bend THEN er * 101 + ec ELSE 999999999 END FROM nx
+  UNION
+  SELECT nx.k, o.low FROM nx JOIN recurring.lo o ON o.k = nx.nk JOIN recurring.lo m ON m.k = nx.k WHERE o.low < m.low),
+wk(first, k, step) AS (SELECT nx.k, nx.k, 0 FROM nx JOIN lo ON lo.k = nx.k WHERE bend AND er * 101 + ec = low UNION ALL SELECT wk.first, nx.nk, step + 1 FROM wk JOIN nx USING (k) WHERE nx.nk <> wk.first),
+rg AS (SELECT first, any_value(lab) AS lab, sum(turn) < 0 AS hole, arg_min(er * 101 + ec, step) AS low, string_agg(CASE WHEN bend THEN (500000 + ec * 18) || ' ' || (2400000 - er * 18) END, ', ' ORDER BY step) AS body, arg_min((500000 + ec * 18) || ' ' || (2400000 - er * 18), step) AS home FROM wk JOIN nx USING (k) GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {_WALK} SELECT CAST(lab // 100 AS BIGINT) * 2147483648 + lab % 100 AS region_id, 'POLYGON (' || string_agg('(' || body || ', ' || home || ')', ', ' ORDER BY hole, low) || ')' AS geometry FROM rg GROUP BY lab")
 def polygons(s, d):
-    return regions.polygonize(regions.connected_regions(_masked(s, d)), 500000.0, 18.0, 2400000.0, -18.0).select("region_id", "geometry")
+    return outlines.polygonize(regions.connected_regions(_masked(s, d)), 500000.0, 18.0, 2400000.0, -18.0).select("region_id", "geometry")
 
 
 @query(f"WITH RECURSIVE {REGIONS} SELECT lab AS region, count(*) AS n_px, {R('quantile_cont(z, 0.9)', 'wse')} FROM cc JOIN fl USING (id) GROUP BY 1 HAVING count(*) >= 5")

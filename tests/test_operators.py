@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from rasterjobs.functions import algebra as A
-from rasterjobs.operators import accuracy, components, depth, focal, hist, ml, patches, regions, resample, texture, tiles
+from rasterjobs.operators import accuracy, components, depth, focal, hist, ml, outlines, patches, regions, resample, texture, tiles
 from rasterjobs.plans import report, workloads
 from rasterjobs.schema import BANDS
 from rasterjobs.sources import io, tiff
@@ -170,7 +170,7 @@ def test_regions_sieve_and_outlines(spark):
     top = regions.largest_regions(found, 3).collect()
     assert [r.n_px for r in top] == sorted(sizes, reverse=True)[:3]
     stats = {r.region_id: r for r in regions.polygon_stats(found, 1.0).collect()}
-    for p in regions.polygonize(found).collect():
+    for p in outlines.polygonize(found).collect():
         rings = [[tuple(map(float, q.split(" "))) for q in ring.split(", ")] for ring in p.geometry.removeprefix("POLYGON ((").removesuffix("))").split("), (")]
         area = sum(sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(r, r[1:], strict=False)) / 2 for r in rings)
         length = sum(abs(x1 - x0) + abs(y1 - y0) for r in rings for (x0, y0), (x1, y1) in zip(r, r[1:], strict=False))
@@ -221,6 +221,62 @@ def test_regions_merge_up_a_quadtree(spark, tile):
     assert left.columns == df.columns and left.count() == df.count() and {(r.scene_id, r.row, r.col): r.mask for r in left.where("mask = 1").collect()} == {x: 1 for x, on in kept.items() if on}
 
 
+def rings_by_hand(a):
+    """{region: rings} by walking one side after the other; each ring from its smallest corner on, outline first."""
+    found, out = labels(a), {}
+    inside = lambda r, c: 0 <= r < a.shape[0] and 0 <= c < a.shape[1] and a[r, c] == 1
+    moves = [(0, -1), (1, 0), (0, 1), (-1, 0)]
+    left = {(r, c, s) for r, c in zip(*map(lambda x: x.tolist(), np.nonzero(a)), strict=True) for s, (y, x) in enumerate([(-1, 0), (0, -1), (1, 0), (0, 1)]) if not inside(r + y, c + x)}
+    while left:
+        at = start = min(left)
+        corners, area = [], 0
+        while True:
+            left.discard(at)
+            r, c, s = at
+            v = (r, c) if s == 0 else (r + 1, c) if s == 1 else (r + 1, c + 1) if s == 2 else (r, c + 1)
+            y, x = moves[s]
+            ahead = (r + y, c + x)
+            side = moves[(s + 3) % 4]
+            diagonal = (ahead[0] + side[0], ahead[1] + side[1])
+            nxt = (r, c, (s + 1) % 4) if not inside(*ahead) else (*ahead, s) if not inside(*diagonal) else (*diagonal, (s + 3) % 4)
+            if nxt[2] != s:
+                corners.append(v)
+            area += {1: -c, 3: c + 1}.get(s, 0)
+            at = nxt
+            if at == start:
+                break
+        k = corners.index(min(corners))
+        ring = corners[k:] + corners[: k + 1]
+        out.setdefault(int(found[start[0], start[1]]), []).append((area < 0, ring))
+    return {n: [ring for _, ring in sorted(rings)] for n, rings in out.items()}
+
+
+@pytest.mark.parametrize("tile", [3, 64])
+def test_outlines_match_a_walk_along_cells(spark, tile):
+    rng = np.random.default_rng(tile)
+    blob = (rng.random((30, 26)) < 0.62).astype(int)
+    for a in (blob, spiral(21), comb(14), np.array([[1, 1, 1, 1], [1, 0, 1, 1], [1, 1, 0, 1], [1, 1, 1, 1]]), np.ones((9, 9), int)):
+        found = regions.connected_regions(pixels(spark, a, "mask"), dense=True)
+        got = {}
+        for p in outlines.polygonize(found, tile=tile).collect():
+            rings = p.geometry.removeprefix("POLYGON ((").removesuffix("))").split("), (")
+            got[p.region_id] = [[(-int(y), int(x)) for x, y in (q.split(" ") for q in ring.split(", "))] for ring in rings]
+        assert got == rings_by_hand(a)
+    assert outlines.polygonize(found.where("false")).count() == 0
+
+
+def test_a_comb_of_very_many_corners_has_no_large_group(spark):
+    teeth = 250_000
+    comb_ = spark.range(2 * teeth).selectExpr("'s' AS scene_id", "0 AS row", "cast(id AS int) AS col").unionByName(spark.range(teeth).selectExpr("'s' AS scene_id", "1 AS row", "cast(2 * id AS int) AS col"))
+    ring = outlines.rings(comb_.withColumn("region_id", F.lit(7))).cache()
+    r = ring.first()
+    assert ring.count() == 1 and not r.hole and r.ring == 0
+    corners = r.corners.split(", ")
+    assert len(corners) == 4 * teeth + 3 and corners[0] == corners[-1] == "0 0" and corners[1:4] == ["0 -2", "1 -2", "1 -1"] and corners[-2] == f"{2 * teeth} 0"
+    # rows of a ring's group are its chains: at most a few for each of the tiles along the comb
+    assert outlines._pieces(comb_.withColumn("region_id", F.lit(7)), (0, 1, 0, -1), 256).count() <= 3 * (2 * teeth // 256)
+
+
 def test_rounds_of_merging_are_the_height_of_the_tree(spark, monkeypatch):
     rounds = []
     plain = regions.snapshot
@@ -352,7 +408,7 @@ def test_regions_over_many_tiles_match_brute_force(spark):
     df = pixels(spark, grid, "mask")
     found = regions.connected_regions(df, tile=8).collect()
     assert len(found) == grid.sum() and all(divmod(r.region_id, regions.STRIDE) == divmod(int(label[r.row, r.col]), 53) for r in found)
-    rings = {r.region_id: r for r in regions.ring_table(regions.polygonize(regions.connected_regions(df, tile=16))).collect()}
+    rings = {r.region_id: r for r in regions.ring_table(outlines.polygonize(regions.connected_regions(df, tile=16))).collect()}
     stats = {r.region_id: r for r in regions.polygon_stats(regions.connected_regions(df), 1.0).collect()}
     assert {k: (r.area, r.length) for k, r in rings.items()} == {k: (r.area_m2, r.perimeter_m) for k, r in stats.items()}
 
