@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterjobs.functions.algebra import classify_bins
 from rasterjobs.operators.focal import gaussian_smooth
-from rasterjobs.operators.ranked import percentile_row, percentiles
+from rasterjobs.operators.slices import percentile_row, percentiles
 from rasterjobs.operators.regions import connected_regions
 from rasterjobs.operators.skew import salted_join
 from rasterjobs.runtime import snapshot

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterjobs.operators.ranked import percentile_row, percentile_rows, percentiles
+from rasterjobs.operators.slices import percentile_row, percentile_rows, percentiles
 from rasterjobs.runtime import snapshot
 
 

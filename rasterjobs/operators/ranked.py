@@ -1,11 +1,11 @@
-"""Exact ranks and percentiles of large groups: rows are dealt into sorted ranges, and only ranges meet in one window."""
+"""Exact ranks of large groups: rows are dealt into sorted ranges, and only ranges meet in one window."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterjobs.runtime import drop, snapshot
+from rasterjobs.runtime import snapshot
 
 
 def in_ranges(df: DataFrame, order: list[str | Column]) -> DataFrame:
@@ -39,41 +39,3 @@ def row_numbers(df: DataFrame, by: list[str], order: list[str | Column], out: st
     inside = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order))
     ranked = with_ranges(placed, by, F.count(F.lit(1))).withColumn(out, (F.col("__before") + inside).cast("long"))
     return ranked.drop("__range", "__before", "__all")
-
-
-def percentiles(df: DataFrame, x: str | Column, ps: list[float], by: list[str] | None = None) -> DataFrame:
-    """``(by..., p, value, n)``: linearly interpolated percentiles (0 to 100) of the ``n`` values that are there.
-
-    Equal values are counted first. A group without values has no row.
-    """
-    by = by or []
-    x = F.col(x) if isinstance(x, str) else x
-    counts = df.select(*by, x.cast("double").alias("__x")).where("__x is not null").groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__c"))
-    counts = snapshot(counts, "counts")  # placing the ranges' bounds reads it once more
-    placed = with_ranges(in_ranges(counts, [*by, "__x"]), by, F.sum("__c"))
-    drop(counts)
-    upto = Window.partitionBy(*by, "__range").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("__end", F.col("__before") + F.sum("__c").over(upto))
-
-    def inside(at: Column) -> Column:
-        return (at >= F.col("__end") - F.col("__c")) & (at < F.col("__end"))
-
-    wanted = F.array(*[F.struct(F.lit(float(p)).alias("p"), (F.lit(p / 100) * (F.col("__all") - 1)).alias("at")) for p in ps])
-    hit = placed.select(*by, "__x", "__all", "__end", "__c", F.explode(F.filter(wanted, lambda w: inside(F.floor(w["at"])) | inside(F.ceil(w["at"])))).alias("w"))
-    low, high = F.floor("w.at"), F.ceil("w.at")
-    found = hit.groupBy(*by, F.col("w.p").alias("p"), F.col("w.at").alias("at"), F.col("__all").alias("n")).agg(F.max(F.when(inside(low), F.col("__x"))).alias("lo"), F.max(F.when(inside(high), F.col("__x"))).alias("hi"))
-    part = F.col("at") - F.floor("at")
-    value = F.when(part == 0, F.col("lo")).otherwise((1 - part) * F.col("lo") + part * F.col("hi"))
-    return found.select(*by, "p", value.alias("value"), "n")
-
-
-def percentile_row(df: DataFrame, x: str | Column, names: dict[str, float]) -> DataFrame:
-    """One row with a column for each of ``names`` (name: percentile), NULL without values."""
-    found = percentiles(df, x, list(names.values()))
-    return found.agg(*[F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(c) for c, p in names.items()])
-
-
-def percentile_rows(df: DataFrame, x: str | Column, names: dict[str, float], by: list[str]) -> DataFrame:
-    """A row per group ``by`` with a column for each of ``names``; written once, so that a small table is broadcast by its size."""
-    found = percentiles(df, x, list(names.values()), by)
-    return snapshot(found.groupBy(*by).agg(*[F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(c) for c, p in names.items()]), "percentiles")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterjobs.operators.ranked import percentile_rows
+from rasterjobs.operators.slices import percentile_rows
 
 
 def quantise(df: DataFrame, x: str, levels: int = 64, lo: float = 2, hi: float = 98, out: str = "q") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from rasterjobs.functions import algebra as A
-from rasterjobs.operators import accuracy, components, depth, focal, hist, ml, outlines, patches, regions, resample, texture, tiles
+from rasterjobs.operators import accuracy, components, depth, focal, hist, ml, outlines, patches, regions, resample, slices, texture, tiles
 from rasterjobs.plans import report, workloads
 from rasterjobs.schema import BANDS
 from rasterjobs.sources import io, tiff
@@ -497,13 +497,51 @@ def test_segmentation_loss_without_valid_pixels(spark):
     assert got[0] == 0 and got[1] == pytest.approx(0, abs=1e-9)
 
 
+def test_keys_keep_the_order_of_doubles():
+    x = np.array([-np.inf, -1e300, -1.5, -1e-310, 0.0, 5e-324, 1.0, 1.0000000000000002, 1e300, np.inf, np.nan])
+    k = slices.keys_of(x)
+    assert (np.diff(k) > 0).all() and np.array_equal(slices.values_of(k), x, equal_nan=True)
+
+
+@pytest.mark.parametrize("large", [20, 10**5])
+def test_percentiles_by_bit_slices(spark, large, monkeypatch):
+    monkeypatch.setattr(slices, "LARGE", large)
+    rng = np.random.default_rng(6)
+    groups = {"normal": rng.normal(-12, 3, 700), "close": 1 + rng.integers(0, 9, 500) * 2.0**-52, "ties": rng.integers(-3, 3, 300).astype(float), "one": np.full(90, 2.5), "wide": rng.normal(size=200) * 10.0 ** rng.integers(-200, 200, 200), "ends": np.array([-np.inf, -0.0, 0.0, np.inf] * 20), "small": rng.normal(size=7)}
+    rows = [(g, None if i % 50 == 49 else float(v)) for g, x in groups.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, ("none", None)], "g string, x double").repartition(6)
+    ps = [0, 3, 50, 90, 100]
+    got = {(r.g, r.p): (r.value, r.n) for r in slices.percentiles(df, "x", ps, ["g"]).collect()}
+    assert len(got) == len(groups) * len(ps)
+    for g in groups:
+        x = np.sort([v for k, v in rows if k == g and v is not None])
+        for p in ps:
+            at = p / 100 * (len(x) - 1)
+            lo, hi = x[math.floor(at)], x[math.ceil(at)]
+            want = lo if lo == hi else lo + (at - math.floor(at)) * (hi - lo)
+            assert got[g, p][1] == len(x) and (got[g, p][0] == pytest.approx(want, rel=1e-12) or np.isnan(want)), (g, p)
+    whole = np.array([v for _, v in rows if v is not None and np.isfinite(v)])
+    assert slices.percentiles(df.where("abs(x) < double('inf')"), "x", [37.5]).first().value == pytest.approx(np.percentile(whole, 37.5), rel=1e-12)
+
+
+def test_bit_slices_exchange_counts_not_values(spark, monkeypatch):
+    monkeypatch.setattr(slices, "LARGE", 20)
+    plans, plain = [], slices.snapshot
+    monkeypatch.setattr(slices, "snapshot", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or plain(df, name))
+    df = spark.range(5000).selectExpr("'g' AS g", "sin(id) AS x")
+    assert slices.percentiles(df, "x", [90], ["g"]).first().value == pytest.approx(float(np.percentile(np.sin(np.arange(5000)), 90)))
+    passes = [p for name, p in plans if name == "slices"]
+    exchanged = [line for p in passes for line in p.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(passes) >= 2 and exchanged and not any("hashpartitioning(x" in line or ", x#" in line for line in exchanged)
+
+
 def test_ranks_and_percentiles_of_a_group_over_many_ranges(spark):
     from rasterjobs.operators import ranked
 
     rng = np.random.default_rng(5)
     rows = [("big" if i % 10 else None, int(rng.integers(0, 50)), i) for i in range(400)]
     df = spark.createDataFrame([*rows, ("none", None, 400)], "g string, x int, i int")
-    got = {(r.g, r.p): (r.value, r.n) for r in ranked.percentiles(df, "x", [0, 37.5, 50, 100], ["g"]).collect()}
+    got = {(r.g, r.p): (r.value, r.n) for r in slices.percentiles(df, "x", [0, 37.5, 50, 100], ["g"]).collect()}
     for g in ("big", None):
         x = [r[1] for r in rows if r[0] == g]
         for p in (0, 37.5, 50, 100):
@@ -513,7 +551,7 @@ def test_ranks_and_percentiles_of_a_group_over_many_ranges(spark):
     for g in ("big", None):
         order = sorted((r for r in rows if r[0] == g), key=lambda r: r[1:])
         assert [found[r[2]] for r in order] == list(range(1, len(order) + 1))
-    empty = ranked.percentile_row(df.where("i < 0"), "x", {"a": 5}).first()
+    empty = slices.percentile_row(df.where("i < 0"), "x", {"a": 5}).first()
     assert empty.a is None
 
 
