@@ -3,16 +3,17 @@
 Documents are indexed by hashes of lines with enough words, and of the shortest runs of consecutive lines that have
 enough words together. All documents that share a rare hash (RARE of them at most) are paired; a more frequent hash pairs every later
 document with the earliest only, so pairs grow with lines, not with the square of a line's documents, and no block is
-lost, as the earliest holds all runs of it. The two documents' line hashes are aligned: equal heads and tails first,
-then lines unique on both sides in their longest common order, then again between those. Blocks of aligned lines
-with enough words go from the later document. What one order leaves (lines that stand twice, passages in another order)
-is matched by hashed runs of consecutive lines.
+lost, as the earliest holds all runs of it.
+
+What is aligned are the shortest runs of lines with enough words, so a pair that the diff aligns is a common block and goes from the later
+document. One alignment takes the longest order that both documents have; each stretch that it leaves between aligned runs is
+aligned with the whole earlier document again, until none is left or aligned, so passages in another order go as well. A run that stands
+several times is aligned by its first place, and its copies share the decision.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ PARTNERS = 64
 
 
 def _in_order(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest run of pairs (by first number) whose second numbers rise."""
-    tails, ends, back = [], [], []
+    """The longest run of pairs (by first number) whose second numbers rise; of several ends the middle one, so that what is left is cut in halves."""
+    tails, ends, back, pile = [], [], [], []
     for k, (_, j) in enumerate(pairs):
         at = bisect_left(tails, j)
         if at == len(tails):
@@ -43,37 +44,37 @@ def _in_order(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         else:
             tails[at], ends[at] = j, k
         back.append(ends[at - 1] if at else -1)
-    out, k = [], ends[-1] if ends else -1
+        pile.append(at)
+    last = [k for k, at in enumerate(pile) if at == len(tails) - 1]
+    out, k = [], last[len(last) // 2] if last else -1
     while k >= 0:
         out.append(pairs[k])
         k = back[k]
     return out[::-1]
 
 
-def patience(a: list, b: list) -> list[tuple[int, int]]:
-    """Aligned positions (i, j) with a[i] == b[j], rising on both sides."""
-    found, todo = [], [(0, len(a), 0, len(b))]
-    while todo:
-        i, m, j, n = todo.pop()
-        while i < m and j < n and a[i] == b[j]:
-            found.append((i, j))
-            i, j = i + 1, j + 1
-        while i < m and j < n and a[m - 1] == b[n - 1]:
-            m, n = m - 1, n - 1
-            found.append((m, n))
-        if i >= m or j >= n:
-            continue
-        in_a, in_b = Counter(a[i:m]), Counter(b[j:n])
-        place = {x: j + k for k, x in enumerate(b[j:n]) if in_b[x] == 1}
-        fixed = _in_order([(i + k, place[x]) for k, x in enumerate(a[i:m]) if in_a[x] == 1 and x in place])
-        at = (i, j)
-        for p, q in fixed:
-            found.append((p, q))
-            todo.append((at[0], p, at[1], q))
-            at = (p + 1, q + 1)
-        if fixed:
-            todo.append((at[0], m, at[1], n))
-    return sorted(found)
+def places(a: list) -> dict:
+    """The first place of each element."""
+    return {x: i for i, x in reversed(list(enumerate(a)))}
+
+
+def patience(a: list, b: list, place: dict | None = None) -> list[tuple[int, int]]:
+    """Aligned positions (i, j) with a[i] == b[j], rising on both sides: equal heads and tails, then first places in their longest common order.
+
+    If a and b have an element in common, some are aligned. ``place`` is ``places(a)``, for an ``a`` that is aligned often.
+    """
+    place = places(a) if place is None else place
+    i, j, m, n = 0, 0, len(a), len(b)
+    found = []
+    while i < m and j < n and a[i] == b[j]:
+        found.append((i, j))
+        i, j = i + 1, j + 1
+    while i < m and j < n and a[m - 1] == b[n - 1]:
+        m, n = m - 1, n - 1
+        found.append((m, n))
+    first = places(b[j:n])
+    pairs = [(j + q, place[x]) for x, q in sorted(first.items(), key=lambda p: p[1]) if i <= place.get(x, -1) < m]
+    return sorted([*found, *((p, q) for q, p in _in_order(pairs))])
 
 
 def runs(h: np.ndarray, words: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,39 +97,36 @@ def runs(h: np.ndarray, words: np.ndarray, bounds: np.ndarray, least: int) -> tu
     return start, end, mix(own ^ (end - start).astype(U), 5).view(np.int64)
 
 
+def _in_text_order(lines: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of :func:`runs` of one document, by place."""
+    start, end, h = runs(lines, words, np.array([0, len(lines)]), least)
+    order = np.lexsort((end, start))
+    return start[order], end[order], h[order]
+
+
 class Base:
-    """The earlier document of pairs: its lines, and the hashes of its runs when a pair asks for them."""
+    """The earlier document of pairs: its runs in order, and the first place of each."""
 
     def __init__(self, lines: np.ndarray, words: np.ndarray, least: int):
-        self.lines, self.seen, self.least = lines.tolist(), set(lines.tolist()), least
-        self.parts, self.found = (lines, words), None
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        if self.found is None:
-            h, words = self.parts
-            self.found = np.unique(runs(h, words, np.array([0, len(h)]), self.least)[2])
-        return np.isin(hashes, self.found)
+        self.least, self.runs = least, _in_text_order(lines, words, least)[2].tolist()
+        self.place = places(self.runs)
 
 
 def common_blocks(base: Base, b: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Lines of ``b`` in blocks of at least ``base.least`` words that ``base`` has as well: aligned ones, then all others."""
-    lines, gone = b.tolist(), np.zeros(len(b), bool)
-    block, before = [], (-2, -2)
-    for i, j in [*patience(base.lines, lines), (-9, -9)]:
-        if (i, j) != (before[0] + 1, before[1] + 1):
-            if block and words[block].sum() >= base.least:
-                gone[block] = True
-            block = []
-        block.append(j)
-        before = (i, j)
-    if any(lines[k] in base.seen for k in np.flatnonzero(~gone)):
-        start, end, h = runs(b, words, np.array([0, len(b)]), base.least)
-        hit = base.has(h)
-        depth = np.zeros(len(b) + 1, np.int64)
-        np.add.at(depth, start[hit], 1)
-        np.add.at(depth, end[hit], -1)
-        gone |= np.cumsum(depth[:-1]) > 0
-    return np.flatnonzero(gone)
+    """Lines of ``b`` in the runs that align with ``base``, stretch by stretch until nothing more does."""
+    start, end, h = _in_text_order(b, words, base.least)
+    todo, aligned = [list(dict.fromkeys(h.tolist()))], set()
+    while todo:
+        stretch = todo.pop()
+        at = [j for _, j in patience(base.runs, stretch, base.place)]
+        aligned.update(stretch[j] for j in at)
+        if at:
+            todo += [left for p, q in zip([-1, *at], [*at, len(stretch)], strict=True) if (left := stretch[p + 1 : q])]
+    hit = np.isin(h, np.array(list(aligned), np.int64))
+    depth = np.zeros(len(b) + 1, np.int64)
+    np.add.at(depth, start[hit], 1)
+    np.add.at(depth, end[hit], -1)
+    return np.flatnonzero(np.cumsum(depth[:-1]) > 0)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,8 @@ TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}"
 LEAST_TOKEN = 16
 #: Mean log ratio per pair from which a token is a secret.
 THRESHOLD = 1.0
-#: Labelled samples: words of about so many documents as identifiers, and one random string for about so many of these words.
+#: Labelled samples: words of about so many documents as identifiers, and one random string for about so many of these words. A
+#: random string has about 40 characters, a word 6 or more: with 8 words a string both models count about as many pairs, so neither is smoother.
 SAMPLE_DOCS, WORDS_PER_RANDOM = 2_000, 8
 #: Weight of the back-off to single characters, in pairs.
 BACK_OFF = 8.0

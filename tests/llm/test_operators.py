@@ -337,6 +337,21 @@ def test_a_hot_line_is_dealt_over_salts_and_long_texts_stay_whole(spark, monkeyp
     assert [out[i].n_removed for i in range(151)] == [0] + [1] * 150 and out[150].text == texts[150].removesuffix("\n" + hot)
 
 
+def test_the_alignment_decides(monkeypatch):
+    rng = random.Random(24)
+    line = lambda x: np.array(x, np.int64) * 1_000_003
+    six = lambda x: np.full(len(x), 6, np.int32)
+    a = list(range(4000))
+    base = line_dedup.Base(line(a), six(a), 5)
+    for b in (a, a[::-1], rng.sample(a, 4000), a[2000:] + a[:2000], [x for k in range(0, 4000, 50) for x in a[k : k + 50][::-1]], [7] * 4000, [*range(9000, 9100), 5, *range(9100, 9200), 5]):
+        got = line_dedup.common_blocks(base, line(b), six(b)).tolist()
+        assert got == [k for k, x in enumerate(b) if x < 4000]
+    pairs = line_dedup.patience(a, a[2000:] + a[:2000])
+    assert len(pairs) == 2000 and all(p < q for p, q in zip(pairs, pairs[1:], strict=False))
+    monkeypatch.setattr(line_dedup, "patience", lambda *_: [])
+    assert not len(line_dedup.common_blocks(base, line(a), six(a)))
+
+
 def test_runs_cover_every_shared_block():
     rng = random.Random(15)
     for _ in range(300):
@@ -545,7 +560,10 @@ def test_samples_are_labelled_without_secrets_in_the_corpus(spark):
     samples = secrets.labelled_samples(docs)
     made = [r.token for r in samples.where("random").collect()]
     assert len(made) > 100 and all(re.fullmatch("[A-Za-z0-9+/_-]{8,}", t) for t in made) and len(set(made)) == len(made)
-    assert samples.where("not random").count() > 10 * len(made) and any(secrets.train(samples))
+    # a random string has about as many pairs of characters as the words that stand for it together
+    words = [r.token for r in samples.where("not random").collect()]
+    assert 0.8 * secrets.WORDS_PER_RANDOM < len(words) / len(made) < 1.25 * secrets.WORDS_PER_RANDOM
+    assert 0.5 < sum(len(t) - 1 for t in words) / sum(len(t) - 1 for t in made) < 2 and any(secrets.train(samples))
     assert secrets.labelled_samples(docs, 4).count() < samples.count() / 4 and not any(secrets.train(samples.limit(0)))
 
 
