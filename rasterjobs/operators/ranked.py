@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterjobs.runtime import snapshot
+from rasterjobs.runtime import drop, snapshot
+
+
+#: Up to so many rows make one range, which needs no sample for bounds.
+ONE_RANGE = 50_000
 
 
 def in_ranges(df: DataFrame, order: list[str | Column]) -> DataFrame:
@@ -13,7 +17,14 @@ def in_ranges(df: DataFrame, order: list[str | Column]) -> DataFrame:
 
     It is written once, as another run could draw other bounds.
     """
-    return snapshot(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    whole = snapshot(df, "rows")
+    if whole.limit(ONE_RANGE + 1).count() <= ONE_RANGE:
+        out = whole.withColumn("__range", F.lit(0))
+        out._one_range = True
+        return out
+    placed = snapshot(whole.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    drop(whole)
+    return placed
 
 
 def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
@@ -25,6 +36,11 @@ def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
 
 def with_ranges(placed: DataFrame, by: list[str], total: Column) -> DataFrame:
     """``placed`` with ``__before`` and ``__all``: ``total`` (a sum) over a group's earlier ranges, and over all of them."""
+    if getattr(placed, "_one_range", False):  # nothing comes before it
+        group = Window.partitionBy(*(by or [F.lit(1)]))
+        out = placed.withColumn("__all", total.over(group)).withColumn("__before", F.col("__all") - F.col("__all"))
+        out._one_range = True
+        return out
     sums = placed.groupBy(*by, "__range").agg(total.alias("__n"))
     group = Window.partitionBy(*(by or [F.lit(1)]))  # a row per range
     sums = sums.withColumns({"__before": F.sum("__n").over(group.orderBy("__range")) - F.col("__n"), "__all": F.sum("__n").over(group)}).drop("__n")
