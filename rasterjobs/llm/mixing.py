@@ -18,8 +18,8 @@ from rasterjobs.runtime import drop, snapshot
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: Documents per shard of a source at most, on average; words per block at most; a source's average shard has at least so many blocks.
-SHARD_ROWS, BLOCK, SHARD_BLOCKS = 5_000, 256, 100
+#: Documents per shard of a source at most, on average; words per block; a source with a target of fewer blocks is dealt in words.
+SHARD_ROWS, BLOCK, SOURCE_BLOCKS = 5_000, 256, 100
 
 
 def _with_sums(parts: DataFrame, by: list[str], **sums: Column) -> DataFrame:
@@ -31,19 +31,24 @@ def _with_sums(parts: DataFrame, by: list[str], **sums: Column) -> DataFrame:
 def fill_targets(sources: DataFrame, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, float]:
     """``sources`` (words, weight) with ``target``, and the targets' sum: ``share`` times all words by weight, none above ``most`` times its own.
 
-    The excess is reshared by weight among the rest until none is above; a round is one sum over the sources.
+    The excess is reshared by weight among the rest until none is above: of the sources by rising ``most * words / weight`` the
+    first ones stop, and the rest share what is left at the first level that none of them exceeds. One ordered pass finds it.
     """
-    words, weight = F.col("words"), F.col("weight")
-    whole = sources.agg(F.sum(words)).first()[0] or 0
-    stopped, per = -1, 0.0
-    while True:
-        over = F.lit(False) if stopped < 0 else per * weight > most * words
-        row = sources.agg(F.count(F.when(over, 1)), F.sum(F.when(over, words).otherwise(0)), F.sum(F.when(over, 0).otherwise(weight))).first()
-        if row[0] == stopped or not row[2]:
-            break
-        stopped, per = row[0], (share * whole - most * (row[1] or 0)) / row[2]
-    target = F.when(per * weight > most * words, most * words).otherwise(per * weight).cast("double")
-    return sources.withColumn("target", target), min(share, most) * whole
+    full = F.col("__full")
+    rows = sources.select(F.col("words").cast("long").alias("words"), F.col("weight").cast("double").alias("weight")).where("weight > 0").withColumn("__full", most * F.col("words") / F.col("weight"))
+    placed = in_ranges(rows, ["__full"])
+    whole = placed.agg(F.sum("words"), F.sum("weight")).first()
+    total, weights = whole[0] or 0, whole[1] or 0.0
+    names = ["words", "weight", "__full"]
+    for c in ("words", "weight"):
+        placed = with_ranges(placed, [], F.sum(c)).withColumnRenamed("__before", f"__{c}").drop("__all")
+    upto = Window.partitionBy("__range").orderBy(*names[::-1]).rowsBetween(Window.unboundedPreceding, -1)
+    words, weight = (F.col(before) + F.coalesce(F.sum(c).over(upto), F.lit(0)) for c, before in (("words", "__words"), ("weight", "__weight")))
+    placed = placed.withColumns({"__w": words, "__g": weight}).withColumn("__level", (share * total - most * F.col("__w")) / (weights - F.col("__g")))
+    found = placed.where(F.col("__level") <= full).agg(F.min_by("__level", F.struct("__full", "__w", "__g"))).first()[0]
+    own = F.lit(float("inf") if found is None else found) * F.col("weight")
+    target = F.when(F.col("weight") > 0, F.least(own, most * F.col("words").cast("double"))).otherwise(0.0)
+    return sources.withColumn("target", target.cast("double")), min(share, most) * total
 
 
 def apportion(parts: DataFrame, by: list[str], weight: str, seats: Column, order: list[str], cap: Column | None = None) -> DataFrame:
@@ -67,17 +72,17 @@ def apportion(parts: DataFrame, by: list[str], weight: str, seats: Column, order
 
 
 def _shard_quotas(shards: DataFrame, block: int, most: int) -> DataFrame:
-    """Rows (key, shard, words, blocks) with a shard's quota ``take`` in words.
+    """Rows (key, shard, words, quota) with a shard's part ``take`` of its source's quota, in words.
 
     No shard takes more whole blocks than ``most`` times its words hold, so the others get them; words that
     are then still open go to the shards in turn, up to their room.
     """
-    got = apportion(shards, ["key"], "words", F.col("blocks"), ["shard"], F.expr(f"words * {int(most)} div {int(block)}"))
+    got = apportion(shards, ["key"], "words", F.expr(f"quota div {int(block)}"), ["shard"], F.expr(f"words * {int(most)} div {int(block)}"))
     got = got.withColumn("take", F.col("seats") * block).withColumn("room", F.col("words") * most - F.col("take"))
     placed = with_ranges(in_ranges(_with_sums(got, ["key"], __given=F.col("take")), ["key", "shard"]), ["key"], F.sum("room"))
     upto = Window.partitionBy("key", "__range").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     before = F.col("__before") + F.sum("room").over(upto) - F.col("room")
-    left = F.col("blocks") * block - F.col("__given")
+    left = F.col("quota") - F.col("__given")
     return placed.select("key", "shard", "words", (F.col("take") + F.greatest(F.lit(0), F.least(F.col("room"), left - before))).alias("take"))
 
 
@@ -97,15 +102,16 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     sources = rows.groupBy(*names).agg(F.sum(F.col("size") * F.col("copies")).alias("words"), F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows"))
     sources = row_numbers(sources, [], names, "key").withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("key") - 1, F.lit(len(weights))) + 1).cast("int")))
     sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("n") / SHARD_ROWS)).cast("int"))
-    sources, total = fill_targets(snapshot(sources, "sources"), share, most)
-    least = sources.where("target > 0").agg(F.min("target"), F.min(F.col("words") / (F.col("shards") * SHARD_BLOCKS))).first()
-    block = max(1, min(block, int((least[0] or 1) // 100), int(least[1] or 1)))
-    blocks = apportion(sources, [], "target", F.lit(round(total / block)), ["key"]).select("key", F.col("seats").alias("blocks"))
-    sources = snapshot(sources.join(blocks, "key", "left").select("key", *names, F.col("words").alias("source_size"), "target", F.coalesce("blocks", F.lit(0)).alias("blocks"), "shards", "rows"), "targets")
+    sources, _ = fill_targets(snapshot(sources, "sources"), share, most)
+    # a source whose target is less than SOURCE_BLOCKS blocks is dealt in words among its like; it changes nothing for the others
+    sources = snapshot(sources.withColumn("unit", F.when(F.col("target") < SOURCE_BLOCKS * block, 1).otherwise(block)), "units")
+    units = F.broadcast(sources.groupBy("unit").agg(F.round(F.sum("target") / F.first("unit")).cast("long").alias("units")))  # two rows
+    seats = apportion(sources.join(units, "unit"), ["unit"], "target", F.col("units"), ["key"]).select("key", (F.col("seats") * F.col("unit")).alias("quota"))
+    sources = snapshot(sources.join(seats, "key", "left").select("key", *names, F.col("words").alias("source_size"), "target", F.coalesce("quota", F.lit(0)).alias("quota"), "shards", "rows"), "targets")
     rows = salted_join(rows, sources, names, "rows", ["doc_id", "size"], small=True).drop("rows", *names)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.col("shards")).cast("int")).drop("shards")
     words = F.col("size") * F.col("copies")
-    per = snapshot(rows.groupBy("key", "shard", "blocks").agg(F.sum(words).alias("words")), "shards")
+    per = snapshot(rows.groupBy("key", "shard", "quota").agg(F.sum(words).alias("words")), "shards")
     quotas = snapshot(_shard_quotas(per, block, most), "quotas").withColumnRenamed("words", "shard_words")
     drop(per)
     order = Window.partitionBy("key", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "size")
