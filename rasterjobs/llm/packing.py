@@ -31,11 +31,14 @@ class WordTokenizer:
     its white-space-separated parts in order; parts are encoded once while they stay in the cache.
     """
 
-    def __init__(self, path: str, cached: int = 900_000):
+    #: Longer words are encoded where they stand and not kept.
+    LONG = 64
+
+    def __init__(self, path: str, cached: int = 256 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached, self.ids = Tokenizer.from_file(path), cached, {}
+        self.tokenizer, self.cached, self.ids, self.size = Tokenizer.from_file(path), cached, {}, 0  # bytes at most, bytes
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a pre-token
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -67,17 +70,23 @@ class WordTokenizer:
             for j, (w, _) in enumerate(group):
                 self.ids[w] = raw[cut[j] : cut[j + 1]]
 
+    def _alone(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # only the exact form of a special token counts as one, so such texts keep their case
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         known = self.ids
-        if len(known) > self.cached:
+        if self.size > self.cached:
             known.clear()
+            self.size = 0
         parts = [list(map(known.get, words)) for words in split]
         some = [i for i, p in enumerate(parts) if None in p]
         new = {w for i in some for w, p in zip(split[i], parts[i], strict=True) if p is None}
         if new:
-            stems = {}
+            stems, before = {}, len(known)
+            long_ = {w: self._alone(w) for w in new if len(w) > self.LONG}
+            new -= long_.keys()
             for w in new:
                 stem = w.rstrip(b",.")
                 # a run of punctuation after an ASCII letter or digit is a pre-token of its own
@@ -86,8 +95,10 @@ class WordTokenizer:
             self._learn([x for x in {y for w in new for y in ((stems[w], w[len(stems[w]) :]) if w in stems else (w,))} if x not in known])
             for w, stem in stems.items():
                 known[w] = known[stem] + known[w[len(stem) :]]
+            # a word, its ids and what Python needs for an entry
+            self.size += sum(len(w) + len(known[w]) for w in new) + 250 * (len(known) - before)
             for i in some:
-                parts[i] = [known[w] if p is None else p for w, p in zip(split[i], parts[i], strict=True)]
+                parts[i] = [(known[w] if len(w) <= self.LONG else long_[w]) if p is None else p for w, p in zip(split[i], parts[i], strict=True)]
         return list(map(b"".join, parts))
 
 
