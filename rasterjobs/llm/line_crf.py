@@ -12,15 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterjobs.llm.language import in_fold
 from rasterjobs.llm.textops import U, Texts, slices
-from rasterjobs.runtime import ship
+from rasterjobs.runtime import ship, snapshot
 
 #: Learning reads a hashed sample of about so many documents of either label; of a longer one so many consecutive lines, of a longer line so many evenly spaced words.
 TRAINING_DOCS, TRAINING_LINES, TRAINING_WORDS = 1_500, 100, 1_000
+#: Bytes of training rows that the driver takes; what a hash puts beyond them is not learned from.
+TRAINING_BYTES = 64 << 20
 #: Documents joined to a chain for learning; buckets of hashed words.
 JOINED, BUCKETS = 4, 1 << 12
 GOOD = 0.7
@@ -206,7 +208,7 @@ def _lines(batches: Iterator[pa.RecordBatch], most: int, most_words: int) -> Ite
                 own.append(x.own[a:b].tobytes())
                 words.append(np.array([len(p) for p in kept], np.int32).tobytes())
                 buckets.append(x.buckets[np.concatenate(kept)].tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("quality").cast(pa.int32()), *(pa.array(c, pa.binary()) for c in (own, words, buckets))], ["quality", "own", "words", "buckets"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality").cast(pa.int32()), *(pa.array(c, pa.binary()) for c in (own, words, buckets))], ["doc_id", "quality", "own", "words", "buckets"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCS, lines: int = TRAINING_LINES, words: int = TRAINING_WORDS) -> LineCrf:
@@ -221,8 +223,16 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCS, lines:
         return untaught()
     limit = F.when(F.col("quality") == 1, 10**12 * bound // sizes[1] + 1).otherwise(10**12 * bound // sizes[0] + 1)
     some = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**12)) < limit).dropDuplicates()  # about 2 x bound rows
-    rows = docs.join(F.broadcast(some), "doc_id").select("text", "quality")
-    table = rows.mapInArrow(lambda it: _lines(it, lines, words), "quality int, own binary, words binary, buckets binary").toArrow()
+    rows = docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality")
+    kinds = "quality int, own binary, words binary, buckets binary"
+    made = rows.select("doc_id", "text", "quality").mapInArrow(lambda it: _lines(it, lines, words), f"doc_id long, {kinds}")
+    # the driver takes a row per label and at most so many bytes, in the order of a hash; a repeated id teaches once
+    size, h = F.length("own") + F.length("words") + F.length("buckets"), F.xxhash64("own", "words", "buckets")
+    one = made.groupBy("doc_id", "quality").agg(F.min(F.struct(h.alias("h"), "own", "words", "buckets")).alias("x")).select("doc_id", "quality", "x.*")
+    table = snapshot(one.withColumn("bytes", size), "training")
+    before = Window.orderBy("h", "doc_id", "quality").rowsBetween(Window.unboundedPreceding, 0)  # about 2 x bound rows
+    fitting = table.select("doc_id", "quality", F.sum("bytes").over(before).alias("upto")).where(F.col("upto") <= TRAINING_BYTES).select("doc_id", "quality")
+    table = table.join(F.broadcast(fitting), ["doc_id", "quality"], "left_semi").select("quality", "own", "words", "buckets").toArrow()
     found = sorted(zip(*(table[c].to_pylist() for c in ("quality", "own", "words", "buckets")), strict=True))
     if len({q for q, *_ in found}) < 2:
         return untaught()

@@ -76,6 +76,19 @@ def test_packing_covers_every_token_and_cuts_long_documents_only(spark):
     assert packing.pack(empty(spark), tokenizer_path()).count() == 0
 
 
+def test_words_are_cached_by_bytes_and_long_ones_not_at_all():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(30)
+    plain, few = Tokenizer.from_file(tokenizer_path()), packing.WordTokenizer(tokenizer_path(), cached=20_000)
+    blob = base64.b64encode(rng.randbytes(30_000)).decode()
+    for k in range(30):
+        texts = [prose(rng, 40), f"{blob[k:]} x,. {blob[:65]}.", "é" * 40 + " " + "a" * 64, "B" * 65]
+        got = few.encode([t.encode() for t in texts])
+        assert got == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert sum(len(w) + len(x) for w, x in few.ids.items()) < 60_000 and not any(len(w) > few.LONG for w in few.ids)
+
+
 def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():
     fit = packing.BestFit(10, 2, 0)
     assert fit.add(6, (0, 0, 0, 6, b"")) is None and fit.add(7, (1, 0, 0, 7, b"")) is None
@@ -722,6 +735,21 @@ def test_transitions_learn_that_labels_stay_and_change(spark):
     assert line_crf.learn(docs_of(spark, texts), labels.where("quality = 1")).transitions.tolist() == [[0, 0], [0, 0]]
 
 
+def test_what_the_driver_takes_to_learn_is_bounded(spark, monkeypatch):
+    rng = random.Random(29)
+    texts = [prose(rng, 40) if i % 2 else " ".join(["$$$"] * 40) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    taken, plain = [], line_crf.fit
+    monkeypatch.setattr(line_crf, "fit", lambda rows, y: taken.append(sum(x.own.nbytes + x.words.nbytes + x.buckets.nbytes for x in rows)) or plain(rows, y))
+    docs = docs_of(spark, texts)
+    line_crf.learn(docs, labels)
+    line_crf.learn(docs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(50)))), labels)  # repeated rows
+    assert taken[0] == taken[1] > 5000
+    monkeypatch.setattr(line_crf, "TRAINING_BYTES", 3000)
+    line_crf.learn(docs, labels)
+    assert 1000 < taken[2] <= 3000
+
+
 def test_classifier_on_held_out_rows(spark):
     rng = random.Random(3)
     good = lambda: "\n".join(prose(rng, 12).capitalize() + "." for _ in range(rng.randrange(1, 8)))
