@@ -23,10 +23,10 @@ def pixel_files(s, d):
 
 @query(f"WITH {PX} SELECT r, c, during_hh FROM px WHERE r >= 3 AND r < 11 AND c >= 20 AND c < 28")
 def pixel_window(s, d):
-    """A window of pixel files: range filters on sorted rows reach the row groups."""
+    """A window of pixel files: ranges of Morton keys, rows and columns reach the scan."""
     path = new_path(s, "pixels")
     io.write_pixels(grid(s, d).select("scene_id", "row", "col", "during_hh"), path, ["during_hh"])
-    return rounded(io.window_read(io.read_pixels(s, path, ["during_hh"], None), 3, 20, 8).select("row", "col", "during_hh"))
+    return rounded(io.read_window(s, path, ["during_hh"], 3, 20, 8, 8, None).select("row", "col", "during_hh"))
 
 
 @query(f"WITH {PX} SELECT r, c, CAST(1 AS INTEGER) AS band, CASE WHEN during_hh <> 0 THEN during_hh END AS value FROM px UNION ALL SELECT r, c, 2, CASE WHEN during_hv <> 0 THEN during_hv END FROM px")

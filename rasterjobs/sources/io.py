@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rasterjobs.runtime import ship, snapshot
 from rasterjobs.schema import HISTORY, KEY, SAMPLES, pixels
-from rasterjobs.sources import tiff
+from rasterjobs.sources import morton, tiff
 from rasterjobs.sources.files import ranges, write_bytes
 
 
@@ -26,14 +26,31 @@ def read_pixels(spark: SparkSession, path: str, bands: list[str], sentinel: floa
     return df if sentinel is None else sentinel_to_null(df, bands, sentinel)
 
 
-def write_pixels(df: DataFrame, path: str, bands: list[str], sentinel: float | None = None, mode: str = "error") -> None:
-    """Parquet by scene, rows sorted by place so that :func:`window_read` prunes row groups; NULL becomes the sentinel."""
+def write_pixels(df: DataFrame, path: str, bands: list[str], sentinel: float | None = None, mode: str = "error", group_bytes: int = 16 << 20) -> None:
+    """Parquet by scene, rows in Morton order of their cells (see :mod:`morton`) with the key as ``zkey``; NULL becomes the sentinel.
+
+    Row groups have about ``group_bytes`` bytes, so that :func:`read_window` prunes on both axes. Cells must have row and column from 0 on.
+    """
     if sentinel is not None:
         df = df.withColumns({c: F.coalesce(F.col(c), F.lit(sentinel)) for c in bands})
-    df.repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.mode(mode).partitionBy("scene_id").parquet(path)
+    df = df.withColumn(morton.ZKEY, morton.morton(F.col("row"), F.col("col")))
+    order = ["scene_id", morton.ZKEY]
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).option("parquet.block.size", group_bytes).partitionBy("scene_id").parquet(path)
+
+
+def read_window(spark: SparkSession, path: str, bands: list[str], r: int, c: int, height: int, width: int, sentinel: float | None = 0.0) -> DataFrame:
+    """Pixels of rows r .. r + height - 1 and columns c .. c + width - 1 of files that :func:`write_pixels` wrote.
+
+    The window's ranges of keys, and its rows and columns, reach the scan: row groups and pages outside are not read.
+    """
+    schema = pixels(*bands).add(morton.ZKEY, "long")
+    df = spark.read.schema(schema).parquet(path).where(morton.inside(r, r + height, c, c + width))
+    df = df.where(f"row >= {int(r)} and row < {int(r + height)} and col >= {int(c)} and col < {int(c + width)}").drop(morton.ZKEY)
+    return df if sentinel is None else sentinel_to_null(df, bands, sentinel)
 
 
 def window_read(df: DataFrame, r: int, c: int, p: int) -> DataFrame:
+    """A window of any pixel table; of files, see :func:`read_window`."""
     return df.where((F.col("row") >= r) & (F.col("row") < r + p) & (F.col("col") >= c) & (F.col("col") < c + p))
 
 

@@ -14,7 +14,7 @@ from rasterjobs.functions import algebra as A
 from rasterjobs.operators import accuracy, components, depth, focal, hist, ml, outlines, patches, regions, resample, slices, texture, tiles
 from rasterjobs.plans import report, workloads
 from rasterjobs.schema import BANDS
-from rasterjobs.sources import io, tiff
+from rasterjobs.sources import io, morton, tiff
 
 
 def pixels(spark, array, name="x", scene="s"):
@@ -555,6 +555,47 @@ def test_ranks_and_percentiles_of_a_group_over_many_ranges(spark):
     assert empty.a is None
 
 
+def test_morton_keys_and_ranges_of_windows(spark):
+    rng = random.Random(3)
+    cells = [(rng.randrange(2**k), rng.randrange(2**k)) for k in (1, 4, 9, 20, 31) for _ in range(20)]
+    got = spark.createDataFrame(cells, "row long, col long").select("row", "col", morton.morton(F.col("row"), F.col("col")).alias("z")).collect()
+    assert all(r.z == morton.number(r.row, r.col) and r.z >= 0 for r in got)
+    z = np.array([[morton.number(r, c) for c in range(70)] for r in range(70)])
+    for _ in range(60):
+        r, c, h, w, most = rng.randrange(60), rng.randrange(60), rng.randrange(1, 64), rng.randrange(1, 64), rng.choice([1, 3, 24, 10**6])
+        found = morton.window_ranges(r, r + h, c, c + w, most)
+        inside = np.zeros(z.shape, bool)
+        for a, b in found:
+            inside |= (z >= a) & (z <= b)
+        assert inside[r : r + h, c : c + w].all() and len(found) <= most and all(p[1] < q[0] for p, q in zip(found, found[1:], strict=False))
+        if most == 10**6 and min(h, w) < 32:
+            assert inside.sum() == min(h, 70 - r) * min(w, 70 - c)  # exact where quadrants split to cells
+    assert morton.window_ranges(5, 5, 0, 9) == [] and morton.window_ranges(-4, 1, -3, 1) == [(0, 0)]
+
+
+def test_a_window_reads_row_groups_by_its_area(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    side, path = 1024, f"file://{tmp_path}/z"
+    df = spark.range(side * side).selectExpr("'s' AS scene_id", f"cast(id div {side} AS int) AS row", f"cast(id % {side} AS int) AS col", "rand(1) AS x")
+    io.write_pixels(df, path, ["x"], group_bytes=1 << 18)
+    groups = [(g.column(k), g.num_rows) for f in glob.glob(f"{tmp_path}/z/scene_id=s/*.parquet") for m in [pq.ParquetFile(f).metadata] for g in [m.row_group(i) for i in range(m.num_row_groups)] for k in range(g.num_columns) if g.column(k).path_in_schema == "zkey"]
+    assert len(groups) > 20
+    r, c, n = 300, 700, 64  # 1/256 of the cells; a strip of rows has 1/16
+    wanted = morton.window_ranges(r, r + n, c, c + n)
+    met = sum(rows for k, rows in groups if any(a <= k.statistics.max and b >= k.statistics.min for a, b in wanted))
+    window = io.read_window(spark, path, ["x"], r, c, n, n)
+    assert window.count() == n * n and window.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()[:] == (r, r + n - 1, c, c + n - 1)
+    window.collect()
+    plan = window._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().head()
+    read = scan.metrics().apply("numOutputRows").value()
+    # what the scan hands on after pruning row groups and pages: far less than the strip of rows of the window
+    assert n * n <= read <= met < side * side / 16 and "zkey" in plan.toString()
+
+
 def test_best_checkpoint_over_many_ranges(spark):
     from rasterjobs.operators.accuracy import best_checkpoint
 
