@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterjobs.functions.algebra import sigmoid, uniform
-from rasterjobs.runtime import ship
+from rasterjobs.operators.ranked import row_numbers
+from rasterjobs.operators.summed import SummedArea
+from rasterjobs.operators.tiles import TILE
+from rasterjobs.runtime import drop, ship, snapshot
 
 
 def sliding_patches(spark: SparkSession, height: int, width: int, p: int = 512, overlap: int = 64) -> DataFrame:
@@ -31,6 +34,48 @@ def random_patches(spark: SparkSession, height: int, width: int, p: int, n: int,
     return spark.range(n).select(F.col("id").alias("patch_id"), draw("r", height - p).alias("r0"), draw("c", width - p).alias("c0"), F.lit(p).alias("size"))
 
 
+def summed_masks(pixels: DataFrame, mask: str = "mask", tile: int = TILE) -> SummedArea:
+    """Summed-area tables of cells, valid cells (0 or 1) and flooded cells (1)."""
+    m = F.col(mask)
+    return SummedArea(pixels.select("scene_id", "row", "col", mask), {"cells": F.lit(1), "valid": m.isin(0, 1).cast("int"), "flood": (m == 1).cast("int")}, tile)
+
+
+def patch_ratios(tables: SummedArea, patches: DataFrame) -> DataFrame:
+    """``(patch_id, valid_ratio, flood_ratio)`` of patches (patch_id, r0, c0, size) by four lookups each, as :func:`patch_stats` without extraction.
+
+    Patches with a scene_id are of that scene, others of all scenes together; a patch without cells has no row.
+    """
+    boxes = patches.withColumns({"r1": F.col("r0") + F.col("size"), "c1": F.col("c0") + F.col("size")})
+    per = tables.sums(boxes, "patch_id").groupBy("patch_id").agg(*[F.sum(c).alias(c) for c in ("cells", "valid", "flood")]).where("cells > 0")
+    return per.select("patch_id", (F.col("valid") / F.col("cells")).alias("valid_ratio"), (F.col("flood") / F.col("cells")).alias("flood_ratio"))
+
+
+def filter_patches(tables: SummedArea, patches: DataFrame, max_nodata: float = 0.5, min_flood: float = 0.0) -> DataFrame:
+    """:func:`patch_ratios` of patches with at most ``max_nodata`` missing and at least ``min_flood`` flooded."""
+    return patch_ratios(tables, patches).where((1 - F.col("valid_ratio") <= max_nodata) & (F.col("flood_ratio") >= min_flood))
+
+
+def random_flood_patches(tables: SummedArea, height: int, width: int, p: int, n: int, seed: int = 42, quota: float = 0.5, min_flood: float = 0.05, max_nodata: float = 0.5, most: int | None = None) -> DataFrame:
+    """The first ``n`` of :func:`random_patches`' endless draws with at most ``max_nodata`` missing, of which a part ``quota`` has ``min_flood`` flooded; with ratios.
+
+    Draws are rejected by four lookups each. The first ``ceil(quota * n)`` flooded draws and the first others, flooded or not, are taken. Rounds
+    double the draws until both are there or ``most`` (64 n, if not given) are drawn; fewer patches are returned then.
+    """
+    spark, wet = tables.sizes.sparkSession, -int(-quota * n // 1)
+    most, draws = 64 * n if most is None else most, min(2 * n, 64 * n if most is None else most)
+    while True:
+        origins = random_patches(spark, height, width, p, draws, seed)
+        good = snapshot(filter_patches(tables, origins, max_nodata).join(origins, "patch_id"), "draws")
+        flooded = row_numbers(good.where(F.col("flood_ratio") >= min_flood).select("patch_id"), [], ["patch_id"], "k").where(F.col("k") <= wet).select("patch_id")
+        flooded = snapshot(flooded, "flooded")
+        others = row_numbers(good.join(flooded, "patch_id", "left_anti").select("patch_id"), [], ["patch_id"], "k").where(F.col("k") <= n - wet).select("patch_id")
+        others = snapshot(others, "others")
+        if draws >= most or (flooded.count() >= wet and others.count() >= n - wet):
+            return good.join(flooded.unionByName(others), "patch_id", "left_semi").select("patch_id", "r0", "c0", "size", "valid_ratio", "flood_ratio")
+        drop(good, flooded, others)
+        draws = min(most, 2 * draws)
+
+
 def block_split(df: DataFrame, block: int = 1024, every: int = 5) -> DataFrame:
     """Adds ``part``: ``val`` for every n-th spatial block, else ``train``, so that the two don't overlap."""
     number = F.floor(F.col("row") / block) * 7919 + F.floor(F.col("col") / block)

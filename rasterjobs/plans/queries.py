@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterjobs.functions import algebra as A
 from rasterjobs.operators import accuracy as acc
-from rasterjobs.operators import depth, focal, hist, ml, outlines, patches, regions, resample, texture
+from rasterjobs.operators import depth, focal, hist, ml, outlines, patches, regions, resample, summed, texture
 from rasterjobs.plans import report, workloads
 from rasterjobs.plans.grid import FEAT, LIN, OTSU, PX, REGIONS, grid, table
 from rasterjobs.plans.registry import ORACLES, R, query, rounded
@@ -298,7 +298,20 @@ def random_origins(s, d):
 
 @query(f"WITH {PX}, {_ORIGINS} SELECT CAST(patch_id AS BIGINT) AS patch_id, {R('avg(CASE WHEN ref <> 255 THEN 1e0 ELSE 0 END)', 'valid_ratio')}, {R('avg(CASE WHEN ref = 1 THEN 1e0 ELSE 0 END)', 'flood_ratio')} FROM px JOIN pa ON r >= r0 AND r < r0 + 16 AND c >= c0 AND c < c0 + 16 GROUP BY 1 HAVING avg(CASE WHEN ref = 1 THEN 1e0 ELSE 0 END) >= 0.2")
 def patch_filter(s, d):
-    return rounded(patches.patch_filter(_patches(s, d), "ref", 0.5, 0.2))
+    g = grid(s, d)
+    height = g.agg(F.max("row")).first()[0] + 1
+    return rounded(patches.filter_patches(patches.summed_masks(g, "ref"), patches.sliding_patches(s, height, 100, 16, 4), 0.5, 0.2))
+
+
+@query(f"""WITH {PX}, bx AS (SELECT id, r - 3 AS r0, c - id % 11 AS c0, r + id % 7 AS r1, c + 1 + id % 5 AS c1 FROM px)
+SELECT bx.id, count(px.id) AS cells, CAST(coalesce(sum(px.v), 0) AS BIGINT) AS v, CAST(coalesce(sum(CASE WHEN px.blk = 0 THEN -px.v END), 0) AS BIGINT) AS wet
+FROM bx LEFT JOIN px ON px.r >= r0 AND px.r < r1 AND px.c >= c0 AND px.c < c1 GROUP BY 1""")
+def box_totals(s, d):
+    """A box around every pixel, some beyond the grid's edge, some empty."""
+    g = grid(s, d)
+    tables = summed.SummedArea(g, {"cells": F.lit(1), "v": F.col("v"), "wet": F.when(F.col("blk") == 0, -F.col("v"))}, 32)
+    boxes = g.selectExpr("id", "row - 3 AS r0", "col - id % 11 AS c0", "row + id % 7 AS r1", "col + 1 + id % 5 AS c1")
+    return tables.sums(boxes, "id").drop("scene_id")
 
 
 @query(f"WITH {PX}, {_ORIGINS} SELECT id, {R('avg(z)', 'prob', 4)} FROM px JOIN pa ON r >= r0 AND r < r0 + 16 AND c >= c0 AND c < c0 + 16 GROUP BY id")

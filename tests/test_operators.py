@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from rasterjobs.functions import algebra as A
-from rasterjobs.operators import accuracy, components, depth, focal, hist, ml, outlines, patches, regions, resample, slices, texture, tiles
+from rasterjobs.operators import accuracy, components, depth, focal, hist, ml, outlines, patches, regions, resample, slices, summed, texture, tiles
 from rasterjobs.plans import report, workloads
 from rasterjobs.schema import BANDS
 from rasterjobs.sources import io, morton, tiff
@@ -555,6 +555,49 @@ def test_ranks_and_percentiles_of_a_group_over_many_ranges(spark):
     assert empty.a is None
 
 
+@pytest.mark.parametrize("tile", [4, 16])
+def test_summed_areas_match_brute_force(spark, tile):
+    rng = random.Random(tile)
+    arrays = {"a": np.random.default_rng(1).integers(-9, 99, (19, 30)), "b": np.random.default_rng(2).integers(-9, 99, (6, 5)), "c": np.random.default_rng(3).integers(-9, 99, (33, 9))}
+    df, keep = None, "not (scene_id = 'c' and (row between 8 and 20 or col < 4))"  # whole tiles are missing
+    for name, a in arrays.items():
+        one = pixels(spark, a, "x", name)
+        df = one if df is None else df.unionByName(one)
+    arrays["c"][8:21, :] = 0
+    arrays["c"][:, :4] = 0
+    tables = summed.SummedArea(df.where(keep).withColumn("none", F.lit(None).cast("int")), {"x": F.col("x"), "one": F.lit(1), "none": F.col("none")}, tile)
+    boxes = []
+    for i in range(150):
+        r, c = rng.randrange(-4, 36), rng.randrange(-4, 33)
+        boxes.append((i, "abc"[i % 3], r, c, r + rng.randrange(-1, 40), c + rng.randrange(-1, 40)))
+    cut = lambda a, r0, c0, r1, c1: a[max(r0, 0) : max(r1, 0), max(c0, 0) : max(c1, 0)]
+    kinds = "i int, scene_id string, r0 int, c0 int, r1 int, c1 int"
+    got = {(r.i, r.scene_id): (r.x, r.none) for r in tables.sums(spark.createDataFrame(boxes, kinds), "i").collect()}
+    assert got == {(i, s): (int(cut(arrays[s], *b).sum()), 0) for i, s, *b in boxes}
+    every = {(r.i, r.scene_id): r.one for r in tables.sums(spark.createDataFrame(boxes, kinds).drop("scene_id"), "i").collect()}
+    assert len(every) == 450 and all(every[i, s] == cut(arrays[s] * 0 + 1, *b).size for i, s, *b in boxes if s != "c")
+
+
+def test_random_patches_keep_their_flood_quota(spark):
+    mask = np.zeros((60, 50), int)
+    mask[20:26, 30:40] = 1
+    mask[:, :8] = 255
+    df = pixels(spark, mask, "mask")
+    tables = patches.summed_masks(df, tile=16)
+    out = {r.patch_id: r for r in patches.random_flood_patches(tables, 60, 50, 8, 40, quota=0.5, min_flood=0.3, max_nodata=0.25).collect()}
+    draws = [(r.patch_id, r.r0, r.c0) for r in patches.random_patches(spark, 60, 50, 8, 64 * 40).orderBy("patch_id").collect()]
+    cut = lambda r, c: mask[r : r + 8, c : c + 8]
+    good = [(i, (cut(r, c) == 1).mean()) for i, r, c in draws if (cut(r, c) == 255).mean() <= 0.25]
+    wet = [i for i, share in good if share >= 0.3][:20]
+    assert set(out) == set(wet) | set([i for i, _ in good if i not in wet][:20]) and len(out) == 40
+    assert all(out[i].flood_ratio == pytest.approx(share) for i, share in good if i in out)
+    some = patches.patch_extract(df, spark.createDataFrame([(i, r, c, 8) for i, r, c in draws[:50]], "patch_id int, r0 int, c0 int, size int"), 8)
+    want = {r.patch_id: (r.valid_ratio, r.flood_ratio) for r in patches.patch_stats(some).collect()}
+    got = {r.patch_id: (r.valid_ratio, r.flood_ratio) for r in patches.patch_ratios(tables, patches.random_patches(spark, 60, 50, 8, 50)).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+    assert patches.random_flood_patches(tables, 60, 50, 8, 5, quota=1.0, min_flood=0.99, most=40).count() == 0  # fewer, if there are none
+
+
 def test_morton_keys_and_ranges_of_windows(spark):
     rng = random.Random(3)
     cells = [(rng.randrange(2**k), rng.randrange(2**k)) for k in (1, 4, 9, 20, 31) for _ in range(20)]
