@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterjobs.operators.skew import HOT_KEYS
 from rasterjobs.operators.tiles import TILE
-from rasterjobs.runtime import ship
+from rasterjobs.runtime import ship, snapshot
 from rasterjobs.schema import KEY
 
+#: Side of the source blocks that meet target tiles; a box of more than so many times a target tile's cells is not shipped.
+BLOCK, WIDE = 64, 16
+
 
 def stack_bands(bands: dict[str, DataFrame], value: str = "value") -> DataFrame:
     """One wide row per pixel that all bands have: long rows, one pivot with known names, one shuffle."""
@@ -106,25 +110,89 @@ def utm_to_geographic(x: Column, y: Column, zone: int = 44, north: bool = True)
     return lon, F.degrees(phi)
 
 
-def warp(source: DataFrame, value: str, targets: DataFrame, x: Column, y: Column, affine: tuple[float, float, float, float]) -> DataFrame:
+def _taps_of(fr: Column, fc: Column) -> Column:
+    """The four source cells (sr, sc, w) around a place."""
+    r, c = F.floor(fr), F.floor(fc)
+    v, u = fr - r, fc - c
+    return F.array(*[F.struct((r + i).cast("long").alias("sr"), (c + j).cast("long").alias("sc"), ((v if i else 1 - v) * (u if j else 1 - u)).alias("w")) for i in (0, 1) for j in (0, 1)])
+
+
+def _by_taps(cells: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
+    """``targets`` (with __fr, __fc) with ``__z``: four rows a target join the source cells by equality."""
+    four = targets.select(*KEY, *on, F.explode(_taps_of(F.col("__fr"), F.col("__fc"))).alias("t")).select(*KEY, *on, "t.*").where("w > 0")
+    got = four.join(cells, [*on, "sr", "sc"]).groupBy(*KEY).agg((F.sum(F.col("w") * F.col("__v")) / F.sum("w")).alias("__z"))
+    return targets.join(got, KEY, "left")
+
+
+def _by_tiles(cells: DataFrame, targets: DataFrame, boxes: DataFrame, key: list[str], on: list[str]) -> DataFrame:
+    """``targets`` (with __fr, __fc and the tile ``key``) with ``__z``: each target tile meets the source cells of its box once, in arrays."""
+    blocks = lambda low, high: F.sequence(F.floor(F.col(low) / BLOCK), F.floor(F.col(high) / BLOCK))
+    met = F.flatten(F.transform(blocks("r0", "r1"), lambda r: F.transform(blocks("c0", "c1"), lambda c: F.struct(r.alias("br"), c.alias("bc")))))
+    pairs = boxes.select(*key, "r0", "r1", "c0", "c1", F.explode(met).alias("b")).select(*key, "r0", "r1", "c0", "c1", "b.*")
+    pairs = F.broadcast(pairs) if pairs.count() <= HOT_KEYS else pairs
+    blocked = cells.withColumns({"br": F.floor(F.col("sr") / BLOCK), "bc": F.floor(F.col("sc") / BLOCK)})
+    shipped = blocked.join(pairs, [*on, "br", "bc"]).where("sr between r0 and r1 and sc between c0 and c1").select(*key, "sr", "sc", "__v")
+    kinds = T.StructType([*targets.schema.fields, T.StructField("__z", T.DoubleType())])
+
+    def gather(targets: pa.Table, cells: pa.Table) -> pa.Table:
+        total, weight = np.zeros(targets.num_rows), np.zeros(targets.num_rows)
+        if targets.num_rows and cells.num_rows:
+            sr, sc, v = (cells.column(c).to_numpy() for c in ("sr", "sc", "__v"))
+            top, left, wide = sr.min(), sc.min(), int(sc.max() - sc.min()) + 1
+            place = (sr - top) * wide + sc - left
+            order = np.argsort(place)
+            place, v = place[order], v[order]
+            fr, fc = (targets.column(c).to_numpy() for c in ("__fr", "__fc"))
+            known = np.isfinite(fr) & np.isfinite(fc)
+            fr, fc = np.where(known, np.clip(fr, top - 9.0, sr.max() + 9.0), top - 9.0), np.where(known, np.clip(fc, left - 9.0, left + wide + 9.0), left - 9.0)
+            r, c = np.floor(fr), np.floor(fc)
+            for i, wr in ((0, 1 - (fr - r)), (1, fr - r)):
+                for j, wc in ((0, 1 - (fc - c)), (1, fc - c)):
+                    y, x = r.astype(np.int64) + i - top, c.astype(np.int64) + j - left
+                    at = np.minimum(np.searchsorted(place, y * wide + x), len(place) - 1)
+                    w = np.where((x >= 0) & (x < wide) & (place[at] == y * wide + x), wr * wc, 0.0)
+                    total, weight = total + w * v[at], weight + w
+        out = np.divide(total, weight, out=np.zeros(len(total)), where=weight > 0)
+        return targets.append_column("__z", pa.array(out, mask=weight == 0))
+
+    return targets.groupBy(*key).cogroup(shipped.groupBy(*key)).applyInArrow(gather, kinds)
+
+
+def warp(source: DataFrame, value: str, targets: DataFrame, x: Column, y: Column, affine: tuple[float, float, float, float], tile: int = TILE) -> DataFrame:
     """``targets`` (scene_id, row, col, ...) with ``value``: bilinear from a source grid at world coordinates (x, y); 0 outside.
 
-    ``affine`` = (x0, dx, y0, dy) of the source's corner. Four taps per target join the source cells by equality. A
+    ``affine`` = (x0, dx, y0, dy) of the source's corner. A target tile's box in the source bounds where its cells map to; source blocks meet the
+    boxes that they overlap, and a tile gathers from the cells of its box, so about the source's cells are shuffled. A tile whose box
+    has more than WIDE times its own cells (a strong reduction) joins the four cells of each target by equality instead. A
     source of several scenes is an error, unless ``targets`` names each target's in a column source_id.
     """
+    ship(source.sparkSession)
     x0, dx, y0, dy = affine
-    fc, fr = (x - x0) / dx - 0.5, (y - y0) / dy - 0.5
-    t = targets.withColumns({"__fc": fc, "__fr": fr}).withColumns({"__c": F.floor("__fc"), "__r": F.floor("__fr")})
-    u, v = F.col("__fc") - F.col("__c"), F.col("__fr") - F.col("__r")
-    taps = F.array(*[F.struct((F.col("__r") + i).cast("int").alias("sr"), (F.col("__c") + j).cast("int").alias("sc"), ((v if i else 1 - v) * (u if j else 1 - u)).alias("w")) for i in (0, 1) for j in (0, 1)])
     named = "source_id" in targets.columns
     if not named and len(source.select("scene_id").distinct().take(2)) > 1:
         raise ValueError("a source of several scenes needs targets with source_id")
-    on = ["source_id", "sr", "sc"] if named else ["sr", "sc"]
-    four = t.select(*KEY, *on[:-2], F.explode(taps).alias("t")).select(*KEY, *on[:-2], "t.*").where("w > 0")
-    cells = source.select(F.col("scene_id").alias("source_id"), F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).alias("__z")).where("__z is not null")
-    got = four.join(cells.select(*on, "__z"), on).groupBy(*KEY).agg((F.sum(F.col("w") * F.col("__z")) / F.sum("w")).alias(value))
-    return targets.join(got, KEY, "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+    on = ["source_id"] if named else []
+    key = [*on, "scene_id", "__tr", "__tc"]
+    names = [c for c in targets.columns if c != value]
+    t = targets.withColumns({"__fc": ((x - x0) / dx - 0.5).cast("double"), "__fr": ((y - y0) / dy - 0.5).cast("double")}).drop(value)
+    t = t.withColumns({"__tr": F.floor(F.col("row") / tile), "__tc": F.floor(F.col("col") / tile)})
+    cells = source.select(F.col("scene_id").alias("source_id"), F.col("row").cast("long").alias("sr"), F.col("col").cast("long").alias("sc"), F.col(value).cast("double").alias("__v")).where("__v is not null")
+    cells = cells.select(*on, "sr", "sc", "__v")
+    finite = lambda c: F.col(c).between(-1e15, 1e15)
+    span = [f(F.floor(c)).cast("long").alias(name) for c, low, high in (("__fr", "r0", "r1"), ("__fc", "c0", "c1")) for f, name in ((F.min, low), (F.max, high))]
+    boxes = t.where(finite("__fr") & finite("__fc")).groupBy(*key).agg(*span)
+    size = cells.groupBy(*on).agg(*[f(c).alias(name) for c, low, high in (("sr", "__r0", "__r1"), ("sc", "__c0", "__c1")) for f, name in ((F.min, low), (F.max, high))])
+    boxes = boxes.join(size, on) if named else boxes.crossJoin(F.broadcast(size))  # one row
+    clipped = {"r0": F.greatest("r0", "__r0"), "r1": F.least(F.col("r1") + 1, F.col("__r1")), "c0": F.greatest("c0", "__c0"), "c1": F.least(F.col("c1") + 1, F.col("__c1"))}
+    boxes = snapshot(boxes.select(*key, *[e.alias(n) for n, e in clipped.items()]).where("r0 <= r1 and c0 <= c1"), "boxes")
+    wide = (F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1) > WIDE * tile * tile
+    far = boxes.where(wide).select(*key)
+    some = far.limit(1).count()
+    near = t.join(far, key, "left_anti") if some else t
+    out = _by_tiles(cells, near, boxes.where(~wide), key, on)
+    if some:
+        out = out.unionByName(_by_taps(cells, t.join(far, key, "left_semi"), on).select(*out.columns))
+    return out.select(*names, F.coalesce("__z", F.lit(0.0)).alias(value))
 
 
 def reproject_to(dem: DataFrame, targets: DataFrame, scene: dict, dem_affine: tuple[float, float, float, float], zone: int = 44, value: str = "z") -> DataFrame:

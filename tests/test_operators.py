@@ -349,6 +349,70 @@ def test_resampling_and_warping(spark):
     assert both.count() == 54 and both.columns[-2:] == ["a", "b"]
 
 
+def utm_forward(lat, lon, zone):
+    """Transverse Mercator by the forward series, whose coefficients are others than the inverse's."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    n, e = f / (2 - f), math.sqrt(f * (2 - f))
+    phi, lam = math.radians(lat), math.radians(lon - (6 * zone - 183))
+    t = math.sinh(math.atanh(math.sin(phi)) - e * math.atanh(e * math.sin(phi)))
+    xi, eta = math.atan2(t, math.cos(lam)), math.asinh(math.sin(lam) / math.hypot(t, math.cos(lam)))
+    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    north = xi + sum(c * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, c in enumerate(alpha, 1))
+    east = eta + sum(c * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, c in enumerate(alpha, 1))
+    return 500000 + k0 * radius * east, k0 * radius * north
+
+
+def test_utm_series_invert_the_forward_series(spark):
+    points = [(lat, 81 + away) for lat in (1.0, 21.7, 45.0) for away in (-1.9, 0.3, 1.9)]
+    df = spark.createDataFrame([(*utm_forward(lat, lon, 44), lat, lon) for lat, lon in points], "x double, y double, lat double, lon double")
+    lon, lat = resample.utm_to_geographic(F.col("x"), F.col("y"))
+    for r in df.select("lat", "lon", lon.alias("a"), lat.alias("b")).collect():
+        assert r.a == pytest.approx(r.lon, abs=1e-8) and r.b == pytest.approx(r.lat, abs=1e-8)
+
+
+def warp_by_hand(source, fr, fc):
+    total = weight = 0.0
+    r, c = math.floor(fr), math.floor(fc)
+    for i in (0, 1):
+        for j in (0, 1):
+            w = (fr - r if i else 1 - fr + r) * (fc - c if j else 1 - fc + c)
+            if w > 0 and 0 <= r + i < source.shape[0] and 0 <= c + j < source.shape[1] and not np.isnan(source[r + i, c + j]):
+                total, weight = total + w * source[r + i, c + j], weight + w
+    return total / weight if weight else 0.0
+
+
+@pytest.mark.parametrize("tile,wide", [(5, 16), (64, 16), (5, 0)])
+def test_warps_by_tiles_match_brute_force(spark, tile, wide, monkeypatch):
+    monkeypatch.setattr(resample, "WIDE", wide)
+    monkeypatch.setattr(resample, "BLOCK", 7)
+    rng = np.random.default_rng(4)
+    source = rng.normal(size=(40, 33))
+    source[rng.random(source.shape) < 0.2] = np.nan
+    df = pixels(spark, source, "z", "dem")
+    targets = pixels(spark, np.zeros((17, 23)), "extra", "t").withColumn("z", F.lit(-1))
+    for x, y in ((F.col("col") * 0.9 + 3.3 + F.sin("row"), F.col("row") * 1.7 - 2.2), (F.col("row") * 1.5, F.col("col") * -0.5 + 20.25), (F.when(F.col("row") == 3, F.lit(float("nan"))).when(F.col("col") > 4, F.col("col") * 4.0), F.col("row") * 1e6)):
+        out = resample.warp(df, "z", targets, x, y, (0.0, 1.0, 0.0, 1.0), tile)
+        assert out.columns == ["scene_id", "row", "col", "extra", "z"] and out.count() == targets.count()
+        for r in out.withColumns({"x": x, "y": y}).collect():
+            want = warp_by_hand(source, r.y - 0.5, r.x - 0.5) if r.x is not None and not math.isnan(r.x) and abs(r.y) < 1e5 else 0.0
+            assert r.z == pytest.approx(want, abs=1e-9)
+    two = df.unionByName(pixels(spark, np.full((40, 33), 7.0), "z", "other"))
+    named = targets.withColumn("source_id", F.when(F.col("row") % 2 == 0, "dem").otherwise("other"))
+    for r in resample.warp(two, "z", named, F.col("col") + 0.75, F.col("row") + 1.0, (0.0, 1.0, 0.0, 1.0), tile).collect():
+        assert r.z == pytest.approx(7.0 if r.row % 2 else warp_by_hand(source, r.row + 0.5, r.col + 0.25))
+    with pytest.raises(ValueError):
+        resample.warp(two, "z", targets, F.col("col"), F.col("row"), (0.0, 1.0, 0.0, 1.0), tile)
+
+
+def test_a_warp_ships_about_the_source_cells(spark, monkeypatch):
+    seen, plain = [], resample._by_tiles
+    monkeypatch.setattr(resample, "_by_tiles", lambda cells, targets, boxes, key, on: seen.append(boxes.selectExpr("sum((r1 - r0 + 1) * (c1 - c0 + 1))").first()[0]) or plain(cells, targets, boxes, key, on))
+    df = spark.range(300 * 300).selectExpr("'s' AS scene_id", "cast(id div 300 AS int) AS row", "cast(id % 300 AS int) AS col", "1.5 AS z")
+    out = resample.warp(df, "z", df.select("scene_id", "row", "col"), F.col("col") + 0.7, F.col("row") + 0.7, (0.0, 1.0, 0.0, 1.0), 64)
+    assert out.where("abs(z - 1.5) < 1e-9").count() == 90_000 and seen[0] < 1.1 * 90_000  # cells of all boxes together
+
+
 def test_patches(spark):
     origins = patches.sliding_patches(spark, 10401, 10401).collect()
     assert len(origins) == 576 and max(r.r0 for r in origins) == 9889
