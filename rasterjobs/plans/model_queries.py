@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterjobs.functions import algebra as A
-from rasterjobs.operators import ml
+from rasterjobs.operators import contributions, ml
 from rasterjobs.plans import workloads
 from rasterjobs.plans.grid import FEAT, LIN, grid
 from rasterjobs.plans.registry import R, query, rounded
@@ -65,6 +65,15 @@ def importance(s, d):
     return out.crossJoin(F.broadcast(samples)).select("n", "total", falling.alias("ranked"), "samples")  # one row each
 
 
+@query(_BLOCKS)
+def contribution_map(s, d):
+    """The sum of base and contributions decides as the forest does."""
+    df = _samples(s, d)
+    made = contributions.contributions(ml.train_random_forest(df, FEATURES, trees=10, depth=5), df.select("id", *FEATURES), FEATURES)
+    share = sum((F.col(f"phi_{f}") for f in FEATURES), F.col("base"))
+    return made.select("id", (share > 0.5).cast("int").alias("mask"))
+
+
 @query(f"WITH {FEAT} SELECT r, c, {', '.join(map(R, FEATURES))} FROM feat ORDER BY r, c LIMIT 500")
 def head_rows(s, d):
     return rounded(ml.head_sample(A.feature_stack(A.basic_features(A.calibrated(grid(s, d)))), 500).drop("scene_id"))

@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from rasterjobs.functions import algebra as A
-from rasterjobs.operators import accuracy, components, depth, focal, hist, ml, outlines, patches, regions, resample, slices, summed, texture, tiles
+from rasterjobs.operators import accuracy, components, contributions, depth, focal, hist, ml, outlines, patches, regions, resample, slices, summed, texture, tiles
 from rasterjobs.plans import report, workloads
 from rasterjobs.schema import BANDS
 from rasterjobs.sources import io, morton, tiff
@@ -662,6 +662,66 @@ def test_random_patches_keep_their_flood_quota(spark):
     assert patches.random_flood_patches(tables, 60, 50, 8, 5, quota=1.0, min_flood=0.99, most=40).count() == 0  # fewer, if there are none
 
 
+def shapley_by_hand(nodes, weight, x, regress):
+    """Shapley values of one tree by all subsets of features; unknown features follow the training weight."""
+    from itertools import combinations
+
+    cover = {i: n["impurityStats"][0] if regress else sum(n["impurityStats"]) for i, n in nodes.items()}
+
+    def expected(known, i=0):
+        n = nodes[i]
+        if n["leftChild"] < 0:
+            return n["prediction"] if regress else n["impurityStats"][1] / cover[i]
+        a, b = n["leftChild"], n["rightChild"]
+        f, at = n["split"]["featureIndex"], n["split"]["leftCategoriesOrThreshold"][0]
+        if f in known:
+            return expected(known, a if x[f] <= at else b)
+        return (cover[a] * expected(known, a) + cover[b] * expected(known, b)) / cover[i]
+
+    m, value = len(x), {}
+    for k in range(m + 1):
+        for subset in combinations(range(m), k):
+            value[subset] = expected(set(subset))
+    out = [weight * value[()]]
+    for f in range(m):
+        rest = [g for g in range(m) if g != f]
+        total = 0.0
+        for k in range(m):
+            for subset in combinations(rest, k):
+                total += math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) * (value[tuple(sorted((*subset, f)))] - value[subset])
+        out.append(weight * total)
+    return np.array(out)
+
+
+def test_contributions_equal_all_subsets_of_features(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(contributions, "AT_ONCE", 5000)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 8))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] - np.abs(x[:, 3]) + 0.3 * x[:, 4] > 0).astype(int)
+    names = [f"f{i}" for i in range(8)]
+    rows = [("s", i, 0, int(y[i]), *map(float, x[i])) for i in range(600)]
+    df = spark.createDataFrame(rows, "scene_id string, row int, col int, label int, " + ", ".join(f"{n} double" for n in names))
+    few = df.where("row < 6").unionByName(df.where("row = 7").withColumn("f3", F.lit(None).cast("double")))
+    for regress, model in ((False, ml.train_random_forest(df, names, trees=4, depth=6)), (True, ml.train_boosted_trees(df, names, rounds=4, rate=0.3, depth=4))):
+        got = {r.row: r for r in contributions.contributions(model, few.withColumn("base", F.lit("gone")), names).collect()}
+        assert len(got) == 7 and got[7].base is None and got[7].phi_f0 is None
+        last = model.stages[-1]
+        last.save(f"file://{tmp_path}/{regress}")
+        trees = {}
+        for r in spark.read.parquet(f"file://{tmp_path}/{regress}/data").select("treeID", "nodeData.*").collect():
+            trees.setdefault(r.treeID, {})[r.id] = r.asDict(recursive=True)
+        weights = last.treeWeights if regress else [0.25] * 4
+        for i in range(6):
+            want = sum(shapley_by_hand(nodes, weights[k], x[i], regress) for k, nodes in trees.items())
+            assert np.allclose([got[i].base, *(got[i][f"phi_{n}"] for n in names)], want, atol=1e-12)
+        whole = contributions.contributions(model, df, names)
+        made = {r.row: r.base + sum(r[f"phi_{n}"] for n in names) for r in whole.collect()}
+        said = {r.row: float(r.rawPrediction[1]) if regress else float(r.probability[1]) for r in model.transform(df).collect()}
+        assert all(made[i] == pytest.approx(said[i], abs=1e-9) for i in said)
+        ranked = contributions.mean_contributions(whole, names).collect()
+        assert {r.feature for r in ranked[:3]} <= {"f0", "f1", "f2", "f3", "f4"} and [r.importance for r in ranked] == sorted((r.importance for r in ranked), reverse=True)
+
+
 def test_morton_keys_and_ranges_of_windows(spark):
     rng = random.Random(3)
     cells = [(rng.randrange(2**k), rng.randrange(2**k)) for k in (1, 4, 9, 20, 31) for _ in range(20)]
