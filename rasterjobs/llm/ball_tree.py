@@ -1,8 +1,10 @@
 """Exact top-k inner-product search: a ball tree per shard, searched by branch and bound.
 
 Vectors are dealt over shards by space: a bounded sample is halved again and again, and every vector follows the cuts;
-a region with more vectors than a shard holds is dealt over several by hash. Each shard becomes a ball tree. A query
-first searches the shards of its own region; the k-th score found there goes with it to all other shards. Within a
+a region that is still too large is halved from a sample of its own, round after round, until only equal vectors are
+left to be dealt by hash. Each shard becomes a ball tree. A query first searches its own shard; with the k-th score found there
+it meets the balls of all shards (the nodes of all levels); it goes to the few shards with the highest bounds, and then
+only to those whose bound still reaches the k-th score. Within a
 shard, blocks of queries walk the tree level by level, leave nodes whose bound ``q . centre + |q| * radius`` can't
 beat their k-th score, and take the leaves that stay by falling bound, with a k-th score that rises as they go.
 """
@@ -10,6 +12,7 @@ beat their k-th score, and take the leaves that stay by falling bound, with a k-
 from __future__ import annotations
 
 import io
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -21,10 +24,10 @@ from rasterjobs.runtime import drop, ship, snapshot
 
 #: Vectors per shard on average, per leaf at most; queries per block on average.
 SHARD, LEAF, BLOCK = 4096, 16, 2048
-#: Vectors in the sample that places the cuts between regions, and regions at most.
+#: Vectors in the sample that places the cuts between regions, and regions of one round of cuts at most.
 SAMPLE, REGIONS = 16_384, 512
-#: Shards in a part on average at most.
-PART = 16
+#: Shards in a part on average at most; balls that a block of queries meets at once; leaves in the lowest of these balls at most; shards that a query searches before the others.
+PART, PAGE, UPPER, NEAR = 16, 4096, 1, 4
 #: Queries that a task searches at once, leaves that a query takes at once; from this part of a shard's leaves on all are scored in one product.
 AT_ONCE, LEAVES, DENSE = 256, 4, 0.2
 
@@ -65,6 +68,8 @@ class Cuts:
                     below += [rows, rows[:0]]
                     continue
                 way, at, side = _halve(x, rows)
+                if not (side > at).any() and (side < at).any():  # most lie at the far end: cut before it
+                    at = float(side[side < at].max())
                 self.cuts.append((way, at))
                 below += [rows[side <= at], rows[side > at]]
             groups = below
@@ -204,16 +209,8 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
-def _regions(whole: DataFrame, shards: int) -> DataFrame:
-    """``whole`` with ``region``: from cuts of a hashed sample of about SAMPLE vectors, by length of vectors."""
-    depth = min(REGIONS.bit_length() - 1, (max(1, shards) - 1).bit_length())
-    if not depth:
-        return whole.withColumn("region", F.lit(0).cast("long"))
-    n = whole.count()
-    part = 10**12 if n <= SAMPLE else max(1, 10**12 * SAMPLE // n)
-    some = whole.where(F.pmod(F.xxhash64("vec_id", "v", F.lit(3)), F.lit(10**12)) < part).select("vec_id", "v", "dim").toPandas().sort_values("vec_id", kind="stable")
-    # lengths that the sample misses have one region
-    cuts = {int(dim): Cuts(np.stack(g["v"].to_numpy()).astype(np.float64), depth) for dim, g in some.groupby("dim")}
+def _follow(rows: DataFrame, cuts: dict[int, Cuts]) -> DataFrame:
+    """``rows`` (vec_id, v, dim) with ``region`` by the cuts of their length; lengths without cuts have one region."""
 
     def place(frames):
         for pdf in frames:
@@ -225,42 +222,100 @@ def _regions(whole: DataFrame, shards: int) -> DataFrame:
                     region[own] = cuts[int(dim)].region(np.stack(pdf["v"].to_numpy()[own]).astype(np.float64))
             yield pdf.assign(region=region)
 
-    return whole.mapInPandas(place, "vec_id long, v array<long>, dim int, region long")
+    return rows.mapInPandas(place, "vec_id long, v array<long>, dim int, region long")
+
+
+def _depth(shards: int) -> int:
+    return min(REGIONS.bit_length() - 1, (max(1, shards) - 1).bit_length())
+
+
+def _regions(whole: DataFrame, shard: int) -> DataFrame:
+    """``whole`` with ``region``, by space: first by cuts of a hashed sample of about SAMPLE vectors, then large regions by samples of their own."""
+    n = whole.count()
+    depth = _depth(-(-n // shard))
+    if not depth:
+        return whole.withColumn("region", F.lit(0).cast("long"))
+    part = 10**12 if n <= SAMPLE else max(1, 10**12 * SAMPLE // n)
+    hashed = F.pmod(F.xxhash64("vec_id", "v", F.lit(3)), F.lit(10**12))
+    some = whole.where(hashed < part).select("vec_id", "v", "dim").toPandas().sort_values("vec_id", kind="stable")
+    placed = snapshot(_follow(whole, {int(dim): Cuts(np.stack(g["v"].to_numpy()).astype(np.float64), depth) for dim, g in some.groupby("dim")}), "placed")
+    key = ["dim", "region"]
+    while True:  # a round divides the largest region by up to REGIONS
+        load = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        load = snapshot(load.withColumn("large", (F.col("low") != F.col("high")) & (F.col("n") > 2 * shard)), "load")
+        large = load.where("large")
+        if not large.limit(1).count():
+            drop(load)
+            return placed
+        rows = salted_join(placed, load.select(*key, "n", "large"), key, "n", ["vec_id"], small=True)
+        # a sample always has two different vectors, so that it divides its region
+        wanted = F.least(F.lit(SAMPLE), 8 * F.ceil(F.col("n") / shard))
+        sample = rows.where("large").where(hashed * F.col("n") < wanted * F.lit(10.0**12)).select(*key, "n", "v")
+        sample = sample.unionByName(large.select(*key, "n", F.explode(F.array("low", "high")).alias("v")))
+
+        def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+            x = np.unique(np.stack(pdf["v"].to_numpy()).astype(np.float64), axis=0)
+            made = Cuts(x, _depth(-(-int(pdf["n"].iloc[0]) // shard)))
+            return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "region": [pdf["region"].iloc[0]], "cuts": [pickle.dumps(made)]})
+
+        cuts = snapshot(sample.groupBy(*key).applyInPandas(cut, "dim int, region long, cuts binary"), "cuts")
+        salts = F.ceil(F.col("n") / (4 * shard)).cast("int")  # rows that follow one copy of the cuts
+        copies = large.join(cuts, key).select(*key, "cuts", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        dealt = rows.where("large").select("vec_id", "v", *key, F.pmod(F.xxhash64("vec_id", "v", F.lit(11)), salts).cast("int").alias("salt"))
+
+        def again(cuts: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows):
+                return pd.DataFrame({"vec_id": [], "v": [], "dim": [], "region": []})
+            below = pickle.loads(cuts["cuts"].iloc[0]).region(np.stack(rows["v"].to_numpy()).astype(np.float64))
+            return rows[["vec_id", "v", "dim"]].assign(region=rows["region"].to_numpy(np.int64) * REGIONS + below)
+
+        moved = copies.groupBy(*key, "salt").cogroup(dealt.groupBy(*key, "salt")).applyInPandas(again, "vec_id long, v array<long>, dim int, region long")
+        stay = rows.where("not large").select("vec_id", "v", "dim", (F.col("region") * REGIONS).alias("region"))
+        before, placed = placed, snapshot(stay.unionByName(moved), "placed")
+        drop(before, load, cuts)
+
+
+KEY = ["dim", "region", "sub"]
 
 
 def searched(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, shard: int = SHARD, block: int = BLOCK, leaf: int = LEAF, count: bool = False) -> DataFrame:
-    """``(query_id, vec_id, score, scored)``: candidates by shard; with ``count`` also a row for each query and shard, vec_id null, with how many rows were scored."""
+    """``(query_id, vec_id, score, scored)``: candidates by shard; with ``count`` also a row for each meeting of query and shard, vec_id null, with how many rows were scored."""
     spark = vectors.sparkSession
     ship(spark)
     raw = snapshot(quantise(vectors, scale), "vectors")
     n = raw.count()
-    placed = snapshot(_regions(raw, -(-n // shard)), "placed")
+    placed = snapshot(_regions(raw, shard), "placed")
     drop(raw)
-    # regions of more vectors than a shard holds (equal vectors share one) are dealt by hash
+    # only regions of equal vectors still have more than two shards' worth; they are dealt by hash
     load = placed.groupBy("region", "dim").agg(F.count(F.lit(1)).alias("n"))
     load = snapshot(load.withColumn("subs", F.ceil(F.col("n") / (2 * shard)).cast("int")), "regions")
     sub = F.pmod(F.xxhash64("vec_id", "v"), F.col("subs")).cast("int").alias("sub")
+    key = KEY
 
     def plant(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"region": [pdf["region"].iloc[0]], "sub": [pdf["sub"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "tree": [_pack(build(*_rows(pdf), leaf))]})
-
-    shards = salted_join(placed, load, ["region", "dim"], "n", ["vec_id"], small=True).select("region", "dim", sub, "vec_id", "v").groupBy("region", "dim", "sub")
-    trees = snapshot(shards.applyInPandas(plant, "region long, sub int, dim int, tree binary"), "trees")
+        tree = build(*_rows(pdf), leaf)
+        leaves = (len(tree["span"]) + 1) // 2
+        upper = slice(0, 2 * max(1, leaves // UPPER) - 1)  # nodes of the upper levels
+        radius = np.where(tree["span"][upper, 1] > tree["span"][upper, 0], tree["radius"][upper], -1e300)  # an empty node reaches nothing
+        balls = np.concatenate([tree["centre"][upper], radius[:, None]], axis=1)
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in key}, "tree": [_pack(tree)], "balls": [list(balls)]})
+
+    shards = salted_join(placed, load, ["region", "dim"], "n", ["vec_id"], small=True).select("region", "dim", sub, "vec_id", "v").groupBy(*key)
+    trees = snapshot(shards.applyInPandas(plant, "dim int, region long, sub int, tree binary, balls array<array<double>>"), "trees")
     # a repeated id asks once, with its smallest vector
     asked = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "v", "region")).alias("x")).select("vec_id", "x.dim", "x.v", "x.region")
-    blocks = max(1, -(-n // (every * block)))
-    asked = salted_join(asked, load, ["region", "dim"], "n", ["vec_id"], small=True).select("vec_id", "dim", "v", "region", sub, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+    asked = salted_join(asked, load, ["region", "dim"], "n", ["vec_id"], small=True).select("vec_id", "dim", "v", "region", sub)
     asked = snapshot(asked, "asked")
+    drop(placed, load)
 
     def walk(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(found) and len(asked):
             ids, v = _rows(asked)
-            floor, region, sub = (asked[c].to_numpy(np.int64, copy=True) for c in ("floor", "region", "sub"))
-            seen = asked["seen"].to_numpy(bool)
+            floor, meets = asked["floor"].to_numpy(np.int64, copy=True), [{(m["region"], m["sub"]) for m in x} for x in asked["meets"]]
             for r, s, blob in found[["region", "sub", "tree"]].itertuples(index=False, name=None):
-                tree = _unpack(blob)
-                here = np.flatnonzero(~(seen & (region == r) & (sub == s)))
+                here = np.array([i for i, m in enumerate(meets) if (r, s) in m], np.int64)
+                tree = _unpack(blob) if len(here) else None
                 for i in range(0, len(here), AT_ONCE):
                     at = here[i : i + AT_ONCE]
                     best = search(tree, ids[at], v[at], k, floor[at])
@@ -272,20 +327,67 @@ def searched(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256,
         return made.reindex(columns=["query_id", "vec_id", "score", "scored"]).astype("Int64")
 
     kinds = "query_id long, vec_id long, score long, scored long"
-    lowest = F.lit(np.iinfo(np.int64).min)
-    # at home: one shard of the query's region
-    at_home = asked.withColumns({"floor": lowest, "seen": F.lit(False)}).groupBy("region", "sub", "block", "dim")
-    copies = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    first = snapshot(copies.groupBy("region", "sub", "block", "dim").cogroup(at_home).applyInPandas(walk, kinds), "home")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = first.where("vec_id is not null").withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-    # all other shards, in parts of bounded size, with the k-th score from home
     planted = trees.count()
     parts = max(1, min(planted, max(4 * spark.sparkContext.defaultParallelism, -(-planted // PART))))
-    away = asked.join(kth, "vec_id", "left").withColumns({"floor": F.coalesce("floor", lowest), "seen": F.lit(True), "part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
-    others = copies.withColumn("part", F.pmod(F.xxhash64("region", "sub"), F.lit(parts)).cast("int"))
-    far = others.groupBy("part", "block", "dim").cogroup(away.groupBy("part", "block", "dim")).applyInPandas(walk, kinds)
-    return first.unionByName(far)
+    part = F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int").alias("part")
+
+    def meeting(rows: DataFrame) -> DataFrame:
+        """What shards give to the queries of ``rows`` (KEY of a shard, vec_id, v, floor): parts of shards by blocks of queries, each vector once a part."""
+        asks = rows.select("dim", part, "vec_id", "v", "floor", F.struct("region", "sub").alias("meet"))
+        asks = asks.groupBy("dim", "part", "vec_id").agg(F.first("v").alias("v"), F.first("floor").alias("floor"), F.collect_list("meet").alias("meets"))  # at most a part's shards
+        asks = snapshot(asks, "asks")
+        each = snapshot(asks.groupBy("dim", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "blocks")
+        asks = salted_join(asks, each, ["dim", "part"], "n", ["vec_id"], small=True).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int")).drop("n", "blocks")
+        copies = trees.select("*", part).join(each, ["dim", "part"]).select("dim", "part", "region", "sub", "tree", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        group = ["dim", "part", "block"]
+        return copies.groupBy(*group).cogroup(asks.groupBy(*group)).applyInPandas(walk, kinds)
+
+    lowest = F.lit(np.iinfo(np.int64).min)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def with_floor(rows: DataFrame, met: DataFrame) -> DataFrame:
+        """``rows`` with ``floor``, their query's k-th score so far."""
+        kth = met.where("vec_id is not null").withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+        return rows.join(kth, "vec_id", "left").withColumn("floor", F.coalesce("floor", lowest))
+
+    first = snapshot(meeting(asked.withColumn("floor", lowest)), "home")  # at home: one shard of the query's region
+    known = snapshot(with_floor(asked, first), "floors")
+    # queries in blocks against the balls of shards in pages: only pairs with a bound that reaches the k-th score go on
+    balls = trees.agg(F.sum(F.size("balls"))).first()[0] or 0
+    pages, blocks = max(1, -(-balls // PAGE)), max(1, -(-n // (every * block)))
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    roots = trees.select(*key, F.posexplode("balls").alias("node", "ball"), F.pmod(F.xxhash64(*key), F.lit(pages)).cast("int").alias("page")).withColumn("block", every_of(blocks))
+    ask = known.select(*key, "vec_id", "v", "floor", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), every_of(pages).alias("page"))
+
+    def meet(roots: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+        if not len(roots) or not len(ask):
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in [*key, "vec_id", "bound"]})
+        roots = roots.sort_values(["region", "sub", "node"])
+        first = np.flatnonzero(~roots[["region", "sub"]].duplicated().to_numpy())  # of each shard
+        q, ball, own = np.stack(ask["v"].to_numpy()).astype(np.float64), np.stack(roots["ball"].to_numpy()), roots[key].iloc[first]
+        size = np.sqrt((q * q).sum(axis=1))
+        bound = q @ ball[:, :-1].T + size[:, None] * ball[:, -1]
+        bound += 1e-9 * (1 + size[:, None] * np.sqrt((ball[:, :-1] ** 2).sum(axis=1) + np.maximum(ball[:, -1], 0) ** 2))
+        away = (ask["region"].to_numpy()[:, None] != own["region"].to_numpy()) | (ask["sub"].to_numpy()[:, None] != own["sub"].to_numpy())
+        best = np.empty((len(ask), len(first)))
+        for i, (a, b) in enumerate(zip(first, [*first[1:], len(roots)], strict=True)):
+            nodes, width = bound[:, a:b], 1  # a heap: a node reaches no further than those above it
+            while 2 * width <= b - a:
+                nodes[:, 2 * width - 1 : 4 * width - 1] = np.minimum(nodes[:, 2 * width - 1 : 4 * width - 1], np.repeat(nodes[:, width - 1 : 2 * width - 1], 2, axis=1))
+                width *= 2
+            best[:, i] = nodes[:, width - 1 :].max(axis=1)
+        a, r = np.nonzero((best >= ask["floor"].to_numpy(np.float64)[:, None]) & away)
+        return own.iloc[r].reset_index(drop=True).assign(vec_id=ask["vec_id"].to_numpy()[a], bound=best[a, r])
+
+    group = ["dim", "page", "block"]
+    pairs = roots.groupBy(*group).cogroup(ask.groupBy(*group)).applyInPandas(meet, "dim int, region long, sub int, vec_id long, bound double")
+    pairs = snapshot(pairs.withColumn("place", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("bound"), "region", "sub"))), "meetings")
+    near = pairs.where(F.col("place") <= NEAR).join(known.select("vec_id", "v", "floor"), "vec_id")
+    second = snapshot(meeting(near), "near")
+    met = first.unionByName(second)
+    raised = snapshot(with_floor(asked.select("vec_id", "v"), met), "floors")
+    rest = pairs.where(F.col("place") > NEAR).join(raised, "vec_id").where(F.col("bound") >= F.col("floor"))
+    return met.unionByName(meeting(rest))
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, shard: int = SHARD, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:

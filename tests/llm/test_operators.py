@@ -122,6 +122,36 @@ def test_search_is_exact_with_ties_and_bad_vectors(spark, n, shard):
     assert got == sorted(want)
 
 
+def test_queries_meet_only_shards_that_they_score(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 64))
+    x = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 64)) * 0.1
+    df = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    met = ball_tree.searched(df, shard=100, count=True).where("scored is not null")
+    n, idle = met.selectExpr("count(*)", "sum(int(scored = 0))").first()
+    assert idle < 0.1 * n and n < 0.5 * 80 * 40
+
+
+def test_large_regions_are_halved_without_end(spark, monkeypatch):
+    monkeypatch.setattr(ball_tree, "REGIONS", 4)
+    monkeypatch.setattr(ball_tree, "SAMPLE", 60)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.integers(-40, 40, (900, 5)), np.tile([3, -2, 1, 0, 5], (500, 1)), np.full((60, 5), 39) + rng.integers(0, 2, (60, 5))])
+    df = spark.createDataFrame([(i, v.astype(float).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    placed = ball_tree._regions(ball_tree.quantise(df, 1), 20).collect()
+    regions = {}
+    for r in placed:
+        regions.setdefault(r.region, []).append(tuple(r.v))
+    assert len(placed) == len(x) and len(regions) > 4**2 and all(len(v) <= 40 or len(set(v)) == 1 for v in regions.values())
+    assert max(map(len, regions.values())) == 500  # equal vectors stay together
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ball_tree.top_k(df, every=70, k=5, scale=1, shard=20, block=8, leaf=4).collect())
+    want = []
+    for q in range(0, len(x), 70):
+        best = sorted((-int(s), i) for i, s in enumerate(x @ x[q]) if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_search_scores_few_rows_of_clustered_vectors(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 64))
