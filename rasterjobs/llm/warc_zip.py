@@ -28,9 +28,9 @@ from rasterjobs.runtime import new_path, ship, snapshot
 from rasterjobs.sources.files import ranges, write_bytes
 
 #: Bytes of records from which a package closes; bytes that one read of records spans at most.
-PACKAGE, SPAN = 4 << 20, 4 << 20
+PACKAGE, SPAN = 64 << 20, 4 << 20
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
-RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string, payload binary"
 _NONE = "none"
 
 
@@ -42,9 +42,10 @@ def _uri(page_id: int | None) -> str:
     return f"<urn:x-page:{_NONE if page_id is None else page_id}>"
 
 
-def _page(uri: str) -> int | None:
-    text = uri.removeprefix("<urn:x-page:").removesuffix(">")
-    return None if text == _NONE else int(text)
+def _page(uri: str | None) -> int | None:
+    """The page of an id that :func:`record` wrote; ids of other writers name no page."""
+    text = (uri or "").removeprefix("<urn:x-page:").removesuffix(">")
+    return int(text) if uri and uri.startswith("<urn:x-page:") and text.lstrip("-").isdigit() else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
@@ -114,7 +115,8 @@ class ZipRanges:
             method, packed, plain = *struct.unpack_from("<H", directory, at + 10), *struct.unpack_from("<II", directory, at + 20)
             names, extras, comments = struct.unpack_from("<HHH", directory, at + 28)
             (local,) = struct.unpack_from("<I", directory, at + 42)
-            name = bytes(directory[at + 46 : at + 46 + names]).decode()
+            (flags,) = struct.unpack_from("<H", directory, at + 8)
+            name = bytes(directory[at + 46 : at + 46 + names]).decode("utf-8" if flags & 0x800 else "cp437", "replace")
             extra = bytes(directory[at + 46 + names : at + 46 + names + extras])
             while len(extra) >= 4:
                 kind, size_ = struct.unpack_from("<HH", extra)
@@ -142,18 +144,70 @@ class ZipRanges:
         return self.read(self._data[name] + offset, length)
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name, of the first line of each; blanks around the colon don't matter, other lines are passed over."""
+    out: dict[str, str] = {}
+    for line in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon and name.strip() and not line[:1].isspace():
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
+
+
+def _split(raw: bytes) -> tuple[bytes, bytes]:
+    """Head and rest at the first empty line, of either kind of line end."""
+    ends = [(at, gap) for gap in (b"\r\n\r\n", b"\n\n") if (at := raw.find(gap)) >= 0]
+    if not ends:
+        return raw, b""
+    at, gap = min(ends)
+    return raw[:at], raw[at + len(gap) :]
+
+
+def unchunked(body: bytes) -> bytes:
+    """An HTTP body sent in chunks; of a broken one what can be read."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\n", at)
+        try:
+            size = int(body[at:end].split(b";")[0].strip(), 16) if end >= 0 else 0
+        except ValueError:
+            break
+        if size <= 0:
+            break
+        out.append(body[end + 1 : end + 1 + size])
+        at = end + 1 + size
+        at += 2 if body[at : at + 2] == b"\r\n" else 1
+    return b"".join(out)
+
+
 def parse(raw: bytes) -> tuple | None:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of one WARC record; None unless it is a page's."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    if fields.get("WARC-Type") not in ("response", "revisit") or not fields.get("WARC-Record-ID", "").startswith("<urn:x-page:"):
+    """A row of RECORDS of one WARC record of any writer; None unless it is a response, revisit or resource.
+
+    A response's payload is its HTTP body, without chunks; of a record that isn't HTTP, its block. A missing digest is computed; a
+    revisit has the length that its HTTP header tells, or none.
+    """
+    head, rest = _split(raw)
+    fields = _fields(head)
+    kind = fields.get("warc-type", "").lower()
+    if kind not in ("response", "revisit", "resource"):
         return None
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.startswith(b"Content-Length:"))
-    kind = fields["WARC-Type"]
-    refers = _page(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None
-    return _page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), size, fields["WARC-Payload-Digest"].removeprefix("sha1:"), kind, refers, payload if kind == "response" else None
+    length = fields.get("content-length", "")
+    block = rest[: int(length)] if length.isdigit() else rest.removesuffix(b"\r\n\r\n")
+    payload, size = block, len(block)
+    if block[:5].upper() == b"HTTP/":
+        http, payload = _split(block)
+        told = _fields(http)
+        if "chunked" in told.get("transfer-encoding", "").lower():
+            payload = unchunked(payload)
+        size = len(payload)
+        if kind == "revisit":
+            size = int(told["content-length"]) if told.get("content-length", "").isdigit() else None
+    elif kind == "revisit":
+        size = None
+    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or (None if kind == "revisit" else base32_sha1(payload))
+    refers = fields.get("warc-refers-to")
+    name = fields.get("warc-record-id")
+    return _page(name), fields.get("warc-target-uri"), size, digest, kind, _page(refers), name, refers, None if kind == "revisit" else payload
 
 
 def _packages(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
@@ -252,8 +306,8 @@ def _listed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
 
 
 def _records(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_id", "payload"]
     rows, held = [], 0
 
     def made():
@@ -291,7 +345,8 @@ def write_packages(pages: DataFrame, path: str, least: int = 0, package: int = P
     others are revisits that refer to it. A null html is an empty payload. Rows that repeat both page_id and
     payload of a response are responses as well; rows with a null page_id are revisits if any row of the payload has
     an id, else responses. An empty table gives no packages. Other columns are not read. Payloads are shuffled only if the
-    table of digests that occur twice is too large for a broadcast.
+    table of digests that occur twice is too large for a broadcast. A text of any length is one
+    record, and packages close from ``package`` bytes on, so a task holds that and its longest text.
     """
     ship(pages.sparkSession)
     url = F.col("url") if "url" in pages.columns else F.lit(None)
@@ -307,7 +362,9 @@ def write_packages(pages: DataFrame, path: str, least: int = 0, package: int = P
 def read_packages(spark: SparkSession, packages: str | DataFrame, payloads: bool = True, span: int = SPAN) -> DataFrame:
     """Rows ``RECORDS`` of packages: all files of a folder, or those that a table (path) names; revisits have no payload of their own.
 
-    Records other than responses and revisits of pages are left out.
+    Records of any writer are read: ``record_id`` and ``refers_to_id`` are their own names, ``page_id`` and ``refers_to`` are null unless
+    :func:`write_packages` wrote them. Records other than responses, revisits and resources are left out. A record of any
+    length is held whole, one at a time.
     """
     ship(spark)
     files = spark.read.format("binaryFile").load(packages).where("length > 0") if isinstance(packages, str) else packages
