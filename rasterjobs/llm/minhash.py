@@ -133,6 +133,12 @@ def _by_rare_shingles(members: DataFrame, texts: DataFrame, k: int, percent: int
     own = Window.partitionBy("id")
     ranked = shared.withColumns({"s": F.count(F.lit(1)).over(own), "rank": F.row_number().over(own.orderBy("df", "h"))})
     left = snapshot(ranked.where(f"100 * (s - rank + 1) >= {percent} * n").select("h", "id", "n", "c", F.expr("s - rank + 1").alias("rest")), "prefixes")
+    # a member that even the smallest set under its shingle, with the most shingles to follow there, doesn't admit pairs with none
+    reach = left.groupBy("h").agg(F.min("n").alias("least_n"), F.max("rest").alias("most_rest"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo < hi").drop("lo", "hi")
+    whole = salted_join(left, snapshot(reach, "reach"), "h", "df", ["id"])
+    fitting = whole.where(f"{100 + percent} * least(rest, most_rest) >= {percent} * (n + least_n)")
+    before, left = left, snapshot(fitting.select("h", "id", "n", "c", "rest"), "prefixes")
+    drop(before)
     right = left.toDF("h2", "id2", "n2", "c2", "rest2")
     near = f"id < id2 and c <> c2 and 100 * least(n, n2) >= {percent} * greatest(n, n2) and {100 + percent} * least(rest, rest2) >= {percent} * (n + n2)"
     out = snapshot(left.join(right, (left.h == right.h2) & F.expr(near)).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct(), "rest")

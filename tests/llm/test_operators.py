@@ -461,6 +461,49 @@ def test_archives_of_other_names_and_without_index_are_walked(spark, tmp_path):
         list(warc_zip.walk(lambda a, n: packed[a : a + n], len(packed) - 5, True))
 
 
+def test_records_of_other_writers_are_read(spark, tmp_path):
+    body = b"<p>caf\xc3\xa9</p>"
+    chunks = b"5;x=1\r\n<p>ca\r\n8\r\nf\xc3\xa9</p>\r\n0\r\n\r\n".replace(b"\r\n8\r\n", b"\r\n7\r\n")
+
+    def made(fields, block, end="\r\n"):
+        return end.join(["WARC/1.0", *fields, f"content-length:{len(block)}"]).encode() + (end * 2).encode() + block + b"\r\n\r\n"
+
+    http = lambda *fields: b"HTTP/1.1 200 OK\r\n" + b"".join(f.encode() + b"\r\n" for f in fields) + b"\r\n"
+    digest = warc_zip.base32_sha1(body)
+    raw = [
+        made(["WARC-Type:response", "WARC-Record-ID:<urn:uuid:1>", "WARC-Target-URI: http://a:80/x: y"], http("content-length:13") + body),
+        made(["warc-type: RESPONSE", "WARC-Record-ID: <urn:uuid:2>", "no colon here", " folded: line"], http("Transfer-Encoding: chunked") + chunks),
+        made(["WARC-Type: resource", "WARC-Record-ID: <urn:uuid:3>", "WARC-Payload-Digest: sha256:abc"], body, "\n"),
+        made(["WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:4>", "WARC-Refers-To: <urn:uuid:1>", f"WARC-Payload-Digest: sha1:{digest}"], http("Content-Type: text/html")),
+        made(["WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:5>", "WARC-Refers-To: <urn:uuid:1>"], b""),
+        made(["WARC-Type: response", "WARC-Record-ID: <urn:x-page:seven>"], b"no http " + bytes(range(256))),
+        made(["WARC-Type: request", "WARC-Record-ID: <urn:uuid:6>"], b"GET / HTTP/1.1\r\n\r\n"),
+    ]
+    name = "archive/caf\u00e9.warc.gz"
+    out = bytearray(warc_zip.zip_stored([(name, b"".join(map(gzip.compress, raw)))]))
+    for head, flags in ((b"PK\3\4", 6), (b"PK\1\2", 8)):  # an old packer: the name in code page 437
+        at = out.index(head) + flags
+        out[at : at + 2] = b"\0\0"
+    assert list(warc_zip.ZipRanges(lambda a, n: bytes(out[a : a + n]), len(out)).members) == [name.encode().decode("cp437")]
+    (tmp_path / "b.wacz").write_bytes(out)
+    got = {r.record_id: r for r in warc_zip.read_packages(spark, f"file://{tmp_path}").collect()}
+    assert sorted(got) == ["<urn:uuid:1>", "<urn:uuid:2>", "<urn:uuid:3>", "<urn:uuid:4>", "<urn:uuid:5>", "<urn:x-page:seven>"]
+    facts = lambda i: (got[f"<urn:uuid:{i}>"].record_type, got[f"<urn:uuid:{i}>"].payload_bytes, got[f"<urn:uuid:{i}>"].payload_digest, got[f"<urn:uuid:{i}>"].refers_to_id)
+    assert facts(1) == ("response", len(body), digest, None) and got["<urn:uuid:1>"].url == "http://a:80/x: y" and bytes(got["<urn:uuid:1>"].payload) == body
+    assert facts(2)[1:3] == (12, warc_zip.base32_sha1(warc_zip.unchunked(chunks))) and warc_zip.unchunked(chunks) == b"<p>caf\xc3\xa9</p>"[:12]
+    assert facts(3) == ("resource", len(body), "sha256:abc", None) and facts(4) == ("revisit", None, digest, "<urn:uuid:1>") and facts(5) == ("revisit", None, None, "<urn:uuid:1>")
+    odd = got["<urn:x-page:seven>"]
+    assert odd.page_id is None and len(odd.payload) == 264 and all(r.page_id is None for r in got.values())
+
+
+def test_a_very_long_page_is_one_record(spark, tmp_path):
+    text = base64.b64encode(random.Random(31).randbytes(6 << 20)).decode()
+    df = spark.createDataFrame([(1, "u", text), (2, "u", text + "x"), (3, None, text)], "page_id long, url string, html string")
+    warc_zip.write_packages(df, f"file://{tmp_path}/w", package=1 << 20)
+    got = {r.page_id: r for r in warc_zip.read_packages(spark, f"file://{tmp_path}/w").collect()}
+    assert bytes(got[1].payload).decode() == text and got[2].payload_bytes == len(text) + 1 and got[3].refers_to == 1
+
+
 def test_only_what_is_needed_of_a_package_beyond_4_gb_is_read(spark, tmp_path):
     texts = ["x" * 5000, "y", "z" * 300]
     raw = [gzip.compress(page_record(i, t)) for i, t in enumerate(texts)]
@@ -726,6 +769,22 @@ def test_repeated_ids_count_once_and_all_pairs_within_the_distance_meet(spark):
         assert keys.groupby("key").id.nunique().max() == 2
 
 
+def test_members_of_a_frequent_shingle_pair_only_if_they_can_link(spark, monkeypatch):
+    common, met, plain = [f"c{i}" for i in range(160)], [], minhash.snapshot
+
+    def counted(df, name):
+        out = plain(df, name)
+        met.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "snapshot", counted)
+    for n in (60, 120):  # texts that share most shingles with all others, and no pair reaches the similarity
+        docs = spark.createDataFrame([(i, " ".join(common + [f"o{i}x{j}" for j in range(60)])) for i in range(n)], "id long, text string")
+        members = spark.createDataFrame([(i, 216, i) for i in range(n)], "id long, n long, c long")
+        assert minhash._by_rare_shingles(members, docs, 5, 75).count() == 0
+    assert [k for name, k in met if name == "prefixes"][1::2] == [0, 0]  # members left to pair
+
+
 # --- 10 line CRF
 
 
