@@ -120,22 +120,34 @@ def patch_filter(patch_pixels: DataFrame, mask: str = "mask", max_nodata: float
     return patch_stats(patch_pixels, mask).where((1 - F.col("valid_ratio") <= max_nodata) & (F.col("flood_ratio") >= min_flood))
 
 
-def score_patches(patch_pixels: DataFrame, channels: list[str], fn: Callable[[np.ndarray], np.ndarray], size: int, logits: bool = True) -> DataFrame:
+def score_patches(patch_pixels: DataFrame, channels: list[str], fn: Callable[[np.ndarray], np.ndarray], size: int, logits: bool = True, batch: int | None = None) -> DataFrame:
     """``(patch_id, scene_id, row, col, prob)`` from a user's model ``fn``: array (channels, size, size) to array (size, size).
 
-    A patch is one group of size x size rows. Missing values are 0. ``logits`` go through the sigmoid.
+    With ``batch``, ``fn`` takes up to so many patches a call, (patches, channels, size, size) to (patches, size, size), and a task holds the
+    patches of a few calls; else a patch is one group of size x size rows. Missing values are 0. ``logits`` go through the sigmoid.
     """
     ship(patch_pixels.sparkSession)
+    most = batch or 1
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros((len(channels), size, size), np.float32)
-        r, c = pdf["pr"].to_numpy(), pdf["pc"].to_numpy()
-        for i, name in enumerate(channels):
-            x[i, r, c] = np.nan_to_num(pdf[name].to_numpy(np.float32, na_value=np.nan))
-        y = np.asarray(fn(x), np.float64)
-        return pdf[["patch_id", "scene_id", "row", "col"]].assign(prob=y[r, c])
+        number, ids = pd.factorize(pdf["patch_id"])
+        r, c, prob = pdf["pr"].to_numpy(), pdf["pc"].to_numpy(), np.empty(len(pdf))
+        values = [np.nan_to_num(pdf[name].to_numpy(np.float32, na_value=np.nan)) for name in channels]
+        for first in range(0, len(ids), most):
+            own = np.flatnonzero((number >= first) & (number < first + most))
+            x = np.zeros((min(most, len(ids) - first), len(channels), size, size), np.float32)
+            for i, v in enumerate(values):
+                x[number[own] - first, i, r[own], c[own]] = v[own]
+            y = np.asarray(fn(x) if batch else fn(x[0])[None], np.float64)
+            prob[own] = y[number[own] - first, r[own], c[own]]
+        return pdf[["patch_id", "scene_id", "row", "col"]].assign(prob=prob)
 
     kinds = "patch_id long, scene_id string, row int, col int, prob double"
     rows = patch_pixels.select(F.col("patch_id").cast("long"), "scene_id", "row", "col", "pr", "pc", *[F.col(c).cast("double") for c in channels])
-    out = rows.groupBy("patch_id").applyInPandas(run, kinds)
+    if batch:  # groups of about `batch` patches
+        groups = max(1, -(-rows.select("patch_id").distinct().count() // batch))
+        grouped = rows.groupBy(F.pmod(F.xxhash64("patch_id"), F.lit(groups)))
+    else:
+        grouped = rows.groupBy("patch_id")
+    out = grouped.applyInPandas(run, kinds)
     return out.withColumn("prob", sigmoid("prob")) if logits else out

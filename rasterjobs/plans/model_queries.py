@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterjobs.functions import algebra as A
 from rasterjobs.operators import contributions, ml
+from rasterjobs.operators.accuracy import accuracy_scores, confusion
 from rasterjobs.plans import workloads
 from rasterjobs.plans.grid import FEAT, LIN, grid
 from rasterjobs.plans.registry import R, query, rounded
@@ -65,6 +66,29 @@ def importance(s, d):
     return out.crossJoin(F.broadcast(samples)).select("n", "total", falling.alias("ranked"), "samples")  # one row each
 
 
+#: A tenth of all labels is turned, so no model can be right on them; the blocks are the best rule there is.
+_TURNED = "(blk = 0) <> (id * 7919 % 100 < 10)"
+
+
+@query(f"""WITH {FEAT}, t AS (SELECT blk = 0 AS pred, {_TURNED} AS label FROM feat WHERE {_VALID} AND id % 3 = 0),
+k AS (SELECT count(*) AS n, CAST(count(*) FILTER (pred AND label) AS DOUBLE) AS tp, count(*) FILTER (pred) AS p, count(*) FILTER (label) AS r FROM t)
+SELECT unnest(['boosted trees', 'random forest', 'svm']) AS model, n AS held_out, {R('2 * tp / (p + r)', 'best_f1', 3)}, TRUE AS near FROM k""")
+def held_out_scores(s, d):
+    """Models learn from two thirds of the rows with turned labels; F1 on the others, which they haven't seen, is near the best rule's."""
+    df = _samples(s, d).where(_VALID).withColumn("label", F.expr(f"cast({_TURNED} AS int)"))
+    train, test = df.where("id % 3 <> 0"), df.where("id % 3 = 0").withColumn("rule", (F.col("blk") == 0).cast("int"))
+    models = {"boosted trees": ml.train_boosted_trees(train, FEATURES, rounds=5, rate=0.3, depth=3), "random forest": ml.train_random_forest(train, FEATURES, trees=10, min_leaf=20, depth=5), "svm": ml.train_svm(train, FEATURES, width=64)}
+    best = accuracy_scores(confusion(test, "rule", "label"), None).select(F.col("f1").alias("best"))
+    held = test.agg(F.count(F.lit(1)).alias("held_out"))
+    out = None
+    for name, model in models.items():
+        scored = model.transform(test).withColumn("pred", F.col("prediction").cast("int"))
+        one = accuracy_scores(confusion(scored, "pred", "label"), None).select(F.lit(name).alias("model"), "f1")
+        out = one if out is None else out.unionByName(one)
+    whole = out.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(held))  # one row each
+    return rounded(whole.select("model", "held_out", F.col("best").alias("best_f1"), (F.abs(F.col("f1") - F.col("best")) < 0.03).alias("near")), 3)
+
+
 @query(_BLOCKS)
 def contribution_map(s, d):
     """The sum of base and contributions decides as the forest does."""
