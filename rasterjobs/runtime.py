@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Workspaces by application.
+_WORKSPACES: dict[str, str] = {}
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -35,8 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+def workspace(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it goes when the driver's JVM ends, with all tables that jobs left in it."""
+    app = spark.sparkContext.applicationId
+    if app not in _WORKSPACES:
+        path = f"{shared_dir(spark)}/rasterjobs-{app}-{uuid.uuid4().hex[:8]}"
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _WORKSPACES[app] = path
+    return _WORKSPACES[app]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{workspace(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def snapshot(df: DataFrame, name: str = "step") -> DataFrame:

@@ -773,3 +773,21 @@ def test_best_checkpoint_over_many_ranges(spark):
         assert r.improved == (r.iou is not None and (best is None or r.iou > best))
         best = r.iou if best is None else best if r.iou is None else max(best, r.iou)
         assert r.best == best
+
+
+def test_the_shared_folder_is_empty_when_a_session_has_ended(tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+from rasterjobs.operators import regions
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+df = spark.range(400).selectExpr("'s' AS scene_id", "cast(id div 20 AS int) AS row", "cast(id % 20 AS int) AS col", "cast(id % 3 > 0 AS int) AS mask")
+import os
+assert regions.connected_regions(df, tile=4).count() > 0 and [x[:11] for x in os.listdir("{tmp_path}") if x[0] == "r"] == ["rasterjobs-"]
+spark.stop()
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=regions.__file__.rsplit("/", 3)[0], timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert not [f for f in tmp_path.rglob("*") if f.is_file()] and not list(tmp_path.glob("rasterjobs-*"))  # Spark's own folder for checkpoints is empty
