@@ -19,7 +19,7 @@ def test_stages_and_queries_are_registered():
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "minhash_near_dedup", "mixing", "packing"]
     assert set(QUERIES) <= set(e.queries()) and "pipeline" in e.queries() and set(ORACLES) <= set(QUERIES)
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
 
 
 def test_each_stage_keeps_the_columns_and_its_decisions_hold(spark):
