@@ -35,6 +35,7 @@ def flood_depth(df: DataFrame, dem: str = "z", mask: str = "mask", sigma: float
 
     Regions below ``min_px`` pixels have depth 0.
     """
+    df = snapshot(df, "grid")  # sizes, tiles and the result read it
     smooth = gaussian_smooth(df, dem, sigma, "__z").where(F.col(mask) == 1).select("scene_id", "row", "col", mask, "__z")
     regions = snapshot(connected_regions(snapshot(smooth, "smooth"), mask), "regions")  # both are read several times
     level = snapshot(zonal_percentile(regions, "__z", p, min_px), "levels")
