@@ -20,8 +20,6 @@ from rasterjobs.runtime import ship
 BUCKETS = 1 << 15
 #: Mean log ratio (natural, per n-gram) from which a text is kept.
 THRESHOLD = -0.1
-#: Trusted documents are a hashed sample of about so many ids (all, if there are fewer).
-TRUSTED_DOCS = 20_000
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
 _SPACE = np.zeros(256, bool)
@@ -52,18 +50,15 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0][at]), pa.array(total[1][at])], ["bucket", "raw", "trusted"])
 
 
-def log_ratios(docs: DataFrame, trusted_ids: DataFrame, bound: int = TRUSTED_DOCS, buckets: int = BUCKETS) -> np.ndarray:
+def log_ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """``log(P(bucket | trusted) / P(bucket | all))`` with add-one smoothing, from rows (doc_id, text) and trusted doc_ids.
 
-    The raw counts are those of all documents; trusted ids are a hashed sample of about ``bound`` rows, so they
-    can be broadcast. Without trusted documents all ratios are 0.
+    Both counts are whole: every document, and every one of them whose id is trusted. Trusted ids grow with the corpus, so
+    they meet the documents by shuffle; texts only pass the ids' hash table, nothing is sorted. Without trusted documents all ratios are 0.
     """
     ship(docs.sparkSession)
-    ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    n = ids.count()
-    part = 10**12 if n <= bound else max(1, 10**12 * bound // n)
-    ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**12)) < part).distinct().withColumn("trusted", F.lit(True))
-    rows = docs.join(F.broadcast(ids), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
+    rows = docs.join(ids.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     counts = rows.mapInArrow(lambda it: _count(it, buckets), "bucket int, raw long, trusted long")
     counts = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toArrow()
     raw, trusted = np.ones(buckets), np.ones(buckets)

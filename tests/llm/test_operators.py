@@ -291,6 +291,16 @@ def test_verdict_matches_plain_counts(spark):
         assert got[i].llr == pytest.approx(llr, abs=2e-2) and got[i].kept == (not got[i].base_failed and got[i].llr >= quality_rules.THRESHOLD)
 
 
+def test_every_trusted_document_counts(spark):
+    n, few, b = 30_000, 25_000, quality_rules.BUCKETS
+    docs = spark.range(n).selectExpr("id AS doc_id", f"CASE WHEN id < {few} THEN 'good' ELSE 'bad' END AS text")
+    assert not quality_rules.log_ratios(docs, spark.range(n + 5).selectExpr("id AS doc_id")).any()
+    twice = spark.range(2 * few).selectExpr(f"id % {few} AS doc_id")
+    ratios = quality_rules.log_ratios(docs, twice)
+    assert ratios.max() == pytest.approx(np.log((n + b) / (few + b)), abs=1e-12)
+    assert ratios.min() == pytest.approx(np.log(1 / (few + b)) - np.log((n - few + 1) / (n + b)), abs=1e-12)
+
+
 # --- 5 line dedup
 
 
