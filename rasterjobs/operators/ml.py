@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from rasterjobs.functions.algebra import valid_only
 from rasterjobs.operators.accuracy import accuracy_scores, confusion
 from rasterjobs.operators.ranked import row_numbers
-from rasterjobs.runtime import ship
+from rasterjobs.runtime import ship, snapshot
 
 #: Labelled samples are points that people set; more than this are joined by shuffle instead of a broadcast.
 BROADCAST_SAMPLES = 1_000_000
@@ -133,8 +133,11 @@ def predict_map(model, pixels: DataFrame, features: list[str]) -> DataFrame:
 
 
 def cross_validate_f1(samples: DataFrame, features: list[str], train, k: int = 5) -> DataFrame:
-    """``(mean_f1, std_f1)`` over stratified folds, population deviation; one model per fold."""
-    rows = stratified_folds(samples, k)
+    """``(mean_f1, std_f1)`` over stratified folds, population deviation; one model per fold.
+
+    Folds are ranked once and written: each model passes its rows several times.
+    """
+    rows = snapshot(stratified_folds(samples, k), "folds")
     out = None
     for i in range(k):
         model = train(rows.where(F.col("fold") != i).drop("fold"), features)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterjobs.operators.skew import HOT_KEYS
 from rasterjobs.runtime import drop, snapshot
 
 
@@ -46,6 +47,10 @@ def with_ranges(placed: DataFrame, by: list[str], total: Column) -> DataFrame:
     sums = sums.withColumns({"__before": F.sum("__n").over(group.orderBy("__range")) - F.col("__n"), "__all": F.sum("__n").over(group)}).drop("__n")
     keys = [*by, "__range"]
     sums = sums.withColumnsRenamed({c: f"__{c}" for c in keys})
+    if by:
+        sums = snapshot(sums, "sums")
+    if not by or sums.limit(HOT_KEYS + 1).count() <= HOT_KEYS:  # without groups a row per range
+        sums = F.broadcast(sums)  # or Spark, which can't tell how few they are, exchanges all rows
     return placed.join(sums, _same(placed, sums, keys)).drop(*[f"__{c}" for c in keys])
 
 

@@ -619,6 +619,33 @@ def test_ranks_and_percentiles_of_a_group_over_many_ranges(spark):
     assert empty.a is None
 
 
+def test_folds_are_ranked_once_and_by_one_exchange_after_the_ranges(spark, monkeypatch):
+    from rasterjobs.operators import ranked
+
+    monkeypatch.setattr(ranked, "ONE_RANGE", 100)
+    df = spark.range(1000).selectExpr("'s' AS scene_id", "cast(id AS int) AS row", "0 AS col", "cast(id % 4 = 0 AS int) AS label", "4e0 * (id % 4) + sin(id) AS u", "cos(id) AS v")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the rows were many
+    try:
+        plan = ml.stratified_folds(df, 3)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and sum("Exchange hashpartitioning" in line and "__range" in line for line in plan.splitlines()) == 1
+        seen = []
+
+        def train(rows, features):
+            seen.append((rows._jdf.queryExecution().executedPlan().toString(), {r.row for r in rows.select("row").collect()}))
+            return ml.train_random_forest(rows, features, trees=2, depth=2)
+
+        assert ml.cross_validate_f1(df, ["u", "v"], train, 3).first().mean_f1 > 0.95
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(seen) == 3 and not any("Exchange" in p or "Window" in p for p, _ in seen)  # training only reads
+    held = [set(range(1000)) - rows for _, rows in seen]
+    assert set().union(*held) == set(range(1000)) and sum(map(len, held)) == 1000
+    for label in (True, False):
+        sizes = [sum((i % 4 == 0) == label for i in h) for h in held]
+        assert max(sizes) - min(sizes) <= 1
+
+
 @pytest.mark.parametrize("tile", [4, 16])
 def test_summed_areas_match_brute_force(spark, tile):
     rng = random.Random(tile)
